@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import suffix_dedup
+from . import line_dedup, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
+ORACLE: dict[str, str] = {
+    "op7_line_dedup": line_dedup.OP7_SQL,
+    "op10_quality_rules": quality_rules.op10_sql(),
 }
-ORACLE: dict[str, str] = {}
