@@ -61,7 +61,6 @@ def owned_runs(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     ``bounds``: where each document starts in ``units``, and the end.
     """
     lens = np.diff(bounds)
-    ends = np.repeat(bounds[1:].astype(np.int64), lens)
     doc_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     span = window - gram + 1
     low = np.uint64((1 << _POS_BITS) - 1)
@@ -78,7 +77,7 @@ def owned_runs(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
             least = np.minimum(least[:full], least[span - k : span - k + full])
         own = (least & low).astype(np.int64)
         s = np.arange(c, c + full)
-        ok = s + window <= ends[s]
+        ok = doc_of[s] == doc_of[s + (window - 1)]
         s, own = s[ok], own[ok]
         if not len(s):
             continue

@@ -28,7 +28,7 @@ def _buckets(total: int, share: float, bucket_bytes: int) -> int:
     return max(1, int(total * share) // bucket_bytes)
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, part_bytes: int = 8 << 20, bucket_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, part_bytes: int = 4 << 20, bucket_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, n_bytes, removed spans (byte offsets, end exclusive), kept bytes; for each row of ``docs``."""
     d, n, total = R.deal(docs, part_bytes)
     b1, b2 = _buckets(total, 0.3, bucket_bytes), _buckets(total, 1.4, bucket_bytes)
