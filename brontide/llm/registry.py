@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, suffix_dedup
+from . import line_dedup, minhash_dedup, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
+    "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op10_quality_rules": quality_rules.op10_sql(),
 }
