@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash_dedup, quality_rules, suffix_dedup
+from . import license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLE: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op2_secret_scan": secret_scan.op2_sql(),
+    "op9_license_scan": license_scan.op9_sql(),
     "op10_quality_rules": quality_rules.op10_sql(),
 }
