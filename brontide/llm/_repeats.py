@@ -12,6 +12,9 @@ question; texts cross the network once, the questions only for what repeats.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,10 +124,17 @@ def suffix_ranks(values: np.ndarray, window: int) -> np.ndarray:
     array cut at that depth, by prefix doubling. Equal ranks: equal strings."""
 
     def ranked(x):
-        return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+        order = np.argsort(x)
+        x = x[order]
+        new = np.empty(len(x), bool)
+        new[0] = True
+        np.not_equal(x[1:], x[:-1], out=new[1:])
+        out = np.empty(len(x), np.uint32)
+        out[order] = np.cumsum(new, dtype=np.uint32)
+        return out
 
     if len(values) < window:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     if values.dtype == np.uint8 and window >= 8:
         v, k = values.astype(np.uint64), 1
         while k < 8:
@@ -135,7 +145,7 @@ def suffix_ranks(values: np.ndarray, window: int) -> np.ndarray:
     r = ranked(v)
     while k < window:
         step = min(k, window - k)
-        r = ranked((r[:-step] << np.uint64(32)) | r[step:])
+        r = ranked((r[:-step].astype(np.uint64) << np.uint64(32)) | r[step:])
         k += step
     return r
 
@@ -148,6 +158,13 @@ def deal(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int, int]:
     return d.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "part"), n, total
 
 
+def release() -> None:
+    """Hand freed memory back, as a worker lives on through many groups."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read_part(table: pa.Table) -> tuple[np.ndarray, list[bytes], list]:
     """Sort keys, UTF-8 texts and ids of a part, always in the same order."""
     raw = table.column("doc_id").to_pylist()
@@ -191,6 +208,7 @@ def answer_grams(table: pa.Table) -> pa.Table:
     for part, bucket, k in zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), asks, strict=True):
         rows.append((part, 1, bucket, np.packbits(said[i : i + len(k)]).tobytes()))
         i += len(k)
+    release()
     return rows_table(rows, REPLY)
 
 
@@ -265,6 +283,8 @@ def answer_phrases(table: pa.Table, window: int, dtype) -> pa.Table:
     for part, bucket, w, m in zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), which, least, strict=True):
         n = counts[w]
         rows.append((part, 2, bucket, np.packbits(window_least[ragged(first[w], n)] < np.repeat(m, n)).tobytes()))
+    del ranks, place, seen
+    release()
     return rows_table(rows, REPLY)
 
 

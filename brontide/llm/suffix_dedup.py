@@ -28,7 +28,7 @@ def _buckets(total: int, share: float, bucket_bytes: int) -> int:
     return max(1, int(total * share) // bucket_bytes)
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, part_bytes: int = 4 << 20, bucket_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, part_bytes: int = 3 << 20, bucket_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, removed spans (byte offsets, end exclusive), kept bytes; for each row of ``docs``."""
     d, n, total = R.deal(docs, part_bytes)
     b1, b2 = _buckets(total, 0.3, bucket_bytes), _buckets(total, 1.4, bucket_bytes)
@@ -71,6 +71,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, par
             else:
                 spans.append([])
                 kept.append(raw[i:j])
+        R.release()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(bounds), pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
 
