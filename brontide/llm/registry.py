@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, suffix_dedup
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
@@ -16,6 +17,7 @@ ORACLE: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op2_secret_scan": secret_scan.op2_sql(),
+    "op3_decontaminate": decontaminate.OP3_SQL,
     "op9_license_scan": license_scan.op9_sql(),
     "op10_quality_rules": quality_rules.op10_sql(),
 }
