@@ -153,7 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """did (doc_id, or the least long for null), version, n_shingles, set_id, component (least did
-    reachable); a row for each row of ``docs``. Linked: 100 * intersection >= percent * union."""
+    reachable), component_set (its set); a row for each row of ``docs``. Linked: 100 * intersection >= percent * union."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("version", F.xxhash64("text"))
     sketched = store(d.mapInArrow(_sketch(k, slots, rows), "did bigint, version bigint, n bigint, set_id binary, bands array<bigint>"), "sketches")
@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
             links = links.unionByName(new)
             roots = components(links)
         rest = rest.where(F.col("turn") > PIVOTS).select("h", "node", "n")
-    labels = classes.select("set_id", node).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").getField("did").alias("component"))
+    labels = classes.select("set_id", node).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("_root")).select("set_id", F.col("_root.did").alias("component"), F.col("_root.set_id").alias("component_set"))
     out = sketched.select("did", "version", F.col("n").alias("n_shingles"), "set_id").join(labels, "set_id", "left")
     return out.withColumn("component", F.coalesce("component", "did"))
 

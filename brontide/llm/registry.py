@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, suffix_dedup
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_mix_sources": mixing.op4_mix_sources,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
+    "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
