@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, suffix_dedup
+from . import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
@@ -20,6 +21,7 @@ ORACLE: dict[str, str] = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op2_secret_scan": secret_scan.op2_sql(),
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_license_scan": license_scan.op9_sql(),
     "op10_quality_rules": quality_rules.op10_sql(),
 }
