@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import detection
+
+QUERIES: dict = dict(sorted((detection.QUERIES).items()))
+ORACLE: dict[str, str] = dict(detection.ORACLE)
