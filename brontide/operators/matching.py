@@ -85,4 +85,4 @@ def alarm_fates(before: DataFrame, after: DataFrame, keys: list[str], near: int)
     types = {f.name: f.dataType.simpleString() for f in before.schema}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", declaration bigint, other bigint, fate string"
     cols = [*keys, "declaration", "end"]
-    return before.select(*cols).groupBy(*keys).cogroup(after.select(*cols).groupBy(*keys)).applyInPandas(run, schema)
+    return before.select(*cols).toDF(*cols).groupBy(*keys).cogroup(after.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(run, schema)

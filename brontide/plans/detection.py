@@ -213,7 +213,7 @@ _J = B.judged_sql("al")
 _AL = f"al AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM dec1)')}), jd AS (SELECT * FROM {_J})"
 _EM = "em AS (SELECT r.rec, r.event_id, r.a, r.b, j.decl, j.decl - r.a AS delay, EXISTS (SELECT 1 FROM al x WHERE x.rec = r.rec AND x.decl < r.b AND x.fin > r.a) AS over FROM refs r LEFT JOIN (SELECT * FROM jd WHERE status = 'matched') j ON j.rec = r.rec AND j.event_id = r.event_id)"
 _P = B.prelude()
-_SWEPT = f"sw AS (SELECT * FROM {B.alarms_sql(f'(SELECT d.*, thr FROM dec1 d, (SELECT unnest({SWEEP}) AS thr))', 'rec, thr')}), sj AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('sw', 'rec, thr')})"
+_SWEPT = f"sw AS (SELECT * FROM {B.alarms_sql(f'(SELECT d.*, thr FROM dec1 d, (SELECT unnest({SWEEP}::DOUBLE[]) AS thr))', 'rec, thr')}), sj AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('sw', 'rec, thr')})"
 
 
 def _sweep_sql(fold: str) -> str:
@@ -222,7 +222,7 @@ def _sweep_sql(fold: str) -> str:
     by = f"GROUP BY {fold}" if fold else ""
     join = f"JOIN (SELECT {g}sum(evaluable)::BIGINT AS evaluable FROM {gr('budget')} {by}) {f'USING ({fold})' if fold else 'ON true'}"
     return f"""sweep AS (SELECT {g}thr AS threshold, events, evaluable, coalesce(f, 0) AS false_declarations, coalesce(dt, 0) AS detected, delay_median, coalesce(dt, 0)::DOUBLE / events AS sensitivity, coalesce(f, 0)::DOUBLE * {B.HOUR} / evaluable AS false_per_hour
-  FROM (SELECT {g}count(*) AS events FROM {gr('refs')} {by}) {join} CROSS JOIN (SELECT unnest({SWEEP}) AS thr)
+  FROM (SELECT {g}count(*) AS events FROM {gr('refs')} {by}) {join} CROSS JOIN (SELECT unnest({SWEEP}::DOUBLE[]) AS thr)
   LEFT JOIN (SELECT {g}thr, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'matched') AS dt, median(CASE WHEN status = 'matched' THEN decl - onset END) AS delay_median FROM sj GROUP BY {g}thr) {on})"""
 
 
@@ -262,8 +262,8 @@ SELECT rec, t, CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 ELSE -1
     "q17_event_fates": f"""{_P}, {_FU}, {_VA}, f AS (SELECT rec, event_id, model, decl - onset AS delay FROM vj WHERE status = 'matched')
 SELECT r.rec, r.event_id, x.delay AS delay0, y.delay AS delay2, CASE WHEN x.delay IS NOT NULL AND y.delay IS NOT NULL THEN 'preserved' WHEN y.delay IS NOT NULL THEN 'rescued' WHEN x.delay IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification, coalesce(x.delay <> y.delay, false) AS changed_delay_only
 FROM refs r LEFT JOIN f x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' LEFT JOIN f y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2'""",
-    "q19_asof_state": f"""{_P}, {_AL}, s AS (SELECT al.rec, decl, max(d.t) AS at FROM al LEFT JOIN dec2 d ON d.rec = al.rec AND d.available AND d.t <= decl AND d.t >= decl - {8 * B.HOUR} GROUP BY al.rec, decl)
-SELECT s.rec, decl AS declaration, at AS asof_t, d.score AS state, CASE WHEN d.score IS NULL THEN 'unavailable' WHEN d.score < 0.25 THEN 'low' ELSE 'larger' END AS kind FROM s LEFT JOIN dec2 d ON d.rec = s.rec AND d.t = s.at""",
+    "q19_asof_state": f"""{_P}, {_AL}, s AS (SELECT al.rec, decl, max(d.t) AS seen FROM al LEFT JOIN dec2 d ON d.rec = al.rec AND d.available AND d.t <= decl AND d.t >= decl - {8 * B.HOUR} GROUP BY al.rec, decl)
+SELECT s.rec, decl AS declaration, seen AS asof_t, d.score AS state, CASE WHEN d.score IS NULL THEN 'unavailable' WHEN d.score < 0.25 THEN 'low' ELSE 'larger' END AS kind FROM s LEFT JOIN dec2 d ON d.rec = s.rec AND d.t = s.seen""",
     "q20_band_coincidence": f"""{_P}, {_AL}, a2 AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM dec2)')}) SELECT rec, decl AS declaration, EXISTS (SELECT 1 FROM a2 WHERE a2.rec = al.rec AND abs(a2.decl - al.decl) <= {B.STRIDE}) AS coincident FROM al""",
     "q21_average_precision_auc": f"""WITH {_LS}, g AS (SELECT lang, score, sum(label)::BIGINT AS p, count(*) AS n FROM ls GROUP BY ALL),
 c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY lang ORDER BY score) - n AS below FROM g),
