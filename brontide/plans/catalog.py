@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection
+from . import detection, features
 
-QUERIES: dict = dict(sorted((detection.QUERIES).items()))
-ORACLE: dict[str, str] = dict(detection.ORACLE)
+QUERIES: dict = dict(sorted((detection.QUERIES | features.QUERIES).items()))
+ORACLE: dict[str, str] = detection.ORACLE | features.ORACLE
