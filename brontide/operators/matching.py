@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,20 +45,20 @@ def match_overlapping(alarms: DataFrame, events: DataFrame, keys: list[str]) ->
     first event, by onset and offset, that none has taken. One recording is one group; the
     alarms and events of a recording are few."""
 
-    def run(a: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(["start", "end", "event_id"])
+    def run(a: pa.Table, e: pa.Table) -> pa.Table:
+        e = sorted(zip(*(e.column(c).to_pylist() for c in ("start", "end", "event_id")), strict=True))
+        a = a.sort_by("declaration")
         taken, status, ids = set(), [], []
-        a = a.sort_values("declaration")
-        for d in a["declaration"]:
-            inside = e[(e["start"] <= d) & (d < e["end"])]["event_id"].tolist()
+        for d in a.column("declaration").to_pylist():
+            inside = [i for start, end, i in e if start <= d < end]
             free = [i for i in inside if i not in taken]
             taken.update(free[:1])
             status.append("matched" if free else "duplicate" if inside else "false")
             ids.append((free or inside or [""])[0])
-        return a.assign(status=status, event_id=ids)
+        return a.append_column("status", pa.array(status, pa.string())).append_column("event_id", pa.array(ids, pa.string()))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alarms.schema) + ", status string, event_id string"
-    return alarms.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInPandas(run, schema)
+    return alarms.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def alarm_fates(before: DataFrame, after: DataFrame, keys: list[str], near: int) -> DataFrame:

@@ -47,8 +47,9 @@ def declared_channels(texts: DataFrame) -> DataFrame:
     c = texts.select("source", line)
     c = c.select("source", F.regexp_extract("line", r"(?i)Channel\s+(\d+)", 1).cast("int").alias("number"), F.trim(F.regexp_extract("line", r":\s*(.*)$", 1)).alias("name"))
     n = F.count("*").over(W.partitionBy("source", "number"))
-    ok = F.when((n == 1) & (F.col("name") != ""), F.lit(True)).otherwise(F.raise_error(F.lit("channel declared twice or without a name")).cast("boolean"))
-    return c.withColumn("_n", n).where(ok).drop("_n")
+    c = c.withColumn("_n", n)
+    ok = F.when((F.col("_n") == 1) & (F.col("name") != ""), F.lit(True)).otherwise(F.raise_error(F.lit("channel declared twice or without a name")).cast("boolean"))
+    return c.where(ok).drop("_n")
 
 
 def reconcile_channels(declared: DataFrame, signals: DataFrame) -> DataFrame:
