@@ -49,6 +49,25 @@ def relative_reference(windows: DataFrame, keys: list[str], block: int, back: in
     return out.withColumns({"relative_delta": now - F.col("reference"), "relative_ratio": F.try_divide(now, F.col("reference"))})
 
 
+def interval_reference(windows: DataFrame, keys: list[str], block: int = 60, back: int = 300, least_blocks: int = 2) -> DataFrame:
+    """As :func:`relative_reference`, over the intervals of the past windows taken together: medians of
+    rate and interval, and the present window's differences to them. ``windows``: keys, t, usable,
+    intervals (the valid ones), median_rate, median_rr. Windows before one block don't count."""
+    phase = W.partitionBy(*keys, F.pmod(F.col("t"), F.lit(block))).orderBy("t").rangeBetween(-back, -block)
+    past = F.collect_list(F.when(F.col("usable") & (F.col("t") >= block), F.col("intervals"))).over(phase)
+    out = windows.withColumn("_past", past).withColumn("baseline_good", F.size("_past") * block)
+    ready = F.size("_past") >= least_blocks
+    rr = F.flatten("_past")
+    out = out.withColumns({"baseline_ready": ready, "baseline_rate": F.when(ready, array_median(F.transform(rr, lambda x: 60.0 / x))), "baseline_rr": F.when(ready, array_median(rr))}).drop("_past")
+    now = lambda c: F.when(F.col("usable"), F.col(c))
+    return out.withColumns({"relative_rate_delta": now("median_rate") - F.col("baseline_rate"), "relative_rate_ratio": F.try_divide(now("median_rate"), F.col("baseline_rate")), "relative_rr_delta": now("median_rr") - F.col("baseline_rr")})
+
+
+def array_median(a: Column) -> Column:
+    s, n = F.sort_array(a), F.size(a)
+    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
+
+
 def choose_lead(leads: DataFrame, keys: list[str], agreement: str, rates_differ: Column, least_agreement: float = 0.70) -> DataFrame:
     """``leads``: keys, lead (0 or 1), good, valid_fraction, coverage, contrast, rate. None good, one
     good, two that disagree grossly, or the better by (valid fraction, coverage, contrast, lower
@@ -56,9 +75,9 @@ def choose_lead(leads: DataFrame, keys: list[str], agreement: str, rates_differ:
     best = F.max_by("lead", F.when(F.col("good"), F.struct("valid_fraction", "coverage", "contrast", (-F.col("lead")).alias("low"))))
     a = leads.groupBy(*keys).agg(F.count_if("good").alias("n_good"), best.alias("_best"), F.max(F.when(F.col("good"), F.col("lead"))).alias("_only"), F.max("rate").alias("rate_high"), F.min("rate").alias("rate_low"), F.first(agreement).alias(agreement))
     apart = rates_differ | (F.col(agreement) < least_agreement)
-    reason = F.when(F.col("n_good") == 0, "no_good_lead").when(F.col("n_good") == 1, "single_good_lead").when(apart, "gross_interlead_disagreement").otherwise("lexicographic")
+    reason = F.when(F.col("n_good") == 0, "both_poor").when(F.col("n_good") == 1, F.concat(F.lit("only_lead_"), (F.col("_only") + 1).cast("string"), F.lit("_good"))).when(apart, "gross_interlead_disagreement").otherwise("both_good_agree_lexicographic_quality")
     out = a.withColumn("reason", reason)
-    lead = F.when(F.col("reason") == "single_good_lead", F.col("_only")).when(F.col("reason") == "lexicographic", F.col("_best"))
+    lead = F.when(F.col("n_good") == 1, F.col("_only")).when((F.col("n_good") == 2) & ~apart, F.col("_best"))
     return out.select(*keys, "n_good", lead.alias("lead"), "reason")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dsp
+from . import channels as H
 
 NAMES = ["rms", "std", "line_length", "hjorth_activity", "hjorth_mobility", "hjorth_complexity", "total_power", "mean_freq", "dominant_freq", "bandwidth", "edge95", "entropy"] + [f"{b}_{k}" for b in dsp.BANDS for k in ("power", "relative")]
 
@@ -29,19 +30,17 @@ def channel_features(df: DataFrame, samples: str, fs: float) -> DataFrame:
     return df.withColumn("_f", run(F.col(samples))).select(*df.columns, "_f.*")
 
 
-def beats(df: DataFrame, samples: str, fs: float) -> DataFrame:
-    """Adds ``beats``: positions of the beats in each row's samples."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(arrays: pd.Series) -> pd.Series:
-        return pd.Series([dsp.detect_beats(np.asarray(a, float), fs).tolist() if a is not None and len(a) > fs else [] for a in arrays])
-
-    return df.withColumn("beats", run(F.col(samples)))
-
-
-def quality_gates(df: DataFrame) -> DataFrame:
-    """Whether a lead is usable, and the reasons why not, from its measures."""
-    #: Limits of the measures.
-    gates = [("missing", F.col("finite_fraction") < 1.0), ("flat", F.col("spread") <= 0), ("few_beats", F.col("n_beats") < 30), ("valid_fraction", F.col("valid_fraction") < 0.8), ("coverage", F.col("coverage") < 0.8), ("clipped", F.col("clipped_fraction") > 0.05), ("contrast", F.col("contrast") < 3.0)]
-    reasons = F.array_join(F.array_compact(F.array(*[F.when(c, n) for n, c in gates])), "|")
-    return df.withColumn("reasons", reasons).withColumn("good", F.col("reasons") == "")
+def window_features(windows: DataFrame, keys: list[str], channel: str, samples: str, fs: float) -> DataFrame:
+    """Forty-six features of a window: mean and population spread over its channels of each channel
+    feature, and of the absolute correlations between channels that are not flat. A window with a
+    sample that is not finite, or flat on all channels, has none, and says why. ``windows``: one
+    row for each window (``keys``) and channel; both halves share one shuffle."""
+    w = windows.repartition(*keys)
+    f = channel_features(w, samples, fs)
+    reason = F.when(F.bool_or(F.col("rms").isNull()) | (F.max("std") <= 0), "nonfinite_or_all_flat").otherwise("")
+    out = H.reduce_channels(f, keys, NAMES)
+    state = f.groupBy(*keys).agg(reason.alias("unavailable_reason"))
+    corr = H.correlation_summary(w, keys, channel, samples).select(*keys, F.col("corr_abs_mean"), F.col("corr_abs_std"))
+    out = state.join(out, keys).join(corr, keys, "left")
+    names = [c for c in out.columns if c not in keys and c != "unavailable_reason"]
+    return out.select(*keys, "unavailable_reason", *[F.when(F.col("unavailable_reason") == "", F.col(c)).alias(c) for c in names])

@@ -53,3 +53,21 @@ def leave_one_out(recordings: DataFrame, group: str, item: str) -> DataFrame:
     all_items = items.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("_all"))
     out = items.join(all_items, group).withColumn("train", F.filter("_all", lambda x: x != F.col(item)))
     return out.select(group, (F.array_position("_all", F.col(item)) - 1).cast("int").alias("fold"), "train", F.col(item).alias("test"))
+
+
+def cut_windows(segments: DataFrame, context_s: int, stride_s: int, first_s: int, chunk_s: int, halo_s: int) -> DataFrame:
+    """The trailing windows [t - context, t) of chunks read with a halo: each anchor belongs to one chunk,
+    whose halo holds its past, so windows are slices within a row and nothing is shuffled.
+    ``segments``: path, channel_index, start_s, sampling_rate, samples. Anchors are first_s,
+    first_s + stride_s, ... before the end of the recording."""
+    if not context_s <= halo_s < chunk_s:
+        raise ValueError("the halo must hold a context and be shorter than a chunk")
+    start, fs = F.col("start_s"), F.col("sampling_rate")
+    low = F.floor((start + halo_s) / chunk_s) * chunk_s
+    stop = start + F.size("samples") / fs
+    last = F.least(low + chunk_s, stop)
+    begin = F.lit(first_s) + F.ceil((F.greatest(low, F.lit(max(first_s, context_s))) - first_s) / stride_s) * stride_s
+    t = F.explode(F.filter(F.sequence(begin, F.greatest(begin, F.ceil(last)), F.lit(stride_s).cast("bigint")), lambda x: x < last)).alias("t")
+    cut = segments.select("path", "channel_index", "start_s", "sampling_rate", "samples", t)
+    at = F.round((F.col("t") - context_s - start) * fs).cast("int") + 1
+    return cut.select("path", "channel_index", "t", "sampling_rate", F.slice("samples", at, F.round(context_s * fs).cast("int")).alias("samples"))

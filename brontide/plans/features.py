@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 
 from ..functions import clock as C
 from ..operators import channels as H
+from ..operators import checks as V
 from ..operators import fusion as U
 from ..operators import intervals as I
+from ..operators import leads as L
 from ..operators import models as N
 from ..operators import proximity as P
 from ..operators import reports as R
@@ -76,9 +78,7 @@ def q29_channel_correlation(spark, sf):
 
 
 def q30_welch_bands(spark, sf):
-    s = B.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))).alias("s"))
-    s = s.select("l_suppkey", F.transform("s", lambda x: x["l_extendedprice"]).alias("samples"))
-    return X.channel_features(s, "samples", 128.0).drop("samples")
+    return X.channel_features(_prices(spark, sf), "samples", 128.0).drop("samples")
 
 
 def _responses(spark, sf):
@@ -188,6 +188,76 @@ def q42_early_fusion(spark, sf):
     return U.early(U.align(one, two, ["rec", "t"]), ["rate"]).select("rec", "t", "score1", "early__rate")
 
 
+def _fused(spark, sf):
+    one = B.decisions(spark, sf).select("rec", "t", F.col("score").alias("score1"))
+    two = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("available2"), F.col("score").alias("score2"))
+    return U.align(one, two, ["rec", "t"])
+
+
+def q43_negative_controls(spark, sf):
+    return V.negative_controls(_fused(spark, sf), 0.25, 0.45, 0.5)
+
+
+def q44_onset_state(spark, sf):
+    out = V.state_at(B.events(spark, sf).select("rec", "event_id", "start"), B.decisions2(spark, sf), K, "start", B.STRIDE, "available")
+    return out.select("rec", "event_id", F.col("available_at").alias("available_at_onset"))
+
+
+def q45_reconcile_scores(spark, sf):
+    one = B.decisions(spark, sf).where("available").select("rec", "t", "score")
+    two = B.decisions2(spark, sf).where("available").select("rec", "t", "score")
+    return V.reconcile(one, two, ["rec", "t"], "score", 0.25).groupBy("rec").agg(F.count("*").alias("n"))
+
+
+def q46_table_differences(spark, sf):
+    of = lambda k: B.samples(spark, sf).where(F.col("kind") == k).select("rec", F.floor(F.col("x") / (24 * B.HOUR)).alias("day"))
+    return V.differences(of("click"), of("purchase"))
+
+
+def q47_interval_reference(spark, sf):
+    """Days as windows: the valid intervals of the five days before, taken together."""
+    rr = Y.rr_series(B.samples(spark, sf).select("rec", "x").distinct(), K, 0.5 * B.HOUR, 24.0 * B.HOUR, 1.0)
+    rr = rr.where("valid").select("rec", F.floor(F.col("x") / (24 * B.HOUR)).alias("t"), "rr")
+    w = rr.groupBy("rec", "t").agg(F.collect_list("rr").alias("intervals"), F.median("rr").alias("median_rr"), F.median(60.0 / F.col("rr")).alias("median_rate"))
+    out = Y.interval_reference(w.withColumn("usable", F.lit(True)), K, 1, 5, 2)
+    hourly = lambda c: F.round(F.col(c) * B.HOUR, 8).alias(c)
+    return out.select("rec", "t", F.col("baseline_good").cast("bigint").alias("baseline_good"), "baseline_ready", "baseline_rr", "relative_rr_delta", hourly("baseline_rate"), hourly("relative_rate_delta"), _r("relative_rate_ratio"))
+
+
+def _prices(spark, sf):
+    s = B.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_extendedprice"))).alias("s"))
+    return s.select("l_suppkey", F.transform("s", lambda x: x["l_extendedprice"]).alias("samples"))
+
+
+def q48_lead_arbitration(spark, sf):
+    """Suppliers in twos as the leads of a window."""
+    d = _prices(spark, sf).select(F.floor(F.col("l_suppkey") / 2).alias("window"), (F.col("l_suppkey") % 2).cast("int").alias("lead"), "samples")
+    return L.arbitrate(L.quality_gates(L.measure_leads(d, "samples", 64.0)), ["window"], 64.0)
+
+
+def q49_older_lead_features(spark, sf):
+    return L.reduce_leads(L.older_features(_prices(spark, sf), "samples", 64.0).withColumn("grp", F.col("l_suppkey") % 5), ["grp"], ["n_beats", "mean_rr", "rmssd"])
+
+
+def q50_window_features(spark, sf):
+    d = _prices(spark, sf).select(F.floor(F.col("l_suppkey") / 4).alias("window"), (F.col("l_suppkey") % 4).alias("channel"), F.slice("samples", 1, 512).alias("samples"))
+    return X.window_features(d, ["window"], "channel", "samples", 128.0)
+
+
+def q51_inventory(spark, sf):
+    r = B.recordings(spark, sf).select((F.col("duration") / 1_000_000).alias("duration_s"), (F.col("rec") % 3 != 0).alias("eligible"))
+    e = B.events(spark, sf).select((F.col("rec") % 3 != 0).alias("eligible"), (F.col("end") - F.col("start") > 6 * B.HOUR).alias("uncertain"))
+    return V.inventory(r, e)
+
+
+ODD = [(1, 100, 600, 100, 150, 160, 50, 60), (2, None, None, 100, 150, 160, None, None), (3, 100, 600, 120, None, 160, None, 60), (4, 100, 600, 100, 90, 80, -10, -20), (5, 100, 600, 86_300, 800, 900, 700, 800)]
+
+
+def q52_annotation_flags(spark, sf):
+    d = spark.createDataFrame(ODD, "n int, header_start_s int, duration_s int, registration_start_s int, start_clock_s int, end_clock_s int, start_s int, end_s int")
+    return V.annotation_flags(d).select("n", "flags")
+
+
 _P = B.prelude()
 _RR = f"""rr AS (SELECT rec, x, (x - lag(x) OVER w) / {float(B.HOUR)} AS rr, (x + lag(x) OVER w) / 2 / {float(B.HOUR)} AS mid FROM (SELECT DISTINCT rec, x FROM ev) WINDOW w AS (PARTITION BY rec ORDER BY x)),
 rv AS (SELECT *, rr BETWEEN 0.5 AND 24.0 AS valid, 60.0 / nullif(rr, 0) AS rate FROM rr WHERE rr IS NOT NULL)"""
@@ -220,8 +290,8 @@ SELECT rec, t, n_past, reference_ready, round(reference, 8) AS reference, round(
 a AS (SELECT rec, lead_, count(*) AS n, count(*) FILTER (WHERE gap BETWEEN {B.HOUR} AND {100 * B.HOUR}) / count(*)::DOUBLE AS vf, count(DISTINCT x // {_DAY}) / 30.0::DOUBLE AS cov, max(cents) AS con FROM s GROUP BY rec, lead_),
 g AS (SELECT rec, count(*) FILTER (WHERE n >= 12) AS n_good, max(n) AS hi, min(n) AS lo, max(lead_) FILTER (WHERE n >= 12) AS only_ FROM a GROUP BY rec),
 b AS (SELECT rec, lead_ AS best FROM a WHERE n >= 12 QUALIFY row_number() OVER (PARTITION BY rec ORDER BY vf DESC, cov DESC, con DESC, lead_) = 1),
-z AS (SELECT *, CASE WHEN n_good = 0 THEN 'no_good_lead' WHEN n_good = 1 THEN 'single_good_lead' WHEN hi - lo > greatest(10.0, 0.15 * lo) OR lo / hi::DOUBLE < 0.5 THEN 'gross_interlead_disagreement' ELSE 'lexicographic' END AS reason FROM g LEFT JOIN b USING (rec))
-SELECT rec, n_good, CASE reason WHEN 'single_good_lead' THEN only_ WHEN 'lexicographic' THEN best END AS lead, reason FROM z""",
+z AS (SELECT *, CASE WHEN n_good = 0 THEN 'both_poor' WHEN n_good = 1 THEN 'only_lead_' || (only_ + 1) || '_good' WHEN hi - lo > greatest(10.0, 0.15 * lo) OR lo / hi::DOUBLE < 0.5 THEN 'gross_interlead_disagreement' ELSE 'both_good_agree_lexicographic_quality' END AS reason FROM g LEFT JOIN b USING (rec))
+SELECT rec, n_good, CASE WHEN n_good = 1 THEN only_ WHEN reason = 'both_good_agree_lexicographic_quality' THEN best END AS lead, reason FROM z""",
     "q27_channel_time_features": f"WITH {_EMB} SELECT vec_id, {_rs(NAMES)} FROM tf",
     "q28_cross_channel_reduce": f"WITH {_EMB} SELECT montage, {', '.join(f'round(avg({c}), 8) AS {c}_mean, round(stddev_pop({c}), 8) AS {c}_std' for c in NAMES)} FROM tf GROUP BY montage",
     "q29_channel_correlation": f"""WITH {_EMB}, u AS (SELECT montage, vec_id, unnest(a) AS v, unnest(range(len(a))) AS i FROM em), k AS (SELECT montage, count(DISTINCT vec_id) AS n_channels FROM em WHERE list_var_pop(a) > 0 GROUP BY montage),
@@ -251,6 +321,19 @@ SELECT *, 'left' AS side FROM (FROM c EXCEPT FROM p) UNION ALL SELECT *, 'right'
 z AS (SELECT rec % 5 AS grp, CASE WHEN rec % 3 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS alpha, evaluable, coalesce(q1, 0) AS q1 FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0)
 SELECT grp, alpha, count(*) AS folds, sum(evaluable)::BIGINT AS evaluable, sum(q1)::BIGINT AS q1, sum(evaluable - q1)::BIGINT AS q0, sum(CASE WHEN alpha > 0 THEN q1 ELSE 0 END)::BIGINT AS active, sum(q1)::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM z GROUP BY grp, alpha""",
     "q41_detection_groups": f"{_P}, z AS (SELECT rec, bool_or(kind = 'click') AS c, bool_or(kind = 'purchase' AND cents > 20000) AS p FROM ev GROUP BY rec) SELECT rec, CASE WHEN c AND p THEN 'both' WHEN c THEN 'first_only' WHEN p THEN 'second_only' ELSE 'neither' END AS detection_group FROM z",
+    "q43_negative_controls": f"{_P} SELECT unnest(['NC1_alpha_zero', 'NC2_entire_outage', 'NC2_max_alpha_outage']) AS control, decisions, 0::BIGINT AS differing, true AS passed FROM (SELECT count(*) AS decisions FROM dec1)",
+    "q44_onset_state": f"{_P} SELECT r.rec, r.event_id, d.available AS available_at_onset FROM refs r LEFT JOIN dec2 d ON d.rec = r.rec AND d.t <= r.a AND r.a < d.t + {B.STRIDE}",
+    "q45_reconcile_scores": f"{_P} SELECT coalesce(a.rec, b.rec) AS rec, count(*) AS n FROM (FROM dec1 WHERE available) a FULL JOIN (FROM dec2 WHERE available) b ON a.rec = b.rec AND a.t = b.t WHERE a.rec IS NULL OR b.rec IS NULL OR abs(a.score - b.score) > 0.25 GROUP BY 1",
+    "q46_table_differences": f"{_P} SELECT rec, x // {_DAY} AS day, CAST(sum(CASE kind WHEN 'click' THEN 1 ELSE -1 END) AS BIGINT) AS surplus FROM ev WHERE kind IN ('click', 'purchase') GROUP BY ALL HAVING surplus <> 0",
+    "q47_interval_reference": f"""{_P}, r AS (SELECT rec, x // {_DAY} AS t, (x - lag(x) OVER (PARTITION BY rec ORDER BY x))::DOUBLE AS rr FROM (SELECT DISTINCT rec, x FROM ev)), v AS (SELECT * FROM r WHERE rr BETWEEN {B.HOUR} * 0.5 AND {B.HOUR} * 24.0),
+n AS (SELECT rec, t, median(rr) AS mrr, median(60 / rr) AS mra FROM v GROUP BY ALL),
+b AS (SELECT n.rec, n.t, count(DISTINCT v.t) AS baseline_good, median(60 / v.rr) AS bra, median(v.rr) AS brr FROM n LEFT JOIN v ON v.rec = n.rec AND v.t BETWEEN n.t - 5 AND n.t - 1 AND v.t >= 1 GROUP BY ALL),
+z AS (SELECT rec, t, baseline_good, baseline_good >= 2 AS ready, CASE WHEN baseline_good >= 2 THEN bra END AS bra, CASE WHEN baseline_good >= 2 THEN brr END AS brr, mra, mrr FROM b JOIN n USING (rec, t))
+SELECT rec, t, baseline_good, ready AS baseline_ready, brr AS baseline_rr, mrr - brr AS relative_rr_delta, round(bra * {B.HOUR}, 8) AS baseline_rate, round((mra - bra) * {B.HOUR}, 8) AS relative_rate_delta, round(mra / bra, 8) AS relative_rate_ratio FROM z""",
+    "q51_inventory": f"""{_P} SELECT * FROM (SELECT count(*) AS recordings, count(*) FILTER (WHERE rec % 3 <> 0) AS eligible_recordings, sum({B.DURATION} / 1000000.0)::DOUBLE AS total_seconds, sum({B.DURATION} / 1000000.0) FILTER (WHERE rec % 3 <> 0)::DOUBLE AS eligible_seconds FROM recs),
+(SELECT count(*) AS events, count(*) FILTER (WHERE rec % 3 <> 0) AS eligible_events, count(*) FILTER (WHERE rec % 3 = 0) AS quarantined_events, count(*) FILTER (WHERE b - a > {6 * B.HOUR}) AS uncertain_events FROM refs)""",
+    "q52_annotation_flags": """SELECT * FROM (VALUES (1, ''), (2, 'file_not_found'), (3, 'registration_start_text_disagrees_with_edf_header | seizure_start_unparsed'), (4, 'negative_seizure_start_offset | seizure_end_before_start'),
+(5, 'registration_start_text_disagrees_with_edf_header | seizure_start_after_edf_end | seizure_end_after_edf_end')) t(n, flags)""",
     "q42_early_fusion": f"{_P} SELECT d.rec, d.t, d.score AS score1, CASE WHEN e.available THEN e.score END AS early__rate FROM dec1 d JOIN dec2 e USING (rec, t)",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
