@@ -32,9 +32,9 @@ def time_features(df: DataFrame, samples: str) -> DataFrame:
     return out.drop(*[c for c in out.columns if c[0] == "_"])
 
 
-def reduce_channels(features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Mean and population spread of each feature over the channels that have it."""
-    return features.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+def reduce_channels(features: DataFrame, keys: list[str], names: list[str], *more: Column) -> DataFrame:
+    """Mean and population spread of each feature over the channels that have it, and ``more``."""
+    return features.groupBy(*keys).agg(*more, *[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
 def correlation_summary(channels: DataFrame, keys: list[str], channel: str, samples: str) -> DataFrame:

@@ -38,9 +38,8 @@ def window_features(windows: DataFrame, keys: list[str], channel: str, samples:
     w = windows.repartition(*keys)
     f = channel_features(w, samples, fs)
     reason = F.when(F.bool_or(F.col("rms").isNull()) | (F.max("std") <= 0), "nonfinite_or_all_flat").otherwise("")
-    out = H.reduce_channels(f, keys, NAMES)
-    state = f.groupBy(*keys).agg(reason.alias("unavailable_reason"))
+    out = H.reduce_channels(f, keys, NAMES, reason.alias("unavailable_reason"))
     corr = H.correlation_summary(w, keys, channel, samples).select(*keys, F.col("corr_abs_mean"), F.col("corr_abs_std"))
-    out = state.join(out, keys).join(corr, keys, "left")
+    out = out.join(corr, keys, "left")
     names = [c for c in out.columns if c not in keys and c != "unavailable_reason"]
     return out.select(*keys, "unavailable_reason", *[F.when(F.col("unavailable_reason") == "", F.col(c)).alias(c) for c in names])

@@ -31,7 +31,7 @@ def _rr(spark, sf):
 
 
 def q23_rr_series(spark, sf):
-    return _rr(spark, sf).select("rec", "x", _r("rr"), "valid", _r("rate"), _r("mid"))
+    return _rr(spark, sf).select("rec", "x", "rr", "valid", "rate", "mid")
 
 
 RHYTHM = ["median_rate", "mean_rate", "median_rr", "mean_rr", "sdrr", "rmssd", "rate_slope_per_min", "late_less_early", "rr_cv"]
@@ -42,9 +42,9 @@ def q24_rhythm_features(spark, sf):
 
 
 def q25_relative_reference(spark, sf):
-    d = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("usable"), "score")
+    d = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("usable"), F.round(F.col("score") * 40_000).alias("score"))  # whole cents: medians are exact
     out = Y.relative_reference(d, K, 24 * B.HOUR, 120 * B.HOUR, 3, "score")
-    return out.select("rec", "t", "n_past", "reference_ready", _r("reference"), _r("relative_delta"), _r("relative_ratio"))
+    return out.select("rec", "t", "n_past", "reference_ready", "reference", "relative_delta", "relative_ratio")
 
 
 def q26_lead_choice(spark, sf):
@@ -278,14 +278,14 @@ _DAY = 24 * B.HOUR
 _rs = lambda cols: ", ".join(f"round({c}, 8) AS {c}" for c in cols)
 
 ORACLE = {
-    "q23_rr_series": f"{_P}, {_RR} SELECT rec, x, valid, {_rs(['rr', 'rate', 'mid'])} FROM rv",
+    "q23_rr_series": f"{_P}, {_RR} SELECT rec, x, valid, rr, rate, mid FROM rv",
     "q24_rhythm_features": f"""{_P}, {_RR}, st AS (SELECT *, CASE WHEN valid AND lag(valid) OVER w THEN rr - lag(rr) OVER w END AS step FROM rv WINDOW w AS (PARTITION BY rec ORDER BY x)),
 s2 AS (SELECT *, mid > (min(mid) OVER (PARTITION BY rec) + max(mid) OVER (PARTITION BY rec)) / 2 AS late FROM st WHERE valid),
 f AS (SELECT rec, count(*) AS n_valid, median(rate) AS median_rate, avg(rate) AS mean_rate, median(rr) AS median_rr, avg(rr) AS mean_rr, stddev_samp(rr) AS sdrr, sqrt(avg(step * step)) AS rmssd, regr_slope(rate, mid) * 60 AS rate_slope_per_min, avg(rate) FILTER (WHERE late) - avg(rate) FILTER (WHERE NOT late) AS late_less_early, stddev_samp(rr) / avg(rr) AS rr_cv FROM s2 GROUP BY rec)
 SELECT rec, n_valid, {_rs(RHYTHM)} FROM f""",
-    "q25_relative_reference": f"""{_P}, p AS (SELECT d.rec, d.t, any_value(d.available) AS usable, any_value(d.score) AS score, CAST(count(q.score) AS INT) AS n_past, median(q.score) AS med FROM dec2 d LEFT JOIN dec2 q ON q.rec = d.rec AND q.available AND q.t <= d.t - {_DAY} AND q.t >= d.t - {5 * _DAY} AND (d.t - q.t) % {_DAY} = 0 GROUP BY d.rec, d.t),
+    "q25_relative_reference": f"""{_P}, p AS (SELECT d.rec, d.t, any_value(d.available) AS usable, any_value(round(d.score * 40000)) AS score, CAST(count(q.score) AS INT) AS n_past, median(round(q.score * 40000)) AS med FROM dec2 d LEFT JOIN dec2 q ON q.rec = d.rec AND q.available AND q.t <= d.t - {_DAY} AND q.t >= d.t - {5 * _DAY} AND (d.t - q.t) % {_DAY} = 0 GROUP BY d.rec, d.t),
 z AS (SELECT *, n_past >= 3 AS reference_ready, CASE WHEN n_past >= 3 THEN med END AS reference FROM p)
-SELECT rec, t, n_past, reference_ready, round(reference, 8) AS reference, round(CASE WHEN usable THEN score END - reference, 8) AS relative_delta, round(CASE WHEN usable THEN score END / nullif(reference, 0), 8) AS relative_ratio FROM z""",
+SELECT rec, t, n_past, reference_ready, reference, CASE WHEN usable THEN score END - reference AS relative_delta, CASE WHEN usable THEN score END / nullif(reference, 0) AS relative_ratio FROM z""",
     "q26_lead_choice": f"""{_P}, s AS (SELECT *, CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS lead_, x - lag(x) OVER (PARTITION BY rec, kind ORDER BY x, event_id) AS gap FROM ev WHERE kind IN ('click', 'purchase')),
 a AS (SELECT rec, lead_, count(*) AS n, count(*) FILTER (WHERE gap BETWEEN {B.HOUR} AND {100 * B.HOUR}) / count(*)::DOUBLE AS vf, count(DISTINCT x // {_DAY}) / 30.0::DOUBLE AS cov, max(cents) AS con FROM s GROUP BY rec, lead_),
 g AS (SELECT rec, count(*) FILTER (WHERE n >= 12) AS n_good, max(n) AS hi, min(n) AS lo, max(lead_) FILTER (WHERE n >= 12) AS only_ FROM a GROUP BY rec),

@@ -1,7 +1,11 @@
 """Leads with known beats, windows cut from recordings, checks."""
 
+import subprocess
+import sys
+
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from brontide.functions import dsp
@@ -118,3 +122,11 @@ def test_checks(spark):
         V.disjoint([1, 2], [2])
     r = V.group_audit(spark.createDataFrame([("p", 3600.0, "b"), ("p", 1800.0, "a"), ("q", 1.0, "")], "g string, duration_s double, m string"), spark.createDataFrame([("p",)], "g string"), "g", ["m"])
     assert sorted(map(tuple, r.select("g", "recordings", "hours", "m", "events").collect())) == [("p", 2, 1.5, "a ; b", 1), ("q", 1, 0.0, "", 0)]
+
+
+def test_kernels_travel_without_the_package(tmp_path):
+    """Executors have no copy of the package: kernels load, and run, where it can't be imported."""
+    dsp.detect_beats(pulses(np.arange(0.7, 9.5, 0.8), 10), FS)
+    (tmp_path / "k").write_bytes(cloudpickle.dumps((dsp.detect_beats, dsp.centred_beats, dsp.qrs_quality, dsp)))
+    code = "import pickle, numpy as np\na, b, c, m = pickle.load(open('k', 'rb'))\nx = np.sin(np.arange(4000.0)) ** 9\na(x, 128.0), b(x, 128.0), c(x, 128.0), m.channel_features(x, 128.0)\nimport importlib.util\nassert importlib.util.find_spec('brontide') is None\nassert not m._RESPONSES or len(m._RESPONSES) < 4"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={})
