@@ -10,8 +10,13 @@ def _mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a).cast("double"))
 
 
-def _variance(a: Column, mean: Column) -> Column:
-    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)), F.size(a).cast("double"))
+def _let(value: Column, f) -> Column:
+    """f of a value worked out once: a column used inside a lambda would be worked out per element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _variance(a: Column) -> Column:
+    return _let(_mean(a), lambda m: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)), F.size(a).cast("double")))
 
 
 def _diff(a: Column) -> Column:
@@ -23,7 +28,7 @@ def time_features(df: DataFrame, samples: str) -> DataFrame:
     a = df.withColumn("_a", F.transform(samples, lambda x: x.cast("double")))
     a = a.withColumn("_d", _diff(F.col("_a"))).withColumn("_dd", _diff(F.col("_d")))
     for c in ("_a", "_d", "_dd"):
-        a = a.withColumn(f"{c}m", _mean(F.col(c))).withColumn(f"{c}v", _variance(F.col(c), F.col(f"{c}m")))
+        a = a.withColumn(f"{c}v", _variance(F.col(c)))
     square = F.try_divide(F.aggregate("_a", F.lit(0.0), lambda s, x: s + x * x), F.size("_a").cast("double"))
     line = F.try_divide(F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.abs(x)), F.size("_d").cast("double"))
     mobility = F.sqrt(F.try_divide(F.col("_dv"), F.col("_av")))
@@ -41,12 +46,13 @@ def correlation_summary(channels: DataFrame, keys: list[str], channel: str, samp
     """Mean and population spread of the absolute correlation over pairs of channels that are not
     flat; null with fewer than two. Channels of a window are few and come together as one
     array; pairs are made inside the row."""
-    a = channels.withColumn("_a", F.transform(samples, lambda x: x.cast("double"))).withColumn("_m", _mean(F.col("_a")))
-    a = a.withColumn("_c", F.transform("_a", lambda x: x - F.col("_m"))).withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))).where("_n > 0")
-    unit = a.withColumn("_u", F.transform("_c", lambda x: x / F.col("_n")))
+    centred = lambda a: _let(_mean(a), lambda m: F.transform(a, lambda x: x - m))
+    scaled = lambda c: _let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)))
+    whole = _let(F.transform(samples, lambda x: x.cast("double")), lambda a: _let(centred(a), scaled))
+    unit = channels.select(*keys, channel, whole.alias("_u")).where("_u IS NOT NULL")
     sets = unit.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(channel).alias("c"), F.col("_u").alias("u")))).alias("_s"))
     dot = lambda x, y: F.abs(F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z))
     pairs = F.flatten(F.transform("_s", lambda x, i: F.transform(F.slice("_s", i + 2, F.size("_s")), lambda y: dot(x["u"], y["u"]))))
     out = sets.withColumn("_r", pairs).withColumn("n_channels", F.size("_s"))
-    out = out.withColumn("corr_abs_mean", _mean(F.col("_r"))).withColumn("corr_abs_std", F.sqrt(_variance(F.col("_r"), F.col("corr_abs_mean"))))
+    out = out.withColumn("corr_abs_mean", _mean(F.col("_r"))).withColumn("corr_abs_std", F.sqrt(_variance(F.col("_r"))))
     return out.select(*keys, "n_channels", "corr_abs_mean", "corr_abs_std")
