@@ -4,19 +4,26 @@ The documents of a source are put in a fixed random order and cut into blocks. T
 block of a source with weight w (of a total of D) is released at slot floor((j - 1) D / w)
 and due at slot ceil(j D / w); of the released blocks the one due first is served. As the
 weights add up to D, every deadline is met, so after any number of slots each source is less
-than one block from its share. The schedule repeats after D slots: one period is worked out
-on the driver (D and the number of sources are parameters, not data), and the place of each
-block follows from its number. A source that runs dry leaves its later slots empty; no
-document is dropped or repeated.
-
-A null source is a source of its own. With more than ``max_sources`` sources the smallest
-are pooled into one. Rows with the same doc_id are placed separately.
+than one block from its share. Weights are taken as they are, as exact fractions, and each
+source has its own; the schedule does not repeat. It is worked out on the driver, which
+sees one number a source and keeps one place a block, and runs to the slot of the last block
+there is. A source that runs dry leaves its later slots empty; no document is dropped or
+repeated.
+
+A null source is a source of its own. Sources for which the given weights have none (or none
+above zero) have no share: they are taken as one and follow after the last slot of the
+others. Rows with the same doc_id are placed separately.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -26,6 +33,7 @@ from .line_dedup import NO_ID
 
 POOLED = "(other)"
 PERIOD = 1000
+BROADCAST_ROWS = 500_000  # places of blocks; beyond, the join shuffles
 
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -39,50 +47,69 @@ def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str,
     return out
 
 
-def pfair_period(weights: dict[str, int]) -> list[str]:
-    """The source that each slot of one period serves."""
-    period = sum(weights.values())
-    future = [(0, -(-period // w), s, 1) for s, w in sorted(weights.items())]
+def pfair(weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """For each slot, without end, the source that it serves and the number of its block (from 0)."""
+    exact = {s: Fraction(w) for s, w in sorted(weights.items())}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    names, parts = list(exact), [int(w * scale) for w in exact.values()]
+    total = sum(parts)
+    future = [(0, -(-total // w), i, 0) for i, w in enumerate(parts)]
     heapq.heapify(future)
-    ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(period):
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while True:
         while future and future[0][0] <= slot:
-            _, due, s, j = heapq.heappop(future)
-            heapq.heappush(ready, (due, s, j))
-        due, s, j = heapq.heappop(ready)
+            _, due, i, j = heapq.heappop(future)
+            heapq.heappush(ready, (due, i, j))
+        due, i, j = heapq.heappop(ready)
         if due <= slot:
             raise ValueError("a block misses its deadline")
-        out.append(s)
-        if j < weights[s]:
-            heapq.heappush(future, (j * period // weights[s], -(-(j + 1) * period // weights[s]), s, j + 1))
-    return out
+        yield names[i], j
+        heapq.heappush(future, ((j + 1) * total // parts[i], -(-(j + 2) * total // parts[i]), i, j + 1))
+        slot += 1
 
 
-def natural_weights(docs: DataFrame, power: float, max_sources: int) -> dict[str, float]:
+def pfair_period(weights: dict[str, int]) -> list[str]:
+    """The source that each slot of one period of whole weights serves."""
+    return [s for s, _ in islice(pfair(weights), sum(weights.values()))]
+
+
+def places(weights: dict[str, float], blocks: dict[str, int]) -> tuple[list[str], list[int], list[int]]:
+    """source, block and slot of every block there is; ``blocks``: their number by source."""
+    left = sum(blocks.get(s, 0) for s in weights)
+    sources, numbers, slots = [], [], []
+    for slot, (s, j) in enumerate(pfair(weights) if left else ()):
+        if j < blocks.get(s, 0):
+            sources.append(s)
+            numbers.append(j)
+            slots.append(slot)
+            left -= 1
+            if not left:
+                break
+    end = slots[-1] + 1 if slots else 0
+    for s in sorted(blocks.keys() - weights.keys()):  # without a weight
+        sources += [s] * blocks[s]
+        numbers += range(blocks[s])
+        slots += range(end, end + blocks[s])
+        end += blocks[s]
+    return sources, numbers, slots
+
+
+def natural_weights(counts: dict[str, int], power: float) -> dict[str, float]:
     """Shares of the sources' numbers of documents to a power below one, which lifts small ones."""
-    counts = docs.groupBy(_source().alias("s")).agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "s").limit(max_sources).collect()
-    rest = (docs.count() if len(top) == max_sources else 0) - sum(r.n for r in top)
-    out = {r.s: r.n**power for r in top}
-    if rest > 0:
-        out[POOLED] = out.get(POOLED, 0) + rest**power
-    return out
+    return {s: n**power for s, n in counts.items()}
 
 
 def _source():
     return F.coalesce(F.col("source").cast("string"), F.lit("(none)"))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, power: float = 0.7, period: int = PERIOD, max_sources: int = 1000, seed: int = 17) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
     """did, version, copy (number among equal rows), source, block, in_block, slot; a row for each row of ``docs``."""
-    weights = weights or natural_weights(docs, power, max_sources)
-    if not weights:
-        weights = {POOLED: 1.0}
-    whole = whole_weights(weights, period)
-    length = sum(whole.values())
+    weights = {s: w for s, w in (weights or {}).items() if w > 0}
     d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"), _source().alias("source"))
-    d = d.withColumn("source", F.when(F.col("source").isin(list(weights)), F.col("source")).otherwise(POOLED))
+    if weights:
+        d = d.withColumn("source", F.when(F.col("source").isin(list(weights)), F.col("source")).otherwise(POOLED))
     d = d.withColumn("copy", F.row_number().over(W.partitionBy("did", "version", "source").orderBy(F.lit(0)))).withColumn("key", F.xxhash64(F.lit(seed), "did", "version", "copy"))
     order = ["source", "key", "did", "version", "copy"]
     # Numbers within a source, though one task never sees all of it: each range is numbered
@@ -90,22 +117,14 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_row
     ranged = d.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
     ranged = store(ranged.withColumn("n", F.row_number().over(W.partitionBy("range", "source").orderBy("key", "did", "version", "copy"))), "ranges")
     begins = ranged.groupBy("source", "range").agg(F.max("n").alias("size"))
+    counts = {r.source: r.n for r in begins.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     begins = begins.withColumn("begin", F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size")
     numbered = ranged.join(begins, ["source", "range"]).withColumn("n", F.col("begin") + F.col("n") - 1)
     numbered = numbered.withColumn("block", F.floor(F.col("n") / block_rows)).withColumn("in_block", F.col("n") % block_rows)
-    served = pfair_period(whole)
-    step = length + (POOLED not in whole)
-    turns: dict[str, int] = {}
-    rows = []
-    for slot, s in enumerate(served):
-        rows.append((s, turns.get(s, 0), slot, whole[s]))
-        turns[s] = turns.get(s, 0) + 1
-    if POOLED not in whole:  # sources without a weight: one block at the end of each period
-        rows.append((POOLED, 0, length, 1))
-    places = docs.sparkSession.createDataFrame(rows, "source string, turn bigint, place bigint, share bigint")
-    shares = places.groupBy("source").agg(F.first("share").alias("share"))
-    out = numbered.join(F.broadcast(shares), "source").withColumn("turn", F.col("block") % F.col("share")).join(F.broadcast(places.drop("share")), ["source", "turn"])
-    return out.select("did", "version", "copy", "source", "block", "in_block", (F.floor(F.col("block") / F.col("share")) * step + F.col("place")).alias("slot"))
+    sources, blocks, slots = places(weights or natural_weights(counts, power), {s: -(-n // block_rows) for s, n in counts.items()})
+    at = docs.sparkSession.createDataFrame(pa.table({"source": pa.array(sources, pa.string()), "block": pa.array(blocks, pa.int64()), "slot": pa.array(slots, pa.int64())}))
+    out = numbered.join(F.broadcast(at) if len(slots) <= BROADCAST_ROWS else at, ["source", "block"])
+    return out.select("did", "version", "copy", "source", "block", "in_block", "slot")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:

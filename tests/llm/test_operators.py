@@ -5,6 +5,8 @@ import json
 import re
 import sys
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -155,6 +157,30 @@ def test_mixing_stays_within_a_block(spark, docs):
     assert mixed.columns == docs.columns and Counter(rows_of(mixed)) == Counter(rows_of(docs))
 
 
+def exact_shares(order, weights):
+    """Whether each source stays less than one block from its share of the weights given."""
+    total, seen = sum(map(Fraction, weights.values())), Counter()
+    for t, s in enumerate(order, 1):
+        seen[s] += 1
+        if t % 97 == 0 or t == len(order):
+            assert all(abs(seen[x] - t * Fraction(w) / total) < 1 for x, w in weights.items())
+
+
+def test_mixing_keeps_the_weights_given(spark):
+    many = {f"s{i:04d}": 1.0 for i in range(1, 1200)} | {"hot": 599.5}
+    for weights, n in (({"a": 5, "b": 3, "c": 1.7, "d": 0.01}, 20_000), ({f"s{i}": 1.0 for i in range(49)} | {"hot": 24.5}, 20_000), ({f"s{i}": (i + 1) ** 0.7 for i in range(9)}, 20_000), (many, 3000)):
+        exact_shares([s for s, _ in islice(mixing.pfair(weights), n)], weights)
+    d = spark.range(2600).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 1300, F.concat(F.lit("s"), (F.col("id") % 1300).cast("string"))).otherwise("hot").alias("source"))
+    got = mixing.schedule(d, block_rows=1).collect()
+    assert len({r.source for r in got}) == 1301 and len({r.slot for r in got}) == len(got) == 2600
+    hot, rest = 1300**0.7, 1300
+    slots = sorted(r.slot for r in got if r.source == "hot")
+    assert all(abs(i + 1 - (s + 1) * hot / (hot + rest)) < 1 for i, s in enumerate(slots))
+    got = mixing.schedule(d, {"hot": 3.0, "s7": 0.0, "s8": 1.0}, block_rows=2).collect()
+    assert len(got) == 2600 and {r.source for r in got} == {"hot", "s8", mixing.POOLED}
+    assert min(r.slot for r in got if r.source == mixing.POOLED) > max(r.slot for r in got if r.source != mixing.POOLED)
+
+
 def test_shards_keep_every_row(spark, docs, tmp_path):
     out, entry = sharding.shard(docs, str(tmp_path), target_bytes=4000, run_rows=7)
     assert Counter(rows_of(out)) == Counter(rows_of(docs)) and out.select(sharding.SHARD).distinct().count() > 1
