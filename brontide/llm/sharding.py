@@ -1,29 +1,39 @@
 """Operator 6: shards of target size by size-tiered compaction.
 
 Arrivals are appended as small immutable runs, each with the rows of one task in their
-order. Runs are sorted into tiers by the logarithm of their size; within a tier, successive
-runs are merged into files of about the target size; runs that have it already stay as they
-are, and no run is rewritten twice. Files are written under a name of their own, and a
-version of the manifest that lists them is committed by one rename, which fails if another
-writer has committed that version; readers see the old version or the new one.
-
-Plans are made on one row a run, in lanes of bounded length. Rows are kept whole, with all
-their columns, null or not; an empty table commits a manifest without files.
+order. A compaction starts from the files of the last committed version, in their order,
+with the new runs behind them. Files sort into tiers by the logarithm of their size. A file
+below the target is merged with its successor once that is of its tier or a larger one, which
+may make a pair of the next tier, and so on; what has about the target size stays as it is.
+So below it each file that is left is of a higher tier than the next one, a row is
+rewritten about once a tier and at most once a compaction, and only successive files are
+merged, so that rows keep the order of their runs. Files are written under a name of their
+own, and a version of the manifest that lists them all, with sizes, is committed by one
+rename; if another writer has committed meanwhile, the merges are planned anew from that
+version. Readers see the old version or the new one.
+
+Plans are made on the driver, on one entry a file. Rows are kept whole, with all their
+columns, null or not; columns that an arrival lacks are null there. An empty table commits
+a manifest without new files.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from ._shared import shared_dir
 
 SHARD = "_shard_no"
-LANE_RUNS = 20_000
+FULL = 0.75  # of the target: files from here on stay, as merged rows often take less room than their runs
+#: A file's path below the root.
+WITHIN = "((?:runs|shards)/[0-9a-f]{32}/.*)$"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -31,47 +41,120 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def append_run(docs: DataFrame, root: str, run_rows: int = 20_000) -> str:
-    """Write arrivals as small runs, without a shuffle; the folder that holds them."""
+def file_order(docs: DataFrame) -> list[Column]:
+    """The order in which the rows of a stored table were written, which a scan does not keep:
+    it reads large files first and packs small ones together."""
+    meta = docs.metadataColumn("_metadata")
+    name = meta["file_name"]
+    return [F.length(F.regexp_extract(name, "^part-(\\d+)", 1)), name, meta["row_index"]]
+
+
+def append_run(docs: DataFrame, root: str, run_rows: int = 20_000, order: list[Column] | None = None) -> str:
+    """Write arrivals as small runs, in ``order`` or else without a shuffle; the folder that holds them."""
     path = f"{root}/runs/{uuid.uuid4().hex}"
+    if order:
+        names = [f"_order_{i}" for i in range(len(order))]
+        docs = docs.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
     docs.write.option("maxRecordsPerFile", run_rows).option("compression", "zstd").parquet(path)
     return path
 
 
-def plan_merges(runs: DataFrame, target_bytes: int, fan: int) -> DataFrame:
-    """``runs``: name, bytes. Back: name, tier, group (a name within the tier, or the run itself)."""
-    tier = F.least(F.floor(F.log(float(fan), F.greatest(F.col("bytes"), F.lit(1)).cast("double"))), F.lit(99)).cast("int")
-    lanes = max(1, -(-runs.count() // LANE_RUNS))
-    r = runs.withColumn("tier", tier).withColumn("lane", F.pmod(F.xxhash64("name"), F.lit(lanes)) if lanes > 1 else F.lit(0))
-    before = W.partitionBy("lane", "tier").orderBy("name").rowsBetween(W.unboundedPreceding, -1)
-    r = r.withColumn("filled", F.floor(F.coalesce(F.sum("bytes").over(before), F.lit(0)) / target_bytes))
-    group = F.when(F.col("bytes") >= target_bytes, F.concat(F.lit("run-"), "name")).otherwise(F.concat_ws("-", "tier", "lane", "filled"))
-    return r.select("name", "bytes", "tier", group.alias("group"))
-
-
-def compact(spark: SparkSession, run_dir: str, root: str, schema, target_bytes: int = 128 << 20, fan: int = 4) -> dict:
-    """Merge the runs of a folder and commit the next version of the manifest; the version committed."""
-    runs = spark.read.schema(schema).parquet(run_dir)
-    meta = runs.metadataColumn("_metadata")
-    files = runs.select(meta["file_name"].alias("name"), meta["file_size"].alias("bytes")).groupBy("name").agg(F.max("bytes").alias("bytes"))
-    plan = plan_merges(files, target_bytes, fan).cache()
-    groups = plan.groupBy("group").agg(F.sum("bytes").alias("bytes"))
-    n = max(1, groups.count())
-    # Names of groups, and so numbers of shards, go by the group's own order.
-    numbered = plan.withColumn(SHARD, F.dense_rank().over(W.orderBy("tier", F.length("group"), "group")) - 1).select(F.col("name").alias("_run_name"), SHARD)
-    rows = runs.select("*", meta["file_name"].alias("_run_name"), meta["row_index"].alias("_run_row")).join(numbered, "_run_name")
+def list_files(spark: SparkSession, path: str, schema: StructType) -> list[dict]:
+    """path (below the root) and bytes of the files of a folder that have rows, in the order of their writing."""
+    rows = spark.read.schema(schema).parquet(path)
+    meta = rows.metadataColumn("_metadata")
+    files = rows.select(F.regexp_extract(meta["file_path"], WITHIN, 1).alias("path"), meta["file_size"].alias("bytes")).groupBy("path").agg(F.max("bytes").alias("bytes")).collect()
+    number = lambda f: [int(x) for x in re.search(r"/part-(\d+)-.*?(?:[.-]c(\d+))?\.[^/-]*$", f["path"]).groups("0")]
+    return sorted(({"path": r.path, "bytes": r.bytes} for r in files), key=number)
+
+
+def plan_merges(files: list[dict], target_bytes: int, fan: int) -> list[list[dict]]:
+    """The files, in their order, in groups: those of several are to be merged, single ones stay."""
+    size = lambda g: sum(f["bytes"] for f in g)
+    tier = lambda g: int(math.log(max(size(g), 1), fan) + 1e-9)
+    done: list[list[dict]] = []
+    open_: list[list[dict]] = []  # below the target, tiers falling
+
+    def push(group):
+        while open_ and tier(open_[-1]) <= tier(group):
+            group = open_.pop() + group
+            n = 0
+            for i, f in enumerate(group):
+                n += f["bytes"]
+                if n >= target_bytes:  # complete; what is behind it goes on
+                    done.extend([*open_, group[: i + 1]])
+                    open_.clear()
+                    group = group[i + 1 :]
+                    break
+            if not group:
+                return
+        open_.append(group)
+
+    for f in files:
+        if f["bytes"] >= FULL * target_bytes:
+            done.extend([*open_, [f]])
+            open_.clear()
+        else:
+            push([f])
+    return done + open_
+
+
+def merge(spark: SparkSession, groups: list[list[dict]], root: str, schema: StructType) -> list[dict]:
+    """The files of the groups, those of several merged into one."""
+    many = [(k, g) for k, g in enumerate(groups) if len(g) > 1]
+    if not many:
+        return [f for g in groups for f in g]
+    rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for _, g in many for f in g])
+    meta = rows.metadataColumn("_metadata")
+    plan = spark.createDataFrame([(f["path"], k, i) for k, g in many for i, f in enumerate(g)], f"_run_path string, {SHARD} bigint, _run_no bigint")
+    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias("_run_path"), meta["row_index"].alias("_run_row")).join(F.broadcast(plan), "_run_path")
     path = f"{root}/shards/{uuid.uuid4().hex}"
-    rows.repartition(n, SHARD).sortWithinPartitions(SHARD, "_run_name", "_run_row").drop("_run_name", "_run_row").write.partitionBy(SHARD).option("compression", "zstd").parquet(path)
-    plan.unpersist()
-    return commit(spark, root, {"shards": path, "runs": run_dir, "n_shards": n, "target_bytes": target_bytes})
+    rows.repartition(len(many), SHARD).sortWithinPartitions(SHARD, "_run_no", "_run_row").drop("_run_path", "_run_no", "_run_row").write.partitionBy(SHARD).option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    merged = {int(f["path"].split("/")[2].split("=")[1]): f for f in list_files(spark, path, schema)}
+    return [merged[k] if len(g) > 1 else g[0] for k, g in enumerate(groups)]
 
 
-def commit(spark: SparkSession, root: str, entry: dict) -> dict:
-    """Publish ``entry`` as the next version, by a rename onto a name that must be free."""
+def last_version(spark: SparkSession, root: str) -> dict:
+    fs, folder = _fs(spark, f"{root}/manifest")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    newest = max((n for n in names if n.startswith("v")), key=lambda n: int(n[1:-5]), default=None)
+    if newest is None:
+        return {"version": 0}
+    text = spark.read.text(f"{root}/manifest/{newest}", wholetext=True).first()
+    return json.loads(text.value)
+
+
+def both(a: StructType, b: StructType) -> StructType:
+    """The columns of two arrivals; a name may not have two types."""
+    types = {f.name: f.dataType for f in a.fields}
+    for f in b.fields:
+        if types.get(f.name, f.dataType) != f.dataType:
+            raise ValueError(f"column {f.name} has another type than in the committed shards")
+    return StructType([*a.fields, *[f for f in b.fields if f.name not in types]])
+
+
+def compact(spark: SparkSession, run_dir: str, root: str, schema: StructType, target_bytes: int = 128 << 20, fan: int = 4) -> dict:
+    """Merge the last version's files and the runs of a folder, and commit the next version of
+    the manifest; the version committed."""
+    runs = list_files(spark, run_dir, schema)
+    while True:
+        last = last_version(spark, root)
+        known = both(StructType.fromJson(last["schema"]), schema) if "schema" in last else schema
+        files = merge(spark, plan_merges(last.get("files", []) + runs, target_bytes, fan), root, known)
+        entry = commit(spark, root, {"files": files, "n_shards": len(files), "schema": known.jsonValue(), "target_bytes": target_bytes}, last["version"])
+        if entry:
+            return entry
+
+
+def commit(spark: SparkSession, root: str, entry: dict, base: int | None = None) -> dict | None:
+    """Publish ``entry`` as the next version, by a rename onto a name that must be free; with
+    ``base``, only as the version after that one, else nothing comes back."""
     fs, folder = _fs(spark, f"{root}/manifest")
     fs.mkdirs(folder)
     while True:
         taken = [int(s.getPath().getName()[1:-5]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v")]
+        if base is not None and max(taken, default=0) != base:
+            return None
         entry = entry | {"version": max(taken, default=0) + 1}
         tmp, final = (spark._jvm.org.apache.hadoop.fs.Path(folder, x) for x in (f"tmp-{uuid.uuid4().hex}", f"v{entry['version']:08d}.json"))
         out = fs.create(tmp, True)
@@ -82,18 +165,26 @@ def commit(spark: SparkSession, root: str, entry: dict) -> dict:
         fs.delete(tmp, False)
 
 
-def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20, fan: int = 4, run_rows: int = 20_000) -> tuple[DataFrame, dict]:
-    """The rows of ``docs`` as read from the committed shards, with ``_shard_no`` and ``_row``
-    (the place in the shard's file), and the manifest's entry."""
-    spark = docs.sparkSession
-    root = root or f"{shared_dir(spark)}/sharded-{uuid.uuid4().hex}"
-    entry = compact(spark, append_run(docs, root, run_rows), root, docs.schema, target_bytes, fan)
-    out = spark.read.schema(f"{_ddl(docs)}, {SHARD} bigint").parquet(entry["shards"])
-    return out.select("*", out.metadataColumn("_metadata")["row_index"].alias("_row")), entry
+def read(spark: SparkSession, root: str, entry: dict) -> DataFrame:
+    """The rows of a version, with ``_shard_no`` (the file's place in the manifest) and ``_row``
+    (the place in the file)."""
+    schema = StructType.fromJson(entry["schema"])
+    if not entry["files"]:
+        return spark.createDataFrame([], schema).withColumns({SHARD: F.lit(0).cast("bigint"), "_row": F.lit(0).cast("bigint")})
+    rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for f in entry["files"]])
+    meta = rows.metadataColumn("_metadata")
+    numbers = spark.createDataFrame([(f["path"], n) for n, f in enumerate(entry["files"])], f"_run_path string, {SHARD} bigint")
+    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias("_run_path"), meta["row_index"].alias("_row")).join(F.broadcast(numbers), "_run_path")
+    return rows.select(*[F.col(f"`{c}`") for c in schema.names], SHARD, "_row")
 
 
-def _ddl(docs: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20, fan: int = 4, run_rows: int = 20_000, order: list[Column] | None = None) -> tuple[DataFrame, dict]:
+    """``docs`` as an arrival at ``root``: all rows of the version committed, earlier arrivals
+    included, as ``read`` gives them, and the manifest's entry."""
+    spark = docs.sparkSession
+    root = root or f"{shared_dir(spark)}/sharded-{uuid.uuid4().hex}"
+    entry = compact(spark, append_run(docs, root, run_rows, order), root, docs.schema, target_bytes, fan)
+    return read(spark, root, entry), entry
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

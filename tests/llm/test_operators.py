@@ -188,6 +188,33 @@ def test_shards_keep_every_row(spark, docs, tmp_path):
     assert sharding.commit(spark, str(tmp_path), {"shards": "x"})["version"] == 2
 
 
+def test_shards_take_up_earlier_arrivals(spark, docs, tmp_path):
+    root, want, versions = str(tmp_path), Counter(), []
+    for i in range(4):
+        out, entry = sharding.shard(docs.withColumn("lang", F.lit(f"l{i}")), root, target_bytes=12_000, run_rows=7)
+        want += Counter((f"l{i}", *r) for r in rows_of(docs))
+        versions.append({f["path"]: f["bytes"] for f in entry["files"]})
+        assert Counter((r.lang, LOW if r.doc_id is None else r.doc_id, r.text or "") for r in out.collect()) == want and entry["version"] == i + 1
+        langs = [r.lang for r in out.orderBy(sharding.SHARD, "_row").collect()]
+        assert langs == sorted(langs)
+    for a, b in zip(versions, versions[1:], strict=False):
+        assert all(path in b for path, size in a.items() if size >= sharding.FULL * 12_000)
+    assert any(size >= sharding.FULL * 12_000 for v in versions[:-1] for size in v.values())
+    assert sharding.commit(spark, root, {}, base=3) is None
+    more, _ = sharding.shard(spark.createDataFrame([(1, "new")], "doc_id bigint, extra string"), root, target_bytes=12_000)
+    assert more.count() == sum(want.values()) + 1 and [r.doc_id for r in more.where("extra = 'new' AND text IS NULL").collect()] == [1]
+
+
+def test_merges_are_tiered():
+    files = lambda sizes: [{"path": str(i), "bytes": b} for i, b in enumerate(sizes)]
+    plan = lambda sizes: [[f["bytes"] for f in g] for g in sharding.plan_merges(files(sizes), 100, 4)]
+    assert plan([]) == [] and plan([100, 70, 3, 120]) == [[100], [70], [3], [120]]  # target size, and tiers apart
+    assert plan([5, 70]) == [[5, 70]] and plan([3, 3, 20]) == [[3, 3, 20]]  # cascade
+    for sizes in ([7] * 50, [1, 9, 30, 2, 2, 80, 99, 100, 3] * 6):
+        got = plan(sizes)
+        assert [b for g in got for b in g] == sizes and all(sum(g[:-1]) < 100 for g in got)
+
+
 def test_empty_table(spark, docs):
     none = docs.limit(0)
     assert suffix_dedup.remove_repeated_bytes(none).count() == substring_dedup.remove_repeated_words(none).count() == line_dedup.dedup_lines(none).count() == mixing.schedule(none).count() == 0
