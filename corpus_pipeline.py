@@ -50,8 +50,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The committed shards: which one holds a document, and where."""
-    out, _ = sharding.shard(docs)
+    """The committed shards: which one holds a document, and where. By shard and row they follow
+    the order in which the stage before was written."""
+    out, _ = sharding.shard(docs, order=sharding.file_order(docs))
     return out.select("doc_id", F.col(sharding.SHARD).alias("shard"), F.col("_row").alias("row_in_shard"))
 
 

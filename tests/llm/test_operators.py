@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brontide.llm import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
 from brontide.llm import _repeats as R
 
@@ -205,6 +206,23 @@ def test_shards_take_up_earlier_arrivals(spark, docs, tmp_path):
     assert more.count() == sum(want.values()) + 1 and [r.doc_id for r in more.where("extra = 'new' AND text IS NULL").collect()] == [1]
 
 
+def test_shards_of_the_pipeline_follow_the_slots(spark, tmp_path):
+    texts = lambda n, size: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.sha2(F.concat(F.col("id").cast("string"), i.cast("string")), 256).substr(1, size)), " ")
+    d = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, texts(200, 60)).otherwise(texts(2, 9)).alias("text"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"))
+    slots = {r.did: (r.slot, r.in_block) for r in mixing.schedule(d).collect()}
+    ordered = d.join(spark.createDataFrame([(k, *v) for k, v in slots.items()], "doc_id bigint, slot bigint, in_block bigint"), "doc_id").orderBy("slot", "in_block").collect()
+    cuts = [0, 3, 4, 90, 91, 95, 400, 401, 402, 640, 641, 643, 900]  # files of very unequal sizes, as the schedule follows
+    rows = spark.sparkContext.parallelize([ordered[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], 12).flatMap(lambda x: x)
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, slot bigint, in_block bigint").select("doc_id", "text", "source").write.parquet(str(tmp_path / "mixture"))
+    mixture = spark.read.parquet(str(tmp_path / "mixture"))
+    assert [r.doc_id for r in mixture.collect()] != [r.doc_id for r in ordered]  # a scan does not keep it
+    place = corpus_pipeline.shards(spark, mixture, "").orderBy("shard", "row_in_shard").collect()
+    assert [r.doc_id for r in place] == [r.doc_id for r in ordered]
+    out, entry = sharding.shard(mixture, str(tmp_path / "out"), target_bytes=200_000, run_rows=50, order=sharding.file_order(mixture))
+    assert len(entry["files"]) > 2
+    assert [r.doc_id for r in out.orderBy(sharding.SHARD, "_row").collect()] == [r.doc_id for r in ordered]
+
+
 def test_merges_are_tiered():
     files = lambda sizes: [{"path": str(i), "bytes": b} for i, b in enumerate(sizes)]
     plan = lambda sizes: [[f["bytes"] for f in g] for g in sharding.plan_merges(files(sizes), 100, 4)]
