@@ -239,9 +239,19 @@ def q49_older_lead_features(spark, sf):
     return L.reduce_leads(L.older_features(_prices(spark, sf), "samples", 64.0).withColumn("grp", F.col("l_suppkey") % 5), ["grp"], ["n_beats", "mean_rr", "rmssd"])
 
 
+def _pieces(samples, size):
+    """part and samples: successive windows of ``size``; if that leaves a rest, also the last
+    ``size`` samples, as part -1, so that all samples count and all windows are as long."""
+    full = F.floor(F.size(samples) / size).cast("int")
+    parts = F.filter(F.sequence(F.lit(-1), full - 1), lambda k: (k >= 0) | (F.size(samples) % size > 0))
+    start = lambda k: F.when(k >= 0, k * size).otherwise(F.greatest(F.lit(0), F.size(samples) - size))
+    return F.transform(parts, lambda k: F.struct(k.cast("bigint").alias("part"), F.slice(samples, start(k) + 1, size).alias("samples")))
+
+
 def q50_window_features(spark, sf):
-    d = _prices(spark, sf).select(F.floor(F.col("l_suppkey") / 4).alias("window"), (F.col("l_suppkey") % 4).alias("channel"), F.slice("samples", 1, 512).alias("samples"))
-    return X.window_features(d, ["window"], "channel", "samples", 128.0)
+    """Suppliers in fours as the channels; by part, windows are aligned at the start of the series, and those of part -1 at its end."""
+    d = _prices(spark, sf).select(F.floor(F.col("l_suppkey") / 4).alias("window"), (F.col("l_suppkey") % 4).alias("channel"), F.inline(_pieces("samples", 512)))
+    return X.window_features(d, ["window", "part"], "channel", "samples", 128.0)
 
 
 def q51_inventory(spark, sf):

@@ -115,3 +115,22 @@ def test_staleness_is_inherited(tmp_path):
     assert P.status(c) == "current"
     a.write_text("changed")
     assert P.status(b) == P.status(c) == "stale"
+
+
+def test_windows_take_in_the_whole_series(spark):
+    from brontide.plans import features
+
+    d = spark.range(1, 1300, 37).select("id", F.sequence(F.lit(1), F.col("id").cast("int")).alias("samples")).select("id", features._pieces("samples", 512).alias("p"))
+    for r in d.collect():
+        assert {x for p in r.p for x in p.samples} == set(range(1, r.id + 1))
+        assert all(len(p.samples) == min(512, r.id) for p in r.p)
+        assert [p.part for p in r.p] == ([-1] if r.id % 512 else []) + list(range(r.id // 512))
+    sf = "/root/testdata/sf0.001"
+    series = [(r.l_suppkey, [float(x) for x in r.samples]) for r in features._prices(spark, sf).collect()]
+    want = {}
+    for k, x in series:
+        for part, piece in [(i, x[i * 512 : i * 512 + 512]) for i in range(len(x) // 512)] + ([(-1, x[-512:])] if len(x) % 512 else []):
+            want.setdefault((k // 4, part), []).append(dsp.channel_features(np.array(piece), 128.0)["rms"])
+    got = {(r.window, r.part): r.rms_mean for r in features.q50_window_features(spark, sf).collect()}
+    assert got.keys() == want.keys() and any(len(x) > 512 for _, x in series)
+    assert all(abs(got[k] - np.mean(v)) < 1e-6 * np.mean(v) for k, v in want.items() if got[k] is not None) and any(v is not None for v in got.values())
