@@ -63,7 +63,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")).withColumn("version", F.xxhash64("text"))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
     """did, version, item_id, similarity, start, n_words: the best window of each document and
     item (the first, if several are as good)."""
     items = benchmark.select("item_id", _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).withColumn("gs", _shingles(F.col("w"), k)).where(F.size("gs") > 0)

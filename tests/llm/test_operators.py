@@ -128,6 +128,15 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_passages(d.limit(0), bench).count() == 0
 
 
+def test_decontamination_reaches_far_fingerprints(spark):
+    """One word of 49 changed: similarity 40/50. Fingerprints of these pairs differ in 23, 20 and 20 bits."""
+    text = lambda i, edit: " ".join(f"other{i}" if edit and j == 24 else f"w{i}x{j}" for j in range(49))
+    ids = [1573, 1657, 4087]
+    table = lambda edit, key: spark.createDataFrame([(i, text(i, edit)) for i in ids], f"{key} bigint, text string")
+    got = sorted((r.did, r.item_id, r.similarity) for r in decontaminate.find_passages(table(True, "doc_id"), table(False, "item_id")).collect())
+    assert got == [(i, i, 0.8) for i in ids]
+
+
 def test_licenses(spark, docs):
     d = spark.createDataFrame([(1, "text\nReleased under the MIT licence.\nLicensed under the Apache License, version 2.0!"), (2, "nothing here at all")], "doc_id bigint, text string")
     got = {r.doc_id: sorted({h.license for h in r.hits}) for r in license_scan.scan_licenses(d, 0.7).collect()}
