@@ -184,7 +184,7 @@ def q22_confusion_metrics(spark, sf):
 
 def q14_fusion_select_protected(spark, sf):
     """Alpha and threshold per group in one job, protected against the first modality alone."""
-    g = S.grid(S.grid(_aligned(spark, sf), "al", S.ALPHAS), "thr", SWEEP)
+    g = S.grid(S.grid(_aligned(spark, sf), "al", S.ALPHAS), "thr", S.THRESHOLDS)
     g = U.late(g, F.col("al"), F.col("thr"), F.when(F.col("al") == 0, F.col("thr")).otherwise(F.lit(ALARM_AT)))
     g = g.withColumn("available", F.col("available1")).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left")
     keys = ["rec", "al", "thr"]
@@ -192,7 +192,7 @@ def q14_fusion_select_protected(spark, sf):
     tagged = lambda d: d.withColumn("grp", F.col("rec") % 5)
     level = ["grp", "al", "thr"]
     budget = tagged(Q.time_budget(B.recordings(spark, sf), B.decisions(spark, sf), B.uncertain(spark, sf), K, B.SHORT, B.STRIDE)).groupBy("grp").agg(F.sum("evaluable").alias("evaluable"))
-    base = S.grid(S.grid(tagged(B.events(spark, sf)).groupBy("grp").agg(F.count("*").alias("events")).join(budget, "grp"), "al", S.ALPHAS), "thr", SWEEP)
+    base = S.grid(S.grid(tagged(B.events(spark, sf)).groupBy("grp").agg(F.count("*").alias("events")).join(budget, "grp"), "al", S.ALPHAS), "thr", S.THRESHOLDS)
     a = tagged(judged).groupBy(*level).agg(F.count_if(F.col("status") != "matched").alias("false_declarations"), F.count_if(F.col("status") == "matched").alias("detected"))
     d = tagged(found).groupBy(*level).agg(F.median("delay").alias("delay_median"))
     c = base.join(a, level, "left").join(d, level, "left").fillna(0, ["false_declarations", "detected"])

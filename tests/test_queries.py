@@ -53,3 +53,13 @@ def test_held_out_rows_do_not_matter(spark):
     assert a[0] == b[0] and a[1].coefficients == b[1].coefficients
     with pytest.raises(ValueError):
         N.HeldOutModels(d, "grp", ["eeg__one"]).fit([0, 1], [0])
+
+
+def test_fusion_choice_tries_every_threshold(spark, monkeypatch):
+    from brontide.operators import selection as S
+
+    tried = []
+    choose = S.choose
+    monkeypatch.setattr(S, "choose", lambda c, *a, **k: tried.append({r.threshold for r in c.select("threshold").distinct().collect()}) or choose(c, *a, **k))
+    catalog.QUERIES["q14_fusion_select_protected"](spark, SF)
+    assert tried[0] == set(S.THRESHOLDS)
