@@ -58,7 +58,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
 
-#: SQL expresses neither the schedule nor the files' order; tests hold run() against a brute-force version.
+#: SQL expresses neither the schedule nor the files' order; tests hold the operators and the order of the last stage.
 ORACLE_SQL = None
 
 
