@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -119,35 +120,40 @@ def slices(sorted_buckets: np.ndarray):
         yield int(sorted_buckets[i]), int(i), int(j)
 
 
-def suffix_ranks(values: np.ndarray, window: int) -> np.ndarray:
-    """Rank, in lexicographic order, of the ``window`` values from each place: a suffix
-    array cut at that depth, by prefix doubling. Equal ranks: equal strings."""
+def suffix_ranks(values: np.ndarray, window: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Rank, in lexicographic order, of the ``window`` values from each place (of those in ``at``,
+    if given): a suffix array cut at that depth. Ranks of short strings make those of longer
+    ones, as many at a time as fit 64 bits. Equal ranks: equal strings."""
 
     def ranked(x):
         order = np.argsort(x)
         x = x[order]
         new = np.empty(len(x), bool)
-        new[0] = True
+        new[:1] = True
         np.not_equal(x[1:], x[:-1], out=new[1:])
-        out = np.empty(len(x), np.uint32)
-        out[order] = np.cumsum(new, dtype=np.uint32)
+        out = np.empty(len(x), np.uint64)
+        out[order] = np.cumsum(new, dtype=np.uint64)
         return out
 
     if len(values) < window:
-        return np.zeros(0, np.uint32)
-    if values.dtype == np.uint8 and window >= 8:
-        v, k = values.astype(np.uint64), 1
-        while k < 8:
+        return np.zeros(0, np.uint64)
+    v, k = values.astype(np.uint64), 1
+    if values.dtype == np.uint8:
+        while k < 8 and 2 * k <= window:
             v = (v[:-k] << np.uint64(8 * k)) | v[k:]
             k *= 2
-    else:
-        v, k = values.astype(np.uint64), 1
     r = ranked(v)
-    while k < window:
-        step = min(k, window - k)
-        r = ranked((r[:-step].astype(np.uint64) << np.uint64(32)) | r[step:])
-        k += step
-    return r
+    while True:
+        bits = max(1, int(r.max()).bit_length())
+        steps = [min(i * k, window - k) for i in range(min(-(-window // k), 64 // bits))]
+        k += steps[-1]
+        places = at if k == window and at is not None else np.arange(len(values) - k + 1)
+        v = r[places]
+        for step in steps[1:]:
+            v = (v << np.uint64(bits)) | r[places + step]
+        r = ranked(v)
+        if k == window:
+            return r
 
 
 def deal(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, int, int]:
@@ -225,30 +231,37 @@ def shared_triggers(keys: np.ndarray, buckets: int, bits: dict[int, np.ndarray])
 
 # ---- round 2: windows of phrases around shared triggers ----------------------------------
 
-PHRASE_ASK = "bucket int, part int, lens binary, least binary, units binary"
+PHRASE_ASK = "bucket int, part int, lens binary, least binary, owners binary, units binary"
 
 
 class Phrases:
-    """Distinct phrases of a part with the least document that holds each, by bucket."""
+    """Distinct phrases of a part with the least document that holds each, by bucket. Equal
+    windows are in phrases of the same ``owners`` (the trigger's hash, or another function of
+    the windows), and a bucket holds all phrases of an owner."""
 
-    def __init__(self, units: np.ndarray, lo: np.ndarray, hi: np.ndarray, dids: np.ndarray, buckets: np.ndarray, window: int):
+    def __init__(self, units: np.ndarray, lo: np.ndarray, hi: np.ndarray, dids: np.ndarray, owners: np.ndarray, buckets: int, window: int):
         raw, size = units.tobytes(), units.itemsize
-        seen: dict[tuple[int, bytes], int] = {}
-        which = np.fromiter((seen.setdefault((b, raw[i:j]), len(seen)) for b, i, j in zip(buckets.tolist(), (lo * size).tolist(), ((hi + window) * size).tolist(), strict=True)), np.int64, len(lo))
-        self.least = np.full(len(seen), 2**63 - 1, np.int64)
-        np.minimum.at(self.least, which, dids)
-        order = sorted(range(len(seen)), key=(found := list(seen)).__getitem__)
+        seen: dict[bytes, int] = {}
+        number = seen.setdefault
+        which = np.fromiter([number(raw[i:j], len(seen)) for i, j in zip((lo * size).tolist(), ((hi + window) * size).tolist(), strict=True)], np.int64, len(lo))
+        first = np.zeros(len(seen), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+        bucket = bucket_of(owners[first], buckets)
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(seen), np.int64)
         place[order] = np.arange(len(seen))
-        self.which, self.least = place[which], self.least[order]
-        self.bucket = np.array([found[i][0] for i in order], np.int32)
-        self.units = [found[i][1] for i in order]
-        self.lens = np.array([len(x) // size for x in self.units], np.int64)
+        self.which, self.bucket = place[which], bucket[order]
+        self.least = np.full(len(seen), 2**63 - 1, np.int64)
+        np.minimum.at(self.least, self.which, dids)
+        self.owners = (owners[first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
+        found = list(seen)
+        self.units = [found[i] for i in order.tolist()]
+        self.lens = (hi - lo + window)[first][order]
         self.counts = self.lens - window + 1
         self.first = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
 
     def ask(self, part: int) -> pa.Table:
-        return rows_table([(b, part, self.lens[i:j].astype(np.uint32).tobytes(), self.least[i:j].tobytes(), b"".join(self.units[i:j])) for b, i, j in slices(self.bucket)], PHRASE_ASK)
+        return rows_table([(b, part, self.lens[i:j].astype(np.uint32).tobytes(), self.least[i:j].tobytes(), self.owners[i:j].tobytes(), b"".join(self.units[i:j])) for b, i, j in slices(self.bucket)], PHRASE_ASK)
 
     def earlier(self, bits: dict[int, np.ndarray]) -> np.ndarray:
         """For each window of each phrase: whether a document before the phrase's least one holds it."""
@@ -261,29 +274,40 @@ class Phrases:
 
 def answer_phrases(table: pa.Table, window: int, dtype) -> pa.Table:
     """Dictionary of distinct phrases, its suffixes in order down to ``window``, and over the
-    occurrences the least document of each window."""
-    size, seen, which, least, counts = np.dtype(dtype).itemsize, {}, [], [], []
-    for lens, mins, units in zip(*(table.column(c).to_pylist() for c in ("lens", "least", "units")), strict=True):
+    occurrences the least document of each window. A phrase that is the only one of its owner
+    shares no window with another, and needs no order."""
+    size, seen, which, least, owner = np.dtype(dtype).itemsize, {}, [], [], []
+    number = seen.setdefault
+    for lens, mins, owners, units in zip(*(table.column(c).to_pylist() for c in ("lens", "least", "owners", "units")), strict=True):
         ends = (np.cumsum(np.frombuffer(lens, np.uint32).astype(np.int64)) * size).tolist()
-        which.append(np.fromiter((seen.setdefault(units[i:j], len(seen)) for i, j in zip([0, *ends], ends, strict=False)), np.int64, len(ends)))
+        which.append(np.fromiter([number(units[i:j], len(seen)) for i, j in zip([0, *ends], ends, strict=False)], np.int64, len(ends)))
         least.append(np.frombuffer(mins, np.int64))
-    sizes = np.array([len(x) // size for x in seen], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    ranks = suffix_ranks(np.frombuffer(b"".join(seen), dtype), window)
-    every, mins = np.concatenate(which), np.concatenate(least)
+        owner.append(np.frombuffer(owners, np.uint32))
+    every = np.concatenate(which)
     phrase_least = np.full(len(seen), 2**63 - 1, np.int64)
-    np.minimum.at(phrase_least, every, mins)
+    np.minimum.at(phrase_least, every, np.concatenate(least))
+    phrase_owner = np.zeros(len(seen), np.uint32)
+    phrase_owner[every] = np.concatenate(owner)
+    sizes = np.fromiter(map(len, seen), np.int64, len(seen)) // size
     counts = sizes - window + 1
-    place = ranks[ragged(starts[:-1], counts)].astype(np.int64)
     first = np.concatenate([[0], np.cumsum(counts)])
-    by_rank = np.full(int(place.max()) + 1, 2**63 - 1, np.int64)
-    np.minimum.at(by_rank, place, np.repeat(phrase_least, counts))
-    window_least = by_rank[place]
+    window_least = np.repeat(phrase_least, counts)
+    _, of, alike = np.unique(phrase_owner, return_inverse=True, return_counts=True)
+    several = alike[of] > 1
+    if several.any():
+        starts = np.concatenate([[0], np.cumsum(sizes[several])])
+        values = np.frombuffer(b"".join(itertools.compress(seen, several.tolist())), dtype)
+        place = suffix_ranks(values, window, ragged(starts[:-1], counts[several])).astype(np.int64)
+        mine = ragged(first[:-1][several], counts[several])
+        by_rank = np.full(int(place.max()) + 1, 2**63 - 1, np.int64)
+        np.minimum.at(by_rank, place, window_least[mine])
+        window_least[mine] = by_rank[place]
+        del values, place, mine
     rows = []
     for part, bucket, w, m in zip(table.column("part").to_pylist(), table.column("bucket").to_pylist(), which, least, strict=True):
         n = counts[w]
         rows.append((part, 2, bucket, np.packbits(window_least[ragged(first[w], n)] < np.repeat(m, n)).tobytes()))
-    del ranks, place, seen
+    del window_least, seen
     release()
     return rows_table(rows, REPLY)
 

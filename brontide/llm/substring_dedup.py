@@ -113,7 +113,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 26, part_b
         begin = np.flatnonzero(first)
         last = np.append(begin[1:] - 1, len(lo) - 1)[: len(begin)]
         lo, hi, dids = lo[begin], hi[last], did[doc[begin]]
-        return ids, words, bounds, units, lo, hi, dids, R.Phrases(units, lo, hi, dids, R.bucket_of(R.mix(path[begin]), buckets), window)
+        return ids, words, bounds, units, lo, hi, dids, R.Phrases(units, lo, hi, dids, R.mix(path[begin]), buckets, window)
 
     def ask(key, left, right):
         return records(left, right)[-1].ask(key[0].as_py())

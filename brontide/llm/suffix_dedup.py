@@ -50,7 +50,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, par
         shared = R.shared_triggers(asked, b1, R.read_bits(replies, 1))
         use = shared[np.searchsorted(asked, keys)] if len(asked) else np.zeros(0, bool)
         lo, hi, dids, keys = lo[use], hi[use], dids[use], keys[use]
-        return ids, bounds, units, lo, hi, dids, R.Phrases(units, lo, hi, dids, R.bucket_of(keys, b2), window)
+        return ids, bounds, units, lo, hi, dids, R.Phrases(units, lo, hi, dids, keys, b2, window)
 
     def ask_phrases(key, left, right):
         return phrases(left, right)[-1].ask(key[0].as_py())
