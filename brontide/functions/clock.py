@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_S = 86_400
-_CLOCK = r"^(\d{1,2})[.:](\d{2})[.:](\d{2})$"
+_CLOCK = r"^(\d{1,2})[.:](\d{1,2})[.:](\d{1,2})$"
 
 
 def clock_seconds(raw: Column, strict: bool = True) -> Column:
-    """HH.MM.SS or HH:MM.SS to seconds of the day. Anything else stops the job, or gives null if
-    not ``strict``."""
+    """h.m.s, each of one or two digits and parted by . or :, to seconds of the day. Anything else
+    stops the job, or gives null if not ``strict``."""
     text = F.trim(raw)
     h, m, s = (F.try_to_number(F.nullif(F.regexp_extract(text, _CLOCK, i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2, 3))
     fits = F.rlike(text, F.lit(_CLOCK)) & (h < 24) & (m < 60) & (s < 60)
@@ -35,14 +35,23 @@ def lenient_relative(clock: Column, start: Column) -> Column:
     return F.when(d < -DAY_S // 2, d + DAY_S).otherwise(d)
 
 
+#: The notes that a candidate may carry, and the kinds they stand for.
+NOTES = {"clinical onset": "clinical", "electric onset": "electrographic", "electrographic onset": "electrographic", "": "unspecified"}
+
+
 def candidates(raw: Column) -> Column:
     """Several clock times in one field, parted by ; or the word opure: array of (raw_clock,
-    clock_s, kind). Entries that are no clock time with a known note stop the job."""
-    rx = r"(?i)^\s*(\d{1,2}[.:]\d{2}[.:]\d{2})\s*(?:\((clinical|electric)[^)]*\))?\s*$"
-    parts = F.split(raw, r"(?i);|\bopure\b", -1)
-    kind = lambda p: F.when(F.lower(F.regexp_extract(p, rx, 2)) == "clinical", "clinical").when(F.lower(F.regexp_extract(p, rx, 2)) == "electric", "electrographic").otherwise("unspecified")
-    one = lambda p: F.struct(F.regexp_extract(p, rx, 1).alias("raw_clock"), F.when(F.rlike(p, F.lit(rx)), clock_seconds(F.regexp_extract(p, rx, 1))).otherwise(F.raise_error(F.concat(F.lit("not a candidate: "), p)).cast("int")).alias("clock_s"), kind(p).alias("kind"))
-    return F.transform(parts, one)
+    clock_s, kind). Entries that are no clock time, alone or with a known note, stop the job."""
+    shape = r"^\s*(\d{1,2}[.:]\d{1,2}[.:]\d{1,2})\s*(?:\(([^()]*)\))?\s*$"
+    kinds = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        raw_clock, note = F.regexp_extract(part, shape, 1), F.lower(F.regexp_extract(part, shape, 2))
+        kind = F.when(~F.contains(part, F.lit("()")), F.try_element_at(kinds, note))
+        known = F.when(kind.isNotNull(), raw_clock).otherwise(F.concat(F.lit("candidate "), part))
+        return F.struct(raw_clock.alias("raw_clock"), clock_seconds(known).alias("clock_s"), kind.alias("kind"))
+
+    return F.transform(F.split(raw, r"(?i);|\bopure\b", -1), one)
 
 
 def primary_candidate(c: Column) -> Column:
@@ -50,6 +59,14 @@ def primary_candidate(c: Column) -> Column:
     return F.coalesce(F.get(F.filter(c, lambda x: x["kind"] == "clinical"), F.lit(0)), F.get(c, F.lit(0)))
 
 
+def lenient_clock(text: Column) -> Column:
+    """The older reading: the first three numbers parted by . or : anywhere in the text, with blanks
+    inside numbers left out; null without them or if they are no time of the day."""
+    closed = F.regexp_replace(text, r"(?<=\d)\s+(?=\d)", "")
+    found = F.nullif(F.regexp_extract(closed, r"(\d{1,2}\s*[.:]\s*\d{1,2}\s*[.:]\s*\d{1,2})", 1), F.lit(""))
+    return clock_seconds(F.regexp_replace(found, r"\s+", ""), strict=False)
+
+
 def check_interval(onset: Column, offset: Column, duration: Column) -> Column:
     """True, or the job stops: 0 <= onset < offset <= duration."""
     ok = F.coalesce((onset >= 0) & (onset < offset) & (offset <= duration), F.lit(False))

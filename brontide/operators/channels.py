@@ -24,22 +24,23 @@ def _diff(a: Column) -> Column:
 
 
 def time_features(df: DataFrame, samples: str) -> DataFrame:
-    """rms, std, line_length and the Hjorth measures activity, mobility, complexity; null if flat."""
+    """Of the samples less their mean: rms, std, line_length and the Hjorth measures activity, mobility
+    and complexity, the latter two 0 if flat; null without samples."""
     a = df.withColumn("_a", F.transform(samples, lambda x: x.cast("double")))
     a = a.withColumn("_d", _diff(F.col("_a"))).withColumn("_dd", _diff(F.col("_d")))
     for c in ("_a", "_d", "_dd"):
         a = a.withColumn(f"{c}v", _variance(F.col(c)))
-    square = F.try_divide(F.aggregate("_a", F.lit(0.0), lambda s, x: s + x * x), F.size("_a").cast("double"))
     line = F.try_divide(F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.abs(x)), F.size("_d").cast("double"))
-    mobility = F.sqrt(F.try_divide(F.col("_dv"), F.col("_av")))
-    out = a.withColumns({"rms": F.sqrt(square), "std": F.sqrt("_av"), "line_length": line, "hjorth_activity": F.col("_av"), "hjorth_mobility": mobility})
-    out = out.withColumn("hjorth_complexity", F.try_divide(F.sqrt(F.try_divide(F.col("_ddv"), F.col("_dv"))), F.col("hjorth_mobility")))
+    ratio = lambda x, y: F.when(F.col(y) > 0, F.sqrt(F.col(x) / F.col(y))).when(F.size("_a") > 0, 0.0)
+    mobility = ratio("_dv", "_av")
+    out = a.withColumns({"rms": F.sqrt("_av"), "std": F.sqrt("_av"), "line_length": line, "hjorth_activity": F.col("_av"), "hjorth_mobility": mobility})
+    out = out.withColumn("hjorth_complexity", F.when(F.col("hjorth_mobility") > 0, ratio("_ddv", "_dv") / F.col("hjorth_mobility")).otherwise(F.col("hjorth_mobility")))
     return out.drop(*[c for c in out.columns if c[0] == "_"])
 
 
 def reduce_channels(features: DataFrame, keys: list[str], names: list[str], *more: Column) -> DataFrame:
     """Mean and population spread of each feature over the channels that have it, and ``more``."""
-    return features.groupBy(*keys).agg(*more, *[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    return features.groupBy(*keys).agg(*more, *[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std_across_channels"))])
 
 
 def correlation_summary(channels: DataFrame, keys: list[str], channel: str, samples: str) -> DataFrame:
@@ -54,5 +55,5 @@ def correlation_summary(channels: DataFrame, keys: list[str], channel: str, samp
     dot = lambda x, y: F.abs(F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z))
     pairs = F.flatten(F.transform("_s", lambda x, i: F.transform(F.slice("_s", i + 2, F.size("_s")), lambda y: dot(x["u"], y["u"]))))
     out = sets.withColumn("_r", pairs).withColumn("n_channels", F.size("_s"))
-    out = out.withColumn("corr_abs_mean", _mean(F.col("_r"))).withColumn("corr_abs_std", F.sqrt(_variance(F.col("_r"))))
-    return out.select(*keys, "n_channels", "corr_abs_mean", "corr_abs_std")
+    out = out.withColumn("mean_abs_channel_corr", _mean(F.col("_r"))).withColumn("std_abs_channel_corr", F.sqrt(_variance(F.col("_r"))))
+    return out.select(*keys, "n_channels", "mean_abs_channel_corr", "std_abs_channel_corr")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import alarms as A
 from . import fusion as U
 
 
@@ -32,17 +33,24 @@ def disjoint(a: list, b: list) -> None:
         raise ValueError(f"items on both sides: {sorted(set(a) & set(b))}")
 
 
-def negative_controls(aligned: DataFrame, alpha: float, threshold: float, first_threshold: float, largest: float = 0.5) -> DataFrame:
-    """With weight zero, or with the second modality out, fusion must be the first modality exactly:
-    per control the decisions and how many differ in score or threshold. Alarms and metrics follow
-    from these rows, so equal rows settle them too."""
+def negative_controls(aligned: DataFrame, keys: list[str], stride: int, alpha: float, threshold: float, first_threshold: float, largest: float = 0.5) -> DataFrame:
+    """With weight zero, or with the second modality out, fusion must be the first modality exactly.
+    Per control: decisions, how many differ in score or threshold, alarms, and how many alarms
+    (declaration, end, reason) only one of the two streams has. ``aligned``: keys, t, duration,
+    barriers, available, available2, score1, score2."""
     cases = [("NC1_alpha_zero", 0.0, False), ("NC2_entire_outage", alpha, True), ("NC2_max_alpha_outage", largest, True)]
-    out = None
+    streams = aligned.withColumns({"control": F.lit("base"), "score": F.col("score1"), "threshold": F.lit(first_threshold)})
     for name, a, outage in cases:
-        f = U.late(aligned, F.lit(a), F.lit(threshold), F.lit(first_threshold), outage).withColumn("control", F.lit(name))
-        out = f if out is None else out.unionByName(f)
+        fused = U.late(aligned, F.lit(a), F.lit(threshold), F.lit(first_threshold), outage)
+        streams = streams.unionByName(fused.withColumn("control", F.lit(name)).drop("q"))
     off = ~F.col("score").eqNullSafe(F.col("score1")) | (F.col("threshold") != first_threshold)
-    return out.groupBy("control").agg(F.count("*").alias("decisions"), F.count_if(off).alias("differing")).withColumn("passed", F.col("differing") == 0)
+    rows = streams.where("control <> 'base'").groupBy("control").agg(F.count("*").alias("decisions"), F.count_if(off).alias("differing"))
+    same = A.alarm_stream(streams, [*keys, "control"], stride).groupBy(*keys, "declaration", "end", "reason").agg(F.collect_set("control").alias("in_"))
+    in_base = F.array_contains("in_", "base")
+    each = same.withColumn("control", F.explode(F.array(*[F.lit(n) for n, _, _ in cases]))).withColumn("here", F.array_contains("in_", F.col("control")))
+    found = each.groupBy("control").agg(F.count_if("here").alias("alarms"), F.count_if(F.col("here") != in_base).alias("differing_alarms"))
+    out = rows.join(found, "control", "left").fillna(0, ["alarms", "differing_alarms"])
+    return out.withColumn("passed", (F.col("differing") == 0) & (F.col("differing_alarms") == 0))
 
 
 def annotation_flags(events: DataFrame, slack_s: int = 5) -> DataFrame:

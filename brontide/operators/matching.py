@@ -9,35 +9,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def match_alarms(alarms: DataFrame, events: DataFrame, keys: list[str], shared: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Alarms with status (matched, duplicate, false) and event_id; events with detection.
-
-    For events of a recording that do not overlap: the first declaration inside an event
-    matches it, later ones are duplicates. ``events``: event_id, start, end and ``shared``, the
-    keys that it has in common with ``alarms`` (all, unless named: a sweep over thresholds
-    shares the recording only)."""
-    shared = shared or keys
-    e = events.select(*shared, "event_id", F.col("start").alias("onset"), F.col("end").alias("offset"))
-    inside = (F.col("onset") <= F.col("declaration")) & (F.col("declaration") < F.col("offset"))
-    a, b = alarms.alias("a"), e.alias("b")
-    on = inside
-    for k in shared:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    hit = a.join(b, on, "left").select("a.*", "event_id", "onset", "offset")
-    nth = F.row_number().over(W.partitionBy(*keys, "event_id").orderBy("declaration"))
-    status = F.when(F.col("event_id").isNull(), "false").when(nth == 1, "matched").otherwise("duplicate")
-    judged = hit.withColumn("status", status)
-    return judged.drop("onset", "offset").withColumn("event_id", F.coalesce("event_id", F.lit(""))), judged.where("status = 'matched'").select(*keys, "event_id", "declaration", (F.col("declaration") - F.col("onset")).alias("delay"))
+_CLOSE, _OPEN, _ALARM = 0, 1, 2  # order of what happens at one time
+
+
+def judged(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row an alarm and one an event, for events of a recording (``keys``) that do not overlap.
+
+    The first declaration inside an event matches it, later ones are duplicates, others false.
+    Back: keys, kind (alarm, event), event_id, declaration, status (of alarms), alarm (the
+    row of ``alarms`` without its keys), onset, offset, detected, delay and overlap_detected (of
+    events: whether any alarm touches it). Bounds and declarations are one series in time
+    order, so a single shuffle serves and no pairs are made."""
+    span = F.struct("event_id", F.col("start").alias("onset"), F.col("end").alias("offset"))
+    bound = lambda t, side: F.struct(F.col(t).alias("t"), F.lit(side).alias("side"))
+    bounds = events.select(*keys, span.alias("event"), F.inline(F.array(bound("start", _OPEN), bound("end", _CLOSE))))
+    rest = F.struct(*[F.col(c) for c in alarms.columns if c not in keys])
+    series = bounds.unionByName(alarms.select(*keys, rest.alias("alarm"), F.col("declaration").alias("t"), F.lit(_ALARM).alias("side")), allowMissingColumns=True)
+    so_far = W.partitionBy(*keys).orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
+    is_alarm = F.col("side") == _ALARM
+    series = series.withColumns({"_open": F.last(F.when(F.col("side") == _OPEN, F.col("event")), ignorenulls=True).over(so_far), "_reach": F.max("alarm.end").over(so_far)}).where(F.col("side") != _OPEN)
+    own = F.when(~is_alarm, F.col("event.event_id")).when(F.col("t") < F.col("_open.offset"), F.col("_open.event_id"))
+    first = F.min(F.when(is_alarm, F.col("t"))).over(W.partitionBy(*keys, "event_id"))
+    series = series.withColumn("event_id", own).withColumn("_first", first)
+    status = F.when(F.col("event_id").isNull(), "false").when(F.col("_first") == F.col("t"), "matched").otherwise("duplicate")
+    of_event = lambda c: F.when(~is_alarm, c)
+    return series.select(
+        *keys, F.when(is_alarm, "alarm").otherwise("event").alias("kind"), "event_id", F.when(is_alarm, F.col("t")).otherwise(F.col("_first")).alias("declaration"), F.when(is_alarm, status).alias("status"), "alarm", "event.onset", "event.offset",
+        of_event(F.col("_first").isNotNull()).alias("detected"), of_event(F.col("_first") - F.col("event.onset")).alias("delay"), of_event(F.coalesce(F.col("_reach") > F.col("event.onset"), F.lit(False))).alias("overlap_detected"))
+
+
+def match_alarms(alarms: DataFrame, events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Alarms with status (matched, duplicate, false) and event_id; events with detection: see :func:`judged`."""
+    j = judged(alarms, events, keys)
+    rows = j.where("kind = 'alarm'").select(*keys, "alarm.*", F.coalesce("event_id", F.lit("")).alias("event_id"), "status")
+    return rows, j.where("kind = 'event' AND detected").select(*keys, "event_id", "declaration", "delay")
 
 
 def event_matches(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """One row an event: detected, declaration, delay, and whether any alarm touches it."""
-    _, found = match_alarms(alarms, events, keys)
-    a = alarms.select(*keys, F.col("declaration").alias("_d"), F.col("end").alias("_e"))
-    touch = (F.col("_d") < F.col("end")) & (F.col("_e") > F.col("start"))
-    near = events.join(a, keys).where(touch).select(*keys, "event_id").distinct().withColumn("overlap_detected", F.lit(True))
-    out = events.join(found, [*keys, "event_id"], "left").join(near, [*keys, "event_id"], "left")
-    return out.select(*keys, "event_id", F.col("start").alias("onset"), F.col("end").alias("offset"), F.col("declaration").isNotNull().alias("detected"), "declaration", "delay", F.coalesce("overlap_detected", F.lit(False)).alias("overlap_detected"))
+    return judged(alarms, events, keys).where("kind = 'event'").select(*keys, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected")
 
 
 def match_overlapping(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import intervals as I
-from .matching import event_matches, match_alarms
 
 HOUR = 3_600_000_000
-SUMS = ["events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "active", "raw", "startup", "uncertain", "other_unavailable", "evaluable"]
+TIMES = ["raw", "startup", "uncertain", "other_unavailable", "evaluable"]
 
 
 def time_budget(recordings: DataFrame, decisions: DataFrame, uncertain: DataFrame, keys: list[str], startup: int, stride: int) -> DataFrame:
@@ -30,24 +29,28 @@ def time_budget(recordings: DataFrame, decisions: DataFrame, uncertain: DataFram
     return out.withColumn("other_unavailable", F.col("raw") - F.col("startup") - F.col("uncertain") - F.col("evaluable"))
 
 
-def record_metrics(recordings: DataFrame, decisions: DataFrame, alarms: DataFrame, events: DataFrame, uncertain: DataFrame, keys: list[str], startup: int, stride: int) -> DataFrame:
-    """The base measures of each recording. Duplicates count as false declarations."""
-    judged, _ = match_alarms(alarms, events, keys)
-    length = F.col("end") - F.col("declaration")
-    a = judged.groupBy(*keys).agg(F.count_if(F.col("status") != "matched").alias("false_declarations"), F.count_if(F.col("status") == "duplicate").alias("duplicate_declarations"), F.count("*").alias("total_declarations"), F.sum(length).alias("active"), F.max(length).alias("longest"))
-    m = event_matches(alarms, events, keys).groupBy(*keys).agg(F.count("*").alias("events"), F.count_if("detected").alias("detected"), F.count_if("overlap_detected").alias("overlap_detected"))
-    out = time_budget(recordings, decisions, uncertain, keys, startup, stride).join(a, keys, "left").join(m, keys, "left")
-    return out.fillna(0, [c for c in out.columns if c not in keys])
+def detection(judged: DataFrame, level: list[str]) -> DataFrame:
+    """Counts, alarm time and delays of :func:`.matching.judged` rows at any level, in one aggregation.
+    Delays are those of the events, never averages of averages. Duplicates count as false."""
+    alarm, event = F.col("kind") == "alarm", F.col("kind") == "event"
+    length = F.col("alarm.end") - F.col("declaration")
+    delay = F.when(F.col("detected"), F.col("delay"))
+    return judged.groupBy(*level).agg(
+        F.count_if(event).alias("events"), F.count_if(F.col("detected")).alias("detected"), F.count_if(F.col("overlap_detected")).alias("overlap_detected"),
+        F.count_if(alarm & (F.col("status") != "matched")).alias("false_declarations"), F.count_if(alarm & (F.col("status") == "duplicate")).alias("duplicate_declarations"), F.count_if(alarm).alias("total_declarations"),
+        F.coalesce(F.sum(F.when(alarm, length)), F.lit(0)).alias("active"), F.coalesce(F.max(F.when(alarm, length)), F.lit(0)).alias("longest"),
+        F.count(delay).alias("delay_n"), F.median(delay).alias("delay_median"), F.percentile(delay, 0.25).alias("delay_q25"), F.percentile(delay, 0.75).alias("delay_q75"), F.min(delay).alias("delay_min"), F.max(delay).alias("delay_max"))
 
 
-def summarize(base: DataFrame, matches: DataFrame, level: list[str]) -> DataFrame:
-    """Roll-up to any level. Delays are taken from the events again, never averaged; ratios
-    without a denominator are null."""
-    sums = base.groupBy(*level).agg(*[F.sum(c).alias(c) for c in SUMS], F.max("longest").alias("longest"))
-    d = matches.where("detected").groupBy(*level).agg(F.count("*").alias("delay_n"), F.median("delay").alias("delay_median"), F.percentile("delay", 0.25).alias("delay_q25"), F.percentile("delay", 0.75).alias("delay_q75"), F.min("delay").alias("delay_min"), F.max("delay").alias("delay_max"))
-    out = sums.join(d, level, "left") if level else sums.crossJoin(d)
+def summarize(judged: DataFrame, budget: DataFrame, level: list[str]) -> DataFrame:
+    """Detection measures and time at any level; ratios without a denominator are null. ``budget``:
+    the columns of :func:`time_budget`, with those of ``level``; units without alarms and events count."""
+    time = budget.groupBy(*level).agg(*[F.sum(c).alias(c) for c in TIMES])
+    found = detection(judged, level)
+    out = time.join(found, level, "left") if level else time.crossJoin(found)  # a row each
+    out = out.fillna(0, [c for c in found.columns if c not in level and not c.startswith("delay_")] + ["delay_n"])
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return out.fillna(0, ["delay_n"]).withColumns({
+    return out.withColumns({
         "sensitivity": ratio("detected", "events"), "overlap_sensitivity": ratio("overlap_detected", "events"), "missed": F.col("events") - F.col("detected"),
         "false_per_hour": F.try_divide(F.col("false_declarations").cast("double") * HOUR, F.col("evaluable").cast("double")), "warning_fraction": ratio("active", "evaluable"),
     })

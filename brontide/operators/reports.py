@@ -65,6 +65,12 @@ def contribution(exposure: DataFrame, active_cells: DataFrame, keys: list[str])
     return out.withColumns({"q0": F.col("evaluable") - F.col("q1"), "q1_fraction": F.try_divide(F.col("q1").cast("double"), F.col("evaluable").cast("double"))})
 
 
+def event_classes(joined: DataFrame, before: Column, after: Column) -> DataFrame:
+    """What another stream does to each event, from the delays (null: not detected) of the two."""
+    b, f = before.isNotNull(), after.isNotNull()
+    return joined.withColumns({"classification": F.when(b & f, "preserved").when(f, "rescued").when(b, "lost").otherwise("still_missed"), "changed_delay_only": b & f & F.coalesce(before != after, F.lit(False))})
+
+
 def detection_group(joined: DataFrame, first: str, second: str) -> DataFrame:
     a, b = F.col(first), F.col(second)
     return joined.withColumn("detection_group", F.when(a & b, "both").when(a, "first_only").when(b, "second_only").otherwise("neither"))

@@ -17,21 +17,20 @@ def rr_series(beats: DataFrame, keys: list[str], low: float, high: float, unit:
     return out.select(*keys, "x", "rr", F.col("rr").between(low, high).alias("valid"), F.try_divide(F.lit(60.0), F.col("rr")).alias("rate"), ((F.col("x") + F.col("_b")) / 2 / unit).alias("mid"))
 
 
-def rhythm_features(rr: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+def rhythm_features(rr: DataFrame, keys: list[str], group: list[str], middle: Column) -> DataFrame:
     """Nine features per group from valid intervals: rates and intervals (median, mean), slope of
-    the rate on real time, early less late rate, spread, successive differences between valid
+    the rate on real time, median rate from ``middle`` on (the window's start and half its length,
+    in the unit of mid) less that before it, spread, successive differences between valid
     neighbours only, and relative spread. Null where undefined."""
     order = W.partitionBy(*keys).orderBy("x")
-    whole = W.partitionBy(*group)
     step = F.when(F.col("valid") & F.lag("valid").over(order), F.col("rr") - F.lag("rr").over(order))
     d = rr.withColumn("step", step).where("valid")
-    middle = (F.min("mid").over(whole) + F.max("mid").over(whole)) / 2
-    d = d.withColumn("late", F.col("mid") > middle)
+    late = F.col("mid") >= middle
     a = d.groupBy(*group).agg(
-        F.count("*").alias("n_valid"), F.median("rate").alias("median_rate"), F.avg("rate").alias("mean_rate"), F.median("rr").alias("median_rr"), F.avg("rr").alias("mean_rr"),
-        F.regr_slope("rate", "mid").alias("_slope"), F.avg(F.when(F.col("late"), F.col("rate"))).alias("_late"), F.avg(F.when(~F.col("late"), F.col("rate"))).alias("_early"),
-        F.when(F.count("*") > 1, F.stddev_samp("rr")).alias("sdrr"), F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("rmssd"))
-    return a.withColumns({"rate_slope_per_min": F.col("_slope") * 60, "late_less_early": F.col("_late") - F.col("_early"), "rr_cv": F.try_divide(F.col("sdrr"), F.col("mean_rr"))}).drop("_slope", "_late", "_early")
+        F.count("*").alias("n_valid"), F.median("rate").alias("median_hr"), F.avg("rate").alias("mean_hr"), F.median("rr").alias("median_rr"), F.avg("rr").alias("mean_rr"),
+        F.regr_slope("rate", "mid").alias("_slope"), (F.median(F.when(late, F.col("rate"))) - F.median(F.when(~late, F.col("rate")))).alias("early_late_hr"),
+        F.when(F.count("*") > 1, F.stddev_samp("rr")).alias("sdrr_s"), F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("rmssd_s"))
+    return a.withColumns({"hr_slope_bpm_min": F.col("_slope") * 60, "rr_cv": F.try_divide(F.col("sdrr_s"), F.col("mean_rr"))}).drop("_slope")
 
 
 def relative_reference(windows: DataFrame, keys: list[str], block: int, back: int, least_blocks: int, value: str) -> DataFrame:

@@ -10,24 +10,28 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from . import channels as H
 
-NAMES = ["rms", "std", "line_length", "hjorth_activity", "hjorth_mobility", "hjorth_complexity", "total_power", "mean_freq", "dominant_freq", "bandwidth", "edge95", "entropy"] + [f"{b}_{k}" for b in dsp.BANDS for k in ("power", "relative")]
+NAMES = dsp.CHANNEL_FEATURES
 
 
 def channel_features(df: DataFrame, samples: str, fs: float) -> DataFrame:
-    """Twenty-two features a channel; null for channels that are too short, not finite, or slow."""
+    """Twenty-two features a channel; null for channels that are too short, not finite, or slow.
+    The channels of a batch that are of one length are one matrix."""
     schema = ", ".join(f"{n} double" for n in NAMES)
 
     @F.pandas_udf(schema)
     def run(arrays: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a in arrays:
-            try:
-                rows.append(dsp.channel_features(np.asarray(a, float), fs))
-            except (ValueError, TypeError):
-                rows.append({})
-        return pd.DataFrame(rows, columns=NAMES).astype(float)
+        out = np.full((len(arrays), len(NAMES)), np.nan)
+        lengths = np.array([0 if a is None else len(a) for a in arrays])
+        for n in np.unique(lengths[lengths >= fs]):
+            at = np.flatnonzero(lengths == n)
+            x = np.stack([np.asarray(arrays.iloc[i], float) for i in at])
+            whole = np.isfinite(x).all(axis=1)
+            if fs >= 90 and whole.any():
+                out[at[whole]] = dsp.feature_matrix(x[whole], fs)
+        return pd.DataFrame(out, columns=NAMES)
 
-    return df.withColumn("_f", run(F.col(samples))).select(*df.columns, "_f.*")
+    features = df.withColumn("_f", run(F.col(samples)))
+    return features.select(*df.columns, *[F.when(~F.isnan(f"_f.{n}"), F.col(f"_f.{n}")).alias(n) for n in NAMES])
 
 
 def window_features(windows: DataFrame, keys: list[str], channel: str, samples: str, fs: float) -> DataFrame:
@@ -39,7 +43,7 @@ def window_features(windows: DataFrame, keys: list[str], channel: str, samples:
     f = channel_features(w, samples, fs)
     reason = F.when(F.bool_or(F.col("rms").isNull()) | (F.max("std") <= 0), "nonfinite_or_all_flat").otherwise("")
     out = H.reduce_channels(f, keys, NAMES, reason.alias("unavailable_reason"))
-    corr = H.correlation_summary(w, keys, channel, samples).select(*keys, F.col("corr_abs_mean"), F.col("corr_abs_std"))
+    corr = H.correlation_summary(w, keys, channel, samples).select(*keys, "mean_abs_channel_corr", "std_abs_channel_corr")
     out = out.join(corr, keys, "left")
     names = [c for c in out.columns if c not in keys and c != "unavailable_reason"]
     return out.select(*keys, "unavailable_reason", *[F.when(F.col("unavailable_reason") == "", F.col(c)).alias(c) for c in names])

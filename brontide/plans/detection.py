@@ -10,11 +10,14 @@ from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import metrics as Q
 from ..operators import proximity as P
+from ..operators import reports as R
+from ..operators import results as N
 from ..operators import selection as S
 from ..operators import timeline as T
+from ..operators.staging import stored
 from . import binding as B
 
-SWEEP = [0.25, 0.5, 0.75, 1.01]
+SWEEP = S.THRESHOLDS
 K = B.KEY
 ALARM_AT = 0.5
 
@@ -23,15 +26,13 @@ def _alarms(spark, sf, threshold=ALARM_AT):
     return A.alarm_stream(B.ready(spark, sf).withColumn("threshold", F.lit(threshold)), K, B.STRIDE)
 
 
-def _base(spark, sf):
-    alarms = _alarms(spark, sf)
-    base = Q.record_metrics(B.recordings(spark, sf), B.decisions(spark, sf), alarms, B.events(spark, sf), B.uncertain(spark, sf), K, B.SHORT, B.STRIDE)
-    return base, M.event_matches(alarms, B.events(spark, sf), K)
+def _budget(spark, sf):
+    return Q.time_budget(B.recordings(spark, sf), B.decisions(spark, sf), B.uncertain(spark, sf), K, B.SHORT, B.STRIDE)
 
 
 def q01_alarm_eval(spark, sf):
-    base, matches = _base(spark, sf)
-    out = Q.summarize(base, matches, K)
+    judged = M.judged(_alarms(spark, sf), B.events(spark, sf), K)
+    out = Q.summarize(judged, _budget(spark, sf), K)
     return out.select("rec", "events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "evaluable", "delay_n", "delay_median", "delay_q25", "sensitivity", "false_per_hour", "warning_fraction", "longest")
 
 
@@ -79,21 +80,18 @@ def q10_label_contingency(spark, sf):
     return out.withColumn("usable", F.col("positive") + F.col("negative"))
 
 
+def _group(d):
+    return d.withColumn("grp", F.col("rec") % 5)
+
+
 def _sweep(spark, sf, fold):
     """Metrics of every threshold in one job: the grid joins the key of the windows."""
     swept = S.grid(B.ready(spark, sf), "threshold", SWEEP)
     alarms = A.alarm_stream(swept.withColumn("thr", F.col("threshold")), ["rec", "thr"], B.STRIDE)
-    judged, found = M.match_alarms(alarms, B.events(spark, sf), ["rec", "thr"], ["rec"])
-    level = [*fold, "thr"]
-    tagged = lambda d: d.withColumn("grp", F.col("rec") % 5)
-    n_events = tagged(B.events(spark, sf)).groupBy(*fold).agg(F.count("*").alias("events"))
-    budget = tagged(Q.time_budget(B.recordings(spark, sf), B.decisions(spark, sf), B.uncertain(spark, sf), K, B.SHORT, B.STRIDE)).groupBy(*fold).agg(F.sum("evaluable").alias("evaluable"))
-    base = n_events.join(budget, fold) if fold else n_events.crossJoin(budget)
-    base = S.grid(base, "thr", SWEEP)
-    a = tagged(judged).groupBy(*level).agg(F.count_if(F.col("status") != "matched").alias("false_declarations"), F.count_if(F.col("status") == "matched").alias("detected"))
-    d = tagged(found).groupBy(*level).agg(F.median("delay").alias("delay_median"))
-    out = base.join(a, level, "left").join(d, level, "left").fillna(0, ["false_declarations", "detected"]).withColumnRenamed("thr", "threshold")
-    return out.withColumns({"sensitivity": F.try_divide(F.col("detected").cast("double"), F.col("events").cast("double")), "false_per_hour": F.try_divide(F.col("false_declarations").cast("double") * B.HOUR, F.col("evaluable").cast("double"))})
+    judged = M.judged(alarms, S.grid(B.events(spark, sf), "thr", SWEEP), ["rec", "thr"])
+    budget = _group(_budget(spark, sf)).groupBy(*fold).agg(*[F.sum(c).alias(c) for c in Q.TIMES])
+    out = Q.summarize(_group(judged), S.grid(budget, "thr", SWEEP), [*fold, "thr"]).withColumnRenamed("thr", "threshold")
+    return out.select(*fold, "threshold", "events", "evaluable", "false_declarations", "detected", "delay_median", "sensitivity", "false_per_hour")
 
 
 def q11_threshold_sweep(spark, sf):
@@ -130,8 +128,12 @@ def _variant_alarms(spark, sf):
     return A.alarm_stream(s, ["rec", "model"], B.STRIDE)
 
 
+def _variant_events(spark, sf):
+    return S.grid(B.events(spark, sf), "model", ["F0", "F2"])
+
+
 def q16_paired_levels(spark, sf):
-    judged, _ = M.match_alarms(_variant_alarms(spark, sf), B.events(spark, sf), ["rec", "model"], ["rec"])
+    judged, _ = M.match_alarms(_variant_alarms(spark, sf), _variant_events(spark, sf), ["rec", "model"])
     n = judged.withColumn("grp", F.col("rec") % 5).groupingSets([["grp", "rec"], ["grp"], []], "grp", "rec").agg(
         *[F.count_if((F.col("model") == m) & (F.col("status") == "matched")).alias(f"{m.lower()}_detected") for m in ("F0", "F2")],
         *[F.count_if((F.col("model") == m) & (F.col("status") != "matched")).alias(f"{m.lower()}_false") for m in ("F0", "F2")],
@@ -142,16 +144,14 @@ def q16_paired_levels(spark, sf):
 
 
 def q17_event_fates(spark, sf):
-    a, e = _variant_alarms(spark, sf), B.events(spark, sf)
-    _, found = M.match_alarms(a, e, ["rec", "model"], ["rec"])
-    of = lambda m, x: found.where(F.col("model") == m).select("rec", "event_id", F.col("delay").alias(x))
-    j = e.select("rec", "event_id").join(of("F0", "delay0"), ["rec", "event_id"], "left").join(of("F2", "delay2"), ["rec", "event_id"], "left")
-    b, f = F.col("delay0").isNotNull(), F.col("delay2").isNotNull()
-    return j.withColumns({"classification": F.when(b & f, "preserved").when(f, "rescued").when(b, "lost").otherwise("still_missed"), "changed_delay_only": b & f & F.coalesce(F.col("delay0") != F.col("delay2"), F.lit(False))})
+    m = M.event_matches(_variant_alarms(spark, sf), _variant_events(spark, sf), ["rec", "model"])
+    of = lambda m: F.max(F.when(F.col("model") == m, F.col("delay")))
+    j = m.groupBy("rec", "event_id").agg(of("F0").alias("delay0"), of("F2").alias("delay2"))
+    return R.event_classes(j, F.col("delay0"), F.col("delay2"))
 
 
 def q18_false_alarm_fate(spark, sf):
-    judged, _ = M.match_alarms(_variant_alarms(spark, sf), B.events(spark, sf), ["rec", "model"], ["rec"])
+    judged, _ = M.match_alarms(_variant_alarms(spark, sf), _variant_events(spark, sf), ["rec", "model"])
     wrong = judged.where("status <> 'matched'")
     return M.alarm_fates(wrong.where("model = 'F0'"), wrong.where("model = 'F2'"), K, B.STRIDE)
 
@@ -182,31 +182,66 @@ def q22_confusion_metrics(spark, sf):
     return Q.confusion(_labels_scored(spark, sf), ["lang"])
 
 
+def _selection(spark, sf):
+    early = F.when(F.col("score1").isNotNull(), F.least(F.lit(1.0), F.col("score1") * 0.5 + F.coalesce("score2", F.lit(0.0)) * 0.5))
+    d = _group(_aligned(spark, sf)).withColumns({"score_early": early, "available": F.col("available1")}).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left")
+    return S.select_fusion(stored(d, "aligned"), stored(_group(B.events(spark, sf)), "events"), _group(_budget(spark, sf)), K, ["grp"], B.STRIDE, float(B.STRIDE), limit=0.02)
+
+
 def q14_fusion_select_protected(spark, sf):
-    """Alpha and threshold per group in one job, protected against the first modality alone."""
-    g = S.grid(S.grid(_aligned(spark, sf), "al", S.ALPHAS), "thr", S.THRESHOLDS)
-    g = U.late(g, F.col("al"), F.col("thr"), F.when(F.col("al") == 0, F.col("thr")).otherwise(F.lit(ALARM_AT)))
-    g = g.withColumn("available", F.col("available1")).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left")
-    keys = ["rec", "al", "thr"]
-    judged, found = M.match_alarms(A.alarm_stream(g, keys, B.STRIDE), B.events(spark, sf), keys, ["rec"])
-    tagged = lambda d: d.withColumn("grp", F.col("rec") % 5)
-    level = ["grp", "al", "thr"]
-    budget = tagged(Q.time_budget(B.recordings(spark, sf), B.decisions(spark, sf), B.uncertain(spark, sf), K, B.SHORT, B.STRIDE)).groupBy("grp").agg(F.sum("evaluable").alias("evaluable"))
-    base = S.grid(S.grid(tagged(B.events(spark, sf)).groupBy("grp").agg(F.count("*").alias("events")).join(budget, "grp"), "al", S.ALPHAS), "thr", S.THRESHOLDS)
-    a = tagged(judged).groupBy(*level).agg(F.count_if(F.col("status") != "matched").alias("false_declarations"), F.count_if(F.col("status") == "matched").alias("detected"))
-    d = tagged(found).groupBy(*level).agg(F.median("delay").alias("delay_median"))
-    c = base.join(a, level, "left").join(d, level, "left").fillna(0, ["false_declarations", "detected"])
-    c = c.withColumns({"sensitivity": F.try_divide(F.col("detected").cast("double"), F.col("events").cast("double")), "false_per_hour": F.try_divide(F.col("false_declarations").cast("double") * B.HOUR, F.col("evaluable").cast("double"))})
-    c = c.withColumnsRenamed({"al": "alpha", "thr": "threshold"})
-    alone = S.choose(c.where("alpha = 0"), ["grp"], limit=0.02)
-    mine = tagged(found).select("grp", F.col("al").alias("alpha"), F.col("thr").alias("threshold"), "event_id", "delay")
-    ref = mine.join(alone.select("grp", "alpha", "threshold"), ["grp", "alpha", "threshold"]).select("grp", "event_id", F.col("delay").alias("delay0"))
-    gain = mine.join(ref, ["grp", "event_id"]).groupBy("grp", "alpha", "threshold").agg(F.median(F.col("delay") - F.col("delay0")).alias("delay_gain"))
-    fused = S.protection(c.where("alpha > 0"), alone, ["grp"], gain, 5.0 * B.STRIDE)
-    best = S.choose(fused.where("protected"), ["grp"], adaptive=True, limit=0.02)
-    cols = ["grp", "alpha", "threshold", "detected", "false_declarations", "sensitivity", "false_per_hour"]
-    pick = alone.select(*cols).withColumn("rank", F.lit(2)).unionByName(best.select(*cols).withColumn("rank", F.lit(1)))
-    return pick.groupBy("grp").agg(F.min_by(F.struct(*cols[1:]), "rank").alias("b")).select("grp", "b.*")
+    """Thresholds and weights of all variants per group, F2 protected against the first modality alone."""
+    return _selection(spark, sf)[0]
+
+
+def q53_fusion_candidates(spark, sf):
+    c = _selection(spark, sf)[1]
+    return c.select("grp", "alpha", "threshold", "events", "detected", "false_declarations", "evaluable", "sensitivity", "false_per_hour", "delay_median", "common_events", "common_delay_delta", "reason", "eligible", "feasible")
+
+
+def _tables(spark, sf):
+    d = _group(_stream(spark, sf)).withColumns({"available": F.col("available1"), "q": F.col("available2") & F.col("score2").isNotNull(), "alpha": F.when(F.col("model") == "F0", 0.0).when(F.col("model") == "F1", 0.5).when(F.col("model") == "F2", 0.25)})
+    d = d.join(_labelled(spark, sf).select("rec", "t", F.col("evaluation_label").alias("label")), ["rec", "t"])
+    d = d.select("grp", "rec", "t", "duration", "model", "score", "threshold", "available", "q", "alpha", "label")
+    return N.build_tables(d, B.events(spark, sf), B.uncertain(spark, sf), B.SHORT, B.STRIDE)
+
+
+MEASURES = ["events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "active", "longest", "raw", "startup", "uncertain", "other_unavailable", "evaluable", "delay_n", "delay_median", "delay_q25", "delay_q75", "delay_min", "delay_max", "sensitivity", "overlap_sensitivity", "missed", "false_per_hour", "warning_fraction", "window_n", "window_positive", "average_precision", "roc_auc"]
+ROUNDED = ["average_precision", "roc_auc"]
+
+
+def q54_result_metrics(spark, sf):
+    """The tables of measures at the three levels, one below another."""
+    t, out = _tables(spark, sf), None
+    for level, name in (("parent", "fold_metrics"), ("patient", "patient_metrics"), ("pooled", "pooled_metrics")):
+        keys = N.LEVELS[level]
+        d = t[name].select(F.lit(level).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast("bigint").alias(k) for k in ("grp", "rec")], "model", *[F.round(c, 9).alias(c) if c in ROUNDED else c for c in MEASURES])
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def q55_paired_comparison(spark, sf):
+    return _tables(spark, sf)["paired_comparison"]
+
+
+def q56_event_comparison(spark, sf):
+    return _tables(spark, sf)["event_comparison"].select("rec", "event_id", "eeg_detected", "fusion_detected", "eeg_delay", "fusion_delay", "delay_delta", "classification", "changed_delay_only", "ecg_available_at_onset", "ecg_ictal_available_fraction", "alpha")
+
+
+def q57_fate_counts(spark, sf):
+    """Fates of false alarms by group, those added among them."""
+    t = _tables(spark, sf)
+    rows = t["false_alarm_fate"].select("grp", "fate").unionByName(t["added_false_alarms"].select("grp", F.lit("added").alias("fate")))
+    return N.fate_counts(rows, ["grp"])
+
+
+def q58_contribution_patients(spark, sf):
+    return _tables(spark, sf)["ecg_contribution_patients"]
+
+
+def q59_model_means(spark, sf):
+    t = _tables(spark, sf)
+    out = N.model_means(t["fold_metrics"], ["sensitivity", "false_per_hour", "delay_median"], t["pooled_metrics"])
+    return out.select("model", *[F.round(c, 9).alias(c) for c in out.columns if c != "model"])
 
 
 _J = B.judged_sql("al")
@@ -236,7 +271,74 @@ _PAIR = """count(*) FILTER (WHERE model = 'F0' AND status = 'matched') AS f0_det
   f2_detected - f0_detected AS delta_detected, count(*) FILTER (WHERE model = 'F2' AND status <> 'matched') - count(*) FILTER (WHERE model = 'F0' AND status <> 'matched') AS delta_false,
   delta_false::DOUBLE / nullif(count(*) FILTER (WHERE model = 'F0' AND status <> 'matched'), 0) * 100 AS false_change_pct FROM vj"""
 
+_EARLY = "CASE WHEN score1 IS NOT NULL THEN least(1.0, score1 * 0.5 + coalesce(score2, 0.0) * 0.5) END"
+_MEASURED = f"coalesce(d, 0) AS detected, coalesce(f, 0) AS false_declarations, dm AS delay_median, coalesce(d, 0)::DOUBLE / events AS sensitivity, coalesce(f, 0)::DOUBLE * {B.HOUR} / evaluable AS false_per_hour"
+
+
+def _counted(judged: str, by: str) -> str:
+    return f"(SELECT {by}, count(*) FILTER (WHERE status = 'matched') AS d, count(*) FILTER (WHERE status <> 'matched') AS f, median(CASE WHEN status = 'matched' THEN decl - onset END) AS dm FROM {judged} GROUP BY {by})"
+
+
+_SELECT = f"""fam AS (SELECT unnest(['base', 'early']) AS fam), thrs AS (SELECT unnest({S.THRESHOLDS}::DOUBLE[]) AS thr), als AS (SELECT unnest({S.ALPHAS[1:]}::DOUBLE[]) AS al),
+s1 AS (SELECT rec, t, available1 AS available, fam, thr, CASE fam WHEN 'base' THEN score1 ELSE {_EARLY} END AS score FROM fu, fam, thrs),
+x1 AS (SELECT * FROM {B.alarms_sql('s1', 'rec, fam, thr')}), j1 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('x1', 'rec, fam, thr')}),
+gr AS (SELECT grp, events, evaluable FROM (SELECT rec % 5 AS grp, count(*) AS events FROM refs GROUP BY 1) JOIN (SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable FROM budget GROUP BY 1) USING (grp)),
+m1 AS (SELECT grp, fam, thr, events, evaluable, {_MEASURED} FROM gr CROSS JOIN fam CROSS JOIN thrs LEFT JOIN {_counted('j1', 'grp, fam, thr')} USING (grp, fam, thr)),
+b1 AS (SELECT * FROM m1 WHERE false_per_hour <= 0.02 QUALIFY row_number() OVER (PARTITION BY grp, fam ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, thr DESC) = 1),
+s2 AS (SELECT fu.rec, t, available1 AS available, al, thrs.thr AS at_, {_MIX('al')} AS score, CASE WHEN available2 AND score2 IS NOT NULL THEN thrs.thr ELSE b.thr END AS thr FROM fu JOIN b1 b ON b.grp = fu.rec % 5 AND b.fam = 'base', als, thrs),
+x2 AS (SELECT * FROM {B.alarms_sql('s2', 'rec, al, at_')}), j2 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('x2', 'rec, al, at_')}),
+d0 AS (SELECT j.grp, j.rec, j.event_id, decl - onset AS delay0 FROM j1 j JOIN b1 b ON b.grp = j.grp AND b.fam = j.fam AND b.thr = j.thr WHERE j.fam = 'base' AND status = 'matched'),
+pd AS (SELECT j.grp, al, at_, count(*) AS common_events, median(decl - onset - delay0) AS common_delay_delta FROM j2 j JOIN d0 USING (grp, rec, event_id) WHERE status = 'matched' GROUP BY ALL),
+m2 AS (SELECT grp, al, at_, events, evaluable, {_MEASURED} FROM gr JOIN (SELECT grp FROM b1 WHERE fam = 'base') USING (grp) CROSS JOIN als CROSS JOIN (SELECT thr AS at_ FROM thrs) LEFT JOIN {_counted('j2', 'grp, al, at_')} USING (grp, al, at_)),
+c0 AS (SELECT m2.*, coalesce(common_events, 0) AS common_events, common_delay_delta, concat_ws(';', CASE WHEN m2.detected < b.detected THEN 'sensitivity_loss' END, CASE WHEN m2.false_per_hour > b.false_per_hour THEN 'FAR_increase' END,
+  CASE WHEN m2.detected <= b.detected AND m2.false_per_hour >= b.false_per_hour THEN 'no_strict_improvement' END, CASE WHEN common_delay_delta > {B.STRIDE} THEN 'common_event_delay_penalty' END, CASE WHEN m2.evaluable <> b.evaluable THEN 'coverage_loss' END) AS against
+  FROM m2 JOIN (SELECT * FROM b1 WHERE fam = 'base') b USING (grp) LEFT JOIN pd USING (grp, al, at_)),
+cd AS (SELECT * EXCLUDE (against), CASE WHEN against = '' THEN 'protected_improvement' ELSE against END AS reason, against = '' AS eligible, false_per_hour <= 0.02 AS feasible FROM c0),
+f2 AS (SELECT * FROM cd WHERE eligible AND feasible QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, al, at_ DESC) = 1),
+f1 AS (SELECT * FROM cd WHERE al = 0.5 AND feasible QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, at_ DESC) = 1)"""
+
+_ALL = f"""vm4 AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM va)', 'rec, model')}), vj4 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('vm4', 'rec, model')}),
+ev4 AS (SELECT r.rec, r.rec % 5 AS grp, model, r.event_id, j.decl - r.a AS delay, EXISTS (SELECT 1 FROM vm4 x WHERE x.rec = r.rec AND x.model = m.model AND x.decl < r.b AND x.fin > r.a) AS over FROM refs r CROSS JOIN (SELECT DISTINCT model FROM va) m LEFT JOIN (SELECT * FROM vj4 WHERE status = 'matched') j USING (rec, model, event_id)),
+lab AS (SELECT g.rec, g.t, EXISTS (SELECT 1 FROM unc u WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS hit FROM grid g),
+sc4 AS (SELECT va.rec, va.rec % 5 AS grp, model, score, hit::INT AS label FROM va JOIN lab USING (rec, t) WHERE available AND score IS NOT NULL AND NOT un),
+bu4 AS (SELECT budget.*, rec % 5 AS grp, model FROM budget, (SELECT DISTINCT model FROM va))"""
+
+
+def _level_sql(name: str, level: str) -> str:
+    g = f"{level}, " if level else ""
+    on = f"USING ({g}model)"
+    keys = ", ".join(f"CAST({k} AS BIGINT) AS {k}" if k in level.split(", ") else f"CAST(NULL AS BIGINT) AS {k}" for k in ("grp", "rec"))
+    return f"""SELECT '{name}' AS level, {keys}, model, events, detected, overlap_detected, coalesce(false_declarations, 0) AS false_declarations, coalesce(duplicate_declarations, 0) AS duplicate_declarations, coalesce(total_declarations, 0) AS total_declarations, coalesce(active, 0) AS active, coalesce(longest, 0) AS longest,
+  raw, startup, uncertain, other_unavailable, evaluable, delay_n, delay_median, delay_q25, delay_q75, delay_min, delay_max, detected::DOUBLE / nullif(events, 0) AS sensitivity, overlap_detected::DOUBLE / nullif(events, 0) AS overlap_sensitivity, events - detected AS missed,
+  coalesce(false_declarations, 0)::DOUBLE * {B.HOUR} / nullif(evaluable, 0) AS false_per_hour, coalesce(active, 0)::DOUBLE / nullif(evaluable, 0) AS warning_fraction, coalesce(window_n, 0) AS window_n, coalesce(window_positive, 0) AS window_positive, round(average_precision, 9) AS average_precision, round(roc_auc, 9) AS roc_auc
+FROM (SELECT {g}model, {', '.join(f'sum({c})::BIGINT AS {c}' for c in Q.TIMES)} FROM bu4 GROUP BY {g}model)
+LEFT JOIN (SELECT {g}model, count(*) AS events, count(delay) AS detected, count(delay) AS delay_n, count(*) FILTER (WHERE over) AS overlap_detected, median(delay) AS delay_median, quantile_cont(delay, 0.25) AS delay_q25, quantile_cont(delay, 0.75) AS delay_q75, min(delay) AS delay_min, max(delay) AS delay_max FROM ev4 GROUP BY {g}model) {on}
+LEFT JOIN (SELECT {g}model, count(*) FILTER (WHERE status <> 'matched') AS false_declarations, count(*) FILTER (WHERE status = 'duplicate') AS duplicate_declarations, count(*) AS total_declarations, sum(fin - decl)::BIGINT AS active, max(fin - decl) AS longest FROM vj4 GROUP BY {g}model) {on}
+LEFT JOIN (SELECT {g}model, sum(n)::BIGINT AS window_n, sum(p)::BIGINT AS window_positive, CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN sum(p * tp / seen::DOUBLE) / sum(p) END AS average_precision, CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN (sum(p * (below + (n + 1) / 2.0)) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))) END::DOUBLE AS roc_auc
+  FROM (SELECT *, sum(p) OVER (PARTITION BY {g}model ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY {g}model ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY {g}model ORDER BY score) - n AS below FROM (SELECT {g}model, score, sum(label)::BIGINT AS p, count(*) AS n FROM sc4 GROUP BY {g}model, score)) GROUP BY {g}model) {on}"""
+
+
+_LEVELS = " UNION ALL BY NAME ".join(f"({_level_sql(n, ', '.join(k))})" for n, k in N.LEVELS.items())
+
 ORACLE = {
+    "q14_fusion_select_protected": f"""{_P}, {_FU}, {_SELECT}
+SELECT b.grp, b.thr AS eeg_threshold, coalesce(f2.al, 0.0)::DOUBLE AS alpha, coalesce(f2.at_, b.thr) AS threshold, f1.at_ AS f1_threshold, e.thr AS f3_threshold, CASE WHEN f2.grp IS NULL THEN 'no_eligible_nonzero_candidate' ELSE 'protected_improvement' END AS reason,
+  b.detected AS inner_eeg_detected, b.events AS inner_eeg_events, b.false_per_hour AS inner_eeg_far, b.delay_median AS inner_eeg_delay, coalesce(f2.detected, b.detected) AS inner_fusion_detected, coalesce(f2.false_per_hour, b.false_per_hour) AS inner_fusion_far, CASE WHEN f2.grp IS NULL THEN b.delay_median ELSE f2.delay_median END AS inner_fusion_delay,
+  CASE WHEN f2.grp IS NULL THEN b.detected ELSE f2.common_events END AS common_events, CASE WHEN f2.grp IS NULL THEN CASE WHEN b.detected > 0 THEN 0.0 END ELSE f2.common_delay_delta END::DOUBLE AS common_delay_delta
+FROM b1 b LEFT JOIN b1 e ON e.grp = b.grp AND e.fam = 'early' LEFT JOIN f2 ON f2.grp = b.grp LEFT JOIN f1 ON f1.grp = b.grp WHERE b.fam = 'base'""",
+    "q53_fusion_candidates": f"{_P}, {_FU}, {_SELECT} SELECT grp, al AS alpha, at_ AS threshold, events, detected, false_declarations, evaluable, sensitivity, false_per_hour, delay_median, common_events, common_delay_delta, reason, eligible, feasible FROM cd",
+    "q54_result_metrics": f"{_P}, {_FU}, {_ALL} {_LEVELS}",
+    "q55_paired_comparison": f"""{_P}, {_FU}, {_ALL}, lv AS ({_LEVELS})
+SELECT a.level, a.grp, a.rec, {', '.join(f'a.{c} AS eeg_{c}, b.{c} AS fusion_{c}, b.{c} - a.{c} AS delta_{c}' for c in N.PAIRED)}, CASE WHEN a.false_per_hour > 0 THEN (b.false_per_hour / a.false_per_hour - 1) * 100 END AS far_change_pct, (b.evaluable - a.evaluable) / a.raw::DOUBLE * 100 AS coverage_delta_pct
+FROM lv a JOIN lv b ON a.level = b.level AND a.grp IS NOT DISTINCT FROM b.grp AND a.rec IS NOT DISTINCT FROM b.rec WHERE a.model = 'F0' AND b.model = 'F2'""",
+    "q56_event_comparison": f"""{_P}, {_FU}, {_ALL}, w AS (SELECT r.rec, r.event_id, r.a, r.b, x.delay AS d0, y.delay AS d2, coalesce((SELECT bool_or(d.available AND d.score IS NOT NULL) FROM dec2 d WHERE d.rec = r.rec AND d.t <= r.a AND r.a < d.t + {B.STRIDE}), false) AS on_,
+  coalesce((SELECT sum(greatest(0, least(r.b, d.t + {B.STRIDE}, {B.DURATION}) - greatest(r.a, d.t))) FROM dec2 d WHERE d.rec = r.rec AND d.available AND d.score IS NOT NULL), 0) AS covered FROM refs r JOIN ev4 x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' JOIN ev4 y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2')
+SELECT rec, event_id, d0 IS NOT NULL AS eeg_detected, d2 IS NOT NULL AS fusion_detected, d0 AS eeg_delay, d2 AS fusion_delay, d2 - d0 AS delay_delta, CASE WHEN d0 IS NOT NULL AND d2 IS NOT NULL THEN 'preserved' WHEN d2 IS NOT NULL THEN 'rescued' WHEN d0 IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification,
+  coalesce(d0 <> d2, false) AS changed_delay_only, on_ AS ecg_available_at_onset, covered::DOUBLE / (b - a) AS ecg_ictal_available_fraction, 0.25::DOUBLE AS alpha FROM w""",
+    "q58_contribution_patients": f"""{_P}, c2 AS (SELECT rec, t AS a, least(t + {B.STRIDE}, {B.DURATION}) AS b FROM dec2 WHERE available AND score IS NOT NULL), q AS (SELECT rec, sum(b - a)::BIGINT AS q1 FROM {B.sweep_sql('expo', B.union_sql('c2'), B.BOTH)} GROUP BY rec)
+SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable, sum(coalesce(q1, 0))::BIGINT AS q1, sum(evaluable - coalesce(q1, 0))::BIGINT AS q0, sum(coalesce(q1, 0))::BIGINT AS active, sum(coalesce(q1, 0))::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0 GROUP BY 1""",
+    "q59_model_means": f"""{_P}, {_FU}, {_ALL}, lv AS ({_LEVELS})
+SELECT f.model, {', '.join(f'round(avg(f.{c}), 9) AS fold_mean_{c}, round(any_value(p.{c}), 9) AS pooled_{c}' for c in ('sensitivity', 'false_per_hour', 'delay_median'))} FROM lv f JOIN lv p ON p.model = f.model AND p.level = 'pooled' WHERE f.level = 'parent' GROUP BY f.model""",
     "q01_alarm_eval": f"""{_P}, {_AL}, {_EM},
 ja AS (SELECT rec, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'duplicate') AS dup, count(*) AS n, sum(fin - decl)::BIGINT AS act, max(fin - decl) AS longest FROM jd GROUP BY rec),
 me AS (SELECT rec, count(*) AS events, count(decl) AS detected, count(*) FILTER (WHERE over) AS overd, median(delay) AS dm, quantile_cont(delay, 0.25) AS dq FROM em GROUP BY rec)

@@ -34,11 +34,11 @@ def q23_rr_series(spark, sf):
     return _rr(spark, sf).select("rec", "x", "rr", "valid", "rate", "mid")
 
 
-RHYTHM = ["median_rate", "mean_rate", "median_rr", "mean_rr", "sdrr", "rmssd", "rate_slope_per_min", "late_less_early", "rr_cv"]
+RHYTHM = ["median_hr", "mean_hr", "median_rr", "mean_rr", "sdrr_s", "rmssd_s", "hr_slope_bpm_min", "early_late_hr", "rr_cv"]
 
 
 def q24_rhythm_features(spark, sf):
-    return Y.rhythm_features(_rr(spark, sf), K, K).select("rec", "n_valid", *map(_r, RHYTHM))
+    return Y.rhythm_features(_rr(spark, sf), K, K, F.lit(B.DURATION / 2 / B.HOUR)).select("rec", "n_valid", *map(_r, RHYTHM))
 
 
 def q25_relative_reference(spark, sf):
@@ -74,7 +74,7 @@ def q28_cross_channel_reduce(spark, sf):
 
 
 def q29_channel_correlation(spark, sf):
-    return H.correlation_summary(_vectors(spark, sf), ["montage"], "vec_id", "embedding").select("montage", F.col("n_channels").cast("bigint").alias("n_channels"), _r("corr_abs_mean"), _r("corr_abs_std"))
+    return H.correlation_summary(_vectors(spark, sf), ["montage"], "vec_id", "embedding").select("montage", F.col("n_channels").cast("bigint").alias("n_channels"), _r("mean_abs_channel_corr"), _r("std_abs_channel_corr"))
 
 
 def q30_welch_bands(spark, sf):
@@ -107,19 +107,26 @@ def q33_recording_shift_quantiles(spark, sf):
     return out.select("grp", *[_r(c) for c in out.columns if c != "grp"])
 
 
-CLOCKS = [("16:13.23", "23.59.50"), ("00.00.05", "23.59.50"), ("10.15.00", "10:14.59"), ("01.02.03", "13.02.03"), ("7.08.09", "19.20.21")]
-FIELDS = ["12.00.00 (clinical onset); 12.00.10 (electrical onset)", "23:59.59 opure 00.00.01", "9.08.07"]
+def _clocks(spark, sf):
+    """Clock texts made of each event's time and value: one or two digits, either separator."""
+    s = B.samples(spark, sf).withColumn("s", F.pmod(F.floor(F.col("x") / 1_000_000), F.lit(86_400)))
+    part = lambda c, wide: F.when(wide, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
+    text = lambda c, wide: F.concat(part(F.floor(c / 3600), wide), F.lit("."), part(F.floor(c / 60) % 60, wide), F.when(wide, ":").otherwise("."), part(c % 60, wide))
+    s = s.withColumn("z", F.pmod(F.col("s") + F.col("cents") * 7, F.lit(86_400)))
+    return s.withColumns({"a": text(F.col("s"), F.col("cents") % 2 == 0), "b": text(F.col("z"), F.col("cents") % 3 == 0)})
 
 
 def q34_clock_parse(spark, sf):
-    c = spark.createDataFrame(CLOCKS, "a string, b string").select("a", C.clock_seconds(F.col("a")).alias("s"), C.clock_seconds(F.col("b")).alias("z"))
-    return c.select("a", F.col("s").cast("bigint").alias("clock_s"), C.relative_seconds(F.col("s"), F.col("z")).cast("bigint").alias("relative_s"), C.signed_difference(F.col("s"), F.col("z")).cast("bigint").alias("signed_s"), C.lenient_relative(F.col("s"), F.col("z")).cast("bigint").alias("lenient_s"))
+    c = _clocks(spark, sf).select("event_id", "a", C.clock_seconds(F.col("a")).alias("s"), C.clock_seconds(F.col("b")).alias("z"))
+    return c.select("event_id", "a", F.col("s").cast("bigint").alias("clock_s"), C.relative_seconds(F.col("s"), F.col("z")).cast("bigint").alias("relative_s"), C.signed_difference(F.col("s"), F.col("z")).cast("bigint").alias("signed_s"), C.lenient_relative(F.col("s"), F.col("z")).cast("bigint").alias("lenient_s"))
 
 
 def q34b_clock_candidates(spark, sf):
-    c = spark.createDataFrame([(x,) for x in FIELDS], "raw string").withColumn("c", C.candidates(F.col("raw")))
+    k = F.col("cents") % 5
+    raw = F.when(k == 0, F.concat("a", F.lit(" (ELECTROGRAPHIC ONSET); "), "b", F.lit(" (clinical onset)"))).when(k == 1, F.concat("a", F.lit(" opure "), "b")).when(k == 2, F.concat("a", F.lit(" (Electric Onset)"))).otherwise(F.concat(F.lit(" "), "a", F.lit(" ")))
+    c = _clocks(spark, sf).select("event_id", raw.alias("raw")).withColumn("c", C.candidates(F.col("raw")))
     p = C.primary_candidate(F.col("c"))
-    return c.select("raw", F.size("c").cast("bigint").alias("n"), p["raw_clock"].alias("primary_clock"), p["clock_s"].cast("bigint").alias("primary_s"), p["kind"].alias("primary_kind"))
+    return c.select("event_id", F.size("c").cast("bigint").alias("n"), p["raw_clock"].alias("primary_clock"), p["clock_s"].cast("bigint").alias("primary_s"), p["kind"].alias("primary_kind"))
 
 
 def q35_forward_fill(spark, sf):
@@ -188,14 +195,10 @@ def q42_early_fusion(spark, sf):
     return U.early(U.align(one, two, ["rec", "t"]), ["rate"]).select("rec", "t", "score1", "early__rate")
 
 
-def _fused(spark, sf):
-    one = B.decisions(spark, sf).select("rec", "t", F.col("score").alias("score1"))
-    two = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("available2"), F.col("score").alias("score2"))
-    return U.align(one, two, ["rec", "t"])
-
-
 def q43_negative_controls(spark, sf):
-    return V.negative_controls(_fused(spark, sf), 0.25, 0.45, 0.5)
+    one = B.ready(spark, sf).withColumnRenamed("score", "score1")
+    two = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("available2"), F.col("score").alias("score2"))
+    return V.negative_controls(U.align(one, two, ["rec", "t"]), K, B.STRIDE, 0.25, 0.45, 0.5)
 
 
 def q44_onset_state(spark, sf):
@@ -260,12 +263,15 @@ def q51_inventory(spark, sf):
     return V.inventory(r, e)
 
 
-ODD = [(1, 100, 600, 100, 150, 160, 50, 60), (2, None, None, 100, 150, 160, None, None), (3, 100, 600, 120, None, 160, None, 60), (4, 100, 600, 100, 90, 80, -10, -20), (5, 100, 600, 86_300, 800, 900, 700, 800)]
-
-
 def q52_annotation_flags(spark, sf):
-    d = spark.createDataFrame(ODD, "n int, header_start_s int, duration_s int, registration_start_s int, start_clock_s int, end_clock_s int, start_s int, end_s int")
-    return V.annotation_flags(d).select("n", "flags")
+    """Listed events made of the samples, with all that can be odd about them."""
+    c = F.col("cents")
+    odd = lambda n, x: F.when(c % n != 0, x)
+    start = odd(7, c % 900 - 20)
+    d = B.samples(spark, sf).withColumn("h", (F.col("rec") * 7919) % 86_400).select(
+        "event_id", F.col("h").alias("header_start_s"), F.when(F.col("kind") != "error", F.lit(600)).alias("duration_s"), ((F.col("h") + F.when(c % 5 == 0, 20).otherwise(3)) % 86_400).alias("registration_start_s"),
+        odd(7, c).alias("start_clock_s"), odd(11, c).alias("end_clock_s"), start.alias("start_s"), odd(11, start + c % 40 - 5).alias("end_s"))
+    return V.annotation_flags(d).select("event_id", "flags")
 
 
 _P = B.prelude()
@@ -279,19 +285,21 @@ re AS (SELECT *, CASE WHEN n_baseline >= 3 THEN bm END AS baseline_median, n_bas
 _EMB = """em AS (SELECT vec_id, vec_id // 8 AS montage, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
 e1 AS (SELECT *, list_transform(range(2, len(a) + 1), lambda i: a[i] - a[i - 1]) AS d FROM em),
 e2 AS (SELECT *, list_transform(range(2, len(d) + 1), lambda i: d[i] - d[i - 1]) AS dd FROM e1),
-tf AS (SELECT vec_id, montage, a, sqrt(list_avg(list_transform(a, lambda x: x * x))) AS rms, list_stddev_pop(a) AS std, list_avg(list_transform(d, lambda x: abs(x))) AS line_length, list_var_pop(a) AS hjorth_activity, sqrt(list_var_pop(d) / nullif(list_var_pop(a), 0)) AS hjorth_mobility,
-  sqrt(list_var_pop(dd) / nullif(list_var_pop(d), 0)) / nullif(sqrt(list_var_pop(d) / nullif(list_var_pop(a), 0)), 0) AS hjorth_complexity FROM e2)"""
+tf AS (SELECT vec_id, montage, a, sqrt(list_avg(list_transform(a, lambda x: (x - list_avg(a)) * (x - list_avg(a))))) AS rms, list_stddev_pop(a) AS std, list_avg(list_transform(d, lambda x: abs(x))) AS line_length, list_var_pop(a) AS hjorth_activity, coalesce(sqrt(list_var_pop(d) / nullif(list_var_pop(a), 0)), 0) AS hjorth_mobility,
+  coalesce(sqrt(list_var_pop(dd) / nullif(list_var_pop(d), 0)) / nullif(sqrt(list_var_pop(d) / nullif(list_var_pop(a), 0)), 0), 0) AS hjorth_complexity FROM e2)"""
 _TR = f"""lb AS (SELECT g.rec, g.t, d.available, d.score, EXISTS (SELECT 1 FROM unc u WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS hit,
   EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a - {6 * B.HOUR} <= g.t AND g.t < r.b + {6 * B.HOUR}) AS near FROM grid g JOIN dec1 d USING (rec, t)),
 tr AS (SELECT *, CASE WHEN hit THEN 1 ELSE 0 END AS label FROM lb WHERE NOT un AND (hit OR NOT near) AND available)"""
 _DAY = 24 * B.HOUR
+_text = lambda c, wide: f"CASE WHEN {wide} THEN format('{{:02d}}.{{:02d}}:{{:02d}}', {c} // 3600, {c} // 60 % 60, {c} % 60) ELSE format('{{}}.{{}}.{{}}', {c} // 3600, {c} // 60 % 60, {c} % 60) END"
+_CLOCKS = f"""c0 AS (SELECT event_id, cents, x // 1000000 % 86400 AS s, (x // 1000000 % 86400 + cents * 7) % 86400 AS z FROM ev), ck AS (SELECT *, {_text('s', 'cents % 2 = 0')} AS a, {_text('z', 'cents % 3 = 0')} AS b FROM c0)"""
 _rs = lambda cols: ", ".join(f"round({c}, 8) AS {c}" for c in cols)
 
 ORACLE = {
     "q23_rr_series": f"{_P}, {_RR} SELECT rec, x, valid, rr, rate, mid FROM rv",
     "q24_rhythm_features": f"""{_P}, {_RR}, st AS (SELECT *, CASE WHEN valid AND lag(valid) OVER w THEN rr - lag(rr) OVER w END AS step FROM rv WINDOW w AS (PARTITION BY rec ORDER BY x)),
-s2 AS (SELECT *, mid > (min(mid) OVER (PARTITION BY rec) + max(mid) OVER (PARTITION BY rec)) / 2 AS late FROM st WHERE valid),
-f AS (SELECT rec, count(*) AS n_valid, median(rate) AS median_rate, avg(rate) AS mean_rate, median(rr) AS median_rr, avg(rr) AS mean_rr, stddev_samp(rr) AS sdrr, sqrt(avg(step * step)) AS rmssd, regr_slope(rate, mid) * 60 AS rate_slope_per_min, avg(rate) FILTER (WHERE late) - avg(rate) FILTER (WHERE NOT late) AS late_less_early, stddev_samp(rr) / avg(rr) AS rr_cv FROM s2 GROUP BY rec)
+f AS (SELECT rec, count(*) AS n_valid, median(rate) AS median_hr, avg(rate) AS mean_hr, median(rr) AS median_rr, avg(rr) AS mean_rr, stddev_samp(rr) AS sdrr_s, sqrt(avg(step * step)) AS rmssd_s, regr_slope(rate, mid) * 60 AS hr_slope_bpm_min,
+  median(rate) FILTER (WHERE mid >= {B.DURATION / 2 / B.HOUR}) - median(rate) FILTER (WHERE mid < {B.DURATION / 2 / B.HOUR}) AS early_late_hr, stddev_samp(rr) / avg(rr) AS rr_cv FROM st WHERE valid GROUP BY rec)
 SELECT rec, n_valid, {_rs(RHYTHM)} FROM f""",
     "q25_relative_reference": f"""{_P}, p AS (SELECT d.rec, d.t, any_value(d.available) AS usable, any_value(round(d.score * 40000)) AS score, CAST(count(q.score) AS INT) AS n_past, median(round(q.score * 40000)) AS med FROM dec2 d LEFT JOIN dec2 q ON q.rec = d.rec AND q.available AND q.t <= d.t - {_DAY} AND q.t >= d.t - {5 * _DAY} AND (d.t - q.t) % {_DAY} = 0 GROUP BY d.rec, d.t),
 z AS (SELECT *, n_past >= 3 AS reference_ready, CASE WHEN n_past >= 3 THEN med END AS reference FROM p)
@@ -303,10 +311,10 @@ b AS (SELECT rec, lead_ AS best FROM a WHERE n >= 12 QUALIFY row_number() OVER (
 z AS (SELECT *, CASE WHEN n_good = 0 THEN 'both_poor' WHEN n_good = 1 THEN 'only_lead_' || (only_ + 1) || '_good' WHEN hi - lo > greatest(10.0, 0.15 * lo) OR lo / hi::DOUBLE < 0.5 THEN 'gross_interlead_disagreement' ELSE 'both_good_agree_lexicographic_quality' END AS reason FROM g LEFT JOIN b USING (rec))
 SELECT rec, n_good, CASE WHEN n_good = 1 THEN only_ WHEN reason = 'both_good_agree_lexicographic_quality' THEN best END AS lead, reason FROM z""",
     "q27_channel_time_features": f"WITH {_EMB} SELECT vec_id, {_rs(NAMES)} FROM tf",
-    "q28_cross_channel_reduce": f"WITH {_EMB} SELECT montage, {', '.join(f'round(avg({c}), 8) AS {c}_mean, round(stddev_pop({c}), 8) AS {c}_std' for c in NAMES)} FROM tf GROUP BY montage",
+    "q28_cross_channel_reduce": f"WITH {_EMB} SELECT montage, {', '.join(f'round(avg({c}), 8) AS {c}_mean, round(stddev_pop({c}), 8) AS {c}_std_across_channels' for c in NAMES)} FROM tf GROUP BY montage",
     "q29_channel_correlation": f"""WITH {_EMB}, u AS (SELECT montage, vec_id, unnest(a) AS v, unnest(range(len(a))) AS i FROM em), k AS (SELECT montage, count(DISTINCT vec_id) AS n_channels FROM em WHERE list_var_pop(a) > 0 GROUP BY montage),
 c AS (SELECT p.montage, p.vec_id AS x, q.vec_id AS y, abs(corr(p.v, q.v)) AS r FROM u p JOIN u q ON p.montage = q.montage AND p.i = q.i AND p.vec_id < q.vec_id GROUP BY ALL)
-SELECT k.montage, n_channels, round(avg(r), 8) AS corr_abs_mean, round(stddev_pop(r), 8) AS corr_abs_std FROM k LEFT JOIN c ON c.montage = k.montage GROUP BY k.montage, n_channels""",
+SELECT k.montage, n_channels, round(avg(r), 8) AS mean_abs_channel_corr, round(stddev_pop(r), 8) AS std_abs_channel_corr FROM k LEFT JOIN c ON c.montage = k.montage GROUP BY k.montage, n_channels""",
     "q31_response_windows": f"{_P}, {_RES} SELECT rec, event_id, n_baseline, n_ictal, baseline_ready, analyzable, {_rs(['baseline_median', 'preictal_median', 'ictal_median', 'postictal_median', 'ictal_max', 'median_change', 'max_change', 'relative_change'])} FROM re",
     "q31b_response_summary": f"""{_P}, {_RES}, s AS (SELECT rec, count(*) AS events, count(*) FILTER (WHERE analyzable) AS analyzable_events, count(*) FILTER (WHERE analyzable AND median_change > 0) AS increase_events, median(baseline_median) FILTER (WHERE analyzable) AS baseline_median, min(median_change) FILTER (WHERE analyzable) AS min_change, median(median_change) FILTER (WHERE analyzable) AS median_change, max(median_change) FILTER (WHERE analyzable) AS max_change FROM re GROUP BY rec)
 SELECT rec, events, analyzable_events, increase_events, {_rs(['baseline_median', 'min_change', 'median_change', 'max_change'])}, round(increase_events::DOUBLE / nullif(analyzable_events, 0), 8) AS increase_fraction FROM s""",
@@ -316,10 +324,8 @@ s AS (SELECT rec, sum(b - a)::BIGINT AS startup FROM {B.sweep_sql('bg', 'unc', B
 SELECT rec, raw, coalesce(s.startup, 0) AS startup, uncertain, coalesce(poor_quality, 0) AS poor_quality, greatest(0, raw - coalesce(s.startup, 0) - uncertain - coalesce(poor_quality, 0) - coalesce(x.evaluable, 0)) AS acquisition_missing, coalesce(x.evaluable, 0) AS evaluable, round(100.0 * coalesce(x.evaluable, 0)::DOUBLE / raw, 8) AS coverage_pct, round(gw, 8) AS good_window_fraction, round(ms, 8) AS median_score
 FROM (SELECT rec, raw, uncertain FROM budget) LEFT JOIN x USING (rec) LEFT JOIN y USING (rec) LEFT JOIN s USING (rec) LEFT JOIN n USING (rec)""",
     "q33_recording_shift_quantiles": f"{_P} SELECT rec % 5 AS grp, {', '.join(f'round(quantile_cont(score, {q}), 8) AS q{round(q * 100):02d}' for q in (0.25, 0.5, 0.75, 0.95, 0.99))} FROM dec1 WHERE available GROUP BY 1",
-    "q34_clock_parse": "WITH c(a, b) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in CLOCKS) + """), p AS (SELECT a, list_transform(regexp_split_to_array(a, '[.:]'), lambda x: x::BIGINT) AS u, list_transform(regexp_split_to_array(b, '[.:]'), lambda x: x::BIGINT) AS v FROM c),
-s AS (SELECT a, u[1] * 3600 + u[2] * 60 + u[3] AS s, v[1] * 3600 + v[2] * 60 + v[3] AS z FROM p)
-SELECT a, s AS clock_s, (s - z + 86400) % 86400 AS relative_s, (s - z + 43200 + 86400) % 86400 - 43200 AS signed_s, CASE WHEN s - z < -43200 THEN s - z + 86400 ELSE s - z END AS lenient_s FROM s""",
-    "q34b_clock_candidates": "SELECT * FROM (VALUES ('" + FIELDS[0] + "', 2::BIGINT, '12.00.00', 43200::BIGINT, 'clinical'), ('" + FIELDS[1] + "', 2, '23:59.59', 86399, 'unspecified'), ('" + FIELDS[2] + "', 1, '9.08.07', 32887, 'unspecified')) t(raw, n, primary_clock, primary_s, primary_kind)",
+    "q34_clock_parse": f"{_P}, {_CLOCKS} SELECT event_id, a, s AS clock_s, (s - z + 86400) % 86400 AS relative_s, CASE WHEN s - z >= 43200 THEN s - z - 86400 WHEN s - z < -43200 THEN s - z + 86400 ELSE s - z END AS signed_s, CASE WHEN s - z < -43200 THEN s - z + 86400 ELSE s - z END AS lenient_s FROM ck",
+    "q34b_clock_candidates": f"{_P}, {_CLOCKS} SELECT event_id, CASE WHEN cents % 5 < 2 THEN 2 ELSE 1 END::BIGINT AS n, CASE WHEN cents % 5 = 0 THEN b ELSE a END AS primary_clock, CASE WHEN cents % 5 = 0 THEN z ELSE s END AS primary_s, CASE cents % 5 WHEN 0 THEN 'clinical' WHEN 2 THEN 'electrographic' ELSE 'unspecified' END AS primary_kind FROM ck",
     "q35_forward_fill": f"{_P}, c AS (SELECT *, CASE WHEN kind = 'purchase' THEN cents END AS clock FROM ev) SELECT rec, event_id, clock, last_value(clock IGNORE NULLS) OVER (PARTITION BY rec ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS filled, clock IS NULL AS inherited FROM c",
     "q36_folds_loro": f"""{_P}, i AS (SELECT rec % 5 AS grp, 'rec-' || rec AS item FROM recs), n AS (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY item) - 1 AS fold FROM i)
 SELECT n.grp, n.fold, (SELECT string_agg(o.item, '|' ORDER BY o.item) FROM i o WHERE o.grp = n.grp AND o.item <> n.item) AS train, n.item AS test FROM n""",
@@ -331,7 +337,12 @@ SELECT *, 'left' AS side FROM (FROM c EXCEPT FROM p) UNION ALL SELECT *, 'right'
 z AS (SELECT rec % 5 AS grp, CASE WHEN rec % 3 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS alpha, evaluable, coalesce(q1, 0) AS q1 FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0)
 SELECT grp, alpha, count(*) AS folds, sum(evaluable)::BIGINT AS evaluable, sum(q1)::BIGINT AS q1, sum(evaluable - q1)::BIGINT AS q0, sum(CASE WHEN alpha > 0 THEN q1 ELSE 0 END)::BIGINT AS active, sum(q1)::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM z GROUP BY grp, alpha""",
     "q41_detection_groups": f"{_P}, z AS (SELECT rec, bool_or(kind = 'click') AS c, bool_or(kind = 'purchase' AND cents > 20000) AS p FROM ev GROUP BY rec) SELECT rec, CASE WHEN c AND p THEN 'both' WHEN c THEN 'first_only' WHEN p THEN 'second_only' ELSE 'neither' END AS detection_group FROM z",
-    "q43_negative_controls": f"{_P} SELECT unnest(['NC1_alpha_zero', 'NC2_entire_outage', 'NC2_max_alpha_outage']) AS control, decisions, 0::BIGINT AS differing, true AS passed FROM (SELECT count(*) AS decisions FROM dec1)",
+    "q43_negative_controls": f"""{_P}, k AS (FROM (VALUES ('base', 0.0, true, 0.5), ('NC1_alpha_zero', 0.0, false, 0.45), ('NC2_entire_outage', 0.25, true, 0.45), ('NC2_max_alpha_outage', 0.5, true, 0.45)) v(control, al, out_, th)),
+f AS (SELECT d.rec, d.t, d.available, control, d.score AS score1, al <> 0 AND NOT out_ AND e.available AND e.score IS NOT NULL AS active, CASE WHEN active THEN (1 - al) * d.score + al * e.score ELSE d.score END AS score, CASE WHEN active THEN th ELSE 0.5 END AS thr FROM dec1 d JOIN dec2 e USING (rec, t), k),
+x AS (SELECT * FROM {B.alarms_sql('f', 'rec, control')}), n AS (SELECT control, count(*) AS decisions, count(*) FILTER (WHERE score IS DISTINCT FROM score1 OR thr <> 0.5) AS differing FROM f WHERE control <> 'base' GROUP BY 1),
+y AS (SELECT control, count(*) AS alarms FROM x GROUP BY 1),
+z AS (SELECT k.control, (SELECT count(*) FROM ((SELECT rec, decl, fin, reason FROM x WHERE x.control = k.control EXCEPT SELECT rec, decl, fin, reason FROM x WHERE x.control = 'base') UNION ALL (SELECT rec, decl, fin, reason FROM x WHERE x.control = 'base' EXCEPT SELECT rec, decl, fin, reason FROM x WHERE x.control = k.control))) AS differing_alarms FROM k WHERE k.control <> 'base')
+SELECT n.control, decisions, differing, coalesce(alarms, 0) AS alarms, differing_alarms, differing = 0 AND differing_alarms = 0 AS passed FROM n LEFT JOIN y USING (control) JOIN z USING (control)""",
     "q44_onset_state": f"{_P} SELECT r.rec, r.event_id, d.available AS available_at_onset FROM refs r LEFT JOIN dec2 d ON d.rec = r.rec AND d.t <= r.a AND r.a < d.t + {B.STRIDE}",
     "q45_reconcile_scores": f"{_P} SELECT coalesce(a.rec, b.rec) AS rec, count(*) AS n FROM (FROM dec1 WHERE available) a FULL JOIN (FROM dec2 WHERE available) b ON a.rec = b.rec AND a.t = b.t WHERE a.rec IS NULL OR b.rec IS NULL OR abs(a.score - b.score) > 0.25 GROUP BY 1",
     "q46_table_differences": f"{_P} SELECT rec, x // {_DAY} AS day, CAST(sum(CASE kind WHEN 'click' THEN 1 ELSE -1 END) AS BIGINT) AS surplus FROM ev WHERE kind IN ('click', 'purchase') GROUP BY ALL HAVING surplus <> 0",
@@ -342,8 +353,9 @@ z AS (SELECT rec, t, baseline_good, baseline_good >= 2 AS ready, CASE WHEN basel
 SELECT rec, t, baseline_good, ready AS baseline_ready, brr AS baseline_rr, mrr - brr AS relative_rr_delta, round(bra * {B.HOUR}, 8) AS baseline_rate, round((mra - bra) * {B.HOUR}, 8) AS relative_rate_delta, round(mra / bra, 8) AS relative_rate_ratio FROM z""",
     "q51_inventory": f"""{_P} SELECT * FROM (SELECT count(*) AS recordings, count(*) FILTER (WHERE rec % 3 <> 0) AS eligible_recordings, sum({B.DURATION} / 1000000.0)::DOUBLE AS total_seconds, sum({B.DURATION} / 1000000.0) FILTER (WHERE rec % 3 <> 0)::DOUBLE AS eligible_seconds FROM recs),
 (SELECT count(*) AS events, count(*) FILTER (WHERE rec % 3 <> 0) AS eligible_events, count(*) FILTER (WHERE rec % 3 = 0) AS quarantined_events, count(*) FILTER (WHERE b - a > {6 * B.HOUR}) AS uncertain_events FROM refs)""",
-    "q52_annotation_flags": """SELECT * FROM (VALUES (1, ''), (2, 'file_not_found'), (3, 'registration_start_text_disagrees_with_edf_header | seizure_start_unparsed'), (4, 'negative_seizure_start_offset | seizure_end_before_start'),
-(5, 'registration_start_text_disagrees_with_edf_header | seizure_start_after_edf_end | seizure_end_after_edf_end')) t(n, flags)""",
+    "q52_annotation_flags": f"""{_P}, o AS (SELECT event_id, kind <> 'error' AS has, cents % 5 = 0 AS drifts, CASE WHEN cents % 7 <> 0 THEN cents % 900 - 20 END AS st, CASE WHEN cents % 7 <> 0 AND cents % 11 <> 0 THEN cents % 900 - 20 + cents % 40 - 5 END AS en, cents % 7 = 0 AS ns, cents % 11 = 0 AS ne FROM ev)
+SELECT event_id, concat_ws(' | ', CASE WHEN NOT has THEN 'file_not_found' END, CASE WHEN has AND drifts THEN 'registration_start_text_disagrees_with_edf_header' END, CASE WHEN ns THEN 'seizure_start_unparsed' END, CASE WHEN ne THEN 'seizure_end_unparsed' END,
+  CASE WHEN st < 0 THEN 'negative_seizure_start_offset' END, CASE WHEN en < st THEN 'seizure_end_before_start' END, CASE WHEN has AND st > 605 THEN 'seizure_start_after_edf_end' END, CASE WHEN has AND en > 605 THEN 'seizure_end_after_edf_end' END) AS flags FROM o""",
     "q42_early_fusion": f"{_P} SELECT d.rec, d.t, d.score AS score1, CASE WHEN e.available THEN e.score END AS early__rate FROM dec1 d JOIN dec2 e USING (rec, t)",
 }
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

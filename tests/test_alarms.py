@@ -1,7 +1,9 @@
-"""The alarm machine and matching against hand-computed cases and a sequential model."""
+"""The alarm machine against a pattern over cells, and matching against a look-up per event."""
 
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from brontide.operators import alarms as A
@@ -9,44 +11,33 @@ from brontide.operators import intervals as I
 from brontide.operators import matching as M
 
 S = 5
-CASES = [
-    ([25], [(20, 30)], 1, 0, 0, 1), ([], [(20, 30)], 0, 0, 0, 0), ([10], [(30, 40)], 0, 1, 0, 0), ([10, 15, 20, 25], [(20, 30)], 0, 1, 0, 1), ([10, 25], [(10, 40)], 1, 1, 1, 1), ([20, 45], [(20, 30), (40, 50)], 2, 0, 0, 2),
-    (list(range(10, 55, 5)), [(20, 30), (40, 50)], 0, 1, 0, 2), ([35], [(20, 30)], 0, 1, 0, 0), ([20], [(20, 30)], 1, 0, 0, 1), ([30], [(20, 30)], 0, 1, 0, 0), ([], [(20, 30), (40, 50)], 0, 0, 0, 0), (list(range(10, 65, 5)), [(10, 20), (30, 40)], 1, 0, 0, 2),
-]
-
-
-def sequential(rows, barriers, duration, threshold):
-    """The machine as a loop: rows are (t, score or None)."""
-    out, active, low, last = [], None, 0, None
-
-    def close(at, why):
-        nonlocal active, low
-        if active is not None:
-            out.append((active, at, why))
-        active, low = None, 0
-
-    for t, score in rows:
-        if last is not None:
-            cuts = [(a, A.GAP) for a, b in barriers if a <= t and b > last]
-            if t > last + S:
-                cuts.append((last + S, A.MISSING))
-            if cuts:
-                close(max(last, min(cuts)[0]), min(cuts)[1])
-        if score is None:
-            close(t, A.UNAVAILABLE)
+
+
+def by_cells(decisions, barriers, duration, threshold):
+    """What alarms are, for times and barriers on the grid: each cell of a recording is a letter,
+    H or L by its decision's score, or a break (g gap, m missing, u unavailable); alarms are
+    found by a pattern over that text."""
+    known, final = dict(decisions), max((t for t, _ in decisions), default=-1)
+    out, text = [], ""
+    starts = range(0, duration, S)
+    for t in starts:
+        if t > final or (t not in known and not any(a <= t < b for a, b in barriers)):
+            text += "m"
         elif any(a <= t < b for a, b in barriers):
-            close(t, A.GAP)
-        elif score >= threshold:
-            active, low = (t if active is None else active), 0
-        elif active is not None:
-            low += 1
-            if low == 2:
-                close(t, A.TWO_BELOW)
-        last = t
-    if active is not None:
-        end = min(last + S, duration)
-        cuts = [a for a, _ in barriers if last < a < end]
-        close(min(cuts) if cuts else end, A.GAP if cuts else A.END if end == duration else A.MISSING)
+            text += "g"
+        else:
+            text += "u" if known[t] is None else "H" if known[t] >= threshold else "L"
+    for m in re.finditer("H(?:L?H)*", text):
+        after = text[m.end() :]
+        i = m.end()
+        if after.startswith("LL"):
+            out.append((starts[m.start()], starts[i + 1], A.TWO_BELOW))
+            continue
+        i += after.startswith("L")
+        if i == len(text):
+            out.append((starts[m.start()], duration, A.END))
+        else:
+            out.append((starts[m.start()], starts[i], {"g": A.GAP, "m": A.MISSING, "u": A.UNAVAILABLE}[text[i]]))
     return out
 
 
@@ -55,35 +46,56 @@ def frame(spark, streams):
     return spark.createDataFrame(rows, "rec int, t bigint, score double, available boolean, threshold double, duration bigint, barriers array<struct<start:bigint,end:bigint>>")
 
 
-def test_random_streams_equal_the_loop(spark):
+def test_random_streams_equal_the_pattern(spark):
     rng = random.Random(3)
     streams = []
     for _ in range(400):
-        duration = rng.randrange(40, 130)
+        duration = S * rng.randrange(8, 26)
         ts = [(t, None if rng.random() < 0.1 else rng.choice([0.0, 0.5, 0.9])) for t in range(10, duration, S) if rng.random() > 0.12]
-        bar, at = [], rng.randrange(0, 60)
+        bar, at = [], S * rng.randrange(0, 12)
         while at < duration and rng.random() < 0.6:
-            end = at + rng.randrange(1, 12)
+            end = at + S * rng.randrange(1, 4)
             bar.append((at, end))
-            at = end + rng.randrange(1, 30)
+            at = end + S * rng.randrange(1, 6)
         streams.append((ts, bar, duration))
     got = {(r.rec, r.declaration, r.end, r.reason) for r in A.alarm_stream(frame(spark, streams), ["rec"], S).collect()}
-    want = {(i, *a) for i, (ts, bar, d) in enumerate(streams) for a in sequential(ts, bar, d, 0.5)}
+    want = {(i, *a) for i, (ts, bar, d) in enumerate(streams) for a in by_cells(ts, bar, d, 0.5)}
     assert got == want and {w[3] for w in want} == {A.GAP, A.MISSING, A.UNAVAILABLE, A.TWO_BELOW, A.END}
 
 
-def test_table_of_cases(spark):
-    streams = [([(t, 1.0 if t in high else 0.0) for t in range(10, 65, S)], [], 65) for high, *_ in CASES]
-    alarms = A.alarm_stream(frame(spark, streams), ["rec"], S).cache()
-    ev = spark.createDataFrame([(i, f"e{j}", a, b) for i, (_, es, *_) in enumerate(CASES) for j, (a, b) in enumerate(es)], "rec int, event_id string, start bigint, end bigint")
-    judged = {(r.rec, r.status): r.n for r in M.match_alarms(alarms, ev, ["rec"])[0].groupBy("rec", "status").agg(F.count("*").alias("n")).collect()}
-    over = {r.rec: r.n for r in M.event_matches(alarms, ev, ["rec"]).groupBy("rec").agg(F.count_if("overlap_detected").alias("n")).collect()}
-    loop = {(r.rec, r.declaration, r.status) for r in M.match_alarms(alarms, ev, ["rec"])[0].collect()}
-    slow = {(r.rec, r.declaration, r.status) for r in M.match_overlapping(alarms, ev, ["rec"]).collect()}
-    assert loop == slow
-    for i, (_, _, matched, unmatched, duplicate, overlapped) in enumerate(CASES):
-        n = lambda s: judged.get((i, s), 0)  # noqa: E731, B023
-        assert (n("matched"), n("duplicate") + n("false"), n("duplicate"), over[i]) == (matched, unmatched, duplicate, overlapped), i
+def test_barriers_between_decisions(spark):
+    """A barrier that begins within a cell ends the alarm there; after the last decision too."""
+    high = [(t, 0.9) for t in (10, 15, 20)]
+    streams = [(high, [(17, 18)], 100), (high, [(22, 30)], 100), (high, [], 23), (high, [], 100), (high + [(40, 0.9)], [(31, 33)], 100)]
+    got = sorted((r.rec, r.declaration, r.end, r.reason) for r in A.alarm_stream(frame(spark, streams), ["rec"], S).collect())
+    assert got == [(0, 10, 17, A.GAP), (0, 20, 25, A.MISSING), (1, 10, 22, A.GAP), (2, 10, 23, A.END), (3, 10, 25, A.MISSING), (4, 10, 25, A.MISSING), (4, 40, 45, A.MISSING)]
+
+
+def test_bad_decisions_stop_the_job(spark):
+    for ts in ([(10, 1.2)], [(10, -0.1)], [(10, 0.2), (10, 0.3)], [(-5, 0.2)], [(65, 0.2)]):
+        with pytest.raises(Exception):
+            A.alarm_stream(frame(spark, [(ts, [], 65)]), ["rec"], S).collect()
+
+
+def test_matching_of_random_alarms(spark):
+    """Each event takes its first declaration, found per event; touching is looked up per pair."""
+    rng = random.Random(8)
+    alarms, events = [], []
+    for rec in range(60):
+        cuts = sorted(rng.sample(range(0, 200), 2 * rng.randrange(0, 8)))
+        alarms += [(rec, a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        cuts = sorted(rng.sample(range(0, 200), 2 * rng.randrange(0, 4)))
+        events += [(rec, f"e{a}", a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+    a = spark.createDataFrame(alarms, "rec int, declaration bigint, end bigint")
+    e = spark.createDataFrame(events, "rec int, event_id string, start bigint, end bigint")
+    inside = {(r, i): sorted(d for q, d, _ in alarms if q == r and s <= d < t) for r, i, s, t in events}
+    want = {(r, d): "matched" for (r, _), ds in inside.items() for d in ds[:1]} | {(r, d): "duplicate" for (r, _), ds in inside.items() for d in ds[1:]}
+    judged = M.match_alarms(a, e, ["rec"])[0].collect()
+    assert {(r.rec, r.declaration): r.status for r in judged} == {(r, d): want.get((r, d), "false") for r, d, _ in alarms}
+    slow = M.match_overlapping(a, e, ["rec"]).collect()
+    assert {(r.rec, r.declaration, r.status, r.event_id) for r in slow} == {(r.rec, r.declaration, r.status, r.event_id) for r in judged}
+    got = {(r.rec, r.event_id): (r.detected, r.delay, r.overlap_detected) for r in M.event_matches(a, e, ["rec"]).collect()}
+    assert got == {(r, i): (bool(inside[r, i]), inside[r, i][0] - s if inside[r, i] else None, any(q == r and d < t and x > s for q, d, x in alarms)) for r, i, s, t in events}
 
 
 def test_uncertainty_cuts_and_exposure(spark):

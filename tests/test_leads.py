@@ -97,10 +97,10 @@ def test_window_features(spark):
     assert len(out.columns) == 2 + 46
     got = {r.w: r for r in out.collect()}
     each = [dsp.channel_features(x, FS) for x in w]
-    assert all(abs(got[0][f"{k}_mean"] - np.mean([e[k] for e in each])) < 1e-9 and abs(got[0][f"{k}_std"] - np.std([e[k] for e in each])) < 1e-9 for k in X.NAMES)
-    assert abs(got[0].corr_abs_mean - np.abs(np.corrcoef(w)[np.triu_indices(3, 1)]).mean()) < 1e-9
+    assert all(abs(got[0][f"{k}_mean"] - np.mean([e[k] for e in each])) < 1e-9 and abs(got[0][f"{k}_std_across_channels"] - np.std([e[k] for e in each])) < 1e-9 for k in X.NAMES)
+    assert abs(got[0].mean_abs_channel_corr - np.abs(np.corrcoef(w)[np.triu_indices(3, 1)]).mean()) < 1e-9
     assert got[1].unavailable_reason == got[2].unavailable_reason == "nonfinite_or_all_flat" and got[1].rms_mean is None and got[2].rms_mean is None
-    assert got[3].unavailable_reason == "" and got[3].corr_abs_mean is None and H.reduce_channels
+    assert got[3].unavailable_reason == "" and got[3].mean_abs_channel_corr is None and H.reduce_channels
 
 
 def test_reference_needs_two_blocks(spark):

@@ -26,7 +26,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", ["q01_alarm_eval", "q08_time_budget", "q09_timeline_labels", "q12_threshold_choice", "q16_paired_levels", "q19_asof_state", "q21_average_precision_auc", "q24_rhythm_features", "q25_relative_reference", "q26_lead_choice", "q29_channel_correlation", "q32_coverage", "q36_folds_loro", "q39_anti_missing", "q43_negative_controls", "q44_onset_state", "q45_reconcile_scores", "q46_table_differences", "q47_interval_reference", "q51_inventory", "q52_annotation_flags"])
+@pytest.mark.parametrize("name", ["q01_alarm_eval", "q08_time_budget", "q09_timeline_labels", "q11_threshold_sweep", "q12_threshold_choice", "q14_fusion_select_protected", "q17_event_fates", "q27_channel_time_features", "q34_clock_parse", "q34b_clock_candidates", "q53_fusion_candidates", "q54_result_metrics", "q55_paired_comparison", "q56_event_comparison", "q58_contribution_patients", "q59_model_means", "q16_paired_levels", "q19_asof_state", "q21_average_precision_auc", "q24_rhythm_features", "q25_relative_reference", "q26_lead_choice", "q29_channel_correlation", "q32_coverage", "q36_folds_loro", "q39_anti_missing", "q43_negative_controls", "q44_onset_state", "q45_reconcile_scores", "q46_table_differences", "q47_interval_reference", "q51_inventory", "q52_annotation_flags"])
 def test_equal_to_sql(spark, con, name):
     df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)
