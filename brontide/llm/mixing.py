@@ -5,14 +5,20 @@ block of a source with weight w (of a total of D) is released at slot floor((j -
 and due at slot ceil(j D / w); of the released blocks the one due first is served. As the
 weights add up to D, every deadline is met, so after any number of slots each source is less
 than one block from its share. Weights are taken as they are, as exact fractions, and each
-source has its own; the schedule does not repeat. It is worked out on the driver, which
-sees one number a source and keeps one place a block, and runs to the slot of the last block
-there is. A source that runs dry leaves its later slots empty; no document is dropped or
-repeated.
+source has its own; the schedule does not repeat. A source that runs dry leaves its later
+slots empty; no document is dropped or repeated.
+
+Whole rows travel with their places: they are range-partitioned by source and key, numbered
+where they lie, and dealt to slots, so that no row is looked up again and equal rows can't be
+confused. The schedule is a stream of one small row a block, made by one task; the driver
+sees one number a source and a range.
 
 A null source is a source of its own. Sources for which the given weights have none (or none
-above zero) have no share: they are taken as one and follow after the last slot of the
-others. Rows with the same doc_id are placed separately.
+above zero) have no share, unless ``default`` gives them one: they are taken as one and
+follow after the last slot of the others. Rows with the same doc_id, repeated ones too, are
+placed separately; null texts count as empty ones, and texts of any length are one row each.
+An empty table gives an empty schedule. Further columns, whatever their names, stay as they
+are.
 """
 
 from __future__ import annotations
@@ -20,31 +26,20 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import islice
 from math import lcm
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ._shared import store
 from .line_dedup import NO_ID
 
 POOLED = "(other)"
-PERIOD = 1000
-BROADCAST_ROWS = 500_000  # places of blocks; beyond, the join shuffles
-
-
-def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Positive integers in these proportions that add up to ``period``, by largest remainder."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: w * (period - len(weights)) / total for s, w in weights.items()}  # one slot each is sure
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(out.values())]:
-        out[s] += 1
-    return out
+NONE = "(none)"
+BROADCAST_ROWS = 500_000  # of up to 40 bytes: at most 20 MB; beyond, the join shuffles
+#: Target weights of the registered query: some sources are wanted more than others.
+TARGETS, DEFAULT = {"src0": 4.0, "src1": 3.0, "src2": 2.5, "src3": 2.0, "src4": 1.5}, 1.0
 
 
 def pfair(weights: dict[str, float]) -> Iterator[tuple[str, int]]:
@@ -69,30 +64,39 @@ def pfair(weights: dict[str, float]) -> Iterator[tuple[str, int]]:
         slot += 1
 
 
-def pfair_period(weights: dict[str, int]) -> list[str]:
-    """The source that each slot of one period of whole weights serves."""
-    return [s for s, _ in islice(pfair(weights), sum(weights.values()))]
-
-
-def places(weights: dict[str, float], blocks: dict[str, int]) -> tuple[list[str], list[int], list[int]]:
+def places(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
     """source, block and slot of every block there is; ``blocks``: their number by source."""
-    left = sum(blocks.get(s, 0) for s in weights)
-    sources, numbers, slots = [], [], []
+    left, end = sum(blocks.get(s, 0) for s in weights), 0
     for slot, (s, j) in enumerate(pfair(weights) if left else ()):
         if j < blocks.get(s, 0):
-            sources.append(s)
-            numbers.append(j)
-            slots.append(slot)
+            yield s, j, slot
             left -= 1
             if not left:
+                end = slot + 1
                 break
-    end = slots[-1] + 1 if slots else 0
     for s in sorted(blocks.keys() - weights.keys()):  # without a weight
-        sources += [s] * blocks[s]
-        numbers += range(blocks[s])
-        slots += range(end, end + blocks[s])
+        for j in range(blocks[s]):
+            yield s, j, end + j
         end += blocks[s]
-    return sources, numbers, slots
+
+
+def _stream(weights: dict[str, float], blocks: dict[str, int], batch_rows: int = 1 << 16):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            rows: list[tuple] = []
+            for place in places(weights, blocks):
+                rows.append(place)
+                if len(rows) == batch_rows:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        source, block, slot = zip(*rows, strict=True)
+        return pa.record_batch({"source": pa.array(source, pa.string()), "block": pa.array(block, pa.int64()), "slot": pa.array(slot, pa.int64())})
+
+    return run
 
 
 def natural_weights(counts: dict[str, int], power: float) -> dict[str, float]:
@@ -100,46 +104,55 @@ def natural_weights(counts: dict[str, int], power: float) -> dict[str, float]:
     return {s: n**power for s, n in counts.items()}
 
 
-def _source():
-    return F.coalesce(F.col("source").cast("string"), F.lit("(none)"))
-
-
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
-    """did, version, copy (number among equal rows), source, block, in_block, slot; a row for each row of ``docs``."""
-    weights = {s: w for s, w in (weights or {}).items() if w > 0}
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"), _source().alias("source"))
-    if weights:
-        d = d.withColumn("source", F.when(F.col("source").isin(list(weights)), F.col("source")).otherwise(POOLED))
-    d = d.withColumn("copy", F.row_number().over(W.partitionBy("did", "version", "source").orderBy(F.lit(0)))).withColumn("key", F.xxhash64(F.lit(seed), "did", "version", "copy"))
-    order = ["source", "key", "did", "version", "copy"]
-    # Numbers within a source, though one task never sees all of it: each range is numbered
-    # by itself, and the ranges' counts, of which there are few, give where it begins.
-    ranged = d.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    ranged = store(ranged.withColumn("n", F.row_number().over(W.partitionBy("range", "source").orderBy("key", "did", "version", "copy"))), "ranges")
-    begins = ranged.groupBy("source", "range").agg(F.max("n").alias("size"))
-    counts = {r.source: r.n for r in begins.groupBy("source").agg(F.sum("size").alias("n")).collect()}
-    begins = begins.withColumn("begin", F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    numbered = ranged.join(begins, ["source", "range"]).withColumn("n", F.col("begin") + F.col("n") - 1)
-    numbered = numbered.withColumn("block", F.floor(F.col("n") / block_rows)).withColumn("in_block", F.col("n") % block_rows)
-    sources, blocks, slots = places(weights or natural_weights(counts, power), {s: -(-n // block_rows) for s, n in counts.items()})
-    at = docs.sparkSession.createDataFrame(pa.table({"source": pa.array(sources, pa.string()), "block": pa.array(blocks, pa.int64()), "slot": pa.array(slots, pa.int64())}))
-    out = numbered.join(F.broadcast(at) if len(slots) <= BROADCAST_ROWS else at, ["source", "block"])
-    return out.select("did", "version", "copy", "source", "block", "in_block", "slot")
-
-
-def mix(docs: DataFrame, **how) -> DataFrame:
+def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default: float | None, block_rows: int, power: float, seed: int) -> DataFrame:
+    """payload, source, block, in_block, slot; a row for each row of ``docs``."""
+    given = {s: w for s, w in (weights or {}).items() if w > 0}
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
+    if weights is not None:
+        has_share = source.isin(list(given)) if default is None else ~source.isin([s for s, w in weights.items() if w <= 0])
+        source = F.when(has_share, source).otherwise(POOLED)
+    did, version = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    d = docs.select(payload.alias("payload"), source.alias("source"), did.alias("did"), version.alias("version")).withColumn("key", F.xxhash64(F.lit(seed), "did", "version"))
+    order = ["source", "key", "did", "version"]
+    # Numbers within a source, though one task never sees all of it: rows are numbered where
+    # they lie, and the counts of each range, of which there are few, give where it begins.
+    lying = d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    lying = store(lying.withColumns({"range": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(2**33 - 1)}).drop("key", "did", "version"), "ranges")
+    spans = sorted(tuple(r) for r in lying.groupBy("source", "range").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect())
+    counts: dict[str, int] = {}
+    begins = []
+    for s, part, first, n in spans:  # one a source and range: sources lie in successive ranges
+        begins.append((s, part, counts.get(s, 0) - first))
+        counts[s] = counts.get(s, 0) + n
+    shares = natural_weights(counts, power) if weights is None else given if default is None else dict.fromkeys(counts.keys() - {POOLED}, default) | given
+    spark = docs.sparkSession
+    shift = spark.createDataFrame(begins, "source string, range bigint, shift bigint")
+    small = lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t
+    n = F.col("at") + F.col("shift")
+    numbered = lying.join(small(shift, len(begins)), ["source", "range"]).select("payload", "source", F.floor(n / block_rows).alias("block"), (n % block_rows).alias("in_block"))
+    blocks = {s: -(-k // block_rows) for s, k in counts.items()}
+    at = spark.range(1).coalesce(1).mapInArrow(_stream(shares, blocks), "source string, block bigint, slot bigint")
+    return numbered.join(small(at, sum(blocks.values())), ["source", "block"]).select("payload", "source", "block", "in_block", "slot")
+
+
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
+    """did, version (of the text), source, block, in_block, slot; a row for each row of ``docs``.
+    Without weights, sources have their number of documents to ``power``."""
+    keys = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"))
+    return _placed(docs, keys, weights, default, block_rows, power, seed).select("payload.*", "source", "block", "in_block", "slot")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
     """The rows of ``docs``, with the columns they have, in the order of the schedule: range
     partitions, and so written files, follow one another as the slots do."""
-    plan = schedule(docs, **how).select("did", "version", "copy", "slot", "source", "in_block")
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns])
-    d = docs.withColumns({"_mix_did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_mix_version": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    copies = W.partitionBy("_mix_did", "_mix_version", _source()).orderBy(F.lit(0))
-    d = d.withColumns({"_mix_copy": F.row_number().over(copies)})
-    at = ["_mix_slot", "_mix_source", "_mix_in_block"]
-    out = d.join(plan.drop("_mix_source").withColumn("_mix_source", F.lit("")), ["_mix_did", "_mix_version", "_mix_copy"]).repartitionByRange(*at).sortWithinPartitions(*at)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not docs.columns:
+        return docs
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _placed(docs, whole, weights, default, block_rows, power, seed)
+    at = ["slot", "source", "in_block"]
+    return out.repartitionByRange(*at).sortWithinPartitions(*at).select(*[F.col(f"payload.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"), TARGETS, DEFAULT)
     return out.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "source", "block", "in_block", "slot")
