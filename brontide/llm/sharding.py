@@ -8,13 +8,15 @@ may make a pair of the next tier, and so on; what has about the target size stay
 So below it each file that is left is of a higher tier than the next one, a row is
 rewritten about once a tier and at most once a compaction, and only successive files are
 merged, so that rows keep the order of their runs. Files are written under a name of their
-own, and a version of the manifest that lists them all, with sizes, is committed by one
-rename; if another writer has committed meanwhile, the merges are planned anew from that
+own, each by one task, and a version of the manifest that lists them all, with sizes, is
+committed by one rename onto a name that must be free; if another writer has committed meanwhile, the merges are planned anew from that
 version. Readers see the old version or the new one.
 
 Plans are made on the driver, on one entry a file. Rows are kept whole, with all their
-columns, null or not; columns that an arrival lacks are null there. An empty table commits
-a manifest without new files.
+columns, null or not, repeated or not; columns that an arrival lacks are null there. Texts
+of any length are one row. Columns may have any names; where they are those of the two
+that readers get beside them, readers' have further underscores. An empty table commits a
+manifest without new files.
 """
 
 from __future__ import annotations
@@ -24,18 +26,30 @@ import math
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._shared import shared_dir
 
-SHARD = "_shard_no"
+SHARD, ROW = "_shard_no", "_row"
 FULL = 0.75  # of the target: files from here on stay, as merged rows often take less room than their runs
 #: A file's path below the root.
 WITHIN = "((?:runs|shards)/[0-9a-f]{32}/.*)$"
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many further underscores as it takes to be none of ``taken``."""
+    low = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -53,7 +67,7 @@ def append_run(docs: DataFrame, root: str, run_rows: int = 20_000, order: list[C
     """Write arrivals as small runs, in ``order`` or else without a shuffle; the folder that holds them."""
     path = f"{root}/runs/{uuid.uuid4().hex}"
     if order:
-        names = [f"_order_{i}" for i in range(len(order))]
+        names = free_names(docs.columns, *[f"_order_{i}" for i in range(len(order))])
         docs = docs.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
     docs.write.option("maxRecordsPerFile", run_rows).option("compression", "zstd").parquet(path)
     return path
@@ -106,11 +120,13 @@ def merge(spark: SparkSession, groups: list[list[dict]], root: str, schema: Stru
         return [f for g in groups for f in g]
     rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for _, g in many for f in g])
     meta = rows.metadataColumn("_metadata")
-    plan = spark.createDataFrame([(f["path"], k, i) for k, g in many for i, f in enumerate(g)], f"_run_path string, {SHARD} bigint, _run_no bigint")
-    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias("_run_path"), meta["row_index"].alias("_run_row")).join(F.broadcast(plan), "_run_path")
+    path_, shard_, run_, row_ = free_names(schema.names, "_path", SHARD, "_run", ROW)
+    plan = spark.createDataFrame([(f["path"], n, i) for n, (_, g) in enumerate(many) for i, f in enumerate(g)], f"`{path_}` string, `{shard_}` int, `{run_}` int")
+    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(F.broadcast(plan), path_)
     path = f"{root}/shards/{uuid.uuid4().hex}"
-    rows.repartition(len(many), SHARD).sortWithinPartitions(SHARD, "_run_no", "_run_row").drop("_run_path", "_run_no", "_run_row").write.partitionBy(SHARD).option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
-    merged = {int(f["path"].split("/")[2].split("=")[1]): f for f in list_files(spark, path, schema)}
+    dealt = rows.repartitionById(len(many), F.col(shard_)).sortWithinPartitions(shard_, run_, row_)  # a task a shard
+    dealt.drop(path_, run_, row_).write.partitionBy(shard_).option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
+    merged = {many[int(f["path"].split("/")[2].split("=")[1])][0]: f for f in list_files(spark, path, schema)}
     return [merged[k] if len(g) > 1 else g[0] for k, g in enumerate(groups)]
 
 
@@ -160,22 +176,43 @@ def commit(spark: SparkSession, root: str, entry: dict, base: int | None = None)
         out = fs.create(tmp, True)
         out.write(bytearray(json.dumps(entry, sort_keys=True).encode()))
         out.close()
-        if not fs.exists(final) and fs.rename(tmp, final):
+        if _rename_to_free(spark, fs, tmp, final):
             return entry
         fs.delete(tmp, False)
 
 
+def _rename_to_free(spark: SparkSession, fs, tmp, final) -> bool:
+    """Rename, unless the target exists. Where the file system has the newer interface its rename
+    itself refuses; else the target is looked up before."""
+    jvm = spark._jvm
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(tmp).toUri(), spark._jsc.hadoopConfiguration())
+    except Py4JJavaError:  # no such interface
+        return not fs.exists(final) and fs.rename(tmp, final)
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kinds, 1)
+    how[0] = kinds.NONE
+    try:
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(final), how)
+    except Py4JJavaError as e:
+        if fs.exists(tmp) and fs.exists(final):
+            return False
+        raise e
+    return True
+
+
 def read(spark: SparkSession, root: str, entry: dict) -> DataFrame:
-    """The rows of a version, with ``_shard_no`` (the file's place in the manifest) and ``_row``
-    (the place in the file)."""
+    """The rows of a version, with ``_shard_no`` (the file's place in the manifest) and ``_row`` (the
+    place in the file) as the last two columns, under :func:`free_names`."""
     schema = StructType.fromJson(entry["schema"])
+    path_, shard_, row_ = free_names(schema.names, "_path", SHARD, ROW)
     if not entry["files"]:
-        return spark.createDataFrame([], schema).withColumns({SHARD: F.lit(0).cast("bigint"), "_row": F.lit(0).cast("bigint")})
+        return spark.createDataFrame([], schema).withColumns({shard_: F.lit(0).cast("bigint"), row_: F.lit(0).cast("bigint")})
     rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for f in entry["files"]])
     meta = rows.metadataColumn("_metadata")
-    numbers = spark.createDataFrame([(f["path"], n) for n, f in enumerate(entry["files"])], f"_run_path string, {SHARD} bigint")
-    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias("_run_path"), meta["row_index"].alias("_row")).join(F.broadcast(numbers), "_run_path")
-    return rows.select(*[F.col(f"`{c}`") for c in schema.names], SHARD, "_row")
+    numbers = spark.createDataFrame([(f["path"], n) for n, f in enumerate(entry["files"])], f"`{path_}` string, `{shard_}` bigint")
+    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(F.broadcast(numbers), path_)
+    return rows.select(*[F.col(f"`{c}`") for c in schema.names], shard_, row_)
 
 
 def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20, fan: int = 4, run_rows: int = 20_000, order: list[Column] | None = None) -> tuple[DataFrame, dict]:
@@ -189,4 +226,4 @@ def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 2
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, entry = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col(SHARD).alias("shard"), F.col("_row").alias("row_in_shard"), F.lit(entry["version"]).cast("bigint").alias("manifest_version"))
+    return out.select("doc_id", F.col(out.columns[-2]).alias("shard"), F.col(out.columns[-1]).alias("row_in_shard"), F.lit(entry["version"]).cast("bigint").alias("manifest_version"))
