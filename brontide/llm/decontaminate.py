@@ -1,16 +1,20 @@
 """Operator 3: benchmark passages inside documents. DataFrame functions only.
 
-Windows of a document are as long as a benchmark item. Only windows aligned with a shingle
-that some item has are looked at, since all others share nothing with any item; and only in
-documents with enough such shingles for the threshold. Each window gets a 64-bit SimHash of
-its shingles; an index of eight 8-bit blocks, each probed with every key at most radius / 8
-bits away, finds all item fingerprints of that window size within the radius; the exact
-similarity of the shingles, weighted by how often they occur, decides.
+Windows of a document are as long as a benchmark item, and lie where the document holds one
+of the item's anchors: shingles evenly spaced over the item, so many that an item can't lose
+them all and stay similar. Anchors place windows and decide nothing. Each window gets a
+128-bit SimHash of its shingles, as each item has; an index of eight 16-bit blocks, probed
+with every key at most radius / 8 bits away (the items' side flips all but one of the bits,
+the windows' side the last), finds for a window all items of its size whose fingerprints are
+within the radius, whichever item's anchor placed it; the exact similarity of the shingles,
+weighted by how often they occur, decides.
 
 Text is lower-cased and cut into runs of letters and digits. Null texts have no words; items
 and documents of fewer than ``k`` words have no shingles and match nothing; null item ids
-stay, as an id. A document shorter than an item has one window, the whole of it. Rows with
-equal doc_id and text are searched as one and each counts in the result once.
+stay, as an id. A document shorter than an item has one window, the whole of it; texts of
+any length are read whole. Rows with equal doc_id and text are searched as one and each
+counts in the result once, and so do repeated items; of equally good windows the first
+counts. Empty tables give an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import Window as W
 
 from .line_dedup import NO_ID
 
-BLOCKS, BLOCK_BITS = 8, 8
+BLOCKS, BLOCK_BITS = 8, 16
 BROADCAST_ROWS = 500_000  # of 16 to 40 bytes: at most 20 MB; beyond, the join shuffles
 
 
@@ -40,14 +44,32 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """Each bit by the majority of the shingles, repeated ones counting as often as they occur."""
-    vote = lambda b: F.aggregate(shingles, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int") * 2 - 1)
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.when(vote(b) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+    """128 bits as (lo, hi). Each bit by the majority of the shingles, repeated ones counting as
+    often as they occur; the upper half takes its votes from the hash of the hash."""
+
+    def half(votes: Column) -> Column:
+        bit = lambda b: F.aggregate(votes, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int") * 2 - 1) > 0
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+
+    return F.struct(half(F.col(shingles)).alias("lo"), half(F.transform(shingles, lambda h: F.xxhash64(h))).alias("hi"))
 
 
 def _block(fp: Column, b: Column | int) -> Column:
-    at = b * BLOCK_BITS if isinstance(b, Column) else F.lit(b * BLOCK_BITS)
-    return F.call_function("shiftrightunsigned", fp, at.cast("int")).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
+    """Block b (from 0) of a fingerprint: four are in each half."""
+    b = F.lit(b) if isinstance(b, int) else b
+    half = F.when(b < 4, fp["lo"]).otherwise(fp["hi"])
+    return F.call_function("shiftrightunsigned", half, (b % 4 * BLOCK_BITS).cast("int")).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
+
+
+def _flips(most: int) -> list[int]:
+    return [sum(1 << b for b in bits) for r in range(most + 1) for bits in combinations(range(BLOCK_BITS), r)]
+
+
+def anchors(n: Column, k: int) -> Column:
+    """Evenly spaced places, the first and the last among them, of n shingles. Similar at 0.8, a window
+    lacks at most a ninth of them; to lack an inner anchor it has to lack k, and so not all."""
+    many = F.greatest(F.lit(8), 3 + F.floor(n / (8 * k)))
+    return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), many - 1), lambda t: F.floor(t * (n - 1) / (many - 1))))
 
 
 def _common(a: str, b: str) -> Column:
@@ -63,40 +85,46 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")).withColumn("version", F.xxhash64("text"))
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23) -> DataFrame:
-    """did, version, item_id, similarity, start, n_words: the best window of each document and
-    item (the first, if several are as good)."""
-    items = benchmark.select("item_id", _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).withColumn("gs", _shingles(F.col("w"), k)).where(F.size("gs") > 0)
-    items = items.select("item_id", F.xxhash64("item_id", "gs").alias("item"), F.size("w").alias("n"), "gs").dropDuplicates(["item_id", "item"])
-    grams = items.select("item", "n", F.posexplode("gs").alias("j", "h"))
-    small = grams.count() <= BROADCAST_ROWS
-    if small:
-        grams = F.broadcast(grams)
-    d = keyed(docs)
-    cut = d.select("did", "version", _words("text").alias("w")).select("did", "version", F.size("w").alias("doc_n"), _shingles(F.col("w"), k).alias("gs"))
-    hits = cut.select("did", "version", "doc_n", F.posexplode_outer("gs").alias("i", "h")).join(grams, "h")
+def place_windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """did, version, n, start, ws: the windows that anchors place, with their shingles. ``items``: n (words), gs (shingles)."""
+    places = items.select("n", "gs", F.explode(anchors(F.size("gs"), k)).alias("j")).select("n", F.get("gs", F.col("j").cast("int")).alias("h"), F.col("j").cast("int").alias("j")).distinct()
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    cut = docs.select("did", "version", _words("text").alias("w")).select("did", "version", F.size("w").alias("doc_n"), _shingles(F.col("w"), k).alias("gs"))
+    hits = cut.select("did", "version", "doc_n", F.posexplode("gs").alias("i", "h")).join(places, "h")
     last = F.greatest(F.lit(0), F.col("doc_n") - F.col("n"))
-    aligned = hits.groupBy("did", "version", "item", "n", F.least(last, F.greatest(F.lit(0), F.col("i") - F.col("j"))).alias("start")).agg(F.count("*").alias("hits"))
-    total = F.sum("hits").over(W.partitionBy("did", "version", "item"))
-    starts = aligned.withColumn("hits", total).where(F.col("hits") >= F.ceil(F.lit(threshold) * (F.col("n") - k + 1) - 1e-9))
-    windows = starts.groupBy("did", "version").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
-
-    texts = d.join(windows, ["did", "version"]).dropDuplicates(["did", "version"])
-    texts = texts.select("did", "version", "windows", _shingles(_words("text"), k).alias("gs"))
-    cutout = texts.select("did", "version", "gs", F.inline_outer("windows")).withColumn("ws", F.slice("gs", F.col("start") + 1, F.col("n") - k + 1)).drop("gs")
-    cutout = cutout.withColumn("fp", simhash("ws"))
-    prints = items.withColumn("item_fp", simhash("gs"))
+    spots = hits.select("did", "version", "n", F.least(last, F.greatest(F.lit(0), F.col("i") - F.col("j"))).alias("start"))
+    spots = spots.groupBy("did", "version").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
+    texts = docs.join(spots, ["did", "version"]).dropDuplicates(["did", "version"]).select("did", "version", "windows", _shingles(_words("text"), k).alias("gs"))
+    each = F.inline(F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("gs", w["start"] + 1, w["n"] - k + 1).alias("ws"))))
+    return texts.select("did", "version", each)
+
+
+def near_fingerprints(windows: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """The rows of ``windows`` (n, fp and others) beside ``item``, for all items (n, fp, item) of that size
+    whose fingerprints are within ``radius`` bits; each pair once."""
     reach = radius // BLOCKS
-    flips = [sum(1 << b for b in bits) for r in range(reach + 1) for bits in combinations(range(BLOCK_BITS), r)]
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    probes = prints.withColumn("block", blocks).withColumn("flip", F.explode(F.array(*map(F.lit, flips)))).select("item_id", "item", "n", "gs", "item_fp", "block", _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("key"))
-    indexed = cutout.withColumn("block", blocks).withColumn("key", _block(F.col("fp"), F.col("block")))
-    near = indexed.join(probes, ["n", "block", "key"])
-    differs = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
+    probed = lambda d, flips, name: d.select("*", blocks).select("*", F.explode(F.array(*map(F.lit, flips))).alias(name)).withColumn("key", _block(F.col("fp"), F.col("block")).bitwiseXOR(F.col(name)))
+    index = probed(items.select("n", "fp", "item"), _flips(max(0, reach - 1)), "item_flip").withColumnRenamed("fp", "item_fp")
+    pairs = probed(windows, _flips(1 if reach else 0), "flip").join(index, ["n", "block", "key"])
+    # A difference is split in one way: the windows' side flips none, or the highest of ``reach`` bits.
+    once = (F.col("flip") == 0) | ((F.bit_count("item_flip") == reach - 1) & (F.col("flip") > F.col("item_flip")))
+    differs = F.struct(F.col("fp.lo").bitwiseXOR(F.col("item_fp.lo")).alias("lo"), F.col("fp.hi").bitwiseXOR(F.col("item_fp.hi")).alias("hi"))
+    pairs = pairs.where(once).withColumn("differs", differs).where(F.bit_count("differs.lo") + F.bit_count("differs.hi") <= radius)
     before = F.lit(False)  # a pair that several blocks find counts for the first of them
     for b in range(BLOCKS - 1):
-        before = before | ((F.col("block") > b) & (F.bit_count(_block(differs, b)) <= reach))
-    near = near.where((F.bit_count(differs) <= radius) & ~before)
+        before = before | ((F.col("block") > b) & (F.bit_count(_block(F.col("differs"), b)) <= reach))
+    return pairs.where(~before).select(*windows.columns, "item")
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 38) -> DataFrame:
+    """did, version, item_id, similarity, start, n_words: the best window of each document and
+    item (the first, if several are as good)."""
+    items = benchmark.select("item_id", _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).withColumn("gs", _shingles(F.col("w"), k)).where(F.size("gs") > 0)
+    items = items.select("item_id", F.xxhash64("item_id", "gs").alias("item"), F.size("w").alias("n"), "gs").dropDuplicates(["item_id", "item"])
+    windows = place_windows(keyed(docs), items, k).withColumn("fp", simhash("ws"))
+    near = near_fingerprints(windows, items.withColumn("fp", simhash("gs")), radius).join(items.select("item", "item_id", "gs"), "item")
     common = _common("ws", "gs")
     scored = near.withColumn("similarity", common / (F.size("ws") + F.size("gs") - common)).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", (-F.col("start")).alias("s")))
@@ -117,9 +145,12 @@ OP3_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
 ds AS (SELECT doc_id, len(w) AS doc_n, unnest(range(len(w) - 4)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' '))) AS g FROM d WHERE len(w) > 4),
-bs AS (SELECT item_id, len(w) AS n, unnest(range(len(w) - 4)) AS j, unnest(list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' '))) AS g FROM b WHERE len(w) > 4),
-s AS (SELECT DISTINCT doc_id, item_id, n, doc_n, least(greatest(doc_n - n, 0), greatest(i - j, 0)) AS start FROM ds JOIN bs USING (g)),
-wc AS (SELECT s.doc_id, s.item_id, s.n, s.start, g, count(*) AS c FROM s JOIN ds ON ds.doc_id = s.doc_id AND ds.i >= s.start AND ds.i <= s.start + s.n - 5 GROUP BY ALL),
+bs AS (SELECT item_id, len(w) AS n, len(w) - 4 AS size_, unnest(range(len(w) - 4)) AS j, unnest(list_transform(range(1, len(w) - 3), lambda x: array_to_string(w[x:x + 4], ' '))) AS g FROM b WHERE len(w) > 4),
+an AS (SELECT *, greatest(8, 3 + size_ // 40) AS many FROM bs),
+ak AS (SELECT * FROM an WHERE list_contains(list_transform(range(many), lambda t: t * (size_ - 1) // (many - 1)), j)),
+s AS (SELECT DISTINCT doc_id, ak.n, doc_n, least(greatest(doc_n - ak.n, 0), greatest(i - j, 0)) AS start FROM ds JOIN ak USING (g)),
+si AS (SELECT DISTINCT s.doc_id, b2.item_id, s.n, s.start FROM s JOIN bs b2 ON b2.n = s.n JOIN ds ON ds.doc_id = s.doc_id AND ds.g = b2.g AND ds.i >= s.start AND ds.i <= s.start + s.n - 5),
+wc AS (SELECT s.doc_id, s.item_id, s.n, s.start, ds.g, count(*) AS c FROM si s JOIN ds ON ds.doc_id = s.doc_id AND ds.i >= s.start AND ds.i <= s.start + s.n - 5 GROUP BY ALL),
 bc AS (SELECT item_id, g, count(*) AS c FROM bs GROUP BY ALL),
 m AS (SELECT wc.doc_id, wc.item_id, wc.n, wc.start, sum(least(wc.c, coalesce(bc.c, 0))) AS common, sum(wc.c) AS size FROM wc LEFT JOIN bc ON bc.item_id = wc.item_id AND bc.g = wc.g GROUP BY ALL),
 v AS (SELECT *, CAST(common AS DOUBLE) / CAST(size + n - 4 - common AS DOUBLE) AS similarity FROM m)
