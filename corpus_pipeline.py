@@ -10,50 +10,52 @@ from brontide.llm import decontaminate, minhash_dedup, mixing, quality_rules, sh
 from brontide.llm._shared import store
 
 
-def _keys(docs: DataFrame) -> DataFrame:
+def _whole(docs: DataFrame) -> DataFrame:
+    """Each row as one column, doc, beside its keys: columns of any name pass through."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_did": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(minhash_dedup.NO_ID)), "_version": F.xxhash64(text)})
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(minhash_dedup.NO_ID)).alias("did"), F.xxhash64(text).alias("version"))
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def _columns(d: DataFrame, docs: DataFrame) -> DataFrame:
+    return d.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.judge(docs.select(F.struct(*_columns(docs)).alias("_doc"), "text", "lang"))
+    read = ["text", *[c for c in docs.columns if c == "lang"]]
+    judged = quality_rules.judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *read))
     # Out of a generator, the verdict can't be pushed below and computed piecemeal.
-    return judged.select("_doc", F.inline_outer(F.array(F.struct("kept")))).where("kept").select("_doc.*")
+    return _columns(judged.select("doc", F.inline_outer(F.array(F.struct("kept")))).where("kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least doc_id. Documents
-    without words belong to no group and stay."""
+    """One document of each group of near-duplicates: that with the least doc_id (of rows that share
+    it, that with the least hash of its text, and one of equal ones). Documents without words
+    belong to no group and stay."""
     marked = minhash_dedup.near_duplicates(docs, k=5, percent=80)
-    first = marked.where("n_shingles > 0 AND did = component").groupBy("component", "component_set").agg(F.min("version").alias("_version"))
-    stay = first.select(F.col("component").alias("_did"), "_version", F.lit(True).alias("_one")).unionByName(marked.where("n_shingles = 0").select(F.col("did").alias("_did"), F.col("version").alias("_version"), F.lit(False).alias("_one")).distinct())
-    kept = _keys(docs).join(stay, ["_did", "_version"])
-    copy = F.row_number().over(W.partitionBy("_did", "_version").orderBy(F.lit(0)))
-    return kept.withColumn("_copy", copy).where("_copy = 1 OR NOT _one").select(*_columns(docs))
+    first = marked.where("n_shingles > 0 AND did = component").groupBy("component", "component_set").agg(F.min("version").alias("version"))
+    stay = first.select(F.col("component").alias("did"), "version", F.lit(True).alias("one")).unionByName(marked.where("n_shingles = 0").select("did", "version", F.lit(False).alias("one")).distinct())
+    kept = _whole(docs).join(stay, ["did", "version"])
+    copy = F.row_number().over(W.partitionBy("did", "version").orderBy(F.lit(0)))
+    return _columns(kept.withColumn("copy", copy).where("copy = 1 OR NOT one"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = found.select(F.col("did").alias("_did"), F.col("version").alias("_version"))
-    return _keys(docs).join(found, ["_did", "_version"], "left_anti").select(*_columns(docs))
+    return _columns(_whole(docs).join(found, ["did", "version"], "left_anti"), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the schedule, which the shards of the last stage keep."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.TARGETS, mixing.DEFAULT)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The committed shards: which one holds a document, and where. By shard and row they follow
     the order in which the stage before was written."""
     out, _ = sharding.shard(docs, order=sharding.file_order(docs))
-    return out.select("doc_id", F.col(sharding.SHARD).alias("shard"), F.col("_row").alias("row_in_shard"))
+    return out.select("doc_id", F.col(out.columns[-2]).alias("shard"), F.col(out.columns[-1]).alias("row_in_shard"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]

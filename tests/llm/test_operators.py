@@ -128,13 +128,125 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_passages(d.limit(0), bench).count() == 0
 
 
-def test_decontamination_reaches_far_fingerprints(spark):
-    """One word of 49 changed: similarity 40/50. Fingerprints of these pairs differ in 23, 20 and 20 bits."""
-    text = lambda i, edit: " ".join(f"other{i}" if edit and j == 24 else f"w{i}x{j}" for j in range(49))
-    ids = [1573, 1657, 4087]
-    table = lambda edit, key: spark.createDataFrame([(i, text(i, edit)) for i in ids], f"{key} bigint, text string")
-    got = sorted((r.did, r.item_id, r.similarity) for r in decontaminate.find_passages(table(True, "doc_id"), table(False, "item_id")).collect())
-    assert got == [(i, i, 0.8) for i in ids]
+def shares(a, b, k=5):
+    x, y = (Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (a, b))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def test_decontamination_recall(spark):
+    """Items of many sizes, edited in every way that leaves 0.8, between other words: all are found,
+    with the similarity of the best window that lies at an anchor or better."""
+    import random
+
+    rng = random.Random(21)
+    items, docs_, want = [], [], {}
+    for i in range(400):
+        n = rng.randrange(30, 260)
+        item = [f"w{i}x{j}" if rng.random() < 0.8 else rng.choice(("the", "of", "and")) for j in range(n)]
+        other = list(item)
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(other))
+            kind = rng.randrange(3)
+            other[at : at + (kind != 0)] = [f"new{rng.randrange(10**9)}"] if kind < 2 else []
+        pre, post = ([f"p{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 90))] for _ in range(2))
+        items.append((i, " ".join(item)))
+        docs_.append((i, " ".join(pre + other + post)))
+        text = pre + other + post
+        best = max(shares(item, text[s : s + n]) for s in range(max(0, len(pre) - 6), max(0, min(len(pre) + 6, len(text) - n)) + 1))
+        want[i] = best
+    d = spark.createDataFrame(docs_, "doc_id bigint, text string")
+    got = {(r.did, r.item_id): r.similarity for r in decontaminate.find_passages(d, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    there = [i for i, x in want.items() if x >= 0.8]
+    assert all(a == b for a, b in got) and all(got[i, i] <= want[i] + 1e-9 for i in {a for a, _ in got})
+    found = [i for i in there if (i, i) in got]
+    assert len(there) > 200 and len(found) / len(there) >= 0.99
+    assert all((i, i) in got for i in there if want[i] >= 0.82)
+
+
+def test_fingerprints_within_the_radius_are_all_found(spark):
+    """Against every pair of fingerprints, of which some are made to differ in exactly so many bits."""
+    rng = np.random.default_rng(6)
+    signed = lambda bits: int(np.packbits(bits).view(">u8")[0].astype(np.uint64).view(np.int64))
+    base = rng.integers(0, 2, (12, 128)).astype(np.uint8)
+    rows = []
+    for i in range(240):
+        fp = base[i % 12].copy()
+        fp[rng.choice(128, rng.integers(30, 44), replace=False)] ^= 1
+        rows.append(fp)
+    item = spark.createDataFrame([(i, 7, signed(x[:64]), signed(x[64:])) for i, x in enumerate(base)], "item bigint, n int, lo bigint, hi bigint").select("item", "n", F.struct("lo", "hi").alias("fp"))
+    window = spark.createDataFrame([(i, 7, signed(x[:64]), signed(x[64:])) for i, x in enumerate(rows)], "id int, n int, lo bigint, hi bigint").select("id", "n", F.struct("lo", "hi").alias("fp"))
+    got = Counter((r.id, r.item) for r in decontaminate.near_fingerprints(window, item, 38).collect())
+    assert got == Counter((i, j) for i, x in enumerate(rows) for j, y in enumerate(base) if (x != y).sum() <= 38) and len(got) > 50
+
+
+MIT = """Copyright (c) 2024 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def licenses(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return [sorted({h.license for h in r.hits}) for r in license_scan.scan_licenses(d).orderBy("doc_id").collect()]
+
+
+def test_licenses_in_whole_and_wrapped(spark):
+    """Whole files, notices wrapped over lines, inside sentences and beside each other."""
+    wrapped = "# Licensed under the Apache License,\n#   Version 2.0 (the \"License\"); you may not use\n# this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    inside = "This project is released under the MIT License. See LICENSE for details."
+    two = "Released under the MIT License\nLicensed under CC BY-NC 4.0"
+    both = MIT + "\n" + license_scan.TEMPLATES["bsd-3-clause#text"]
+    gpl2 = "This program is free software; you can redistribute it and/or modify it\nunder the terms of the GNU General Public License as published by the\nFree Software Foundation; either version 2 of the License, or (at your\noption) any later version."
+    got = licenses(spark, [MIT, wrapped, inside, two, both, gpl2, gpl2.replace("version 2", "version 3").replace("; you", ": you"), "a licence is a document under which software may be used", None])
+    assert got == [["mit"], ["apache-2.0"], ["mit"], ["cc-by-nc-4.0", "mit"], ["bsd-3-clause", "mit"], ["gpl-2.0"], ["gpl-3.0"], [], []]
+
+
+def test_license_recall_on_edited_texts(spark):
+    """Each wording with some words changed, dropped or added, and its lines wrapped, within other words."""
+    import random
+
+    rng = random.Random(3)
+    names, texts = [], []
+    for name, text in license_scan.TEMPLATES.items():
+        words = text.split()
+        for _ in range(6):
+            w = list(words)
+            for _ in range(len(w) // 25):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = rng.choice(([], ["other"]))
+            filler = [f"word{rng.randrange(5000)}" for _ in range(rng.randrange(5, 80))]
+            lines = " ".join(filler + w + filler[::-1]).split()
+            names.append(name.split("#")[0])
+            texts.append("\n".join(" ".join(lines[i : i + 9]) for i in range(0, len(lines), 9)))
+    got = licenses(spark, texts)
+    assert sum(n in g for n, g in zip(names, got, strict=True)) >= 0.97 * len(names)
+    assert sum(len(g) > 1 for g in got) <= 0.03 * len(names)
+
+
+@pytest.mark.parametrize("name,license", [("Apache-2.0", "apache-2.0"), ("GPL-3", "gpl-3.0"), ("GPL-2", "gpl-2.0"), ("LGPL-3", "lgpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("MPL-2.0", "mpl-2.0"), ("CC0-1.0", "cc0-1.0"), ("BSD", "bsd-3-clause")])
+def test_license_files_of_the_system(spark, name, license):
+    import pathlib
+
+    path = pathlib.Path("/usr/share/common-licenses") / name
+    if not path.exists():
+        pytest.skip("the system has no such file")
+    assert license in licenses(spark, [path.read_text()])[0]
 
 
 def test_licenses(spark, docs):
@@ -154,12 +266,6 @@ def test_quality(spark, docs):
 
 
 def test_mixing_stays_within_a_block(spark, docs):
-    whole = mixing.whole_weights({"a": 5, "b": 3, "c": 1.7, "d": 0.01})
-    order = mixing.pfair_period(whole)
-    seen = Counter()
-    for t, s in enumerate(order, 1):
-        seen[s] += 1
-        assert all(abs(seen[x] - t * w / 1000) < 1 for x, w in whole.items())
     big = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise(F.concat(F.lit("y"), (F.col("id") % 4).cast("string"))).alias("source"))
     got = mixing.schedule(big, block_rows=16).collect()
     assert len(got) == 5000 and len({(r.source, r.block, r.in_block) for r in got}) == 5000 and len({(r.slot, r.in_block) for r in got}) == 5000
@@ -167,6 +273,50 @@ def test_mixing_stays_within_a_block(spark, docs):
     assert mixed.columns == docs.columns and Counter(rows_of(mixed)) == Counter(rows_of(docs))
 
 
+def simulated(rows, weights, default, block_rows):
+    """Places of (did, version, key, source) by trying every source at every slot."""
+    by_source = {}
+    for did, version, key, source in rows:
+        known = source in weights if default is None else True
+        by_source.setdefault(source if known and weights.get(source, default) else mixing.POOLED, []).append((key, did, version))
+    share = {s: Fraction(weights.get(s, default or 0)) for s in by_source if s != mixing.POOLED}
+    share |= {s: Fraction(w) for s, w in weights.items() if w > 0}
+    total, served, slot, out = sum(share.values()), dict.fromkeys(share, 0), 0, []
+    blocks = {s: [sorted(v)[i : i + block_rows] for i in range(0, len(v), block_rows)] for s, v in by_source.items()}
+    put = lambda s, j, slot: out.extend((s, j, k, slot, *row) for k, row in enumerate(blocks[s][j]))
+    while any(served[s] < len(blocks.get(s, [])) for s in share):
+        open_ = [(-(-(served[s] + 1) * total // w), s) for s, w in share.items() if served[s] * total // w <= slot]
+        _, s = min(open_)
+        if served[s] < len(blocks.get(s, [])):
+            put(s, served[s], slot)
+            last = slot
+        served[s] += 1
+        slot += 1
+    for j in range(len(blocks.get(mixing.POOLED, []))):
+        put(mixing.POOLED, j, (last + 1 if share and any(s in blocks for s in share) else 0) + j)
+    return Counter(out)
+
+
+@pytest.mark.parametrize("weights,default", [({"a": 2.5, "b": 1.0, "c": 0.3}, None), ({"a": 2.5, "b": 0.0}, 0.7), ({"a": 1e-3, "zz": 1.0}, 1.0)])
+def test_mixing_equals_a_simulation(spark, weights, default):
+    d = spark.range(700).select((F.col("id") % 640).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 640).cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 7 < 2, "b").when(F.col("id") % 5 == 0, "c").when(F.col("id") % 11 > 0, "d").alias("source"))
+    key = F.xxhash64(F.lit(17), F.col("doc_id"), F.xxhash64("text"))
+    rows = [(r.doc_id, r.v, r.k, r.source or mixing.NONE) for r in d.select("doc_id", F.xxhash64("text").alias("v"), key.alias("k"), "source").collect()]
+    got = mixing.schedule(d, weights, default, block_rows=4).withColumn("k", F.xxhash64(F.lit(17), "did", "version"))
+    assert Counter((r.source, r.block, r.in_block, r.slot, r.k, r.did, r.version) for r in got.collect()) == simulated(rows, weights, default, 4)
+
+
+def test_mixing_keeps_rows_that_share_a_key(spark):
+    """Equal doc_id and text under several sources, repeated rows, and columns named as the operator's own."""
+    rows = [(1, "t", "a", 5, "x"), (1, "t", "b", 6, "y"), (1, "t", "b", 7, "z"), (1, "t", "b", 7, "z"), (2, None, None, 8, "u"), (None, None, "a", 9, "v")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string, slot int, payload string")
+    for how in ({}, {"weights": {"a": 1.0}}, {"weights": {"a": 3.0}, "default": 1.0}):
+        out = mixing.mix(d, **how)
+        assert out.columns == d.columns and Counter(map(tuple, out.collect())) == Counter(rows)
+        assert mixing.schedule(d, **how).count() == len(rows)
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
 def exact_shares(order, weights):
     """Whether each source stays less than one block from its share of the weights given."""
     total, seen = sum(map(Fraction, weights.values())), Counter()
