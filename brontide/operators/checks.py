@@ -14,8 +14,9 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     whatever the order. One aggregation in place of two differences."""
     if sorted(a.columns) != sorted(b.columns):
         raise ValueError("the tables have different columns")
-    both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
-    out = both.groupBy(*a.columns).agg(F.sum("_n").alias("surplus"))
+    one = "surplus_of_a_row" + "_" * max(map(len, a.columns))  # no column's name
+    both = a.withColumn(one, F.lit(1)).unionByName(b.withColumn(one, F.lit(-1)))
+    out = both.groupBy(*a.columns).agg(F.sum(one).alias("surplus"))
     return out.where("surplus <> 0")
 
 

@@ -21,9 +21,16 @@ def align(left: DataFrame, right: DataFrame, keys: list[str], shared: list[str]
     return out.drop("_l", "_r", "_c", "_rc", *[f"_r_{c}" for c in shared])
 
 
-def late(df: DataFrame, alpha: Column, threshold: Column, first_threshold: Column, outage: bool = False) -> DataFrame:
+def check_alpha(alpha: Column, allowed: list[float]) -> Column:
+    """The weight, or the job stops if it is none of those allowed."""
+    return F.when(alpha.isin(allowed), alpha).otherwise(F.raise_error(F.concat(F.lit("weight not registered: "), alpha.cast("string"))).cast("double"))
+
+
+def late(df: DataFrame, alpha: Column, threshold: Column, first_threshold: Column, outage: bool = False, allowed: list[float] | None = None) -> DataFrame:
     """Weighted score where the second modality counts, else the first one's score with its own
-    threshold; a missing score is never multiplied by zero. Adds score, threshold, q."""
+    threshold; a missing score is never multiplied by zero. Adds score, threshold, q. A weight that
+    is none of those ``allowed`` stops the job."""
+    alpha = check_alpha(alpha, allowed) if allowed else alpha
     q = F.lit(False) if outage else (F.col("available2") & F.col("score2").isNotNull())
     active = q & (alpha != 0)
     score = F.when(active, (1 - alpha) * F.col("score1") + alpha * F.col("score2")).otherwise(F.col("score1"))

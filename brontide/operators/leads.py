@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import dsp
+from . import channels as H
 from . import rhythm as Y
 
 _MEASURES = "finite_fraction double, raw_std double, filtered_std double, rail_fraction double, contrast double, beats array<bigint>"
@@ -112,3 +113,16 @@ def qrs_quality(df: DataFrame, samples: str, fs: float) -> DataFrame:
         return _table(rows, _QRS).astype(float)
 
     return df.withColumn("_q", run(F.col(samples))).select(*df.columns, "_q.*")
+
+
+def lead_correlation(df: DataFrame, keys: list[str], lead: str, samples: str, fs: float) -> DataFrame:
+    """Mean absolute correlation of the band-passed leads of a window; null with fewer than two that
+    are finite and not flat."""
+
+    @F.pandas_udf("array<double>")
+    def band(arrays: pd.Series) -> pd.Series:
+        fits = lambda x: x is not None and len(x) >= fs and np.isfinite(np.asarray(x, float)).all()
+        return pd.Series([dsp.centred_band(x, fs) if fits(x) else None for x in arrays], dtype=object)
+
+    filtered = df.select(*keys, lead, band(F.col(samples)).alias("_band")).where("_band IS NOT NULL")
+    return H.correlation_summary(filtered, keys, lead, "_band").select(*keys, F.col("mean_abs_channel_corr").alias("ecg_channel_agreement"))

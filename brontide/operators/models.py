@@ -8,13 +8,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fusion as U
 
-def fit_scaler(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
-    """Median (0 without any value), mean and population spread after imputation, of each column, in two passes."""
-    med = train.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns]).first()
-    filled = train.select(*[F.coalesce(F.col(c), F.lit(float(med[c]))).alias(c) for c in columns])
+
+def fit_scaler(train: DataFrame, columns: list[str], label: str = "label") -> tuple[dict[str, tuple[float, float, float]], dict[int, int]]:
+    """(median (0 without any value), mean and population spread after imputation of each column; rows by
+    class), in two passes."""
+    first = train.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns], F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) == 1).alias("_n1")).first()
+    filled = train.select(*[F.coalesce(F.col(c), F.lit(float(first[c]))).alias(c) for c in columns])
     s = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
-    return {c: (float(med[c]), s[f"{c}__m"] or 0.0, s[f"{c}__s"] or 1.0) for c in columns}
+    return {c: (float(first[c]), s[f"{c}__m"] or 0.0, s[f"{c}__s"] or 1.0) for c in columns}, {0: first["_n0"], 1: first["_n1"]}
 
 
 def scaled(df: DataFrame, scaler: dict[str, tuple[float, float, float]]) -> DataFrame:
@@ -22,55 +25,96 @@ def scaled(df: DataFrame, scaler: dict[str, tuple[float, float, float]]) -> Data
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df.withColumns(cols))
 
 
-def balanced(train: DataFrame, label: str) -> DataFrame:
-    """Adds weight n / (2 n_class)."""
-    n = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}
-    if len(n) < 2:
+def balanced(train: DataFrame, n: dict[int, int], label: str = "label") -> DataFrame:
+    """Adds weight n / (2 n_class). ``n``: rows by class."""
+    if not n[0] or not n[1]:
         raise ValueError("Calibration-limited: one class only")
-    total = sum(n.values())
+    total = n[0] + n[1]
     return train.withColumn("weight", F.when(F.col(label) == 1, total / (2 * n[1])).otherwise(total / (2 * n[0])))
 
 
+#: The forests, and those of the older benchmarks, whose trees are not bounded (Spark's limit is 30 levels).
+FORESTS = {
+    "forest": {"numTrees": 300, "maxDepth": 6, "minInstancesPerNode": 5},
+    "older_smoke": {"numTrees": 250, "maxDepth": 30, "minInstancesPerNode": 2},
+    "older_patient": {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 2},
+}
+
+
 def estimator(kind: str, total_weight: float, seed: int):
     if kind == "logistic":
         return LogisticRegression(regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, weightCol="weight", labelCol="label", maxIter=200, tol=1e-9)
-    if kind == "forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=6, minInstancesPerNode=5, featureSubsetStrategy="sqrt", weightCol="weight", labelCol="label", seed=seed)
+    if kind in FORESTS:
+        return RandomForestClassifier(**FORESTS[kind], featureSubsetStrategy="sqrt", weightCol="weight", labelCol="label", seed=seed)
     raise ValueError(f"unknown model: {kind}")
 
 
 class HeldOutModels:
     """Fits that never see the rows of held-out items; one fit for each set of training items."""
 
-    def __init__(self, frame: DataFrame, item: str, columns: list[str], kind: str = "logistic", seed: int = 20260922, **params):
-        self.frame, self.item, self.columns, self.kind, self.seed, self.params = frame, item, columns, kind, seed, params
+    def __init__(self, frame: DataFrame, item: str, columns: list[str], kind: str = "logistic", seed: int = 20260922, available: str = "available", **params):
+        self.frame, self.item, self.columns, self.kind, self.seed, self.available, self.params = frame, item, columns, kind, seed, available, params
         self.cache: dict[tuple, tuple] = {}
 
     def fit(self, train: list, forbidden: list):
-        if set(train) & set(forbidden):
-            raise ValueError("training items are held out")
+        if not train or set(train) & set(forbidden):
+            raise ValueError("no training items, or some that are held out")
         key = tuple(sorted(train))
         if key not in self.cache:
-            rows = balanced(self.frame.where(F.col(self.item).isin(list(train)) & F.col("training_eligible") & F.col("available")), "label")
-            scaler = fit_scaler(rows, self.columns)
-            est = estimator(self.kind, float(rows.count()), self.seed)
+            rows = self.frame.where(F.col(self.item).isin(list(train)) & F.col("training_eligible") & F.col(self.available))
+            scaler, n = fit_scaler(rows, self.columns)
+            est = estimator(self.kind, float(n[0] + n[1]), self.seed)
             est = est.copy({est.getParam(k): v for k, v in self.params.items()})
-            self.cache[key] = (scaler, est.fit(scaled(rows, scaler)))
+            self.cache[key] = (scaler, est.fit(scaled(balanced(rows, n), scaler)))
         return self.cache[key]
 
-    def score(self, train: list, test: list) -> DataFrame:
+    def score(self, train: list, test: list, forbidden: list = ()) -> DataFrame:
         """Rows of the test items with ``score``, the probability of class 1, null when unavailable."""
-        scaler, model = self.fit(train, test)
+        scaler, model = self.fit(train, [*test, *forbidden])
         rows = self.frame.where(F.col(self.item).isin(list(test)))
         out = model.transform(scaled(rows, scaler)).withColumn("score", vector_to_array("probability")[1])
-        return out.withColumn("score", F.when(F.col("available"), F.col("score"))).drop("features", "rawPrediction", "probability", "prediction")
+        return out.withColumn("score", F.when(F.col(self.available), F.col("score"))).drop("features", "rawPrediction", "probability", "prediction")
+
+    def inner(self, items: list, held) -> DataFrame:
+        """Scores of each item but ``held`` from all items but it and ``held``: what thresholds are chosen on."""
+        rest = sorted(i for i in items if i != held)
+        if len(rest) < 2:
+            raise ValueError("Calibration-limited: fewer than two inner items")
+        return _stacked(self.score([i for i in rest if i != v], [v], [held]).withColumn("held", F.lit(held)) for v in rest)
 
     def nested(self, items: list) -> DataFrame:
-        """Outer scores of each item from all others; the inner ones are :meth:`score` with one more left out."""
+        """Outer scores of each item from all others; :meth:`inner` gives what was to be known before."""
+        return _stacked(self.score([i for i in items if i != held], [held]).withColumn("fold", F.lit(held)) for held in sorted(items))
+
+
+def _stacked(parts) -> DataFrame:
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+class FusionModels:
+    """Three models on one timeline: of the first modality, the second, and both (with the second's columns
+    null where it is unavailable). Their scores come side by side, one row a decision."""
+
+    def __init__(self, frame: DataFrame, item: str, first: list[str], second: list[str], keys: list[str], kind: str = "forest", **params):
+        self.keys, self.item = keys, item
+        early = frame.withColumns({f"early__{c}": F.when(F.col("available2"), F.col(c)) for c in second})
+        of = lambda cols, ok: HeldOutModels(early, item, cols, kind, available=ok, **params)
+        self.models = {"score_e": of(first, "available"), "score_c": of(second, "available2"), "score_early": of([*first, *[f"early__{c}" for c in second]], "available")}
+
+    def inner(self, items: list, held) -> DataFrame:
+        return self._joined({n: m.inner(items, held) for n, m in self.models.items()}, ["held"])
+
+    def outer(self, items: list) -> DataFrame:
+        return self._joined({n: m.nested(items) for n, m in self.models.items()}, ["fold"])
+
+    def _joined(self, scores: dict[str, DataFrame], more: list[str]) -> DataFrame:
         out = None
-        for held in sorted(items):
-            s = self.score([i for i in items if i != held], [held]).withColumn("fold", F.lit(held))
-            out = s if out is None else out.unionByName(s)
+        for name, s in scores.items():
+            s = s.select(*self.keys, self.item, *more, F.col("score").alias(name))
+            out = s if out is None else U.align(out, s, [*self.keys, self.item, *more])
         return out
 
 

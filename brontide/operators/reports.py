@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fusion as U
 from . import intervals as I
+from . import proximity as P
 
 
 def response_windows(events: DataFrame, windows: DataFrame, keys: list[str], value: str, before: tuple[int, int], pre: int, post: int, least: int) -> DataFrame:
@@ -71,6 +73,49 @@ def event_classes(joined: DataFrame, before: Column, after: Column) -> DataFrame
     return joined.withColumns({"classification": F.when(b & f, "preserved").when(f, "rescued").when(b, "lost").otherwise("still_missed"), "changed_delay_only": b & f & F.coalesce(before != after, F.lit(False))})
 
 
+#: The groups of events by which modality detects them, and the states at false alarms.
+BOTH, FIRST, SECOND, NEITHER = "both", "eeg_only", "ecg_only", "neither"
+UNAVAILABLE, NOT_READY, WITHIN, LARGER = "unavailable", "baseline_not_ready", "within_10bpm_recent_baseline", "larger_hr_deviation"
+
+
 def detection_group(joined: DataFrame, first: str, second: str) -> DataFrame:
     a, b = F.col(first), F.col(second)
-    return joined.withColumn("detection_group", F.when(a & b, "both").when(a, "first_only").when(b, "second_only").otherwise("neither"))
+    return joined.withColumn("detection_group", F.when(a & b, BOTH).when(a, FIRST).when(b, SECOND).otherwise(NEITHER))
+
+
+def complementarity(responses: DataFrame, first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Responses beside the detection of the same events by two modalities, one to one: an event that a
+    side lacks or has twice stops the job. ``first``, ``second``: keys, detected, delay."""
+    side = lambda d, n: d.select(*keys, F.col("detected").alias(f"{n}_detected"), F.col("delay").alias(f"{n}_delay"))
+    out = U.align(U.align(responses, side(first, "eeg"), keys), side(second, "ecg"), keys)
+    return detection_group(out, "eeg_detected", "ecg_detected")
+
+
+def false_alarm_state(alarms: DataFrame, states: DataFrame, others: DataFrame, keys: list[str], stride: int, limit: float = 10.0) -> DataFrame:
+    """What the second modality was like at each false alarm of the first, by its last row at most a stride
+    old: unavailable, without a baseline yet, near it or further off (beyond ``limit``); and whether a
+    false alarm of the second falls within a stride. ``alarms``: keys, declaration; ``states``: keys,
+    t, usable, ready, delta; ``others``: keys, declaration."""
+    a = P.asof_backward(alarms.select(*keys, "declaration"), states, keys, "declaration", "t", ["usable", "ready", "delta"], stride)
+    usable, ready = F.coalesce("usable", F.lit(False)), F.coalesce("ready", F.lit(False))
+    state = F.when(~usable, UNAVAILABLE).when(~ready, NOT_READY).when(F.abs("delta") <= limit, WITHIN).otherwise(LARGER)
+    a = a.withColumns({"ecg_state": state, "hr_delta": F.when(usable & ready, F.col("delta"))}).drop("asof_t", "usable", "ready", "delta")
+    return P.within_band(a, others.select(*keys, F.col("declaration").alias("_other")), keys, "declaration", "_other", stride, "other_false_within_stride").drop("_rt")
+
+
+def patient_summary(responses: DataFrame, cover: DataFrame, level: list[str]) -> DataFrame:
+    """:func:`response_summary` beside the totals of coverage at the same level."""
+    sums = ["raw", "startup", "uncertain", "poor_quality", "acquisition_missing", "evaluable"]
+    totals = cover.groupBy(*level).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("coverage_pct", F.try_divide(100.0 * F.col("evaluable"), F.col("raw").cast("double")))
+    return response_summary(responses, level).join(totals, level)
+
+
+def sanity_sample(frames: DataFrame, group: str, item: str, at: int) -> DataFrame:
+    """The row at time ``at`` of each group's first item, for a look at it."""
+    first = frames.groupBy(group).agg(F.min(item).alias(item))
+    return frames.where(F.col("t") == at).join(first, [group, item])
+
+
+def distinct_values(df: DataFrame, level: list[str], columns: list[str]) -> DataFrame:
+    """Per group the distinct values of each column, sorted."""
+    return df.groupBy(*level).agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns])

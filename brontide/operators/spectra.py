@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dsp
 from . import channels as H
+from . import leads as L
 
 NAMES = dsp.CHANNEL_FEATURES
 
@@ -47,3 +48,24 @@ def window_features(windows: DataFrame, keys: list[str], channel: str, samples:
     out = out.join(corr, keys, "left")
     names = [c for c in out.columns if c not in keys and c != "unavailable_reason"]
     return out.select(*keys, "unavailable_reason", *[F.when(F.col("unavailable_reason") == "", F.col(c)).alias(c) for c in names])
+
+
+def columns_by_prefix(columns: list[str], *prefixes: str) -> list[list[str]]:
+    return [[c for c in columns if c.startswith(p)] for p in prefixes]
+
+
+OLDER = ["n_beats", "valid_rr_count", "mean_hr", "mean_rr", "sdnn", "rmssd", "pnn50", "rr_cv", "hr_trend_per_min"]
+
+
+def anchor_rows(channels: DataFrame, leads: DataFrame, keys: list[str], channel: str, samples: str, fs: float, lead_fs: float) -> DataFrame:
+    """One row an anchor (``keys``) with the features of both modalities under their prefixes: those of
+    its channels, median and range over its leads, and how far the leads agree. Both must have
+    one sampling rate."""
+    if fs != lead_fs:
+        raise ValueError(f"the modalities have different sampling rates: {fs} and {lead_fs}")
+    eeg = window_features(channels, keys, channel, samples, fs).drop("unavailable_reason")
+    beats = L.older_features(leads, samples, lead_fs)
+    ecg = L.reduce_leads(beats, keys, OLDER).join(L.lead_correlation(leads, keys, channel, samples, lead_fs), keys, "left")
+    counts = channels.groupBy(*keys).agg(F.count("*").cast("double").alias("n_eeg_channels")).join(leads.groupBy(*keys).agg(F.count("*").cast("double").alias("n_ecg_channels")), keys)
+    named = lambda d, prefix: d.select(*keys, *[F.col(c).alias(prefix + c) for c in d.columns if c not in keys])
+    return counts.withColumn("sampling_rate_hz", F.lit(float(fs))).join(named(eeg, "eeg__"), keys).join(named(ecg, "ecg__"), keys)

@@ -10,14 +10,18 @@ from ..operators import channels as H
 from ..operators import checks as V
 from ..operators import fusion as U
 from ..operators import intervals as I
+from ..operators import alarms as A
 from ..operators import leads as L
+from ..operators import matching as M
 from ..operators import models as N
 from ..operators import proximity as P
 from ..operators import reports as R
 from ..operators import rhythm as Y
 from ..operators import spectra as X
 from ..operators import timeline as T
+from ..operators.staging import stored
 from . import binding as B
+from . import detection as D
 
 K = B.KEY
 
@@ -182,11 +186,16 @@ def q40_contribution_rollup(spark, sf):
     return _contribution(spark, sf).groupBy("grp", "alpha").agg(F.count("*").alias("folds"), *[F.sum(c).alias(c) for c in ("evaluable", "q1", "q0", "active")]).withColumn("q1_fraction", F.try_divide(F.col("q1").cast("double"), F.col("evaluable").cast("double")))
 
 
+def _second_alarms(spark, sf):
+    d = B.decisions2(spark, sf).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left").withColumn("threshold", F.lit(D.ALARM_AT))
+    return A.alarm_stream(d, K, B.STRIDE)
+
+
 def q41_detection_groups(spark, sf):
-    of = lambda k: B.samples(spark, sf).where(F.col("kind") == k).select("rec").distinct().withColumn(k, F.lit(True))
-    late = lambda k: of(k) if k == "click" else B.samples(spark, sf).where("kind = 'purchase' AND cents > 20000").select("rec").distinct().withColumn(k, F.lit(True))
-    j = B.recordings(spark, sf).select("rec").join(of("click"), "rec", "left").join(late("purchase"), "rec", "left").fillna(False, ["click", "purchase"])
-    return R.detection_group(j, "click", "purchase").select("rec", "detection_group")
+    """Responses to events beside the detection of the same events by either modality."""
+    ev = B.events(spark, sf)
+    out = R.complementarity(_responses(spark, sf), *[M.event_matches(a, ev, K) for a in (D._alarms(spark, sf), _second_alarms(spark, sf))], ["rec", "event_id"])
+    return out.select("rec", "event_id", "analyzable", _r("median_change"), "eeg_detected", "eeg_delay", "ecg_detected", "ecg_delay", "detection_group")
 
 
 def q42_early_fusion(spark, sf):
@@ -263,6 +272,60 @@ def q51_inventory(spark, sf):
     return V.inventory(r, e)
 
 
+def _relative(spark, sf):
+    d = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("usable"), F.round(F.col("score") * 40_000).alias("score"))
+    return Y.relative_reference(d, K, 24 * B.HOUR, 120 * B.HOUR, 3, "score")
+
+
+def q60_false_alarm_state(spark, sf):
+    """The second modality at the first one's false alarms, and its false alarms beside them."""
+    wrong = [M.match_alarms(a, B.events(spark, sf), K)[0].where("status <> 'matched'") for a in (D._alarms(spark, sf), _second_alarms(spark, sf))]
+    states = _relative(spark, sf).select("rec", "t", "usable", F.col("reference_ready").alias("ready"), F.col("relative_delta").alias("delta"))
+    return R.false_alarm_state(*wrong[:1], states, wrong[1], K, B.STRIDE, 2000.0)
+
+
+def q61_patient_summary(spark, sf):
+    grouped = lambda d: d.withColumn("grp", F.col("rec") % 5)
+    cover = R.coverage(B.recordings(spark, sf), B.decisions2(spark, sf), B.uncertain(spark, sf), K, B.LONG, B.STRIDE)
+    out = R.patient_summary(grouped(_responses(spark, sf)), grouped(cover), ["grp"])
+    return out.select("grp", "events", "analyzable_events", "increase_events", *map(_r, ["baseline_median", "median_change", "increase_fraction", "coverage_pct"]), "raw", "startup", "uncertain", "poor_quality", "evaluable")
+
+
+def q62_sanity_sample(spark, sf):
+    d = B.decisions2(spark, sf).withColumn("grp", F.col("rec") % 5)
+    return R.sanity_sample(d, "grp", "rec", B.LONG).select("grp", "rec", "t", "available", "score")
+
+
+def _fusion_frame(spark, sf):
+    two = B.decisions2(spark, sf).select("rec", "t", F.col("available").alias("available2"), F.col("score").alias("ecg__two"))
+    return _training(spark, sf).select("rec", "grp", "t", "label", "available", "training_eligible", "eeg__one").join(two, ["rec", "t"])
+
+
+def q63_inner_scores(spark, sf):
+    """Scores of three models for the choice of thresholds, before group 0 is scored."""
+    frame = stored(_fusion_frame(spark, sf), "frame")
+    return N.FusionModels(frame, "grp", ["eeg__one"], ["ecg__two"], ["rec", "t"], kind="logistic").inner(list(range(5)), 0)
+
+
+def q64_forest_scores(spark, sf):
+    """Scores of group 0 by a forest over the others."""
+    frame = stored(_fusion_frame(spark, sf), "frame")
+    return N.HeldOutModels(frame, "grp", ["eeg__one", "ecg__two"], "forest").score([1, 2, 3, 4], [0]).select("rec", "t", "label", "score")
+
+
+def q65_anchor_rows(spark, sf):
+    """Suppliers in fours as the channels, and the first two of them as the leads, of an anchor; whole series cut to the shortest of each anchor."""
+    d = _prices(spark, sf).withColumns({"anchor": F.floor(F.col("l_suppkey") / 4), "channel": (F.col("l_suppkey") % 4).cast("int")})
+    d = d.withColumn("n", F.min(F.size("samples")).over(W.partitionBy("anchor"))).withColumn("samples", F.expr("slice(samples, 1, n)")).drop("n")
+    return X.anchor_rows(d, d.where("channel < 2"), ["anchor"], "channel", "samples", 128.0, 128.0)
+
+
+def q66_distinct_values(spark, sf):
+    s = B.samples(spark, sf).select((F.col("rec") % 5).alias("grp"), "kind", F.floor(F.col("x") / (24 * B.HOUR)).alias("day"))
+    out = R.distinct_values(s, ["grp"], ["kind", "day"])
+    return out.select("grp", F.array_join("kind", "|").alias("kinds"), F.array_join(F.transform("day", lambda d: d.cast("string")), "|").alias("days"))
+
+
 def q52_annotation_flags(spark, sf):
     """Listed events made of the samples, with all that can be odd about them."""
     c = F.col("cents")
@@ -291,6 +354,9 @@ _TR = f"""lb AS (SELECT g.rec, g.t, d.available, d.score, EXISTS (SELECT 1 FROM
   EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a - {6 * B.HOUR} <= g.t AND g.t < r.b + {6 * B.HOUR}) AS near FROM grid g JOIN dec1 d USING (rec, t)),
 tr AS (SELECT *, CASE WHEN hit THEN 1 ELSE 0 END AS label FROM lb WHERE NOT un AND (hit OR NOT near) AND available)"""
 _DAY = 24 * B.HOUR
+_TWO = f"a1_ AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {D.ALARM_AT} AS thr FROM dec1)')}), j1 AS (SELECT * FROM {B.judged_sql('a1_')}), a2_ AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {D.ALARM_AT} AS thr FROM dec2)')}), j2 AS (SELECT * FROM {B.judged_sql('a2_')})"
+_REL = f"""p AS (SELECT d.rec, d.t, any_value(d.available) AS usable, any_value(round(d.score * 40000)) AS score, CAST(count(q.score) AS INT) AS n_past, median(round(q.score * 40000)) AS med FROM dec2 d LEFT JOIN dec2 q ON q.rec = d.rec AND q.available AND q.t <= d.t - {24 * B.HOUR} AND q.t >= d.t - {120 * B.HOUR} AND (d.t - q.t) % {24 * B.HOUR} = 0 GROUP BY d.rec, d.t),
+z AS (SELECT *, n_past >= 3 AS reference_ready, CASE WHEN n_past >= 3 THEN med END AS reference FROM p)"""
 _text = lambda c, wide: f"CASE WHEN {wide} THEN format('{{:02d}}.{{:02d}}:{{:02d}}', {c} // 3600, {c} // 60 % 60, {c} % 60) ELSE format('{{}}.{{}}.{{}}', {c} // 3600, {c} // 60 % 60, {c} % 60) END"
 _CLOCKS = f"""c0 AS (SELECT event_id, cents, x // 1000000 % 86400 AS s, (x // 1000000 % 86400 + cents * 7) % 86400 AS z FROM ev), ck AS (SELECT *, {_text('s', 'cents % 2 = 0')} AS a, {_text('z', 'cents % 3 = 0')} AS b FROM c0)"""
 _rs = lambda cols: ", ".join(f"round({c}, 8) AS {c}" for c in cols)
@@ -336,7 +402,15 @@ SELECT *, 'left' AS side FROM (FROM c EXCEPT FROM p) UNION ALL SELECT *, 'right'
     "q40_contribution_rollup": f"""{_P}, c2 AS (SELECT rec, t AS a, least(t + {B.STRIDE}, {B.DURATION}) AS b FROM dec2 WHERE available), q AS (SELECT rec, sum(b - a)::BIGINT AS q1 FROM {B.sweep_sql('expo', B.union_sql('c2'), B.BOTH)} GROUP BY rec),
 z AS (SELECT rec % 5 AS grp, CASE WHEN rec % 3 = 0 THEN 0.0 ELSE 0.25 END::DOUBLE AS alpha, evaluable, coalesce(q1, 0) AS q1 FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0)
 SELECT grp, alpha, count(*) AS folds, sum(evaluable)::BIGINT AS evaluable, sum(q1)::BIGINT AS q1, sum(evaluable - q1)::BIGINT AS q0, sum(CASE WHEN alpha > 0 THEN q1 ELSE 0 END)::BIGINT AS active, sum(q1)::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM z GROUP BY grp, alpha""",
-    "q41_detection_groups": f"{_P}, z AS (SELECT rec, bool_or(kind = 'click') AS c, bool_or(kind = 'purchase' AND cents > 20000) AS p FROM ev GROUP BY rec) SELECT rec, CASE WHEN c AND p THEN 'both' WHEN c THEN 'first_only' WHEN p THEN 'second_only' ELSE 'neither' END AS detection_group FROM z",
+    "q41_detection_groups": f"""{_P}, {_RES}, {_TWO}, e1 AS (SELECT rec, event_id, decl - onset AS d FROM j1 WHERE status = 'matched'), e2 AS (SELECT rec, event_id, decl - onset AS d FROM j2 WHERE status = 'matched')
+SELECT re.rec, re.event_id, analyzable, round(median_change, 8) AS median_change, e1.d IS NOT NULL AS eeg_detected, e1.d AS eeg_delay, e2.d IS NOT NULL AS ecg_detected, e2.d AS ecg_delay, CASE WHEN e1.d IS NOT NULL AND e2.d IS NOT NULL THEN 'both' WHEN e1.d IS NOT NULL THEN 'eeg_only' WHEN e2.d IS NOT NULL THEN 'ecg_only' ELSE 'neither' END AS detection_group
+FROM re LEFT JOIN e1 ON e1.rec = re.rec AND e1.event_id = re.event_id LEFT JOIN e2 ON e2.rec = re.rec AND e2.event_id = re.event_id""",
+    "q60_false_alarm_state": f"""{_P}, {_TWO}, {_REL}, w AS (SELECT rec, decl FROM j1 WHERE status <> 'matched'),
+s AS (SELECT w.rec, w.decl, z.usable, z.reference_ready AS ready, CASE WHEN z.usable THEN z.score END - z.reference AS delta FROM w LEFT JOIN z ON z.rec = w.rec AND z.t <= w.decl AND z.t >= w.decl - {B.STRIDE} QUALIFY row_number() OVER (PARTITION BY w.rec, w.decl ORDER BY z.t DESC NULLS LAST) = 1)
+SELECT rec, decl AS declaration, CASE WHEN NOT coalesce(usable, false) THEN 'unavailable' WHEN NOT ready THEN 'baseline_not_ready' WHEN abs(delta) <= 2000 THEN 'within_10bpm_recent_baseline' ELSE 'larger_hr_deviation' END AS ecg_state, CASE WHEN usable AND ready THEN delta END AS hr_delta,
+  EXISTS (SELECT 1 FROM j2 WHERE j2.rec = s.rec AND j2.status <> 'matched' AND abs(j2.decl - s.decl) <= {B.STRIDE}) AS other_false_within_stride FROM s""",
+    "q62_sanity_sample": f"{_P} SELECT rec % 5 AS grp, rec, t, available, score FROM dec2 WHERE t = {B.LONG} AND rec IN (SELECT min(rec) FROM recs GROUP BY rec % 5)",
+    "q66_distinct_values": f"{_P} SELECT rec % 5 AS grp, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds, array_to_string(list_sort(list_distinct(list(x // {_DAY}))), '|') AS days FROM ev GROUP BY 1",
     "q43_negative_controls": f"""{_P}, k AS (FROM (VALUES ('base', 0.0, true, 0.5), ('NC1_alpha_zero', 0.0, false, 0.45), ('NC2_entire_outage', 0.25, true, 0.45), ('NC2_max_alpha_outage', 0.5, true, 0.45)) v(control, al, out_, th)),
 f AS (SELECT d.rec, d.t, d.available, control, d.score AS score1, al <> 0 AND NOT out_ AND e.available AND e.score IS NOT NULL AS active, CASE WHEN active THEN (1 - al) * d.score + al * e.score ELSE d.score END AS score, CASE WHEN active THEN th ELSE 0.5 END AS thr FROM dec1 d JOIN dec2 e USING (rec, t), k),
 x AS (SELECT * FROM {B.alarms_sql('f', 'rec, control')}), n AS (SELECT control, count(*) AS decisions, count(*) FILTER (WHERE score IS DISTINCT FROM score1 OR thr <> 0.5) AS differing FROM f WHERE control <> 'base' GROUP BY 1),
@@ -358,4 +432,7 @@ SELECT event_id, concat_ws(' | ', CASE WHEN NOT has THEN 'file_not_found' END, C
   CASE WHEN st < 0 THEN 'negative_seizure_start_offset' END, CASE WHEN en < st THEN 'seizure_end_before_start' END, CASE WHEN has AND st > 605 THEN 'seizure_start_after_edf_end' END, CASE WHEN has AND en > 605 THEN 'seizure_end_after_edf_end' END) AS flags FROM o""",
     "q42_early_fusion": f"{_P} SELECT d.rec, d.t, d.score AS score1, CASE WHEN e.available THEN e.score END AS early__rate FROM dec1 d JOIN dec2 e USING (rec, t)",
 }
+ORACLE["q61_patient_summary"] = f"""{_P}, {_RES}, s AS (SELECT rec % 5 AS grp, count(*) AS events, count(*) FILTER (WHERE analyzable) AS analyzable_events, count(*) FILTER (WHERE analyzable AND median_change > 0) AS increase_events, median(baseline_median) FILTER (WHERE analyzable) AS baseline_median, median(median_change) FILTER (WHERE analyzable) AS median_change FROM re GROUP BY 1),
+c AS (SELECT rec % 5 AS grp, sum(raw)::BIGINT AS raw, sum(startup)::BIGINT AS startup, sum(uncertain)::BIGINT AS uncertain, sum(poor_quality)::BIGINT AS poor_quality, sum(evaluable)::BIGINT AS evaluable FROM ({ORACLE['q32_coverage']}) GROUP BY 1)
+SELECT grp, events, analyzable_events, increase_events, {_rs(['baseline_median', 'median_change'])}, round(increase_events::DOUBLE / nullif(analyzable_events, 0), 8) AS increase_fraction, round(100.0 * evaluable::DOUBLE / raw, 8) AS coverage_pct, raw, startup, uncertain, poor_quality, evaluable FROM s JOIN c USING (grp)"""
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

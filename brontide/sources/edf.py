@@ -1,10 +1,12 @@
 """EDF recordings as Spark data sources.
 
 ``edf_header`` gives one row a file; ``edf`` gives one row for each channel and chunk, with
-the physical samples. A task reads the records of its chunk only, and of those only the
-channels asked for (option ``channels``, or a pushed filter on ``channel_index``), so neither
-a long recording nor a wide one sits in one row or one task. Files are opened by path on the
-executors: on a cluster, in a folder that all of them mount.
+the physical samples. Each file is dealt to ``parts`` tasks (an option, 1 by default), which
+go through their share of its chunks one by one; of a chunk only its records are read, and
+of those only the channels asked for (option ``channels``, or a pushed filter on
+``channel_index``), so that neither a long recording nor a wide one sits in one row. The
+driver lists files and opens none; they are opened by path on the executors: on a cluster,
+in a folder that all of them mount.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 _SIGNAL = (("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefilter", 80), ("samples_per_record", 8), ("reserved", 32))
@@ -82,6 +85,18 @@ def read_segment(path: str, channels: list[int], start_s: float, duration_s: flo
     return out
 
 
+def read_matrix(path: str, channels: list[int], start_s: float, duration_s: float) -> tuple[np.ndarray, float]:
+    """Physical samples of some channels as the rows of a matrix, and their rate, which they must
+    share; cut to the shortest."""
+    signals = read_header(path)["signals"]
+    rates = sorted({signals[c]["sampling_rate"] for c in channels})
+    if len(rates) != 1:
+        raise ValueError(f"{path}: channels must share one sampling rate, not {rates}")
+    segment = read_segment(path, channels, start_s, duration_s)
+    n = min(len(x) for x in segment.values())
+    return np.stack([segment[c][:n] for c in channels]), rates[0]
+
+
 def _files(options: dict) -> list[str]:
     path = options.get("path") or ""
     found = sorted(glob.glob(os.path.join(path, "*.edf"))) if os.path.isdir(path) else sorted(glob.glob(path))
@@ -91,10 +106,10 @@ def _files(options: dict) -> list[str]:
 
 
 @dataclass
-class Chunk(InputPartition):
+class Share(InputPartition):
     path: str
-    start: float = 0.0
-    length: float = 0.0
+    part: int = 0
+    parts: int = 1
 
 
 class _HeaderReader(DataSourceReader):
@@ -102,7 +117,7 @@ class _HeaderReader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [Chunk(p) for p in _files(self.options)]
+        return [Share(p) for p in _files(self.options)]
 
     def read(self, partition):
         h = read_header(partition.path)
@@ -128,6 +143,7 @@ class _SegmentReader(DataSourceReader):
         self.options = options
         self.channels = [int(c) for c in options["channels"].split(",")] if options.get("channels") else None
         self.chunk_s, self.halo_s = float(options.get("chunk_s", 300)), float(options.get("halo_s", 0))
+        self.parts = max(1, int(options.get("parts", 1)))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -138,20 +154,20 @@ class _SegmentReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        out = []
-        for p in _files(self.options):
-            total = read_header(p)["duration_s"]
-            for i in range(math.ceil(total / self.chunk_s)):
-                start = max(0.0, i * self.chunk_s - self.halo_s)
-                out.append(Chunk(p, start, min(total, (i + 1) * self.chunk_s) - start))
-        return out
+        return [Share(p, i, self.parts) for p in _files(self.options) for i in range(self.parts)]
 
     def read(self, partition):
-        signals = read_header(partition.path)["signals"]
+        h = read_header(partition.path)
+        signals, total = h["signals"], h["duration_s"]
         channels = list(range(len(signals))) if self.channels is None else [c for c in self.channels if 0 <= c < len(signals)]
-        for c in channels:
-            x = read_segment(partition.path, [c], partition.start, partition.length)[c]
-            yield (partition.path, c, signals[c]["label"], partition.start, signals[c]["sampling_rate"], x.tolist())
+        n = math.ceil(total / self.chunk_s)
+        for i in range(partition.part * n // partition.parts, (partition.part + 1) * n // partition.parts):
+            start = max(0.0, i * self.chunk_s - self.halo_s)
+            length = min(total, (i + 1) * self.chunk_s) - start
+            for c in channels:
+                x = read_segment(partition.path, [c], start, length)[c]
+                samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([c], pa.int32()), pa.array([signals[c]["label"]]), pa.array([start]), pa.array([signals[c]["sampling_rate"]]), samples], [f.split()[0] for f in SEGMENT_SCHEMA.split(", ")])
 
 
 class EdfSource(DataSource):

@@ -9,7 +9,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def sha256(path: str | Path, header_bytes: int | None = None) -> str:
@@ -64,16 +64,13 @@ def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 
 
-def cached(df_of, root: str, kind: str, config: dict, dependencies: dict[str, str]) -> DataFrame:
+def cached(spark: SparkSession, df_of, root: str, kind: str, config: dict, dependencies: dict[str, str]) -> DataFrame:
     """The table made by ``df_of()``, kept under a name that follows from what it is made from."""
-    path = Path(root) / f"{kind}-{identity(kind, config, dependencies)[:12]}"
-    df = None
-    if not (path / "_SUCCESS").exists():
-        df = df_of()
-        df.write.mode("overwrite").parquet(str(path))
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().read.parquet(str(path))
+    path = f"{root}/{kind}-{identity(kind, config, dependencies)[:12]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df_of().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def resume(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
