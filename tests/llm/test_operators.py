@@ -265,6 +265,56 @@ def test_quality(spark, docs):
     assert quality_rules.judge(docs).count() == docs.count()
 
 
+def distance(p, q):
+    """Jensen-Shannon distance, from the definition."""
+    p, q = np.array(p, float), np.array(q, float)
+    m = (p + q) / 2
+    divergence = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return np.sqrt(max(0, (divergence(p) + divergence(q)) / 2))
+
+
+def test_quality_measures(spark, docs):
+    """Every measure of awkward texts in every language against a plain count."""
+    import random
+
+    rng = random.Random(7)
+    texts = [t for _, t in rows_of(docs)][:30] + ["The the of THE the's, 12 of #1 #2 $x\n\nof\nof \n of", "ñ y Y de la la", "für Für das DAS"]
+    for lang, words in quality_rules.COMMON_WORDS.items():
+        texts += [" ".join(rng.choice([*words, *(w.capitalize() for w in words), "other", "a1%", "x."]) for _ in range(rng.randrange(1, 300))) for _ in range(6)]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in [*quality_rules.COMMON_WORDS, "xx", None]]
+    rows = [(k, t, g) for k, (_, t, g) in enumerate(rows)]
+    got = {r.doc_id: r for r in quality_rules.measure(spark.createDataFrame(rows, "doc_id int, text string, lang string")).collect()}
+    for k, text, lang in rows:
+        w = re.findall("[^ \\t-\\r]+", text)
+        grams = Counter(zip(w, w[1:], w[2:], strict=False))
+        repeated = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = Counter(x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r"))
+        r = got[k]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), sum(lines.values()) - len(lines), len(repeated))
+        if not w:
+            assert r.js_words is None
+            continue
+        marks, digits = sum(c.isascii() and c.isprintable() and not c.isalpha() and c != " " for c in text), sum(c in "0123456789" for c in text)
+        classes = [r.word_chars - marks, len(text) - r.word_chars, digits, r.n_symbols, marks - digits - r.n_symbols]
+        assert abs(r.js_chars - distance([c / len(text) for c in classes], quality_rules.CLASS_SHARES.get(lang, quality_rules.mean_classes(quality_rules.REFERENCES)))) < 1e-9
+        if lang in quality_rules.COMMON_WORDS:
+            known = quality_rules.COMMON_WORDS[lang]
+            folded = [x.lower() for x in w if any(x in (y, y.capitalize()) for ys in quality_rules.COMMON_WORDS.values() for y in ys)]
+            counts = [folded.count(y) for y in known]
+            assert abs(r.js_words - distance([c / len(w) for c in [*counts, len(w) - sum(counts)]], quality_rules.word_shares(known))) < 1e-9
+        else:
+            assert r.js_words is None
+
+
+def test_references_are_fitted_on_a_bounded_sample(spark):
+    rows = [(i, "al bo al ca. 1#", "l1") for i in range(30)] + [(i, "do do do", "l2") for i in range(3)] + [(99, None, "l2"), (98, "x", None)]
+    d = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    ref = quality_rules.fit_references(d, sample_docs=5, top=2)
+    assert set(ref) == {"l1", "l2"} and list(ref["l1"][0]) == ["al", "1#"] and abs(ref["l1"][0]["al"] - 0.4) < 1e-9 and abs(sum(ref["l1"][1]) - 1) < 1e-3
+    judged = quality_rules.measure(d.where("doc_id < 30 AND lang = 'l1'"), ref).first()
+    assert judged.js_chars < 0.05 and judged.js_words < 0.05
+
+
 def test_mixing_stays_within_a_block(spark, docs):
     big = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise(F.concat(F.lit("y"), (F.col("id") % 4).cast("string"))).alias("source"))
     got = mixing.schedule(big, block_rows=16).collect()
