@@ -2,13 +2,15 @@
 
 Line hashes are range-partitioned and sorted by document and position, so that the rows of
 even a line found everywhere spread over as many partitions as they need; a streaming
-aggregate passes over each range, and only one row per line and range goes on to the count
-of documents. What comes back to a document is its keep bitmap, compressed to the runs of
-kept lines, not text.
-
-A null or empty text is one empty line. Rows with the same doc_id are one document when
-documents are counted; a null doc_id counts as one document before all others. Each input
-row gives one output row; columns other than doc_id and text are not read.
+aggregate passes over each range, and only one row per line, document and range goes on to
+the count of documents. The lines found meet the rows again by hash and one of ``SALTS``
+salts of the document, so that a line found everywhere has as many tasks. What comes back to
+a document is its keep bitmap, compressed to the runs of kept lines, not text.
+
+A null or empty text is one empty line; texts and lines of any length are read whole. Rows
+with the same doc_id are one document when documents are counted; a null doc_id counts as
+one document before all others. Each input row gives one output row, repeated rows too; an
+empty table gives an empty result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
+SALTS = 16
 
 
 def fold_ascii(c: Column) -> Column:
@@ -42,7 +45,9 @@ def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     dealt = lines.repartitionByRange("h1", "h2", "did", "version", "pos").sortWithinPartitions("h1", "h2", "did", "version", "pos")
     by_doc = dealt.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
     found = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    lost = dealt.join(found, ["h1", "h2"]).where(F.col("did") != F.col("keeper"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("did", "version"), F.lit(SALTS)).cast("int"))
+    lost = salted.join(found, ["h1", "h2", "salt"]).where(F.col("did") != F.col("keeper"))
     return lost.groupBy("did", "version").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
