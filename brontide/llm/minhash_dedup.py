@@ -10,8 +10,10 @@ signatures rules out nearly all pairs before texts are compared, so no link is l
 shingle sets, and groups are joined by alternating large-star and small-star steps.
 
 A document without words has an empty set and is linked with nothing. Null texts have no
-words. A null doc_id counts as an id before all others. Rows with the same doc_id are
-separate documents here, and each input row gives one output row.
+words; texts of any length are read whole. A null doc_id counts as an id before all others.
+Rows with the same doc_id, repeated rows among them, are separate documents here, and each
+input row gives one output row. An empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations

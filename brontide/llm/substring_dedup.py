@@ -10,8 +10,10 @@ them are compared word by word (by 64-bit word hash), which verifies the repeate
 tells the least document of each.
 
 Words are the longest runs of characters other than \\x20 and \\x09-\\x0D, unchanged. A null
-or empty text has no words. Rows with the same doc_id (null counts as an id before all
-others) do not remove each other's words. Each input row gives one output row.
+or empty text has no words; texts of any length are read whole. Rows with the same doc_id
+(null counts as an id before all others), repeated rows among them, do not remove each
+other's words. Each input row gives one output row; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

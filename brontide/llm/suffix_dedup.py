@@ -8,8 +8,14 @@ equal ranks are equal strings, and the least document of each is known. A trigge
 the least hash of a window, not a hash below a bound, so that every 50-byte string holds
 one; and order is computed per bucket of triggers, as equal strings share their trigger.
 
-Null and empty texts have no bytes. Rows with the same doc_id (null counts as an id before
-all others) do not remove each other's bytes. Every input row gives one output row.
+In place of one suffix array of all phrases there is one a bucket, cut at the threshold's
+depth; and as phrases overlap by a window, the order of the parse beyond a phrase decides
+nothing and is not made.
+
+Null and empty texts have no bytes; texts of any length are read whole. Rows with the same
+doc_id (null counts as an id before all others), repeated rows among them, do not remove
+each other's bytes. Every input row gives one output row; an empty table gives an empty
+result; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
