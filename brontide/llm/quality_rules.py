@@ -66,21 +66,29 @@ def _per_language(lang: Column, values: dict[str, Column], otherwise: Column | N
     return out if otherwise is None else F.coalesce(out, otherwise)
 
 
-def _repeat_words(words: Column, grams: Column) -> Column:
-    """Words inside 3-word windows found twice or more: windows sorted by hash, those equal to
-    a neighbour put back in text order, and the length of their union. n log n in the words."""
-    at = F.transform(F.sequence(F.lit(0), F.size(grams) - 1), lambda i: F.struct(F.get(grams, i).alias("h"), i.alias("i")))
-    s = F.sort_array(at)
-    twice = F.zip_with(
-        F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(F.lit(None).cast("struct<h:bigint,i:int>"))), lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), (a["h"] == b["h"]).alias("next"))),
-        F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, F.size(s) - 1)),
-        lambda a, b: F.struct(a["i"].alias("i"), (F.coalesce(a["next"], F.lit(False)) | F.coalesce(a["h"] == b["h"], F.lit(False))).alias("dup")),
-    )
-    places = F.sort_array(F.transform(F.filter(twice, lambda x: x["dup"]), lambda x: x["i"]))
+FEW = 64
+
+
+def _covered(places: Column) -> Column:
+    """How many words lie in the 3-word windows that start at these places, which rise."""
     start = F.struct(F.lit(-3).alias("prev"), F.lit(0).alias("n"))
     return F.aggregate(places, start, lambda a, p: F.struct(p.alias("prev"), (a["n"] + F.least(F.lit(3), p - a["prev"])).alias("n")), lambda a: a["n"])
 
 
+def _repeat_words(grams: str, twice: str) -> Column:
+    """Words inside 3-word windows found twice or more. ``twice``: the hashes that are. Of few
+    such hashes each window is looked up among them; of many, windows are sorted by hash and
+    those equal to a neighbour put back in text order, in n log n. Either way counts the same."""
+    few = F.array_compact(F.transform(grams, lambda h, i: F.when(F.array_contains(twice, h), i)))
+    s = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
+    forward = F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), none), lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), (a["h"] == b["h"]).alias("next")))
+    marked = F.zip_with(forward, F.concat(none, F.slice(s, 1, F.size(s) - 1)), lambda a, b: F.struct(a["i"].alias("i"), (F.coalesce(a["next"], F.lit(False)) | F.coalesce(a["h"] == b["h"], F.lit(False))).alias("dup")))
+    many = F.sort_array(F.transform(F.filter(marked, lambda x: x["dup"]), lambda x: x["i"]))
+    n = F.size(twice)
+    return F.when(n == 0, 0).when(n <= FEW, _covered(few)).otherwise(_covered(many))
+
+
 def measure(docs: DataFrame, references: Reference = REFERENCES) -> DataFrame:
     """The columns of ``docs`` and: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_text_chars, js_chars, js_words."""
@@ -94,13 +102,14 @@ def measure(docs: DataFrame, references: Reference = REFERENCES) -> DataFrame:
     grams = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     # Common words in a row, each between two blanks of its own, so that they are counted by what taking one out shortens it.
     common = F.concat(F.lit(" "), F.lower(F.array_join(F.filter("words", lambda w: w.isin(known)), "  ")), F.lit(" "))
-    d = d.withColumns({"marks": marks, "grams": grams, "common": common, "lines": lines})
+    d = d.withColumns({"marks": marks, "grams": grams, "common": common, "lines": lines}).withColumn("sorted", F.sort_array("grams"))
+    d = d.withColumn("twice", F.array_distinct(F.filter("sorted", lambda h, i: h == F.get("sorted", i + 1))))
     dup = F.size("lines") - F.size(F.array_distinct("lines"))
     cut = lambda chars: F.char_length("marks") - F.char_length(F.translate("marks", chars, ""))
     count = lambda w: F.floor((F.octet_length("common") - F.octet_length(F.replace("common", F.lit(f" {w} "), F.lit("")))) / len(f" {w} ".encode()))
     d = d.withColumns({
         "n_words": F.size("words").cast("bigint"), "word_chars": F.char_length(F.array_join("words", "")).cast("bigint"), "n_symbols": cut(SYMBOLS).cast("bigint"), "digits": cut("0123456789"),
-        "n_dup_lines": dup.cast("bigint"), "n_repeat_words": F.when(F.size("grams") > F.size(F.array_distinct("grams")), _repeat_words(F.col("words"), F.col("grams"))).otherwise(F.lit(0)).cast("bigint"),
+        "n_dup_lines": dup.cast("bigint"), "n_repeat_words": _repeat_words("grams", "twice").cast("bigint"),
         "counts": _per_language(F.col("lang"), {k: F.array(*map(count, words)) for k, (words, _) in references.items()}), "n_text_chars": F.char_length("text").cast("bigint"),
     })
     n, w = F.col("n_text_chars").cast("double"), F.col("n_words").cast("double")

@@ -279,6 +279,7 @@ def test_quality_measures(spark, docs):
 
     rng = random.Random(7)
     texts = [t for _, t in rows_of(docs)][:30] + ["The the of THE the's, 12 of #1 #2 $x\n\nof\nof \n of", "ñ y Y de la la", "für Für das DAS"]
+    texts += [" ".join(rng.choice("abcdefgh"[:n]) for _ in range(size)) for n in (2, 5, 8) for size in (3, 4, 40, 900)]
     for lang, words in quality_rules.COMMON_WORDS.items():
         texts += [" ".join(rng.choice([*words, *(w.capitalize() for w in words), "other", "a1%", "x."]) for _ in range(rng.randrange(1, 300))) for _ in range(6)]
     rows = [(i, t, lang) for i, t in enumerate(texts) for lang in [*quality_rules.COMMON_WORDS, "xx", None]]
