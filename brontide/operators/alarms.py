@@ -17,20 +17,19 @@ GAP, MISSING, UNAVAILABLE, TWO_BELOW, END = "annotation_or_acquisition_gap", "mi
 
 
 def alarm_stream(decisions: DataFrame, keys: list[str], stride: int) -> DataFrame:
-    """``decisions``: keys, t, score, available, threshold, duration and barriers, an array of
-    disjoint (start, end) or null. Back: keys, declaration, end, reason; one row an alarm. Two
+    """``decisions``: keys, t, score, available, threshold, duration, and barrier_until and barrier_next
+    as :func:`.timeline.around` finds them for disjoint barriers. Back: keys, declaration, end, reason; one row an alarm. Two
     decisions at one time, times outside [0, duration) and scores that count outside [0, 1] stop
     the job."""
     order = W.partitionBy(*keys).orderBy("t")
-    barriers = F.coalesce("barriers", F.array().cast("array<struct<start:bigint,end:bigint>>"))
     ok = F.col("available") & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < F.lit(float("inf")))
-    d = decisions.select(*keys, "t", "score", "threshold", "duration", barriers.alias("barriers"), ok.alias("ok"))
+    d = decisions.select(*keys, "t", "score", "threshold", "duration", F.coalesce(F.col("barrier_until") > F.col("t"), F.lit(False)).alias("held"), "barrier_next", ok.alias("ok"))
     bad = (F.col("t") < 0) | (F.col("t") >= F.col("duration")) | (F.col("ok") & ~F.col("score").between(0, 1)) | F.coalesce(F.lag("t").over(order) == F.col("t"), F.lit(False))
     d = d.withColumn("_bad", bad).withColumn("ok", F.when(F.col("_bad"), F.raise_error(F.lit("decisions must have times of their own in the recording and scores in [0, 1]")).cast("boolean")).otherwise(F.col("ok"))).drop("_bad")
     t, nxt, stop = F.col("t"), F.col("nt"), F.least(F.col("t") + stride, F.col("duration"))
-    d = d.withColumns({"nt": F.lead("t").over(order), "next_ok": F.lead("ok").over(order), "live": F.col("ok") & ~F.exists("barriers", lambda b: (b["start"] <= t) & (t < b["end"]))})
-    inside = F.array_min(F.transform(F.filter("barriers", lambda b: (b["start"] > t) & (b["start"] < stop)), lambda b: b["start"]))
-    met = F.array_min(F.transform(F.filter("barriers", lambda b: (b["start"] <= nxt) & (b["end"] > t)), lambda b: b["start"]))
+    d = d.withColumns({"nt": F.lead("t").over(order), "next_ok": F.lead("ok").over(order), "live": F.col("ok") & ~F.col("held")})
+    inside = F.when(F.col("barrier_next") < stop, F.col("barrier_next"))
+    met = F.when(nxt.isNotNull(), F.when(F.col("held"), t).when(F.col("barrier_next") <= nxt, F.col("barrier_next")))
     cut = F.struct(F.col("_at").alias("at"), F.col("_why").alias("why"))
     d = d.withColumns({"_inside": inside, "_met": met, "_miss": F.when(nxt > t + stride, t + stride)})
     at_end = F.when(F.col("_inside").isNotNull(), F.col("_inside")).otherwise(stop)

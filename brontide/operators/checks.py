@@ -38,7 +38,7 @@ def negative_controls(aligned: DataFrame, keys: list[str], stride: int, alpha: f
     """With weight zero, or with the second modality out, fusion must be the first modality exactly.
     Per control: decisions, how many differ in score or threshold, alarms, and how many alarms
     (declaration, end, reason) only one of the two streams has. ``aligned``: keys, t, duration,
-    barriers, available, available2, score1, score2."""
+    barrier_until, barrier_next, available, available2, score1, score2."""
     cases = [("NC1_alpha_zero", 0.0, False), ("NC2_entire_outage", alpha, True), ("NC2_max_alpha_outage", largest, True)]
     streams = aligned.withColumns({"control": F.lit("base"), "score": F.col("score1"), "threshold": F.lit(first_threshold)})
     for name, a, outage in cases:

@@ -15,6 +15,7 @@ from . import intervals as I
 from . import matching as M
 from . import metrics as Q
 from . import reports as R
+from . import timeline as T
 from .selection import grid
 from .staging import stored
 
@@ -67,8 +68,7 @@ def build_tables(streams: DataFrame, events: DataFrame, uncertain: DataFrame, st
     streams = stored(streams, "streams")
     recordings = streams.select(*unit, "duration").distinct()
     spread = lambda d: recordings.drop("duration").join(d, "rec")
-    barriers = I.as_array(uncertain, ["rec"], "barriers")
-    judged = stored(M.judged(A.alarm_stream(streams.join(barriers, "rec", "left"), unit, stride), spread(events), unit), "judged")
+    judged = stored(M.judged(A.alarm_stream(T.around(streams, {"barrier": uncertain}, ["rec"]), unit, stride), spread(events), unit), "judged")
     unsure = spread(uncertain)
     budget = stored(Q.time_budget(recordings, streams, unsure, unit, startup, stride), "budget")
     exposure = I.exposure(streams, unsure, None, unit, stride, F.col("duration"))

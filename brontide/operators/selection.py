@@ -72,7 +72,7 @@ def select_fusion(aligned: DataFrame, events: DataFrame, budget: DataFrame, keys
     F3, that of the early score. Back: (choices, all candidates with the verdict on them). Folds
     without a feasible threshold are calibration-limited and have no choice.
 
-    ``aligned``: keys, fold, t, duration, barriers, available, available2, score1, score2,
+    ``aligned``: keys, fold, t, duration, barrier_until, barrier_next, available, available2, score1, score2,
     score_early; ``events``: keys, fold, event_id, start, end; ``budget``: fold and the times.
     Rows whose second score does not count stand under F0's threshold, and so there are two
     sweeps, and the second begins with the choice of the first."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def anchors(recordings: DataFrame, first: int, stride: int) -> DataFrame:
@@ -23,28 +24,41 @@ def trailing(samples: DataFrame, keys: list[str], context: int, first: int, stri
     return seen.withColumn("t", first + F.col("_k") * stride).groupBy(*keys, "t").agg(*aggs)
 
 
+def around(points: DataFrame, spans: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Adds to each point (keys, t) what lies around it: for each name ``<name>_until``, the latest end of
+    the spans that start at or before t, and ``<name>_next``, the earliest start after t. All are one
+    series in time order, so a recording of many points and spans makes no pairs of them."""
+    rest = [c for c in points.columns if c not in keys]
+    series = points.select(*keys, F.col("t").alias("_t"), F.lit("").alias("_kind"), F.struct(*rest).alias("_row"))
+    for name, s in spans.items():
+        series = series.unionByName(s.select(*keys, F.col("start").alias("_t"), F.lit(name).alias("_kind"), F.col("end").alias("_end")), allowMissingColumns=True)
+    point = F.col("_kind") == ""
+    up = W.partitionBy(*keys).orderBy("_t", point)
+    down = W.partitionBy(*keys).orderBy(F.desc("_t"), F.desc(point))
+    found = {}
+    for name in spans:
+        mine = F.col("_kind") == name
+        found |= {f"{name}_until": F.max(F.when(mine, F.col("_end"))).over(up.rowsBetween(W.unboundedPreceding, 0)), f"{name}_next": F.min(F.when(mine, F.col("_t"))).over(down.rowsBetween(W.unboundedPreceding, -1))}
+    return series.withColumns(found).where(point).select(*keys, "_row.*", *found)
+
+
 def label(timeline: DataFrame, events: DataFrame, uncertain: DataFrame, keys: list[str], exclusion: int) -> DataFrame:
     """Label of each anchor, by precedence: uncertain (-1), inside an event (1), within
-    ``exclusion`` of one (-1), negative (0). ``events``: keys, number, start, end. Events of a
-    recording come along as one array, so the range predicates need no join of their own."""
+    ``exclusion`` of one (-1), negative (0). ``events``: keys, number, start, end; they may overlap.
+    The numbers of the events that hold an anchor are looked up for positive anchors only."""
     if exclusion < 0:
         raise ValueError("exclusion must not be negative")
-    ev = events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end", "number"))).alias("_ev"))
-    un = uncertain.groupBy(*keys).agg(F.collect_list(F.struct("start", "end")).alias("_un"))
     t = F.col("t")
-    out = timeline.join(ev, keys, "left").join(un, keys, "left")
-    inside = F.filter(F.coalesce("_ev", F.array().cast("array<struct<start:bigint,end:bigint,number:bigint>>")), lambda e: (e["start"] <= t) & (t < e["end"]))
-    near = F.coalesce(F.exists("_ev", lambda e: (e["start"] - exclusion <= t) & (t < e["end"] + exclusion)), F.lit(False))
-    unsure = F.coalesce(F.exists("_un", lambda u: (u["start"] <= t) & (t < u["end"])), F.lit(False))
-    out = out.withColumns({"_in": inside, "annotation_uncertain": unsure, "_near": near})
-    hit = F.size("_in") > 0
-    status = F.when(F.col("annotation_uncertain"), "annotation_uncertain").when(hit, "positive").when(F.col("_near"), "ignore").otherwise("negative")
-    out = out.withColumn("status", status)
-    numbers = F.when(F.col("status") == "positive", F.array_join(F.transform("_in", lambda e: e["number"].cast("string")), "|")).otherwise("")
-    return out.withColumns({
-        "label": F.when(F.col("status") == "positive", 1).when(F.col("status") == "negative", 0).otherwise(-1), "evaluation_label": F.when(F.col("annotation_uncertain"), -1).otherwise(hit.cast("int")),
-        "training_eligible": F.col("status").isin("positive", "negative"), "event_numbers": numbers,
-    }).drop("_ev", "_un", "_in", "_near")
+    out = around(timeline, {"_ev": events, "_un": uncertain}, keys)
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    hit, unsure = holds(F.col("_ev_until") > t), holds(F.col("_un_until") > t)
+    near = holds(F.col("_ev_until") + exclusion > t) | holds(F.col("_ev_next") - exclusion <= t)
+    status = F.when(unsure, "annotation_uncertain").when(hit, "positive").when(near, "ignore").otherwise("negative")
+    out = out.withColumns({"annotation_uncertain": unsure, "status": status, "evaluation_label": F.when(unsure, -1).otherwise(hit.cast("int"))}).drop("_ev_until", "_ev_next", "_un_until", "_un_next")
+    inside = out.where("status = 'positive'").select(*keys, "t").join(events, keys).where((F.col("start") <= t) & (t < F.col("end")))
+    numbers = inside.groupBy(*keys, "t").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "number"))), lambda e: e["number"].cast("string")), "|").alias("event_numbers"))
+    out = out.join(numbers, [*keys, "t"], "left").fillna("", ["event_numbers"])
+    return out.withColumns({"label": F.when(F.col("status") == "positive", 1).when(F.col("status") == "negative", 0).otherwise(-1), "training_eligible": F.col("status").isin("positive", "negative")})
 
 
 def leave_one_out(recordings: DataFrame, group: str, item: str) -> DataFrame:

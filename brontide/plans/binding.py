@@ -66,8 +66,8 @@ def uncertain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ready(spark: SparkSession, sf: str) -> DataFrame:
-    """Decisions with their recording's barriers, without a threshold."""
-    return decisions(spark, sf).join(I.as_array(uncertain(spark, sf), KEY, "barriers"), KEY, "left")
+    """Decisions with the barriers around them, without a threshold."""
+    return T.around(decisions(spark, sf), {"barrier": uncertain(spark, sf)}, KEY)
 
 
 def union_sql(src: str, keys: str = "rec") -> str:

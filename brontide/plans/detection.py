@@ -124,8 +124,7 @@ def q15_model_variants(spark, sf):
 
 def _variant_alarms(spark, sf):
     s = _stream(spark, sf).withColumn("available", F.col("available1")).where("model IN ('F0', 'F2')")
-    s = s.join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left")
-    return A.alarm_stream(s, ["rec", "model"], B.STRIDE)
+    return A.alarm_stream(T.around(s, {"barrier": B.uncertain(spark, sf)}, K), ["rec", "model"], B.STRIDE)
 
 
 def _variant_events(spark, sf):
@@ -164,7 +163,7 @@ def q19_asof_state(spark, sf):
 
 
 def q20_band_coincidence(spark, sf):
-    second = B.decisions2(spark, sf).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left").withColumn("threshold", F.lit(ALARM_AT))
+    second = T.around(B.decisions2(spark, sf), {"barrier": B.uncertain(spark, sf)}, K).withColumn("threshold", F.lit(ALARM_AT))
     other = A.alarm_stream(second, K, B.STRIDE)
     return P.within_band(_alarms(spark, sf).select("rec", "declaration"), other.select("rec", F.col("declaration").alias("d2")), K, "declaration", "d2", B.STRIDE)
 
@@ -184,7 +183,8 @@ def q22_confusion_metrics(spark, sf):
 
 def _selection(spark, sf):
     early = F.when(F.col("score1").isNotNull(), F.least(F.lit(1.0), F.col("score1") * 0.5 + F.coalesce("score2", F.lit(0.0)) * 0.5))
-    d = _group(_aligned(spark, sf)).withColumns({"score_early": early, "available": F.col("available1")}).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left")
+    d = _group(_aligned(spark, sf)).withColumns({"score_early": early, "available": F.col("available1")})
+    d = T.around(d, {"barrier": B.uncertain(spark, sf)}, K)
     return S.select_fusion(stored(d, "aligned"), stored(_group(B.events(spark, sf)), "events"), _group(_budget(spark, sf)), K, ["grp"], B.STRIDE, float(B.STRIDE), limit=0.02)
 
 

@@ -187,7 +187,7 @@ def q40_contribution_rollup(spark, sf):
 
 
 def _second_alarms(spark, sf):
-    d = B.decisions2(spark, sf).join(I.as_array(B.uncertain(spark, sf), K, "barriers"), K, "left").withColumn("threshold", F.lit(D.ALARM_AT))
+    d = T.around(B.decisions2(spark, sf), {"barrier": B.uncertain(spark, sf)}, K).withColumn("threshold", F.lit(D.ALARM_AT))
     return A.alarm_stream(d, K, B.STRIDE)
 
 

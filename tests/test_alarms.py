@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from brontide.operators import alarms as A
 from brontide.operators import intervals as I
 from brontide.operators import matching as M
+from brontide.operators import timeline as T
 
 S = 5
 
@@ -42,8 +43,27 @@ def by_cells(decisions, barriers, duration, threshold):
 
 
 def frame(spark, streams):
-    rows = [(i, t, s, s is not None, 0.5, d, [{"start": a, "end": b} for a, b in bar]) for i, (ts, bar, d) in enumerate(streams) for t, s in ts]
-    return spark.createDataFrame(rows, "rec int, t bigint, score double, available boolean, threshold double, duration bigint, barriers array<struct<start:bigint,end:bigint>>")
+    rows = [(i, t, s, s is not None, 0.5, d) for i, (ts, _, d) in enumerate(streams) for t, s in ts]
+    bars = [(i, a, b) for i, (_, bar, _) in enumerate(streams) for a, b in bar]
+    d = spark.createDataFrame(rows, "rec int, t bigint, score double, available boolean, threshold double, duration bigint")
+    return T.around(d, {"barrier": spark.createDataFrame(bars, "rec int, start bigint, end bigint")}, ["rec"])
+
+
+def test_labels_of_overlapping_events(spark):
+    """Against a look at every event and uncertain span for every anchor."""
+    rng = random.Random(5)
+    spans = lambda n, p: [(r, i, a, a + rng.randrange(1, 30)) for r in range(20) for i in range(n) if rng.random() < p for a in [rng.randrange(0, 150)]]
+    ev, un = spans(5, 0.7), spans(3, 0.4)
+    anchors = spark.createDataFrame([(r, t) for r in range(21) for t in range(0, 160, 3)], "rec int, t bigint")
+    table = lambda s: spark.createDataFrame([(r, i, a, b) for r, i, a, b in s], "rec int, number bigint, start bigint, end bigint")
+    got = {(r.rec, r.t): r for r in T.label(anchors, table(ev), table(un), ["rec"], 7).collect()}
+    assert len(got) == 21 * 54
+    for (rec, t), r in got.items():
+        inside = [str(i) for q, i, a, b in sorted(ev, key=lambda e: (e[2], e[3], e[1])) if q == rec and a <= t < b]
+        near, unsure = any(q == rec and a - 7 <= t < b + 7 for q, _, a, b in ev), any(q == rec and a <= t < b for q, _, a, b in un)
+        status = "annotation_uncertain" if unsure else "positive" if inside else "ignore" if near else "negative"
+        label = {"positive": 1, "negative": 0}.get(status, -1)
+        assert (r.status, r.label, r.event_numbers, r.evaluation_label, r.training_eligible) == (status, label, "|".join(inside) if status == "positive" else "", -1 if unsure else int(bool(inside)), label >= 0)
 
 
 def test_random_streams_equal_the_pattern(spark):
