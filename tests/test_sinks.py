@@ -4,7 +4,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from brontide.operators import spectra as X
 from brontide.sources import annotations as N
@@ -94,3 +93,14 @@ def test_anchor_rows(spark):
     assert [len(c) for c in X.columns_by_prefix(list(r.asDict()), "eeg__", "ecg__")] == [46, 19]
     with pytest.raises(ValueError):
         X.anchor_rows(eeg, ecg, ["anchor"], "channel", "samples", fs, 128.0)
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace as Of
+
+    from brontide.operators.staging import shared_dir
+
+    session = lambda named, master: Of(conf=Of(get=lambda *_: named), sparkContext=Of(master=master))
+    assert shared_dir(session("hdfs://x/y/", "yarn")) == "hdfs://x/y" and shared_dir(session(None, "local[2]"))
+    with pytest.raises(ValueError):
+        shared_dir(session(None, "spark://host:7077"))
