@@ -7,9 +7,10 @@ endpoint needs both. The interval join within scopes is a sweep over the parts o
 in order of their starts: the farthest end before and the nearest start after decide whether
 any partner is in reach, so pairs of parts never appear.
 
-Offsets are code points, ends exclusive. A null or empty text has no parts. Rows with equal
-doc_id and text are scanned once and each gets the result; a null doc_id is an id of its own.
-Nothing but doc_id and text is read. Only documents with parts are shuffled, without text.
+Offsets are code points, ends exclusive. A null or empty text has no parts; texts of any length
+are read whole. Rows with equal doc_id and text are scanned once and each gets the result; a
+null doc_id is an id of its own. An empty table gives an empty result. Nothing but doc_id and
+text is read. Only documents with parts are shuffled, without text.
 """
 
 from __future__ import annotations
