@@ -23,9 +23,19 @@ def alarm_stream(decisions: DataFrame, keys: list[str], stride: int) -> DataFram
     the job."""
     order = W.partitionBy(*keys).orderBy("t")
     ok = F.col("available") & F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < F.lit(float("inf")))
-    d = decisions.select(*keys, "t", "score", "threshold", "duration", F.coalesce(F.col("barrier_until") > F.col("t"), F.lit(False)).alias("held"), "barrier_next", ok.alias("ok"))
-    bad = (F.col("t") < 0) | (F.col("t") >= F.col("duration")) | (F.col("ok") & ~F.col("score").between(0, 1)) | F.coalesce(F.lag("t").over(order) == F.col("t"), F.lit(False))
-    d = d.withColumn("_bad", bad).withColumn("ok", F.when(F.col("_bad"), F.raise_error(F.lit("decisions must have times of their own in the recording and scores in [0, 1]")).cast("boolean")).otherwise(F.col("ok"))).drop("_bad")
+    d = decisions.select(
+        *keys, "t", "score", "threshold", "duration", F.coalesce(F.col("barrier_until") > F.col("t"), F.lit(False)).alias("held"), "barrier_next",
+        ok.alias("ok")
+    )
+    bad = (F.col("t") < 0) | (F.col("t") >= F.col("duration")) | (F.col("ok") & ~F.col("score").between(0, 1)) | F.coalesce(
+        F.lag("t").over(order) == F.col("t"), F.lit(False)
+    )
+    d = d.withColumn("_bad", bad).withColumn(
+        "ok",
+        F.when(
+            F.col("_bad"), F.raise_error(F.lit("decisions must have times of their own in the recording and scores in [0, 1]")).cast("boolean")
+        ).otherwise(F.col("ok"))
+    ).drop("_bad")
     t, nxt, stop = F.col("t"), F.col("nt"), F.least(F.col("t") + stride, F.col("duration"))
     d = d.withColumns({"nt": F.lead("t").over(order), "next_ok": F.lead("ok").over(order), "live": F.col("ok") & ~F.col("held")})
     inside = F.when(F.col("barrier_next") < stop, F.col("barrier_next"))
@@ -36,8 +46,12 @@ def alarm_stream(decisions: DataFrame, keys: list[str], stride: int) -> DataFram
     why_end = F.when(F.col("_inside").isNotNull(), GAP).when(stop == F.col("duration"), END).otherwise(MISSING)
     first = F.least("_met", "_miss")
     between = F.when(first.isNotNull(), F.greatest(t, first)).when(~F.col("next_ok"), nxt)
-    why_between = F.when(F.col("_met").isNotNull() & (F.col("_met") == first), GAP).when(first.isNotNull(), MISSING).when(~F.col("next_ok"), UNAVAILABLE)
-    d = d.withColumns({"_at": F.when(nxt.isNull(), at_end).otherwise(between), "_why": F.when(nxt.isNull(), why_end).otherwise(why_between)}).withColumn("cut", cut)
+    why_between = F.when(
+        F.col("_met").isNotNull() & (F.col("_met") == first), GAP
+    ).when(first.isNotNull(), MISSING).when(~F.col("next_ok"), UNAVAILABLE)
+    d = d.withColumns(
+        {"_at": F.when(nxt.isNull(), at_end).otherwise(between), "_why": F.when(nxt.isNull(), why_end).otherwise(why_between)}
+    ).withColumn("cut", cut)
     breaks = F.sum((F.col("_at").isNotNull() | ~F.col("live")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1))
     d = d.withColumn("segment", F.coalesce(breaks, F.lit(0))).where("live")
     seg = W.partitionBy(*keys, "segment").orderBy("t")
@@ -48,4 +62,7 @@ def alarm_stream(decisions: DataFrame, keys: list[str], stride: int) -> DataFram
     high = high.withColumn("_new", new).withColumn("island", F.sum("_new").over(seg.rowsBetween(W.unboundedPreceding, 0)))
     out = high.groupBy(*keys, "segment", "island").agg(F.min("t").alias("declaration"), F.max_by(F.struct("low2", "last_cut"), "t").alias("z"))
     closed = F.col("z.low2").isNotNull()
-    return out.select(*keys, "declaration", F.when(closed, F.col("z.low2")).otherwise(F.col("z.last_cut.at")).alias("end"), F.when(closed, TWO_BELOW).otherwise(F.col("z.last_cut.why")).alias("reason"))
+    return out.select(
+        *keys, "declaration", F.when(closed, F.col("z.low2")).otherwise(F.col("z.last_cut.at")).alias("end"),
+        F.when(closed, TWO_BELOW).otherwise(F.col("z.last_cut.why")).alias("reason")
+    )

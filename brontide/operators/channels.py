@@ -33,14 +33,20 @@ def time_features(df: DataFrame, samples: str) -> DataFrame:
     line = F.try_divide(F.aggregate("_d", F.lit(0.0), lambda s, x: s + F.abs(x)), F.size("_d").cast("double"))
     ratio = lambda x, y: F.when(F.col(y) > 0, F.sqrt(F.col(x) / F.col(y))).when(F.size("_a") > 0, 0.0)
     mobility = ratio("_dv", "_av")
-    out = a.withColumns({"rms": F.sqrt("_av"), "std": F.sqrt("_av"), "line_length": line, "hjorth_activity": F.col("_av"), "hjorth_mobility": mobility})
-    out = out.withColumn("hjorth_complexity", F.when(F.col("hjorth_mobility") > 0, ratio("_ddv", "_dv") / F.col("hjorth_mobility")).otherwise(F.col("hjorth_mobility")))
+    out = a.withColumns(
+        {"rms": F.sqrt("_av"), "std": F.sqrt("_av"), "line_length": line, "hjorth_activity": F.col("_av"), "hjorth_mobility": mobility}
+    )
+    out = out.withColumn(
+        "hjorth_complexity", F.when(F.col("hjorth_mobility") > 0, ratio("_ddv", "_dv") / F.col("hjorth_mobility")).otherwise(F.col("hjorth_mobility"))
+    )
     return out.drop(*[c for c in out.columns if c[0] == "_"])
 
 
 def reduce_channels(features: DataFrame, keys: list[str], names: list[str], *more: Column) -> DataFrame:
     """Mean and population spread of each feature over the channels that have it, and ``more``."""
-    return features.groupBy(*keys).agg(*more, *[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std_across_channels"))])
+    return features.groupBy(*keys).agg(
+        *more, *[f(c).alias(f"{c}_{n}") for c in names for f, n in ((F.avg, "mean"), (F.stddev_pop, "std_across_channels"))]
+    )
 
 
 def correlation_summary(channels: DataFrame, keys: list[str], channel: str, samples: str) -> DataFrame:

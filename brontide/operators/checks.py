@@ -34,7 +34,9 @@ def disjoint(a: list, b: list) -> None:
         raise ValueError(f"items on both sides: {sorted(set(a) & set(b))}")
 
 
-def negative_controls(aligned: DataFrame, keys: list[str], stride: int, alpha: float, threshold: float, first_threshold: float, largest: float = 0.5) -> DataFrame:
+def negative_controls(
+    aligned: DataFrame, keys: list[str], stride: int, alpha: float, threshold: float, first_threshold: float, largest: float = 0.5
+) -> DataFrame:
     """With weight zero, or with the second modality out, fusion must be the first modality exactly.
     Per control: decisions, how many differ in score or threshold, alarms, and how many alarms
     (declaration, end, reason) only one of the two streams has. ``aligned``: keys, t, duration,
@@ -48,7 +50,9 @@ def negative_controls(aligned: DataFrame, keys: list[str], stride: int, alpha: f
     rows = streams.where("control <> 'base'").groupBy("control").agg(F.count("*").alias("decisions"), F.count_if(off).alias("differing"))
     same = A.alarm_stream(streams, [*keys, "control"], stride).groupBy(*keys, "declaration", "end", "reason").agg(F.collect_set("control").alias("in_"))
     in_base = F.array_contains("in_", "base")
-    each = same.withColumn("control", F.explode(F.array(*[F.lit(n) for n, _, _ in cases]))).withColumn("here", F.array_contains("in_", F.col("control")))
+    each = same.withColumn(
+        "control", F.explode(F.array(*[F.lit(n) for n, _, _ in cases]))
+    ).withColumn("here", F.array_contains("in_", F.col("control")))
     found = each.groupBy("control").agg(F.count_if("here").alias("alarms"), F.count_if(F.col("here") != in_base).alias("differing_alarms"))
     out = rows.join(found, "control", "left").fillna(0, ["alarms", "differing_alarms"])
     return out.withColumn("passed", (F.col("differing") == 0) & (F.col("differing_alarms") == 0))
@@ -85,8 +89,14 @@ def inventory(recordings: DataFrame, events: DataFrame) -> DataFrame:
     """One row: how many recordings and events there are, how many are eligible, and their seconds.
     ``recordings``: duration_s, eligible; ``events``: eligible, uncertain."""
     ok = F.col("eligible")
-    r = recordings.agg(F.count("*").alias("recordings"), F.count_if(ok).alias("eligible_recordings"), F.sum("duration_s").alias("total_seconds"), F.sum(F.when(ok, F.col("duration_s"))).alias("eligible_seconds"))
-    e = events.agg(F.count("*").alias("events"), F.count_if(ok).alias("eligible_events"), F.count_if(~ok).alias("quarantined_events"), F.count_if("uncertain").alias("uncertain_events"))
+    r = recordings.agg(
+        F.count("*").alias("recordings"), F.count_if(ok).alias("eligible_recordings"), F.sum("duration_s").alias("total_seconds"),
+        F.sum(F.when(ok, F.col("duration_s"))).alias("eligible_seconds")
+    )
+    e = events.agg(
+        F.count("*").alias("events"), F.count_if(ok).alias("eligible_events"), F.count_if(~ok).alias("quarantined_events"),
+        F.count_if("uncertain").alias("uncertain_events")
+    )
     return r.crossJoin(e)  # a row each
 
 

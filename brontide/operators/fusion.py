@@ -11,22 +11,31 @@ def align(left: DataFrame, right: DataFrame, keys: list[str], shared: list[str]
     and shared columns that differ (nulls being equal), stop the job from inside it."""
     once = lambda d: d.groupBy(*keys).agg(F.count("*").alias("_c"), *[F.first(c).alias(c) for c in d.columns if c not in keys])
     lt, rt = once(left).withColumn("_l", F.lit(True)), once(right)
-    rt = rt.select(*keys, F.col("_c").alias("_rc"), F.lit(True).alias("_r"), *[F.col(c).alias(f"_r_{c}" if c in shared else c) for c in right.columns if c not in keys])
+    rt = rt.select(
+        *keys, F.col("_c").alias("_rc"), F.lit(True).alias("_r"),
+        *[F.col(c).alias(f"_r_{c}" if c in shared else c) for c in right.columns if c not in keys]
+    )
     out = lt.join(rt, keys, "full_outer")
     if check:
         bad = F.col("_l").isNull() | F.col("_r").isNull() | (F.col("_c") > 1) | (F.col("_rc") > 1)
         for c in shared:
             bad = bad | ~F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        out = out.withColumn("_l", F.when(bad, F.raise_error(F.lit("timelines do not match"))).otherwise(F.col("_l").cast("string"))).where("_l IS NOT NULL")
+        out = out.withColumn(
+            "_l", F.when(bad, F.raise_error(F.lit("timelines do not match"))).otherwise(F.col("_l").cast("string"))
+        ).where("_l IS NOT NULL")
     return out.drop("_l", "_r", "_c", "_rc", *[f"_r_{c}" for c in shared])
 
 
 def check_alpha(alpha: Column, allowed: list[float]) -> Column:
     """The weight, or the job stops if it is none of those allowed."""
-    return F.when(alpha.isin(allowed), alpha).otherwise(F.raise_error(F.concat(F.lit("weight not registered: "), alpha.cast("string"))).cast("double"))
+    return F.when(alpha.isin(allowed), alpha).otherwise(
+        F.raise_error(F.concat(F.lit("weight not registered: "), alpha.cast("string"))).cast("double")
+    )
 
 
-def late(df: DataFrame, alpha: Column, threshold: Column, first_threshold: Column, outage: bool = False, allowed: list[float] | None = None) -> DataFrame:
+def late(
+    df: DataFrame, alpha: Column, threshold: Column, first_threshold: Column, outage: bool = False, allowed: list[float] | None = None
+) -> DataFrame:
     """Weighted score where the second modality counts, else the first one's score with its own
     threshold; a missing score is never multiplied by zero. Adds score, threshold, q. A weight that
     is none of those ``allowed`` stops the job."""

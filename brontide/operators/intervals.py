@@ -18,20 +18,28 @@ def union_intervals(df: DataFrame, keys: list[str]) -> DataFrame:
     new = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
     marked = df.where("end > start").select(*keys, "start", "end").withColumn("_new", new)
     island = F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    return marked.withColumn("_island", island).groupBy(*keys, "_island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
+    ).drop("_island")
 
 
 def _sweep(a: DataFrame, b: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """Pieces between neighbouring bounds where ``keep`` holds of how many of a and b cover them."""
 
     def bounds(df, in_a, in_b):
-        steps = F.array(F.struct(F.col("start").alias("x"), F.lit(in_a).alias("da"), F.lit(in_b).alias("db")), F.struct(F.col("end").alias("x"), F.lit(-in_a).alias("da"), F.lit(-in_b).alias("db")))
+        steps = F.array(
+            F.struct(F.col("start").alias("x"), F.lit(in_a).alias("da"), F.lit(in_b).alias("db")),
+            F.struct(F.col("end").alias("x"), F.lit(-in_a).alias("da"), F.lit(-in_b).alias("db"))
+        )
         return df.where("end > start").select(*keys, F.inline(steps))
 
     steps = bounds(a, 1, 0).unionByName(bounds(b, 0, 1)).groupBy(*keys, "x").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     order = W.partitionBy(*keys).orderBy("x")
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    pieces = steps.select(*keys, F.col("x").alias("start"), F.lead("x").over(order).alias("end"), F.sum("da").over(so_far).alias("in_a"), F.sum("db").over(so_far).alias("in_b"))
+    pieces = steps.select(
+        *keys, F.col("x").alias("start"), F.lead("x").over(order).alias("end"), F.sum("da").over(so_far).alias("in_a"),
+        F.sum("db").over(so_far).alias("in_b")
+    )
     return union_intervals(pieces.where(F.col("end").isNotNull() & keep), keys)
 
 
@@ -75,4 +83,6 @@ def as_array(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 def from_json_pairs(df: DataFrame, keys: list[str], column: str, scale: int = 1_000_000) -> DataFrame:
     """Intervals kept as JSON text [[a, b], ...] in seconds."""
     pairs = F.explode(F.from_json(column, "array<array<double>>"))
-    return df.select(*keys, pairs.alias("_p")).select(*keys, (F.col("_p")[0] * scale).cast("bigint").alias("start"), (F.col("_p")[1] * scale).cast("bigint").alias("end"))
+    return df.select(*keys, pairs.alias("_p")).select(
+        *keys, (F.col("_p")[0] * scale).cast("bigint").alias("start"), (F.col("_p")[1] * scale).cast("bigint").alias("end")
+    )

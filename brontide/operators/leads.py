@@ -53,7 +53,12 @@ def measure_leads(df: DataFrame, samples: str, fs: float, low: str | None = None
     out = out.withColumn("intervals", F.when(F.size("beats") > 1, Y.compressed_rr(F.col("beats"), fs)).otherwise(F.array().cast("array<double>")))
     n = F.size("intervals")
     total = F.aggregate("intervals", F.lit(0.0), lambda s, x: s + x)
-    out = out.withColumns({"valid_rr_count": n, "valid_rr_fraction": F.coalesce(F.try_divide(n.cast("double"), (F.size("beats") - 1).cast("double")), F.lit(0.0)), "rr_coverage": F.coalesce(F.try_divide(total, F.col("_s")), F.lit(0.0))})
+    out = out.withColumns(
+        {
+            "valid_rr_count": n, "valid_rr_fraction": F.coalesce(F.try_divide(n.cast("double"), (F.size("beats") - 1).cast("double")), F.lit(0.0)),
+            "rr_coverage": F.coalesce(F.try_divide(total, F.col("_s")), F.lit(0.0))
+        }
+    )
     return out.withColumn("median_rate", Y.array_median(F.transform("intervals", lambda x: 60.0 / x))).drop("_s")
 
 
@@ -68,7 +73,9 @@ def quality_gates(df: DataFrame) -> DataFrame:
 def _agreement(fs: float, tolerance_s: float):
     @F.pandas_udf("double")
     def run(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([dsp.beat_agreement(np.asarray(a), np.asarray(b), tolerance_s * fs) for a, b in zip(first, second, strict=True)], dtype=float)
+        return pd.Series(
+            [dsp.beat_agreement(np.asarray(a), np.asarray(b), tolerance_s * fs) for a, b in zip(first, second, strict=True)], dtype=float
+        )
 
     return run
 
@@ -79,7 +86,12 @@ def arbitrate(leads: DataFrame, keys: list[str], fs: float) -> DataFrame:
     both = W.partitionBy(*keys)
     first = lambda lead: F.max(F.when(F.col("lead") == lead, F.col("beats"))).over(both)
     x = leads.withColumns({"_a": first(0), "_b": first(1)}).withColumn("agreement", _agreement(fs, 0.10)(F.col("_a"), F.col("_b")))
-    x = x.withColumns({"rate": F.col("median_rate"), "valid_fraction": F.col("valid_rr_fraction"), "coverage": F.col("rr_coverage"), "agreement": F.when(~F.isnan("agreement"), F.col("agreement"))})
+    x = x.withColumns(
+        {
+            "rate": F.col("median_rate"), "valid_fraction": F.col("valid_rr_fraction"), "coverage": F.col("rr_coverage"),
+            "agreement": F.when(~F.isnan("agreement"), F.col("agreement"))
+        }
+    )
     apart: Column = F.col("rate_high") - F.col("rate_low") > F.greatest(F.lit(10.0), 0.15 * F.col("rate_low"))
     chosen = Y.choose_lead(x, keys, "agreement", apart, 0.70)
     return chosen.join(x.groupBy(*keys).agg(F.first("agreement").alias("agreement")), keys)

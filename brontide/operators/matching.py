@@ -24,10 +24,14 @@ def judged(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     bound = lambda t, side: F.struct(F.col(t).alias("t"), F.lit(side).alias("side"))
     bounds = events.select(*keys, span.alias("event"), F.inline(F.array(bound("start", _OPEN), bound("end", _CLOSE))))
     rest = F.struct(*[F.col(c) for c in alarms.columns if c not in keys])
-    series = bounds.unionByName(alarms.select(*keys, rest.alias("alarm"), F.col("declaration").alias("t"), F.lit(_ALARM).alias("side")), allowMissingColumns=True)
+    series = bounds.unionByName(
+        alarms.select(*keys, rest.alias("alarm"), F.col("declaration").alias("t"), F.lit(_ALARM).alias("side")), allowMissingColumns=True
+    )
     so_far = W.partitionBy(*keys).orderBy("t", "side").rowsBetween(W.unboundedPreceding, 0)
     is_alarm = F.col("side") == _ALARM
-    series = series.withColumns({"_open": F.last(F.when(F.col("side") == _OPEN, F.col("event")), ignorenulls=True).over(so_far), "_reach": F.max("alarm.end").over(so_far)}).where(F.col("side") != _OPEN)
+    series = series.withColumns(
+        {"_open": F.last(F.when(F.col("side") == _OPEN, F.col("event")), ignorenulls=True).over(so_far), "_reach": F.max("alarm.end").over(so_far)}
+    ).where(F.col("side") != _OPEN)
     own = F.when(~is_alarm, F.col("event.event_id")).when(F.col("t") < F.col("_open.offset"), F.col("_open.event_id"))
     first = F.min(F.when(is_alarm, F.col("t"))).over(W.partitionBy(*keys, "event_id"))
     series = series.withColumn("event_id", own).withColumn("_first", first)
@@ -47,7 +51,9 @@ def match_alarms(alarms: DataFrame, events: DataFrame, keys: list[str]) -> tuple
 
 def event_matches(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
     """One row an event: detected, declaration, delay, and whether any alarm touches it."""
-    return judged(alarms, events, keys).where("kind = 'event'").select(*keys, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected")
+    return judged(alarms, events, keys).where("kind = 'event'").select(
+        *keys, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected"
+    )
 
 
 def match_overlapping(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,8 +89,13 @@ def alarm_fates(before: DataFrame, after: DataFrame, keys: list[str], near: int)
         fate: dict[int, tuple[int, str]] = {}
         used: set[int] = set()
         for stage in ("preserved", "shifted", "replaced"):
-            fits = {"preserved": lambda x, y: x[0] == y[0], "shifted": lambda x, y: abs(x[0] - y[0]) <= near, "replaced": lambda x, y: max(x[0], y[0]) < min(x[1], y[1])}[stage]
-            for _, i, j in sorted((abs(x[0] - y[0]), i, j) for i, x in enumerate(a) if i not in fate for j, y in enumerate(b) if j not in used and fits(x, y)):
+            fits = {
+                "preserved": lambda x, y: x[0] == y[0], "shifted": lambda x, y: abs(x[0] - y[0]) <= near,
+                "replaced": lambda x, y: max(x[0], y[0]) < min(x[1], y[1])
+            }[stage]
+            for _, i, j in sorted(
+                (abs(x[0] - y[0]), i, j) for i, x in enumerate(a) if i not in fate for j, y in enumerate(b) if j not in used and fits(x, y)
+            ):
                 if i not in fate and j not in used:
                     fate[i] = (j, stage)
                     used.add(j)

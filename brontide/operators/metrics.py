@@ -59,22 +59,36 @@ def summarize(judged: DataFrame, budget: DataFrame, level: list[str]) -> DataFra
 def score_quality(scored: DataFrame, level: list[str]) -> DataFrame:
     """Average precision (steps, ties together) and area under the ROC curve (average ranks) of
     scored rows with label 0 or 1; null unless both occur. Rows are first counted per score."""
-    by_score = scored.where("label >= 0 AND score IS NOT NULL").groupBy(*level, "score").agg(F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n"))
+    by_score = scored.where("label >= 0 AND score IS NOT NULL").groupBy(*level, "score").agg(
+        F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n")
+    )
     whole = W.partitionBy(*level)
     down = whole.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
     up = whole.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
     s = by_score.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "below": F.coalesce(F.sum("n").over(up), F.lit(0))})
     s = s.withColumns({"_ap": F.col("p") * F.col("tp") / F.col("seen"), "_rank": F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)})
-    out = s.groupBy(*level).agg(F.sum("n").alias("window_n"), F.sum("p").alias("window_positive"), F.sum("_ap").alias("_ap"), F.sum("_rank").alias("_rank"))
+    out = s.groupBy(*level).agg(
+        F.sum("n").alias("window_n"), F.sum("p").alias("window_positive"), F.sum("_ap").alias("_ap"), F.sum("_rank").alias("_rank")
+    )
     pos, neg = F.col("window_positive"), F.col("window_n") - F.col("window_positive")
     both = (pos > 0) & (neg > 0)
-    return out.select(*level, "window_n", "window_positive", F.when(both, F.try_divide(F.col("_ap"), pos)).alias("average_precision"), F.when(both, F.try_divide(F.col("_rank") - pos * (pos + 1) / 2, (pos * neg).cast("double"))).alias("roc_auc"))
+    return out.select(
+        *level, "window_n", "window_positive", F.when(both, F.try_divide(F.col("_ap"), pos)).alias("average_precision"),
+        F.when(both, F.try_divide(F.col("_rank") - pos * (pos + 1) / 2, (pos * neg).cast("double"))).alias("roc_auc")
+    )
 
 
 def confusion(scored: DataFrame, level: list[str], at: float = 0.5) -> DataFrame:
     """Recall, precision, F1 and balanced accuracy of score >= at; 0 where undefined."""
     hit, pos = F.col("score") >= at, F.col("label") == 1
-    c = scored.groupBy(*level).agg(F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn"))
+    c = scored.groupBy(*level).agg(
+        F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(~hit & ~pos).alias("tn")
+    )
     r = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.withColumns({"recall": r(tp, tp + fn), "precision": r(tp, tp + fp), "f1": r(2 * tp, 2 * tp + fp + fn), "balanced_accuracy": (r(tp, tp + fn) + r(tn, tn + fp)) / 2})
+    return c.withColumns(
+        {
+            "recall": r(tp, tp + fn), "precision": r(tp, tp + fp), "f1": r(2 * tp, 2 * tp + fp + fn),
+            "balanced_accuracy": (r(tp, tp + fn) + r(tn, tn + fp)) / 2
+        }
+    )

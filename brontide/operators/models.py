@@ -14,7 +14,10 @@ from . import fusion as U
 def fit_scaler(train: DataFrame, columns: list[str], label: str = "label") -> tuple[dict[str, tuple[float, float, float]], dict[int, int]]:
     """(median (0 without any value), mean and population spread after imputation of each column; rows by
     class), in two passes."""
-    first = train.agg(*[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns], F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) == 1).alias("_n1")).first()
+    first = train.agg(
+        *[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns], F.count_if(F.col(label) == 0).alias("_n0"),
+        F.count_if(F.col(label) == 1).alias("_n1")
+    ).first()
     filled = train.select(*[F.coalesce(F.col(c), F.lit(float(first[c]))).alias(c) for c in columns])
     s = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
     return {c: (float(first[c]), s[f"{c}__m"] or 0.0, s[f"{c}__s"] or 1.0) for c in columns}, {0: first["_n0"], 1: first["_n1"]}
@@ -43,7 +46,9 @@ FORESTS = {
 
 def estimator(kind: str, total_weight: float, seed: int):
     if kind == "logistic":
-        return LogisticRegression(regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, weightCol="weight", labelCol="label", maxIter=200, tol=1e-9)
+        return LogisticRegression(
+            regParam=1.0 / total_weight, elasticNetParam=0.0, standardization=False, weightCol="weight", labelCol="label", maxIter=200, tol=1e-9
+        )
     if kind in FORESTS:
         return RandomForestClassifier(**FORESTS[kind], featureSubsetStrategy="sqrt", weightCol="weight", labelCol="label", seed=seed)
     raise ValueError(f"unknown model: {kind}")
@@ -52,7 +57,9 @@ def estimator(kind: str, total_weight: float, seed: int):
 class HeldOutModels:
     """Fits that never see the rows of held-out items; one fit for each set of training items."""
 
-    def __init__(self, frame: DataFrame, item: str, columns: list[str], kind: str = "logistic", seed: int = 20260922, available: str = "available", **params):
+    def __init__(
+        self, frame: DataFrame, item: str, columns: list[str], kind: str = "logistic", seed: int = 20260922, available: str = "available", **params
+    ):
         self.frame, self.item, self.columns, self.kind, self.seed, self.available, self.params = frame, item, columns, kind, seed, available, params
         self.cache: dict[tuple, tuple] = {}
 
@@ -102,7 +109,10 @@ class FusionModels:
         self.keys, self.item = keys, item
         early = frame.withColumns({f"early__{c}": F.when(F.col("available2"), F.col(c)) for c in second})
         of = lambda cols, ok: HeldOutModels(early, item, cols, kind, available=ok, **params)
-        self.models = {"score_e": of(first, "available"), "score_c": of(second, "available2"), "score_early": of([*first, *[f"early__{c}" for c in second]], "available")}
+        self.models = {
+            "score_e": of(first, "available"), "score_c": of(second, "available2"),
+            "score_early": of([*first, *[f"early__{c}" for c in second]], "available")
+        }
 
     def inner(self, items: list, held) -> DataFrame:
         return self._joined({n: m.inner(items, held) for n, m in self.models.items()}, ["held"])

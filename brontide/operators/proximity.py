@@ -18,7 +18,10 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_t: st
     seen = F.last("_state", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0))
     out = both.withColumn("_seen", seen).where("_side = 1")
     fresh = F.col("_t") - F.col("_seen.at") <= tolerance
-    return out.select(*keys, *[F.col(f"_left.{c}").alias(c) for c in extra], F.when(fresh, F.col("_seen.at")).alias("asof_t"), *[F.when(fresh, F.col(f"_seen.{c}")).alias(c if c not in extra else f"{c}_right") for c in columns])
+    return out.select(
+        *keys, *[F.col(f"_left.{c}").alias(c) for c in extra], F.when(fresh, F.col("_seen.at")).alias("asof_t"),
+        *[F.when(fresh, F.col(f"_seen.{c}")).alias(c if c not in extra else f"{c}_right") for c in columns]
+    )
 
 
 def within_band(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, band: int, name: str = "coincident") -> DataFrame:
@@ -26,7 +29,9 @@ def within_band(left: DataFrame, right: DataFrame, keys: list[str], left_t: str,
     into cells of the band's width, so the join has an equality in time as well."""
     cell = lambda c: F.floor(F.col(c) / band)
     near = F.explode(F.array(cell(right_t) - 1, cell(right_t), cell(right_t) + 1))
-    r = right.select(*keys, F.col(right_t).alias("_rt"), near.alias("_cell")).groupBy(*keys, "_cell").agg(F.sort_array(F.collect_set("_rt")).alias("_ts"))
+    r = right.select(
+        *keys, F.col(right_t).alias("_rt"), near.alias("_cell")
+    ).groupBy(*keys, "_cell").agg(F.sort_array(F.collect_set("_rt")).alias("_ts"))
     hit = F.coalesce(F.exists("_ts", lambda x: F.abs(x - F.col(left_t)) <= band), F.lit(False))
     return left.withColumn("_cell", cell(left_t)).join(r, [*keys, "_cell"], "left").withColumn(name, hit).drop("_cell", "_ts")
 

@@ -10,27 +10,46 @@ from . import intervals as I
 from . import proximity as P
 
 
-def response_windows(events: DataFrame, windows: DataFrame, keys: list[str], value: str, before: tuple[int, int], pre: int, post: int, least: int) -> DataFrame:
+def response_windows(
+    events: DataFrame, windows: DataFrame, keys: list[str], value: str, before: tuple[int, int], pre: int, post: int, least: int
+) -> DataFrame:
     """Medians of ``value`` over usable windows in the baseline, just before, during and after each
     event, and how the event differs from its baseline, which counts once it has ``least`` windows."""
     t, on, off = F.col("t"), F.col("start"), F.col("end")
-    parts = {"baseline": (t >= on - before[0]) & (t <= on - before[1]), "preictal": (t >= on - pre) & (t <= on), "ictal": (t >= on) & (t < off), "postictal": (t >= off) & (t < off + post)}
+    parts = {
+        "baseline": (t >= on - before[0]) & (t <= on - before[1]), "preictal": (t >= on - pre) & (t <= on), "ictal": (t >= on) & (t < off),
+        "postictal": (t >= off) & (t < off + post)
+    }
     near = windows.where("usable").select(*keys, "t", value)
     span = (t >= on - before[0]) & (t < off + post)
     e = events.select(*keys, "event_id", "start", "end")
     j = e.alias("e").join(near.alias("w"), [F.col(f"e.{k}") == F.col(f"w.{k}") for k in keys] + [span], "left").select("e.*", "t", value)
     med = lambda c: F.median(F.when(c, F.col(value)))
-    out = j.groupBy(*keys, "event_id").agg(*[med(c).alias(f"{n}_median") for n, c in parts.items()], F.max(F.when(parts["ictal"], F.col(value))).alias("ictal_max"), F.count_if(parts["baseline"]).alias("n_baseline"), F.count_if(parts["ictal"]).alias("n_ictal"))
+    out = j.groupBy(*keys, "event_id").agg(
+        *[med(c).alias(f"{n}_median") for n, c in parts.items()], F.max(F.when(parts["ictal"], F.col(value))).alias("ictal_max"),
+        F.count_if(parts["baseline"]).alias("n_baseline"), F.count_if(parts["ictal"]).alias("n_ictal")
+    )
     ready = F.col("n_baseline") >= least
-    out = out.withColumn("baseline_median", F.when(ready, F.col("baseline_median"))).withColumns({"baseline_ready": ready, "analyzable": ready & (F.col("n_ictal") > 0)})
-    return out.withColumns({"median_change": F.col("ictal_median") - F.col("baseline_median"), "max_change": F.col("ictal_max") - F.col("baseline_median"), "relative_change": F.try_divide(F.col("ictal_median"), F.col("baseline_median")) - 1})
+    out = out.withColumn("baseline_median", F.when(ready, F.col("baseline_median"))).withColumns(
+        {"baseline_ready": ready, "analyzable": ready & (F.col("n_ictal") > 0)}
+    )
+    return out.withColumns(
+        {
+            "median_change": F.col("ictal_median") - F.col("baseline_median"), "max_change": F.col("ictal_max") - F.col("baseline_median"),
+            "relative_change": F.try_divide(F.col("ictal_median"), F.col("baseline_median")) - 1
+        }
+    )
 
 
 def response_summary(responses: DataFrame, level: list[str]) -> DataFrame:
     a = F.col("analyzable")
     rise = a & F.coalesce(F.col("median_change") > 0, F.lit(False))
     m = lambda f, c: f(F.when(a, F.col(c)))
-    out = responses.groupBy(*level).agg(F.count("*").alias("events"), F.count_if(a).alias("analyzable_events"), F.count_if(rise).alias("increase_events"), m(F.median, "baseline_median").alias("baseline_median"), m(F.min, "median_change").alias("min_change"), m(F.median, "median_change").alias("median_change"), m(F.max, "median_change").alias("max_change"))
+    out = responses.groupBy(*level).agg(
+        F.count("*").alias("events"), F.count_if(a).alias("analyzable_events"), F.count_if(rise).alias("increase_events"),
+        m(F.median, "baseline_median").alias("baseline_median"), m(F.min, "median_change").alias("min_change"),
+        m(F.median, "median_change").alias("median_change"), m(F.max, "median_change").alias("max_change")
+    )
     return out.withColumn("increase_fraction", F.try_divide(F.col("increase_events").cast("double"), F.col("analyzable_events").cast("double")))
 
 
@@ -44,13 +63,17 @@ def coverage(recordings: DataFrame, decisions: DataFrame, uncertain: DataFrame,
     begin = whole.withColumn("end", F.least(F.lit(startup), F.col("end")))
     unsure = I.measure(I.intersect_intervals(whole, uncertain, keys), keys, "uncertain")
     start = I.measure(I.subtract_intervals(begin, uncertain, keys), keys, "startup")
-    counts = decisions.groupBy(*keys).agg(F.avg(F.when(F.col("t") >= startup, F.col("available").cast("double"))).alias("good_window_fraction"), F.median("score").alias("median_score"))
+    counts = decisions.groupBy(*keys).agg(
+        F.avg(F.when(F.col("t") >= startup, F.col("available").cast("double"))).alias("good_window_fraction"), F.median("score").alias("median_score")
+    )
     out = recordings.select(*keys, F.col("duration").alias("raw"))
     for p in (good, poor, unsure, start, counts):
         out = out.join(p, keys, "left")
     out = out.fillna(0, ["evaluable", "poor_quality", "uncertain", "startup"])
     lost = F.col("raw") - F.col("startup") - F.col("uncertain") - F.col("poor_quality") - F.col("evaluable")
-    return out.withColumns({"acquisition_missing": F.greatest(F.lit(0), lost), "coverage_pct": F.try_divide(100.0 * F.col("evaluable"), F.col("raw").cast("double"))})
+    return out.withColumns(
+        {"acquisition_missing": F.greatest(F.lit(0), lost), "coverage_pct": F.try_divide(100.0 * F.col("evaluable"), F.col("raw").cast("double"))}
+    )
 
 
 def shift_quantiles(df: DataFrame, level: list[str], value: str, background: Column, at: list[float] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
@@ -64,13 +87,20 @@ def contribution(exposure: DataFrame, active_cells: DataFrame, keys: list[str])
     total = I.measure(exposure, keys, "evaluable")
     q1 = I.measure(I.intersect_intervals(exposure, active_cells, keys), keys, "q1")
     out = total.join(q1, keys, "left").fillna(0, ["q1"])
-    return out.withColumns({"q0": F.col("evaluable") - F.col("q1"), "q1_fraction": F.try_divide(F.col("q1").cast("double"), F.col("evaluable").cast("double"))})
+    return out.withColumns(
+        {"q0": F.col("evaluable") - F.col("q1"), "q1_fraction": F.try_divide(F.col("q1").cast("double"), F.col("evaluable").cast("double"))}
+    )
 
 
 def event_classes(joined: DataFrame, before: Column, after: Column) -> DataFrame:
     """What another stream does to each event, from the delays (null: not detected) of the two."""
     b, f = before.isNotNull(), after.isNotNull()
-    return joined.withColumns({"classification": F.when(b & f, "preserved").when(f, "rescued").when(b, "lost").otherwise("still_missed"), "changed_delay_only": b & f & F.coalesce(before != after, F.lit(False))})
+    return joined.withColumns(
+        {
+            "classification": F.when(b & f, "preserved").when(f, "rescued").when(b, "lost").otherwise("still_missed"),
+            "changed_delay_only": b & f & F.coalesce(before != after, F.lit(False))
+        }
+    )
 
 
 #: The groups of events by which modality detects them, and the states at false alarms.
@@ -100,13 +130,17 @@ def false_alarm_state(alarms: DataFrame, states: DataFrame, others: DataFrame, k
     usable, ready = F.coalesce("usable", F.lit(False)), F.coalesce("ready", F.lit(False))
     state = F.when(~usable, UNAVAILABLE).when(~ready, NOT_READY).when(F.abs("delta") <= limit, WITHIN).otherwise(LARGER)
     a = a.withColumns({"ecg_state": state, "hr_delta": F.when(usable & ready, F.col("delta"))}).drop("asof_t", "usable", "ready", "delta")
-    return P.within_band(a, others.select(*keys, F.col("declaration").alias("_other")), keys, "declaration", "_other", stride, "other_false_within_stride").drop("_rt")
+    return P.within_band(
+        a, others.select(*keys, F.col("declaration").alias("_other")), keys, "declaration", "_other", stride, "other_false_within_stride"
+    ).drop("_rt")
 
 
 def patient_summary(responses: DataFrame, cover: DataFrame, level: list[str]) -> DataFrame:
     """:func:`response_summary` beside the totals of coverage at the same level."""
     sums = ["raw", "startup", "uncertain", "poor_quality", "acquisition_missing", "evaluable"]
-    totals = cover.groupBy(*level).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("coverage_pct", F.try_divide(100.0 * F.col("evaluable"), F.col("raw").cast("double")))
+    totals = cover.groupBy(*level).agg(*[F.sum(c).alias(c) for c in sums]).withColumn(
+        "coverage_pct", F.try_divide(100.0 * F.col("evaluable"), F.col("raw").cast("double"))
+    )
     return response_summary(responses, level).join(totals, level)
 
 

@@ -51,14 +51,24 @@ def event_comparison(judged: DataFrame, stream: DataFrame, keys: list[str], stri
     """What the fused model does to each event of the first, whether the second modality counted at
     the onset, and for which share of the event. ``stream``: the fused model's decisions."""
     of = lambda model, c: F.max(F.when(F.col("model") == model, F.col(c)))
-    j = judged.where("kind = 'event'").groupBy(*keys, "event_id", "onset", "offset").agg(of("F0", "detected").alias("eeg_detected"), of("F2", "detected").alias("fusion_detected"), of("F0", "delay").alias("eeg_delay"), of("F2", "delay").alias("fusion_delay"))
+    j = judged.where("kind = 'event'").groupBy(*keys, "event_id", "onset", "offset").agg(
+        of("F0", "detected").alias("eeg_detected"), of("F2", "detected").alias("fusion_detected"), of("F0", "delay").alias("eeg_delay"),
+        of("F2", "delay").alias("fusion_delay")
+    )
     j = R.event_classes(j, F.col("eeg_delay"), F.col("fusion_delay")).withColumn("delay_delta", F.col("fusion_delay") - F.col("eeg_delay"))
     j = V.state_at(j, stream, keys, "onset", stride, "q").withColumn("ecg_available_at_onset", F.coalesce("q_at", F.lit(False))).drop("q_at")
     counted = I.cells(stream.where("q"), keys, stride, F.col("duration"))
     span = j.select(*keys, "event_id", F.col("onset").alias("start"), F.col("offset").alias("end"))
-    inside = I.measure(I.intersect_intervals(span.select(*keys, "event_id", "start", "end"), counted.join(span.select(*keys, "event_id"), keys), [*keys, "event_id"]), [*keys, "event_id"], "_q")
+    inside = I.measure(
+        I.intersect_intervals(
+            span.select(*keys, "event_id", "start", "end"), counted.join(span.select(*keys, "event_id"), keys), [*keys, "event_id"]
+        ),
+        [*keys, "event_id"], "_q"
+    )
     j = j.join(inside, [*keys, "event_id"], "left").fillna(0, ["_q"])
-    return j.withColumn("ecg_ictal_available_fraction", F.try_divide(F.col("_q").cast("double"), (F.col("offset") - F.col("onset")).cast("double"))).drop("_q")
+    return j.withColumn(
+        "ecg_ictal_available_fraction", F.try_divide(F.col("_q").cast("double"), (F.col("offset") - F.col("onset")).cast("double"))
+    ).drop("_q")
 
 
 def build_tables(streams: DataFrame, events: DataFrame, uncertain: DataFrame, startup: int, stride: int) -> dict[str, DataFrame]:
@@ -78,7 +88,9 @@ def build_tables(streams: DataFrame, events: DataFrame, uncertain: DataFrame, st
     matches = judged.where("kind = 'event'").select(*unit, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected")
 
     fused = streams.where("model = 'F2'")
-    q1 = R.contribution(exposure.where("model = 'F2'").drop("model"), I.cells(fused.where("q"), ["grp", "rec"], stride, F.col("duration")), ["grp", "rec"])
+    q1 = R.contribution(
+        exposure.where("model = 'F2'").drop("model"), I.cells(fused.where("q"), ["grp", "rec"], stride, F.col("duration")), ["grp", "rec"]
+    )
     alphas = fused.groupBy("grp", "rec").agg(F.first("alpha").alias("alpha"))
     shares = q1.join(alphas, ["grp", "rec"]).withColumn("active", F.when(F.col("alpha") > 0, F.col("q1")).otherwise(0))
     sums = [F.sum(c).alias(c) for c in ("evaluable", "q1", "q0", "active")]

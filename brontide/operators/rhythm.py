@@ -14,7 +14,10 @@ def rr_series(beats: DataFrame, keys: list[str], low: float, high: float, unit:
     before = F.lag("x").over(order)
     rr = (F.col("x") - before) / unit
     out = beats.select(*keys, "x", before.alias("_b"), rr.alias("rr")).where("_b IS NOT NULL")
-    return out.select(*keys, "x", "rr", F.col("rr").between(low, high).alias("valid"), F.try_divide(F.lit(60.0), F.col("rr")).alias("rate"), ((F.col("x") + F.col("_b")) / 2 / unit).alias("mid"))
+    return out.select(
+        *keys, "x", "rr", F.col("rr").between(low, high).alias("valid"), F.try_divide(F.lit(60.0), F.col("rr")).alias("rate"),
+        ((F.col("x") + F.col("_b")) / 2 / unit).alias("mid")
+    )
 
 
 def rhythm_features(rr: DataFrame, keys: list[str], group: list[str], middle: Column) -> DataFrame:
@@ -57,9 +60,20 @@ def interval_reference(windows: DataFrame, keys: list[str], block: int = 60, bac
     out = windows.withColumn("_past", past).withColumn("baseline_good", F.size("_past") * block)
     ready = F.size("_past") >= least_blocks
     rr = F.flatten("_past")
-    out = out.withColumns({"baseline_ready": ready, "baseline_rate": F.when(ready, array_median(F.transform(rr, lambda x: 60.0 / x))), "baseline_rr": F.when(ready, array_median(rr))}).drop("_past")
+    out = out.withColumns(
+        {
+            "baseline_ready": ready, "baseline_rate": F.when(ready, array_median(F.transform(rr, lambda x: 60.0 / x))),
+            "baseline_rr": F.when(ready, array_median(rr))
+        }
+    ).drop("_past")
     now = lambda c: F.when(F.col("usable"), F.col(c))
-    return out.withColumns({"relative_rate_delta": now("median_rate") - F.col("baseline_rate"), "relative_rate_ratio": F.try_divide(now("median_rate"), F.col("baseline_rate")), "relative_rr_delta": now("median_rr") - F.col("baseline_rr")})
+    return out.withColumns(
+        {
+            "relative_rate_delta": now("median_rate") - F.col("baseline_rate"),
+            "relative_rate_ratio": F.try_divide(now("median_rate"), F.col("baseline_rate")),
+            "relative_rr_delta": now("median_rr") - F.col("baseline_rr")
+        }
+    )
 
 
 def array_median(a: Column) -> Column:
@@ -72,9 +86,14 @@ def choose_lead(leads: DataFrame, keys: list[str], agreement: str, rates_differ:
     good, two that disagree grossly, or the better by (valid fraction, coverage, contrast, lower
     number)."""
     best = F.max_by("lead", F.when(F.col("good"), F.struct("valid_fraction", "coverage", "contrast", (-F.col("lead")).alias("low"))))
-    a = leads.groupBy(*keys).agg(F.count_if("good").alias("n_good"), best.alias("_best"), F.max(F.when(F.col("good"), F.col("lead"))).alias("_only"), F.max("rate").alias("rate_high"), F.min("rate").alias("rate_low"), F.first(agreement).alias(agreement))
+    a = leads.groupBy(*keys).agg(
+        F.count_if("good").alias("n_good"), best.alias("_best"), F.max(F.when(F.col("good"), F.col("lead"))).alias("_only"),
+        F.max("rate").alias("rate_high"), F.min("rate").alias("rate_low"), F.first(agreement).alias(agreement)
+    )
     apart = rates_differ | (F.col(agreement) < least_agreement)
-    reason = F.when(F.col("n_good") == 0, "both_poor").when(F.col("n_good") == 1, F.concat(F.lit("only_lead_"), (F.col("_only") + 1).cast("string"), F.lit("_good"))).when(apart, "gross_interlead_disagreement").otherwise("both_good_agree_lexicographic_quality")
+    reason = F.when(F.col("n_good") == 0, "both_poor").when(
+        F.col("n_good") == 1, F.concat(F.lit("only_lead_"), (F.col("_only") + 1).cast("string"), F.lit("_good"))
+    ).when(apart, "gross_interlead_disagreement").otherwise("both_good_agree_lexicographic_quality")
     out = a.withColumn("reason", reason)
     lead = F.when(F.col("n_good") == 1, F.col("_only")).when((F.col("n_good") == 2) & ~apart, F.col("_best"))
     return out.select(*keys, "n_good", lead.alias("lead"), "reason")

@@ -29,7 +29,9 @@ def grid(df: DataFrame, name: str, values: list[float]) -> DataFrame:
 def ranked(candidates: DataFrame, fold: list[str], adaptive: bool, limit: float = MAX_FALSE_PER_HOUR) -> DataFrame:
     """Feasible candidates (false per hour within the limit), best first: highest sensitivity,
     fewest false per hour, shortest median delay (none last), smaller alpha, larger threshold."""
-    order = [F.desc("sensitivity"), F.asc("false_per_hour"), F.asc_nulls_last("delay_median")] + ([F.asc("alpha")] if adaptive else []) + [F.desc("threshold")]
+    order = [
+        F.desc("sensitivity"), F.asc("false_per_hour"), F.asc_nulls_last("delay_median")
+    ] + ([F.asc("alpha")] if adaptive else []) + [F.desc("threshold")]
     return candidates.where(F.col("false_per_hour") <= limit).withColumn("place", F.row_number().over(W.partitionBy(*fold).orderBy(*order)))
 
 
@@ -46,9 +48,14 @@ def protection(candidates: DataFrame, base: DataFrame, fold: list[str], paired:
     c = candidates.join(b, fold).join(paired, [*fold, "alpha", "threshold"], "left").fillna(0, ["common_events"])
     of = lambda name: (F.col(name), F.col(f"_b.{name}"))
     (found, found0), (false, false0), (exposed, exposed0) = of("detected"), of("false_per_hour"), of("evaluable")
-    against = {SENSITIVITY: found < found0, FALSE_ALARMS: false > false0, NO_GAIN: (found <= found0) & (false >= false0), LATE: F.coalesce(F.col("common_delay_delta") > max_delay, F.lit(False)), EXPOSURE: exposed != exposed0}
+    against = {
+        SENSITIVITY: found < found0, FALSE_ALARMS: false > false0, NO_GAIN: (found <= found0) & (false >= false0),
+        LATE: F.coalesce(F.col("common_delay_delta") > max_delay, F.lit(False)), EXPOSURE: exposed != exposed0
+    }
     reasons = F.array_join(F.array_compact(F.array(*[F.when(test, name) for name, test in against.items()])), ";")
-    return c.withColumn("eligible", (reasons == "") & (F.col("alpha") > 0)).withColumn("reason", F.when(reasons == "", PROTECTED).otherwise(reasons)).drop("_b")
+    return c.withColumn("eligible", (reasons == "") & (F.col("alpha") > 0)).withColumn(
+        "reason", F.when(reasons == "", PROTECTED).otherwise(reasons)
+    ).drop("_b")
 
 
 def many(df: DataFrame, grids: dict[str, list]) -> DataFrame:
@@ -57,7 +64,9 @@ def many(df: DataFrame, grids: dict[str, list]) -> DataFrame:
     return df
 
 
-def sweep(decisions: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], grids: dict[str, list], stride: int) -> tuple[DataFrame, DataFrame]:
+def sweep(
+    decisions: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], grids: dict[str, list], stride: int
+) -> tuple[DataFrame, DataFrame]:
     """Detection of every grid point at once: (measures by fold and point, the judged alarms and
     events). ``decisions`` carry the grids' columns and the threshold that each row stands under."""
     unit = list(dict.fromkeys([*keys, *fold, *grids]))
@@ -66,7 +75,10 @@ def sweep(decisions: DataFrame, events: DataFrame, budget: DataFrame, keys: list
     return Q.summarize(judged, many(time, grids), [*fold, *grids]), judged
 
 
-def select_fusion(aligned: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], stride: int, max_delay: float, limit: float = MAX_FALSE_PER_HOUR) -> tuple[DataFrame, DataFrame]:
+def select_fusion(
+    aligned: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], stride: int, max_delay: float,
+    limit: float = MAX_FALSE_PER_HOUR
+) -> tuple[DataFrame, DataFrame]:
     """Per fold the parameters of the variants: F0, the threshold of the first modality alone; F1, that
     of the fixed weight 0.5; F2, weight and threshold among those protected against F0, or F0;
     F3, that of the early score. Back: (choices, all candidates with the verdict on them). Folds
@@ -83,19 +95,29 @@ def select_fusion(aligned: DataFrame, events: DataFrame, budget: DataFrame, keys
     base, early = (choose(alone.where(F.col("family") == f), fold, limit=limit) for f in ("base", "early"))
     base = stored(base, "base")
     chosen = base.select(*fold, F.col("threshold").alias("base_threshold"))
-    delays = judged.where("kind = 'event' AND detected AND family = 'base'").join(chosen, fold).where("at = base_threshold").select(*dict.fromkeys([*fold, *keys]), "event_id", F.col("delay").alias("delay0"))
+    delays = judged.where("kind = 'event' AND detected AND family = 'base'").join(chosen, fold).where("at = base_threshold").select(
+        *dict.fromkeys([*fold, *keys]), "event_id", F.col("delay").alias("delay0")
+    )
 
     two = {"alpha": ALPHAS[1:], "at": THRESHOLDS}
-    fused, judged = sweep(U.late(many(aligned, two).join(chosen, fold), F.col("alpha"), F.col("at"), F.col("base_threshold")), events, budget, keys, fold, two, stride)
+    fused, judged = sweep(
+        U.late(many(aligned, two).join(chosen, fold), F.col("alpha"), F.col("at"), F.col("base_threshold")), events, budget, keys, fold, two, stride
+    )
     both = judged.where("kind = 'event' AND detected").join(delays, [*dict.fromkeys([*fold, *keys]), "event_id"])
-    paired = both.groupBy(*fold, "alpha", F.col("at").alias("threshold")).agg(F.count("*").alias("common_events"), F.median(F.col("delay") - F.col("delay0")).alias("common_delay_delta"))
+    paired = both.groupBy(*fold, "alpha", F.col("at").alias("threshold")).agg(
+        F.count("*").alias("common_events"), F.median(F.col("delay") - F.col("delay0")).alias("common_delay_delta")
+    )
     fused = stored(protection(fused.withColumnRenamed("at", "threshold"), base, fold, paired, max_delay), "fused")
 
     best = choose(fused.where("eligible"), fold, adaptive=True, limit=limit)
     fixed = choose(fused.where("alpha = 0.5"), fold, limit=limit)
-    measures = lambda d, n: d.select(*fold, F.struct("alpha", "threshold", "detected", "events", "false_per_hour", "delay_median", "common_events", "common_delay_delta").alias(n))
+    measures = lambda d, n: d.select(
+        *fold, F.struct("alpha", "threshold", "detected", "events", "false_per_hour", "delay_median", "common_events", "common_delay_delta").alias(n)
+    )
     zero = base.withColumns({"alpha": F.lit(0.0), "common_events": F.col("detected"), "common_delay_delta": F.when(F.col("detected") > 0, 0.0)})
-    out = measures(zero, "f0").join(measures(best, "f2"), fold, "left").join(measures(fixed, "f1"), fold, "left").join(early.select(*fold, F.col("threshold").alias("f3_threshold")), fold, "left")
+    out = measures(zero, "f0").join(measures(best, "f2"), fold, "left").join(measures(fixed, "f1"), fold, "left").join(
+        early.select(*fold, F.col("threshold").alias("f3_threshold")), fold, "left"
+    )
     out = out.withColumns({"reason": F.when(F.col("f2").isNotNull(), PROTECTED).otherwise(NONE_ELIGIBLE), "f2": F.coalesce("f2", "f0")})
     choices = out.select(
         *fold, F.col("f0.threshold").alias("eeg_threshold"), "f2.alpha", "f2.threshold", F.col("f1.threshold").alias("f1_threshold"), "f3_threshold", "reason",

@@ -66,6 +66,8 @@ def anchor_rows(channels: DataFrame, leads: DataFrame, keys: list[str], channel:
     eeg = window_features(channels, keys, channel, samples, fs).drop("unavailable_reason")
     beats = L.older_features(leads, samples, lead_fs)
     ecg = L.reduce_leads(beats, keys, OLDER).join(L.lead_correlation(leads, keys, channel, samples, lead_fs), keys, "left")
-    counts = channels.groupBy(*keys).agg(F.count("*").cast("double").alias("n_eeg_channels")).join(leads.groupBy(*keys).agg(F.count("*").cast("double").alias("n_ecg_channels")), keys)
+    counts = channels.groupBy(*keys).agg(F.count("*").cast("double").alias("n_eeg_channels")).join(
+        leads.groupBy(*keys).agg(F.count("*").cast("double").alias("n_ecg_channels")), keys
+    )
     named = lambda d, prefix: d.select(*keys, *[F.col(c).alias(prefix + c) for c in d.columns if c not in keys])
     return counts.withColumn("sampling_rate_hz", F.lit(float(fs))).join(named(eeg, "eeg__"), keys).join(named(ecg, "ecg__"), keys)

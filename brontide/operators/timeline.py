@@ -11,7 +11,9 @@ def anchors(recordings: DataFrame, first: int, stride: int) -> DataFrame:
     """``recordings``: keys and duration. One row for each t = first, first + stride, ... < duration."""
     if stride <= 0 or first <= 0:
         raise ValueError("context and stride must be positive")
-    grid = F.when(F.col("duration") > first, F.sequence(F.lit(first), F.col("duration") - 1, F.lit(stride))).otherwise(F.array().cast("array<bigint>"))
+    grid = F.when(
+        F.col("duration") > first, F.sequence(F.lit(first), F.col("duration") - 1, F.lit(stride))
+    ).otherwise(F.array().cast("array<bigint>"))
     return recordings.withColumn("t", F.explode(grid))
 
 
@@ -31,14 +33,19 @@ def around(points: DataFrame, spans: dict[str, DataFrame], keys: list[str]) -> D
     rest = [c for c in points.columns if c not in keys]
     series = points.select(*keys, F.col("t").alias("_t"), F.lit("").alias("_kind"), F.struct(*rest).alias("_row"))
     for name, s in spans.items():
-        series = series.unionByName(s.select(*keys, F.col("start").alias("_t"), F.lit(name).alias("_kind"), F.col("end").alias("_end")), allowMissingColumns=True)
+        series = series.unionByName(
+            s.select(*keys, F.col("start").alias("_t"), F.lit(name).alias("_kind"), F.col("end").alias("_end")), allowMissingColumns=True
+        )
     point = F.col("_kind") == ""
     up = W.partitionBy(*keys).orderBy("_t", point)
     down = W.partitionBy(*keys).orderBy(F.desc("_t"), F.desc(point))
     found = {}
     for name in spans:
         mine = F.col("_kind") == name
-        found |= {f"{name}_until": F.max(F.when(mine, F.col("_end"))).over(up.rowsBetween(W.unboundedPreceding, 0)), f"{name}_next": F.min(F.when(mine, F.col("_t"))).over(down.rowsBetween(W.unboundedPreceding, -1))}
+        found |= {
+            f"{name}_until": F.max(F.when(mine, F.col("_end"))).over(up.rowsBetween(W.unboundedPreceding, 0)),
+            f"{name}_next": F.min(F.when(mine, F.col("_t"))).over(down.rowsBetween(W.unboundedPreceding, -1))
+        }
     return series.withColumns(found).where(point).select(*keys, "_row.*", *found)
 
 
@@ -54,11 +61,22 @@ def label(timeline: DataFrame, events: DataFrame, uncertain: DataFrame, keys: li
     hit, unsure = holds(F.col("_ev_until") > t), holds(F.col("_un_until") > t)
     near = holds(F.col("_ev_until") + exclusion > t) | holds(F.col("_ev_next") - exclusion <= t)
     status = F.when(unsure, "annotation_uncertain").when(hit, "positive").when(near, "ignore").otherwise("negative")
-    out = out.withColumns({"annotation_uncertain": unsure, "status": status, "evaluation_label": F.when(unsure, -1).otherwise(hit.cast("int"))}).drop("_ev_until", "_ev_next", "_un_until", "_un_next")
+    out = out.withColumns(
+        {"annotation_uncertain": unsure, "status": status, "evaluation_label": F.when(unsure, -1).otherwise(hit.cast("int"))}
+    ).drop("_ev_until", "_ev_next", "_un_until", "_un_next")
     inside = out.where("status = 'positive'").select(*keys, "t").join(events, keys).where((F.col("start") <= t) & (t < F.col("end")))
-    numbers = inside.groupBy(*keys, "t").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "number"))), lambda e: e["number"].cast("string")), "|").alias("event_numbers"))
+    numbers = inside.groupBy(*keys, "t").agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "number"))), lambda e: e["number"].cast("string")), "|"
+        ).alias("event_numbers")
+    )
     out = out.join(numbers, [*keys, "t"], "left").fillna("", ["event_numbers"])
-    return out.withColumns({"label": F.when(F.col("status") == "positive", 1).when(F.col("status") == "negative", 0).otherwise(-1), "training_eligible": F.col("status").isin("positive", "negative")})
+    return out.withColumns(
+        {
+            "label": F.when(F.col("status") == "positive", 1).when(F.col("status") == "negative", 0).otherwise(-1),
+            "training_eligible": F.col("status").isin("positive", "negative")
+        }
+    )
 
 
 def leave_one_out(recordings: DataFrame, group: str, item: str) -> DataFrame:

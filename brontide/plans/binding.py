@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     x = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
-    return e.select(F.col("user_id").alias("rec"), x.alias("x"), F.col("event_type").alias("kind"), F.round(F.col("value") * 100).cast("bigint").alias("cents"), "event_id")
+    return e.select(
+        F.col("user_id").alias("rec"), x.alias("x"), F.col("event_type").alias("kind"), F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+        "event_id"
+    )
 
 
 def recordings(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,7 +39,10 @@ def _scored(spark: SparkSession, sf: str, rows: DataFrame, context: int, full: i
     grid = T.anchors(recordings(spark, sf), SHORT, STRIDE)
     sums = T.trailing(rows.select("rec", "x", "cents"), KEY, context, SHORT, STRIDE, DURATION, [F.sum("cents").alias("cents")])
     out = grid.join(sums, ["rec", "t"], "left")
-    return out.select("rec", "t", "duration", F.col("cents").isNotNull().alias("available"), F.when(F.col("cents").isNotNull(), F.least(F.lit(1.0), F.col("cents") / full)).alias("score"))
+    return out.select(
+        "rec", "t", "duration", F.col("cents").isNotNull().alias("available"),
+        F.when(F.col("cents").isNotNull(), F.least(F.lit(1.0), F.col("cents") / full)).alias("score")
+    )
 
 
 def decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +78,8 @@ def ready(spark: SparkSession, sf: str) -> DataFrame:
 
 def union_sql(src: str, keys: str = "rec") -> str:
     return f"""(SELECT {keys}, min(a) AS a, max(b) AS b FROM (SELECT *, sum(nw) OVER (PARTITION BY {keys} ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS isl FROM (
-  SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS nw FROM {src} WHERE b > a)) GROUP BY {keys}, isl)"""
+  SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY {keys} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS nw
+  FROM {src} WHERE b > a)) GROUP BY {keys}, isl)"""
 
 
 def sweep_sql(a: str, b: str, keep: str, keys: str = "rec") -> str:
@@ -89,14 +96,22 @@ def alarms_sql(src: str, keys: str = "rec") -> str:
     w = f"(PARTITION BY {keys} ORDER BY t)"
     s = f"(PARTITION BY {keys}, seg ORDER BY t)"
     stop = f"least(t + {STRIDE}, {DURATION})"
-    return f"""(WITH a0 AS (SELECT s.*, coalesce(bars, []) AS bars, available AND score IS NOT NULL AS ok FROM {src} s LEFT JOIN (SELECT rec, list({{'a': a, 'b': b}}) AS bars FROM unc GROUP BY rec) USING (rec)),
+    return f"""(WITH a0 AS (SELECT s.*, coalesce(bars, []) AS bars, available AND score IS NOT NULL AS ok FROM {src} s LEFT
+  JOIN (SELECT rec, list({{'a': a, 'b': b}}) AS bars FROM unc GROUP BY rec) USING (rec)),
 a1 AS (SELECT *, lead(t) OVER {w} AS nt, lead(ok) OVER {w} AS nok, ok AND len(list_filter(bars, lambda z: z.a <= t AND t < z.b)) = 0 AS live FROM a0),
-a2 AS (SELECT *, list_min(list_transform(list_filter(bars, lambda z: z.a > t AND z.a < {stop}), lambda z: z.a)) AS ins, list_min(list_transform(list_filter(bars, lambda z: z.a <= nt AND z.b > t), lambda z: z.a)) AS met, CASE WHEN nt > t + {STRIDE} THEN t + {STRIDE} END AS mis FROM a1),
-a3 AS (SELECT *, CASE WHEN nt IS NULL THEN coalesce(ins, {stop}) WHEN met IS NOT NULL OR mis IS NOT NULL THEN greatest(t, least(coalesce(met, mis), coalesce(mis, met))) WHEN NOT nok THEN nt END AS cut_at,
+a2 AS (SELECT *, list_min(list_transform(list_filter(bars, lambda z: z.a > t AND z.a < {stop}), lambda z: z.a)) AS ins,
+  list_min(list_transform(list_filter(bars, lambda z: z.a <= nt AND z.b > t), lambda z: z.a)) AS met, CASE WHEN nt > t + {STRIDE} THEN t + {STRIDE} END AS mis
+  FROM a1),
+a3 AS (SELECT *, CASE WHEN nt IS NULL THEN coalesce(ins, {stop}) WHEN met IS NOT NULL OR mis IS NOT NULL THEN greatest(t, least(coalesce(met, mis),
+  coalesce(mis, met))) WHEN NOT nok THEN nt END AS cut_at,
   CASE WHEN nt IS NULL THEN CASE WHEN ins IS NOT NULL THEN 'annotation_or_acquisition_gap' WHEN {stop} = {DURATION} THEN 'recording_end' ELSE 'missing_decision' END
-    WHEN met IS NOT NULL AND met <= coalesce(mis, met) THEN 'annotation_or_acquisition_gap' WHEN mis IS NOT NULL THEN 'missing_decision' WHEN NOT nok THEN 'unavailable' END AS cut_why FROM a2),
-a4 AS (SELECT *, coalesce(sum(CASE WHEN cut_at IS NOT NULL OR NOT live THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM a3),
-a5 AS (SELECT *, row_number() OVER {s} AS k, lead(t, 2) OVER {s} AS low2, last_value(cut_at) OVER (PARTITION BY {keys}, seg ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l_at, last_value(cut_why) OVER (PARTITION BY {keys}, seg ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l_why FROM a4 WHERE live),
+    WHEN met IS NOT NULL AND met <= coalesce(mis,
+  met) THEN 'annotation_or_acquisition_gap' WHEN mis IS NOT NULL THEN 'missing_decision' WHEN NOT nok THEN 'unavailable' END AS cut_why FROM a2),
+a4 AS (SELECT *, coalesce(sum(CASE WHEN cut_at IS NOT NULL OR NOT live THEN 1 ELSE 0 END) OVER (PARTITION BY {keys}
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM a3),
+a5 AS (SELECT *, row_number() OVER {s} AS k, lead(t, 2) OVER {s} AS low2, last_value(cut_at) OVER (PARTITION BY {keys}, seg
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l_at, last_value(cut_why) OVER (PARTITION BY {keys}, seg
+  ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l_why FROM a4 WHERE live),
 a6 AS (SELECT *, CASE WHEN k - lag(k) OVER {s} <= 2 THEN 0 ELSE 1 END AS nw FROM a5 WHERE score >= thr),
 a7 AS (SELECT *, sum(nw) OVER (PARTITION BY {keys}, seg ORDER BY t ROWS UNBOUNDED PRECEDING) AS isl FROM a6),
 a8 AS (SELECT {keys}, min(t) AS decl, arg_max({{'low2': low2, 'at': l_at, 'why': l_why}}, t) AS z FROM a7 GROUP BY {keys}, seg, isl)
@@ -104,7 +119,8 @@ SELECT {keys}, decl, coalesce(z.low2, z.at) AS fin, CASE WHEN z.low2 IS NOT NULL
 
 
 def judged_sql(alarms: str, keys: str = "rec") -> str:
-    return f"""(SELECT *, CASE WHEN event_id = '' THEN 'false' WHEN row_number() OVER (PARTITION BY {keys}, event_id ORDER BY decl) = 1 THEN 'matched' ELSE 'duplicate' END AS status FROM (
+    return f"""(SELECT *, CASE WHEN event_id = '' THEN 'false' WHEN row_number() OVER (PARTITION BY {keys}, event_id
+  ORDER BY decl) = 1 THEN 'matched' ELSE 'duplicate' END AS status FROM (
   SELECT m.*, coalesce(r.event_id, '') AS event_id, r.a AS onset FROM {alarms} m LEFT JOIN refs r ON r.rec = m.rec AND r.a <= decl AND decl < r.b))"""
 
 
@@ -112,7 +128,8 @@ def prelude() -> str:
     def score(name, where, context, full):
         return f"{name} AS (SELECT g.rec, g.t, count(e.x) > 0 AS available, CASE WHEN count(e.x) > 0 THEN least(1.0, CAST(sum(cents) AS DOUBLE) / {full}) END AS score FROM grid g LEFT JOIN ev e ON e.rec = g.rec AND e.x >= g.t - {context} AND e.x < g.t {where} GROUP BY g.rec, g.t)"
 
-    return f"""WITH ev AS (SELECT user_id AS rec, epoch_us(ts) - 1704067200000000 AS x, event_type AS kind, CAST(round(value * 100) AS BIGINT) AS cents, event_id FROM events),
+    return f"""WITH ev AS (SELECT user_id AS rec, epoch_us(ts) - 1704067200000000 AS x, event_type AS kind, CAST(round(value * 100) AS BIGINT) AS cents,
+  event_id FROM events),
 recs AS (SELECT DISTINCT rec FROM ev),
 grid AS (SELECT rec, unnest(range({SHORT}, {DURATION}, {STRIDE})) AS t FROM recs),
 {score('dec1', '', SHORT, 20000)},
@@ -125,7 +142,8 @@ cells AS (SELECT rec, t AS a, least(t + {STRIDE}, {DURATION}) AS b FROM dec1 WHE
 expo AS (SELECT * FROM {sweep_sql(union_sql('cells'), 'unc', MINUS)}),
 whole AS (SELECT rec, 0 AS a, {DURATION} AS b FROM recs),
 begin_ AS (SELECT rec, 0 AS a, {SHORT} AS b FROM recs),
-budget AS (SELECT rec, CAST({DURATION} AS BIGINT) AS raw, coalesce(u, 0) AS uncertain, coalesce(s, 0) AS startup, coalesce(e, 0) AS evaluable, {DURATION} - coalesce(u, 0) - coalesce(s, 0) - coalesce(e, 0) AS other_unavailable
+budget AS (SELECT rec, CAST({DURATION} AS BIGINT) AS raw, coalesce(u, 0) AS uncertain, coalesce(s, 0) AS startup, coalesce(e, 0) AS evaluable,
+  {DURATION} - coalesce(u, 0) - coalesce(s, 0) - coalesce(e, 0) AS other_unavailable
   FROM recs LEFT JOIN (SELECT rec, CAST(sum(b - a) AS BIGINT) AS u FROM {sweep_sql('whole', 'unc', BOTH)} GROUP BY rec) USING (rec)
   LEFT JOIN (SELECT rec, CAST(sum(b - a) AS BIGINT) AS s FROM {sweep_sql('begin_', 'unc', MINUS)} GROUP BY rec) USING (rec)
   LEFT JOIN (SELECT rec, CAST(sum(b - a) AS BIGINT) AS e FROM expo GROUP BY rec) USING (rec))"""

@@ -33,7 +33,10 @@ def _budget(spark, sf):
 def q01_alarm_eval(spark, sf):
     judged = M.judged(_alarms(spark, sf), B.events(spark, sf), K)
     out = Q.summarize(judged, _budget(spark, sf), K)
-    return out.select("rec", "events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "evaluable", "delay_n", "delay_median", "delay_q25", "sensitivity", "false_per_hour", "warning_fraction", "longest")
+    return out.select(
+        "rec", "events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "evaluable", "delay_n",
+        "delay_median", "delay_q25", "sensitivity", "false_per_hour", "warning_fraction", "longest"
+    )
 
 
 def q02_alarm_intervals(spark, sf):
@@ -119,7 +122,9 @@ def _stream(spark, sf):
 
 def q15_model_variants(spark, sf):
     s = U.binarise(_stream(spark, sf))
-    return s.groupBy("rec", "model").agg(F.count("*").alias("n"), F.count("score").alias("n_scored"), F.sum(F.col("high").cast("bigint")).alias("n_high"))
+    return s.groupBy("rec", "model").agg(
+        F.count("*").alias("n"), F.count("score").alias("n_scored"), F.sum(F.col("high").cast("bigint")).alias("n_high")
+    )
 
 
 def _variant_alarms(spark, sf):
@@ -139,7 +144,10 @@ def q16_paired_levels(spark, sf):
         F.grouping_id().alias("gid"))
     level = F.when(F.col("gid") == 0, "parent").when(F.col("gid") == 1, "patient").otherwise("pooled")
     change = F.try_divide((F.col("f2_false") - F.col("f0_false")).cast("double"), F.col("f0_false").cast("double")) * 100
-    return n.select(level.alias("level"), "grp", "rec", "f0_detected", "f2_detected", (F.col("f2_detected") - F.col("f0_detected")).alias("delta_detected"), (F.col("f2_false") - F.col("f0_false")).alias("delta_false"), change.alias("false_change_pct"))
+    return n.select(
+        level.alias("level"), "grp", "rec", "f0_detected", "f2_detected", (F.col("f2_detected") - F.col("f0_detected")).alias("delta_detected"),
+        (F.col("f2_false") - F.col("f0_false")).alias("delta_false"), change.alias("false_change_pct")
+    )
 
 
 def q17_event_fates(spark, sf):
@@ -165,12 +173,16 @@ def q19_asof_state(spark, sf):
 def q20_band_coincidence(spark, sf):
     second = T.around(B.decisions2(spark, sf), {"barrier": B.uncertain(spark, sf)}, K).withColumn("threshold", F.lit(ALARM_AT))
     other = A.alarm_stream(second, K, B.STRIDE)
-    return P.within_band(_alarms(spark, sf).select("rec", "declaration"), other.select("rec", F.col("declaration").alias("d2")), K, "declaration", "d2", B.STRIDE)
+    return P.within_band(
+        _alarms(spark, sf).select("rec", "declaration"), other.select("rec", F.col("declaration").alias("d2")), K, "declaration", "d2", B.STRIDE
+    )
 
 
 def _labels_scored(spark, sf):
     d, y = B.table(spark, sf, "documents").select("doc_id", "lang", "n_chars"), B.table(spark, sf, "labels")
-    return d.join(y, "doc_id").select("lang", F.least(F.lit(1.0), F.floor(F.col("n_chars") / 100) / 50).alias("score"), F.col("quality").alias("label"))
+    return d.join(y, "doc_id").select(
+        "lang", F.least(F.lit(1.0), F.floor(F.col("n_chars") / 100) / 50).alias("score"), F.col("quality").alias("label")
+    )
 
 
 def q21_average_precision_auc(spark, sf):
@@ -185,7 +197,10 @@ def _selection(spark, sf):
     early = F.when(F.col("score1").isNotNull(), F.least(F.lit(1.0), F.col("score1") * 0.5 + F.coalesce("score2", F.lit(0.0)) * 0.5))
     d = _group(_aligned(spark, sf)).withColumns({"score_early": early, "available": F.col("available1")})
     d = T.around(d, {"barrier": B.uncertain(spark, sf)}, K)
-    return S.select_fusion(stored(d, "aligned"), stored(_group(B.events(spark, sf)), "events"), _group(_budget(spark, sf)), K, ["grp"], B.STRIDE, float(B.STRIDE), limit=0.02)
+    return S.select_fusion(
+        stored(d, "aligned"), stored(_group(B.events(spark, sf)), "events"), _group(_budget(spark, sf)), K, ["grp"], B.STRIDE, float(B.STRIDE),
+        limit=0.02
+    )
 
 
 def q14_fusion_select_protected(spark, sf):
@@ -195,17 +210,30 @@ def q14_fusion_select_protected(spark, sf):
 
 def q53_fusion_candidates(spark, sf):
     c = _selection(spark, sf)[1]
-    return c.select("grp", "alpha", "threshold", "events", "detected", "false_declarations", "evaluable", "sensitivity", "false_per_hour", "delay_median", "common_events", "common_delay_delta", "reason", "eligible", "feasible")
+    return c.select(
+        "grp", "alpha", "threshold", "events", "detected", "false_declarations", "evaluable", "sensitivity", "false_per_hour", "delay_median",
+        "common_events", "common_delay_delta", "reason", "eligible", "feasible"
+    )
 
 
 def _tables(spark, sf):
-    d = _group(_stream(spark, sf)).withColumns({"available": F.col("available1"), "q": F.col("available2") & F.col("score2").isNotNull(), "alpha": F.when(F.col("model") == "F0", 0.0).when(F.col("model") == "F1", 0.5).when(F.col("model") == "F2", 0.25)})
+    d = _group(_stream(spark, sf)).withColumns(
+        {
+            "available": F.col("available1"), "q": F.col("available2") & F.col("score2").isNotNull(),
+            "alpha": F.when(F.col("model") == "F0", 0.0).when(F.col("model") == "F1", 0.5).when(F.col("model") == "F2", 0.25)
+        }
+    )
     d = d.join(_labelled(spark, sf).select("rec", "t", F.col("evaluation_label").alias("label")), ["rec", "t"])
     d = d.select("grp", "rec", "t", "duration", "model", "score", "threshold", "available", "q", "alpha", "label")
     return N.build_tables(d, B.events(spark, sf), B.uncertain(spark, sf), B.SHORT, B.STRIDE)
 
 
-MEASURES = ["events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "active", "longest", "raw", "startup", "uncertain", "other_unavailable", "evaluable", "delay_n", "delay_median", "delay_q25", "delay_q75", "delay_min", "delay_max", "sensitivity", "overlap_sensitivity", "missed", "false_per_hour", "warning_fraction", "window_n", "window_positive", "average_precision", "roc_auc"]
+MEASURES = [
+    "events", "detected", "overlap_detected", "false_declarations", "duplicate_declarations", "total_declarations", "active", "longest", "raw",
+    "startup", "uncertain", "other_unavailable", "evaluable", "delay_n", "delay_median", "delay_q25", "delay_q75", "delay_min", "delay_max",
+    "sensitivity", "overlap_sensitivity", "missed", "false_per_hour", "warning_fraction", "window_n", "window_positive", "average_precision",
+    "roc_auc"
+]
 ROUNDED = ["average_precision", "roc_auc"]
 
 
@@ -214,7 +242,10 @@ def q54_result_metrics(spark, sf):
     t, out = _tables(spark, sf), None
     for level, name in (("parent", "fold_metrics"), ("patient", "patient_metrics"), ("pooled", "pooled_metrics")):
         keys = N.LEVELS[level]
-        d = t[name].select(F.lit(level).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast("bigint").alias(k) for k in ("grp", "rec")], "model", *[F.round(c, 9).alias(c) if c in ROUNDED else c for c in MEASURES])
+        d = t[name].select(
+            F.lit(level).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast("bigint").alias(k) for k in ("grp", "rec")], "model",
+            *[F.round(c, 9).alias(c) if c in ROUNDED else c for c in MEASURES]
+        )
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -224,7 +255,10 @@ def q55_paired_comparison(spark, sf):
 
 
 def q56_event_comparison(spark, sf):
-    return _tables(spark, sf)["event_comparison"].select("rec", "event_id", "eeg_detected", "fusion_detected", "eeg_delay", "fusion_delay", "delay_delta", "classification", "changed_delay_only", "ecg_available_at_onset", "ecg_ictal_available_fraction", "alpha")
+    return _tables(spark, sf)["event_comparison"].select(
+        "rec", "event_id", "eeg_detected", "fusion_detected", "eeg_delay", "fusion_delay", "delay_delta", "classification", "changed_delay_only",
+        "ecg_available_at_onset", "ecg_ictal_available_fraction", "alpha"
+    )
 
 
 def q57_fate_counts(spark, sf):
@@ -256,19 +290,24 @@ def _sweep_sql(fold: str) -> str:
     gr = lambda t: f"(SELECT *, rec % 5 AS grp FROM {t})"
     by = f"GROUP BY {fold}" if fold else ""
     join = f"JOIN (SELECT {g}sum(evaluable)::BIGINT AS evaluable FROM {gr('budget')} {by}) {f'USING ({fold})' if fold else 'ON true'}"
-    return f"""sweep AS (SELECT {g}thr AS threshold, events, evaluable, coalesce(f, 0) AS false_declarations, coalesce(dt, 0) AS detected, delay_median, coalesce(dt, 0)::DOUBLE / events AS sensitivity, coalesce(f, 0)::DOUBLE * {B.HOUR} / evaluable AS false_per_hour
+    return f"""sweep AS (SELECT {g}thr AS threshold, events, evaluable, coalesce(f, 0) AS false_declarations, coalesce(dt, 0) AS detected, delay_median,
+  coalesce(dt, 0)::DOUBLE / events AS sensitivity, coalesce(f, 0)::DOUBLE * {B.HOUR} / evaluable AS false_per_hour
   FROM (SELECT {g}count(*) AS events FROM {gr('refs')} {by}) {join} CROSS JOIN (SELECT unnest({SWEEP}::DOUBLE[]) AS thr)
-  LEFT JOIN (SELECT {g}thr, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'matched') AS dt, median(CASE WHEN status = 'matched' THEN decl - onset END) AS delay_median FROM sj GROUP BY {g}thr) {on})"""
+  LEFT JOIN (SELECT {g}thr, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'matched') AS dt,
+  median(CASE WHEN status = 'matched' THEN decl - onset END) AS delay_median FROM sj GROUP BY {g}thr) {on})"""
 
 
 _MIX = lambda a: f"CASE WHEN available2 AND score2 IS NOT NULL THEN (1 - {a}) * score1 + {a} * score2 ELSE score1 END"
-_FU = f"""fu AS (SELECT d.rec, d.t, d.available AS available1, d.score AS score1, e.available AS available2, e.score AS score2 FROM dec1 d JOIN dec2 e USING (rec, t)),
-va AS (SELECT rec, t, available1 AS available, 'F0' AS model, score1 AS score FROM fu UNION ALL SELECT rec, t, available1, 'F1', {_MIX(0.5)} FROM fu UNION ALL SELECT rec, t, available1, 'F2', {_MIX(0.25)} FROM fu
+_FU = f"""fu AS (SELECT d.rec, d.t, d.available AS available1, d.score AS score1, e.available AS available2, e.score AS score2 FROM dec1 d
+  JOIN dec2 e USING (rec, t)),
+va AS (SELECT rec, t, available1 AS available, 'F0' AS model, score1 AS score FROM fu UNION ALL SELECT rec, t, available1, 'F1', {_MIX(0.5)} FROM fu UNION ALL
+  SELECT rec, t, available1, 'F2', {_MIX(0.25)} FROM fu
   UNION ALL SELECT rec, t, available1, 'F3', CASE WHEN score1 IS NOT NULL THEN least(1.0, score1 * 0.5 + coalesce(score2, 0.0) * 0.5) END FROM fu)"""
 _VA = f"vm AS (SELECT * FROM {B.alarms_sql(f'''(SELECT *, {ALARM_AT} AS thr FROM va WHERE model IN ('F0', 'F2'))''', 'rec, model')}), vj AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('vm', 'rec, model')})"
 _LS = "ls AS (SELECT lang, least(1.0, floor(n_chars / 100) / 50) AS score, quality AS label FROM documents JOIN labels USING (doc_id))"
 _PAIR = """count(*) FILTER (WHERE model = 'F0' AND status = 'matched') AS f0_detected, count(*) FILTER (WHERE model = 'F2' AND status = 'matched') AS f2_detected,
-  f2_detected - f0_detected AS delta_detected, count(*) FILTER (WHERE model = 'F2' AND status <> 'matched') - count(*) FILTER (WHERE model = 'F0' AND status <> 'matched') AS delta_false,
+  f2_detected - f0_detected AS delta_detected,
+  count(*) FILTER (WHERE model = 'F2' AND status <> 'matched') - count(*) FILTER (WHERE model = 'F0' AND status <> 'matched') AS delta_false,
   delta_false::DOUBLE / nullif(count(*) FILTER (WHERE model = 'F0' AND status <> 'matched'), 0) * 100 AS false_change_pct FROM vj"""
 
 _EARLY = "CASE WHEN score1 IS NOT NULL THEN least(1.0, score1 * 0.5 + coalesce(score2, 0.0) * 0.5) END"
@@ -279,27 +318,44 @@ def _counted(judged: str, by: str) -> str:
     return f"(SELECT {by}, count(*) FILTER (WHERE status = 'matched') AS d, count(*) FILTER (WHERE status <> 'matched') AS f, median(CASE WHEN status = 'matched' THEN decl - onset END) AS dm FROM {judged} GROUP BY {by})"
 
 
-_SELECT = f"""fam AS (SELECT unnest(['base', 'early']) AS fam), thrs AS (SELECT unnest({S.THRESHOLDS}::DOUBLE[]) AS thr), als AS (SELECT unnest({S.ALPHAS[1:]}::DOUBLE[]) AS al),
+_SELECT = f"""fam AS (SELECT unnest(['base', 'early']) AS fam), thrs AS (SELECT unnest({S.THRESHOLDS}::DOUBLE[]) AS thr),
+  als AS (SELECT unnest({S.ALPHAS[1:]}::DOUBLE[]) AS al),
 s1 AS (SELECT rec, t, available1 AS available, fam, thr, CASE fam WHEN 'base' THEN score1 ELSE {_EARLY} END AS score FROM fu, fam, thrs),
 x1 AS (SELECT * FROM {B.alarms_sql('s1', 'rec, fam, thr')}), j1 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('x1', 'rec, fam, thr')}),
-gr AS (SELECT grp, events, evaluable FROM (SELECT rec % 5 AS grp, count(*) AS events FROM refs GROUP BY 1) JOIN (SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable FROM budget GROUP BY 1) USING (grp)),
-m1 AS (SELECT grp, fam, thr, events, evaluable, {_MEASURED} FROM gr CROSS JOIN fam CROSS JOIN thrs LEFT JOIN {_counted('j1', 'grp, fam, thr')} USING (grp, fam, thr)),
-b1 AS (SELECT * FROM m1 WHERE false_per_hour <= 0.02 QUALIFY row_number() OVER (PARTITION BY grp, fam ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, thr DESC) = 1),
-s2 AS (SELECT fu.rec, t, available1 AS available, al, thrs.thr AS at_, {_MIX('al')} AS score, CASE WHEN available2 AND score2 IS NOT NULL THEN thrs.thr ELSE b.thr END AS thr FROM fu JOIN b1 b ON b.grp = fu.rec % 5 AND b.fam = 'base', als, thrs),
+gr AS (SELECT grp, events, evaluable FROM (SELECT rec % 5 AS grp, count(*) AS events FROM refs GROUP BY 1)
+  JOIN (SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable FROM budget GROUP BY 1) USING (grp)),
+m1 AS (SELECT grp, fam, thr, events, evaluable, {_MEASURED} FROM gr CROSS JOIN fam CROSS JOIN thrs LEFT
+  JOIN {_counted('j1', 'grp, fam, thr')} USING (grp, fam, thr)),
+b1 AS (SELECT * FROM m1 WHERE false_per_hour <= 0.02 QUALIFY row_number() OVER (PARTITION BY grp, fam
+  ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, thr DESC) = 1),
+s2 AS (SELECT fu.rec, t, available1 AS available, al, thrs.thr AS at_, {_MIX('al')} AS score,
+  CASE WHEN available2 AND score2 IS NOT NULL THEN thrs.thr ELSE b.thr END AS thr FROM fu JOIN b1 b ON b.grp = fu.rec % 5 AND b.fam = 'base', als, thrs),
 x2 AS (SELECT * FROM {B.alarms_sql('s2', 'rec, al, at_')}), j2 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('x2', 'rec, al, at_')}),
-d0 AS (SELECT j.grp, j.rec, j.event_id, decl - onset AS delay0 FROM j1 j JOIN b1 b ON b.grp = j.grp AND b.fam = j.fam AND b.thr = j.thr WHERE j.fam = 'base' AND status = 'matched'),
-pd AS (SELECT j.grp, al, at_, count(*) AS common_events, median(decl - onset - delay0) AS common_delay_delta FROM j2 j JOIN d0 USING (grp, rec, event_id) WHERE status = 'matched' GROUP BY ALL),
-m2 AS (SELECT grp, al, at_, events, evaluable, {_MEASURED} FROM gr JOIN (SELECT grp FROM b1 WHERE fam = 'base') USING (grp) CROSS JOIN als CROSS JOIN (SELECT thr AS at_ FROM thrs) LEFT JOIN {_counted('j2', 'grp, al, at_')} USING (grp, al, at_)),
-c0 AS (SELECT m2.*, coalesce(common_events, 0) AS common_events, common_delay_delta, concat_ws(';', CASE WHEN m2.detected < b.detected THEN 'sensitivity_loss' END, CASE WHEN m2.false_per_hour > b.false_per_hour THEN 'FAR_increase' END,
-  CASE WHEN m2.detected <= b.detected AND m2.false_per_hour >= b.false_per_hour THEN 'no_strict_improvement' END, CASE WHEN common_delay_delta > {B.STRIDE} THEN 'common_event_delay_penalty' END, CASE WHEN m2.evaluable <> b.evaluable THEN 'coverage_loss' END) AS against
+d0 AS (SELECT j.grp, j.rec, j.event_id, decl - onset AS delay0 FROM j1 j JOIN b1 b ON b.grp = j.grp AND b.fam = j.fam AND b.thr = j.thr
+  WHERE j.fam = 'base' AND status = 'matched'),
+pd AS (SELECT j.grp, al, at_, count(*) AS common_events, median(decl - onset - delay0) AS common_delay_delta FROM j2 j JOIN d0 USING (grp, rec, event_id)
+  WHERE status = 'matched' GROUP BY ALL),
+m2 AS (SELECT grp, al, at_, events, evaluable, {_MEASURED} FROM gr JOIN (SELECT grp FROM b1 WHERE fam = 'base') USING (grp) CROSS JOIN als CROSS
+  JOIN (SELECT thr AS at_ FROM thrs) LEFT JOIN {_counted('j2', 'grp, al, at_')} USING (grp, al, at_)),
+c0 AS (SELECT m2.*, coalesce(common_events, 0) AS common_events, common_delay_delta, concat_ws(';',
+  CASE WHEN m2.detected < b.detected THEN 'sensitivity_loss' END, CASE WHEN m2.false_per_hour > b.false_per_hour THEN 'FAR_increase' END,
+  CASE WHEN m2.detected <= b.detected AND m2.false_per_hour >= b.false_per_hour THEN 'no_strict_improvement' END,
+  CASE WHEN common_delay_delta > {B.STRIDE} THEN 'common_event_delay_penalty' END, CASE WHEN m2.evaluable <> b.evaluable THEN 'coverage_loss' END) AS against
   FROM m2 JOIN (SELECT * FROM b1 WHERE fam = 'base') b USING (grp) LEFT JOIN pd USING (grp, al, at_)),
-cd AS (SELECT * EXCLUDE (against), CASE WHEN against = '' THEN 'protected_improvement' ELSE against END AS reason, against = '' AS eligible, false_per_hour <= 0.02 AS feasible FROM c0),
-f2 AS (SELECT * FROM cd WHERE eligible AND feasible QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, al, at_ DESC) = 1),
-f1 AS (SELECT * FROM cd WHERE al = 0.5 AND feasible QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, at_ DESC) = 1)"""
-
-_ALL = f"""vm4 AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM va)', 'rec, model')}), vj4 AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('vm4', 'rec, model')}),
-ev4 AS (SELECT r.rec, r.rec % 5 AS grp, model, r.event_id, j.decl - r.a AS delay, EXISTS (SELECT 1 FROM vm4 x WHERE x.rec = r.rec AND x.model = m.model AND x.decl < r.b AND x.fin > r.a) AS over FROM refs r CROSS JOIN (SELECT DISTINCT model FROM va) m LEFT JOIN (SELECT * FROM vj4 WHERE status = 'matched') j USING (rec, model, event_id)),
-lab AS (SELECT g.rec, g.t, EXISTS (SELECT 1 FROM unc u WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS hit FROM grid g),
+cd AS (SELECT * EXCLUDE (against), CASE WHEN against = '' THEN 'protected_improvement' ELSE against END AS reason, against = '' AS eligible,
+  false_per_hour <= 0.02 AS feasible FROM c0),
+f2 AS (SELECT * FROM cd WHERE eligible AND feasible QUALIFY row_number() OVER (PARTITION BY grp
+  ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, al, at_ DESC) = 1),
+f1 AS (SELECT * FROM cd WHERE al = 0.5 AND feasible QUALIFY row_number() OVER (PARTITION BY grp
+  ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, at_ DESC) = 1)"""
+
+_ALL = f"""vm4 AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM va)', 'rec, model')}), vj4 AS (SELECT *, rec % 5 AS grp
+  FROM {B.judged_sql('vm4', 'rec, model')}),
+ev4 AS (SELECT r.rec, r.rec % 5 AS grp, model, r.event_id, j.decl - r.a AS delay, EXISTS (SELECT 1 FROM vm4 x
+  WHERE x.rec = r.rec AND x.model = m.model AND x.decl < r.b AND x.fin > r.a) AS over FROM refs r CROSS JOIN (SELECT DISTINCT model FROM va) m LEFT
+  JOIN (SELECT * FROM vj4 WHERE status = 'matched') j USING (rec, model, event_id)),
+lab AS (SELECT g.rec, g.t, EXISTS (SELECT 1 FROM unc u WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, EXISTS (SELECT 1 FROM refs r
+  WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS hit FROM grid g),
 sc4 AS (SELECT va.rec, va.rec % 5 AS grp, model, score, hit::INT AS label FROM va JOIN lab USING (rec, t) WHERE available AND score IS NOT NULL AND NOT un),
 bu4 AS (SELECT budget.*, rec % 5 AS grp, model FROM budget, (SELECT DISTINCT model FROM va))"""
 
@@ -308,42 +364,74 @@ def _level_sql(name: str, level: str) -> str:
     g = f"{level}, " if level else ""
     on = f"USING ({g}model)"
     keys = ", ".join(f"CAST({k} AS BIGINT) AS {k}" if k in level.split(", ") else f"CAST(NULL AS BIGINT) AS {k}" for k in ("grp", "rec"))
-    return f"""SELECT '{name}' AS level, {keys}, model, events, detected, overlap_detected, coalesce(false_declarations, 0) AS false_declarations, coalesce(duplicate_declarations, 0) AS duplicate_declarations, coalesce(total_declarations, 0) AS total_declarations, coalesce(active, 0) AS active, coalesce(longest, 0) AS longest,
-  raw, startup, uncertain, other_unavailable, evaluable, delay_n, delay_median, delay_q25, delay_q75, delay_min, delay_max, detected::DOUBLE / nullif(events, 0) AS sensitivity, overlap_detected::DOUBLE / nullif(events, 0) AS overlap_sensitivity, events - detected AS missed,
-  coalesce(false_declarations, 0)::DOUBLE * {B.HOUR} / nullif(evaluable, 0) AS false_per_hour, coalesce(active, 0)::DOUBLE / nullif(evaluable, 0) AS warning_fraction, coalesce(window_n, 0) AS window_n, coalesce(window_positive, 0) AS window_positive, round(average_precision, 9) AS average_precision, round(roc_auc, 9) AS roc_auc
+    return f"""SELECT '{name}' AS level, {keys}, model, events, detected, overlap_detected, coalesce(false_declarations, 0) AS false_declarations,
+  coalesce(duplicate_declarations, 0) AS duplicate_declarations, coalesce(total_declarations, 0) AS total_declarations, coalesce(active, 0) AS active,
+  coalesce(longest, 0) AS longest,
+  raw, startup, uncertain, other_unavailable, evaluable, delay_n, delay_median, delay_q25, delay_q75, delay_min, delay_max, detected::DOUBLE / nullif(events,
+  0) AS sensitivity, overlap_detected::DOUBLE / nullif(events, 0) AS overlap_sensitivity, events - detected AS missed,
+  coalesce(false_declarations, 0)::DOUBLE * {B.HOUR} / nullif(evaluable, 0) AS false_per_hour, coalesce(active, 0)::DOUBLE / nullif(evaluable,
+  0) AS warning_fraction, coalesce(window_n, 0) AS window_n, coalesce(window_positive, 0) AS window_positive, round(average_precision, 9) AS average_precision,
+  round(roc_auc, 9) AS roc_auc
 FROM (SELECT {g}model, {', '.join(f'sum({c})::BIGINT AS {c}' for c in Q.TIMES)} FROM bu4 GROUP BY {g}model)
-LEFT JOIN (SELECT {g}model, count(*) AS events, count(delay) AS detected, count(delay) AS delay_n, count(*) FILTER (WHERE over) AS overlap_detected, median(delay) AS delay_median, quantile_cont(delay, 0.25) AS delay_q25, quantile_cont(delay, 0.75) AS delay_q75, min(delay) AS delay_min, max(delay) AS delay_max FROM ev4 GROUP BY {g}model) {on}
-LEFT JOIN (SELECT {g}model, count(*) FILTER (WHERE status <> 'matched') AS false_declarations, count(*) FILTER (WHERE status = 'duplicate') AS duplicate_declarations, count(*) AS total_declarations, sum(fin - decl)::BIGINT AS active, max(fin - decl) AS longest FROM vj4 GROUP BY {g}model) {on}
-LEFT JOIN (SELECT {g}model, sum(n)::BIGINT AS window_n, sum(p)::BIGINT AS window_positive, CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN sum(p * tp / seen::DOUBLE) / sum(p) END AS average_precision, CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN (sum(p * (below + (n + 1) / 2.0)) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))) END::DOUBLE AS roc_auc
-  FROM (SELECT *, sum(p) OVER (PARTITION BY {g}model ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY {g}model ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY {g}model ORDER BY score) - n AS below FROM (SELECT {g}model, score, sum(label)::BIGINT AS p, count(*) AS n FROM sc4 GROUP BY {g}model, score)) GROUP BY {g}model) {on}"""
+LEFT JOIN (SELECT {g}model, count(*) AS events, count(delay) AS detected, count(delay) AS delay_n, count(*) FILTER (WHERE over) AS overlap_detected,
+  median(delay) AS delay_median, quantile_cont(delay, 0.25) AS delay_q25, quantile_cont(delay, 0.75) AS delay_q75, min(delay) AS delay_min,
+  max(delay) AS delay_max FROM ev4 GROUP BY {g}model) {on}
+LEFT JOIN (SELECT {g}model, count(*) FILTER (WHERE status <> 'matched') AS false_declarations,
+  count(*) FILTER (WHERE status = 'duplicate') AS duplicate_declarations, count(*) AS total_declarations, sum(fin - decl)::BIGINT AS active,
+  max(fin - decl) AS longest FROM vj4 GROUP BY {g}model) {on}
+LEFT JOIN (SELECT {g}model, sum(n)::BIGINT AS window_n, sum(p)::BIGINT AS window_positive,
+  CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN sum(p * tp / seen::DOUBLE) / sum(p) END AS average_precision,
+  CASE WHEN sum(p) > 0 AND sum(n) > sum(p) THEN (sum(p * (below + (n + 1) / 2.0)) - sum(p) * (sum(p) + 1) / 2.0) / (sum(p) * (sum(n) - sum(p))) END::DOUBLE AS roc_auc
+  FROM (SELECT *, sum(p) OVER (PARTITION BY {g}model ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY {g}model
+  ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY {g}model ORDER BY score) - n AS below
+  FROM (SELECT {g}model, score, sum(label)::BIGINT AS p, count(*) AS n FROM sc4 GROUP BY {g}model, score)) GROUP BY {g}model) {on}"""
 
 
 _LEVELS = " UNION ALL BY NAME ".join(f"({_level_sql(n, ', '.join(k))})" for n, k in N.LEVELS.items())
 
 ORACLE = {
     "q14_fusion_select_protected": f"""{_P}, {_FU}, {_SELECT}
-SELECT b.grp, b.thr AS eeg_threshold, coalesce(f2.al, 0.0)::DOUBLE AS alpha, coalesce(f2.at_, b.thr) AS threshold, f1.at_ AS f1_threshold, e.thr AS f3_threshold, CASE WHEN f2.grp IS NULL THEN 'no_eligible_nonzero_candidate' ELSE 'protected_improvement' END AS reason,
-  b.detected AS inner_eeg_detected, b.events AS inner_eeg_events, b.false_per_hour AS inner_eeg_far, b.delay_median AS inner_eeg_delay, coalesce(f2.detected, b.detected) AS inner_fusion_detected, coalesce(f2.false_per_hour, b.false_per_hour) AS inner_fusion_far, CASE WHEN f2.grp IS NULL THEN b.delay_median ELSE f2.delay_median END AS inner_fusion_delay,
-  CASE WHEN f2.grp IS NULL THEN b.detected ELSE f2.common_events END AS common_events, CASE WHEN f2.grp IS NULL THEN CASE WHEN b.detected > 0 THEN 0.0 END ELSE f2.common_delay_delta END::DOUBLE AS common_delay_delta
+SELECT b.grp, b.thr AS eeg_threshold, coalesce(f2.al, 0.0)::DOUBLE AS alpha, coalesce(f2.at_, b.thr) AS threshold, f1.at_ AS f1_threshold,
+  e.thr AS f3_threshold, CASE WHEN f2.grp IS NULL THEN 'no_eligible_nonzero_candidate' ELSE 'protected_improvement' END AS reason,
+  b.detected AS inner_eeg_detected, b.events AS inner_eeg_events, b.false_per_hour AS inner_eeg_far, b.delay_median AS inner_eeg_delay, coalesce(f2.detected,
+  b.detected) AS inner_fusion_detected, coalesce(f2.false_per_hour, b.false_per_hour) AS inner_fusion_far,
+  CASE WHEN f2.grp IS NULL THEN b.delay_median ELSE f2.delay_median END AS inner_fusion_delay,
+  CASE WHEN f2.grp IS NULL THEN b.detected ELSE f2.common_events END AS common_events,
+  CASE WHEN f2.grp IS NULL THEN CASE WHEN b.detected > 0 THEN 0.0 END ELSE f2.common_delay_delta END::DOUBLE AS common_delay_delta
 FROM b1 b LEFT JOIN b1 e ON e.grp = b.grp AND e.fam = 'early' LEFT JOIN f2 ON f2.grp = b.grp LEFT JOIN f1 ON f1.grp = b.grp WHERE b.fam = 'base'""",
     "q53_fusion_candidates": f"{_P}, {_FU}, {_SELECT} SELECT grp, al AS alpha, at_ AS threshold, events, detected, false_declarations, evaluable, sensitivity, false_per_hour, delay_median, common_events, common_delay_delta, reason, eligible, feasible FROM cd",
     "q54_result_metrics": f"{_P}, {_FU}, {_ALL} {_LEVELS}",
     "q55_paired_comparison": f"""{_P}, {_FU}, {_ALL}, lv AS ({_LEVELS})
-SELECT a.level, a.grp, a.rec, {', '.join(f'a.{c} AS eeg_{c}, b.{c} AS fusion_{c}, b.{c} - a.{c} AS delta_{c}' for c in N.PAIRED)}, CASE WHEN a.false_per_hour > 0 THEN (b.false_per_hour / a.false_per_hour - 1) * 100 END AS far_change_pct, (b.evaluable - a.evaluable) / a.raw::DOUBLE * 100 AS coverage_delta_pct
+SELECT a.level, a.grp, a.rec, {', '.join(f'a.{c} AS eeg_{c}, b.{c} AS fusion_{c}, b.{c} - a.{c} AS delta_{c}' for c in N.PAIRED)},
+  CASE WHEN a.false_per_hour > 0 THEN (b.false_per_hour / a.false_per_hour - 1) * 100 END AS far_change_pct,
+  (b.evaluable - a.evaluable) / a.raw::DOUBLE * 100 AS coverage_delta_pct
 FROM lv a JOIN lv b ON a.level = b.level AND a.grp IS NOT DISTINCT FROM b.grp AND a.rec IS NOT DISTINCT FROM b.rec WHERE a.model = 'F0' AND b.model = 'F2'""",
-    "q56_event_comparison": f"""{_P}, {_FU}, {_ALL}, w AS (SELECT r.rec, r.event_id, r.a, r.b, x.delay AS d0, y.delay AS d2, coalesce((SELECT bool_or(d.available AND d.score IS NOT NULL) FROM dec2 d WHERE d.rec = r.rec AND d.t <= r.a AND r.a < d.t + {B.STRIDE}), false) AS on_,
-  coalesce((SELECT sum(greatest(0, least(r.b, d.t + {B.STRIDE}, {B.DURATION}) - greatest(r.a, d.t))) FROM dec2 d WHERE d.rec = r.rec AND d.available AND d.score IS NOT NULL), 0) AS covered FROM refs r JOIN ev4 x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' JOIN ev4 y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2')
-SELECT rec, event_id, d0 IS NOT NULL AS eeg_detected, d2 IS NOT NULL AS fusion_detected, d0 AS eeg_delay, d2 AS fusion_delay, d2 - d0 AS delay_delta, CASE WHEN d0 IS NOT NULL AND d2 IS NOT NULL THEN 'preserved' WHEN d2 IS NOT NULL THEN 'rescued' WHEN d0 IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification,
-  coalesce(d0 <> d2, false) AS changed_delay_only, on_ AS ecg_available_at_onset, covered::DOUBLE / (b - a) AS ecg_ictal_available_fraction, 0.25::DOUBLE AS alpha FROM w""",
-    "q58_contribution_patients": f"""{_P}, c2 AS (SELECT rec, t AS a, least(t + {B.STRIDE}, {B.DURATION}) AS b FROM dec2 WHERE available AND score IS NOT NULL), q AS (SELECT rec, sum(b - a)::BIGINT AS q1 FROM {B.sweep_sql('expo', B.union_sql('c2'), B.BOTH)} GROUP BY rec)
-SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable, sum(coalesce(q1, 0))::BIGINT AS q1, sum(evaluable - coalesce(q1, 0))::BIGINT AS q0, sum(coalesce(q1, 0))::BIGINT AS active, sum(coalesce(q1, 0))::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0 GROUP BY 1""",
+    "q56_event_comparison": f"""{_P}, {_FU}, {_ALL}, w AS (SELECT r.rec, r.event_id, r.a, r.b, x.delay AS d0, y.delay AS d2,
+  coalesce((SELECT bool_or(d.available AND d.score IS NOT NULL) FROM dec2 d WHERE d.rec = r.rec AND d.t <= r.a AND r.a < d.t + {B.STRIDE}), false) AS on_,
+  coalesce((SELECT sum(greatest(0, least(r.b, d.t + {B.STRIDE}, {B.DURATION}) - greatest(r.a, d.t))) FROM dec2 d
+  WHERE d.rec = r.rec AND d.available AND d.score IS NOT NULL), 0) AS covered FROM refs r
+  JOIN ev4 x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' JOIN ev4 y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2')
+SELECT rec, event_id, d0 IS NOT NULL AS eeg_detected, d2 IS NOT NULL AS fusion_detected, d0 AS eeg_delay, d2 AS fusion_delay, d2 - d0 AS delay_delta,
+  CASE WHEN d0 IS NOT NULL AND d2 IS NOT NULL THEN 'preserved' WHEN d2 IS NOT NULL THEN 'rescued' WHEN d0 IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification,
+  coalesce(d0 <> d2, false) AS changed_delay_only, on_ AS ecg_available_at_onset, covered::DOUBLE / (b - a) AS ecg_ictal_available_fraction,
+  0.25::DOUBLE AS alpha FROM w""",
+    "q58_contribution_patients": f"""{_P}, c2 AS (SELECT rec, t AS a, least(t + {B.STRIDE}, {B.DURATION}) AS b FROM dec2
+  WHERE available AND score IS NOT NULL), q AS (SELECT rec, sum(b - a)::BIGINT AS q1 FROM {B.sweep_sql('expo', B.union_sql('c2'), B.BOTH)} GROUP BY rec)
+SELECT rec % 5 AS grp, sum(evaluable)::BIGINT AS evaluable, sum(coalesce(q1, 0))::BIGINT AS q1, sum(evaluable - coalesce(q1, 0))::BIGINT AS q0, sum(coalesce(q1,
+  0))::BIGINT AS active, sum(coalesce(q1, 0))::BIGINT::DOUBLE / sum(evaluable)::BIGINT AS q1_fraction FROM budget LEFT JOIN q USING (rec) WHERE evaluable > 0
+  GROUP BY 1""",
     "q59_model_means": f"""{_P}, {_FU}, {_ALL}, lv AS ({_LEVELS})
 SELECT f.model, {', '.join(f'round(avg(f.{c}), 9) AS fold_mean_{c}, round(any_value(p.{c}), 9) AS pooled_{c}' for c in ('sensitivity', 'false_per_hour', 'delay_median'))} FROM lv f JOIN lv p ON p.model = f.model AND p.level = 'pooled' WHERE f.level = 'parent' GROUP BY f.model""",
     "q01_alarm_eval": f"""{_P}, {_AL}, {_EM},
-ja AS (SELECT rec, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'duplicate') AS dup, count(*) AS n, sum(fin - decl)::BIGINT AS act, max(fin - decl) AS longest FROM jd GROUP BY rec),
-me AS (SELECT rec, count(*) AS events, count(decl) AS detected, count(*) FILTER (WHERE over) AS overd, median(delay) AS dm, quantile_cont(delay, 0.25) AS dq FROM em GROUP BY rec)
-SELECT rec, coalesce(events, 0) AS events, coalesce(detected, 0) AS detected, coalesce(overd, 0) AS overlap_detected, coalesce(f, 0) AS false_declarations, coalesce(dup, 0) AS duplicate_declarations, coalesce(n, 0) AS total_declarations,
-  evaluable, coalesce(detected, 0) AS delay_n, dm AS delay_median, dq AS delay_q25, detected::DOUBLE / events AS sensitivity, coalesce(f, 0)::DOUBLE * {B.HOUR} / nullif(evaluable, 0) AS false_per_hour, coalesce(act, 0)::DOUBLE / nullif(evaluable, 0) AS warning_fraction, coalesce(longest, 0) AS longest
+ja AS (SELECT rec, count(*) FILTER (WHERE status <> 'matched') AS f, count(*) FILTER (WHERE status = 'duplicate') AS dup, count(*) AS n,
+  sum(fin - decl)::BIGINT AS act, max(fin - decl) AS longest FROM jd GROUP BY rec),
+me AS (SELECT rec, count(*) AS events, count(decl) AS detected, count(*) FILTER (WHERE over) AS overd, median(delay) AS dm, quantile_cont(delay, 0.25) AS dq
+  FROM em GROUP BY rec)
+SELECT rec, coalesce(events, 0) AS events, coalesce(detected, 0) AS detected, coalesce(overd, 0) AS overlap_detected, coalesce(f, 0) AS false_declarations,
+  coalesce(dup, 0) AS duplicate_declarations, coalesce(n, 0) AS total_declarations,
+  evaluable, coalesce(detected, 0) AS delay_n, dm AS delay_median, dq AS delay_q25, detected::DOUBLE / events AS sensitivity, coalesce(f,
+  0)::DOUBLE * {B.HOUR} / nullif(evaluable, 0) AS false_per_hour, coalesce(act, 0)::DOUBLE / nullif(evaluable, 0) AS warning_fraction, coalesce(longest,
+  0) AS longest
 FROM budget LEFT JOIN ja USING (rec) LEFT JOIN me USING (rec)""",
     "q02_alarm_intervals": f'{_P}, {_AL} SELECT rec, decl AS declaration, fin AS "end", reason FROM al',
     "q03_event_matches": f'{_P}, {_AL}, {_EM} SELECT rec, event_id, a AS onset, b AS "offset", decl IS NOT NULL AS detected, decl AS declaration, delay, over AS overlap_detected FROM em',
@@ -352,27 +440,46 @@ FROM budget LEFT JOIN ja USING (rec) LEFT JOIN me USING (rec)""",
     "q06_interval_difference_seconds": f"{_P} SELECT rec, sum(b - a)::BIGINT AS micros FROM {B.sweep_sql('refs0', 'unc', B.MINUS)} GROUP BY rec",
     "q07_interval_intersection": f"""{_P} SELECT rec, a AS start, b AS "end" FROM {B.sweep_sql('refs0', 'unc', B.BOTH)}""",
     "q08_time_budget": f"{_P} SELECT rec, raw, uncertain, startup, evaluable, other_unavailable::BIGINT AS other_unavailable FROM budget",
-    "q09_timeline_labels": f"""{_P}, lb AS (SELECT g.rec, g.t, EXISTS (SELECT 1 FROM unc u WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, (SELECT string_agg(CAST(a // {B.HOUR} AS VARCHAR), '|' ORDER BY a) FROM refs r WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS nums,
+    "q09_timeline_labels": f"""{_P}, lb AS (SELECT g.rec, g.t, EXISTS (SELECT 1 FROM unc u
+  WHERE u.rec = g.rec AND u.a <= g.t AND g.t < u.b) AS un, (SELECT string_agg(CAST(a // {B.HOUR} AS VARCHAR), '|' ORDER BY a) FROM refs r
+  WHERE r.rec = g.rec AND r.a <= g.t AND g.t < r.b) AS nums,
   EXISTS (SELECT 1 FROM refs r WHERE r.rec = g.rec AND r.a - {6 * B.HOUR} <= g.t AND g.t < r.b + {6 * B.HOUR}) AS near FROM grid g),
 ls AS (SELECT *, CASE WHEN un THEN 'annotation_uncertain' WHEN nums IS NOT NULL THEN 'positive' WHEN near THEN 'ignore' ELSE 'negative' END AS status FROM lb)
-SELECT rec, t, CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 ELSE -1 END AS label, status, CASE WHEN un THEN -1 WHEN nums IS NOT NULL THEN 1 ELSE 0 END AS evaluation_label, status IN ('positive', 'negative') AS training_eligible, CASE WHEN status = 'positive' THEN nums ELSE '' END AS event_numbers FROM ls""",
+SELECT rec, t, CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 ELSE -1 END AS label, status,
+  CASE WHEN un THEN -1 WHEN nums IS NOT NULL THEN 1 ELSE 0 END AS evaluation_label, status IN ('positive', 'negative') AS training_eligible,
+  CASE WHEN status = 'positive' THEN nums ELSE '' END AS event_numbers FROM ls""",
     "q11_threshold_sweep": f"{_P}, {_SWEPT}, {_sweep_sql('')} SELECT * FROM sweep",
     "q12_threshold_choice": f"{_P}, {_SWEPT}, {_sweep_sql('grp')} SELECT * FROM sweep WHERE false_per_hour <= 0.02 QUALIFY row_number() OVER (PARTITION BY grp ORDER BY sensitivity DESC, false_per_hour, delay_median NULLS LAST, threshold DESC) = 1",
     "q13_fusion_scores": f"{_P}, {_FU} SELECT rec, t, available2 AND score2 IS NOT NULL AS q, {_MIX(0.25)} AS score, CASE WHEN available2 AND score2 IS NOT NULL THEN 0.45 ELSE 0.5 END::DOUBLE AS threshold FROM fu",
     "q15_model_variants": f"{_P}, {_FU} SELECT rec, model, count(*) AS n, count(score) AS n_scored, sum(CASE WHEN score >= {ALARM_AT} THEN 1 WHEN score IS NOT NULL THEN 0 END)::BIGINT AS n_high FROM va GROUP BY rec, model",
     "q16_paired_levels": f"{_P}, {_FU}, {_VA} SELECT 'parent' AS level, grp, rec, {_PAIR} GROUP BY grp, rec UNION ALL SELECT 'patient', grp, NULL, {_PAIR} GROUP BY grp UNION ALL SELECT 'pooled', NULL, NULL, {_PAIR}",
     "q17_event_fates": f"""{_P}, {_FU}, {_VA}, f AS (SELECT rec, event_id, model, decl - onset AS delay FROM vj WHERE status = 'matched')
-SELECT r.rec, r.event_id, x.delay AS delay0, y.delay AS delay2, CASE WHEN x.delay IS NOT NULL AND y.delay IS NOT NULL THEN 'preserved' WHEN y.delay IS NOT NULL THEN 'rescued' WHEN x.delay IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification, coalesce(x.delay <> y.delay, false) AS changed_delay_only
-FROM refs r LEFT JOIN f x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' LEFT JOIN f y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2'""",
-    "q19_asof_state": f"""{_P}, {_AL}, s AS (SELECT al.rec, decl, max(d.t) AS seen FROM al LEFT JOIN dec2 d ON d.rec = al.rec AND d.available AND d.t <= decl AND d.t >= decl - {8 * B.HOUR} GROUP BY al.rec, decl)
-SELECT s.rec, decl AS declaration, seen AS asof_t, d.score AS state, CASE WHEN d.score IS NULL THEN 'unavailable' WHEN d.score < 0.25 THEN 'low' ELSE 'larger' END AS kind FROM s LEFT JOIN dec2 d ON d.rec = s.rec AND d.t = s.seen""",
+SELECT r.rec, r.event_id, x.delay AS delay0, y.delay AS delay2,
+  CASE WHEN x.delay IS NOT NULL AND y.delay IS NOT NULL THEN 'preserved' WHEN y.delay IS NOT NULL THEN 'rescued' WHEN x.delay IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification, coalesce(x.delay <> y.delay, false) AS changed_delay_only
+FROM refs r LEFT JOIN f x ON x.rec = r.rec AND x.event_id = r.event_id AND x.model = 'F0' LEFT
+  JOIN f y ON y.rec = r.rec AND y.event_id = r.event_id AND y.model = 'F2'""",
+    "q19_asof_state": f"""{_P}, {_AL}, s AS (SELECT al.rec, decl, max(d.t) AS seen FROM al LEFT
+  JOIN dec2 d ON d.rec = al.rec AND d.available AND d.t <= decl AND d.t >= decl - {8 * B.HOUR} GROUP BY al.rec, decl)
+SELECT s.rec, decl AS declaration, seen AS asof_t, d.score AS state,
+  CASE WHEN d.score IS NULL THEN 'unavailable' WHEN d.score < 0.25 THEN 'low' ELSE 'larger' END AS kind FROM s LEFT
+  JOIN dec2 d ON d.rec = s.rec AND d.t = s.seen""",
     "q20_band_coincidence": f"""{_P}, {_AL}, a2 AS (SELECT * FROM {B.alarms_sql(f'(SELECT *, {ALARM_AT} AS thr FROM dec2)')}) SELECT rec, decl AS declaration, EXISTS (SELECT 1 FROM a2 WHERE a2.rec = al.rec AND abs(a2.decl - al.decl) <= {B.STRIDE}) AS coincident FROM al""",
     "q21_average_precision_auc": f"""WITH {_LS}, g AS (SELECT lang, score, sum(label)::BIGINT AS p, count(*) AS n FROM ls GROUP BY ALL),
-c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY lang ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY lang ORDER BY score) - n AS below FROM g),
-t AS (SELECT lang, sum(n)::BIGINT AS window_n, sum(p)::BIGINT AS window_positive, sum(p * tp / seen::DOUBLE) AS ap, sum(p * (below + (n + 1) / 2.0)) AS rk FROM c GROUP BY lang)
-SELECT lang, window_n, window_positive, CASE WHEN window_positive > 0 AND window_n > window_positive THEN ap / window_positive END AS average_precision, CASE WHEN window_positive > 0 AND window_n > window_positive THEN (rk - window_positive * (window_positive + 1) / 2.0) / (window_positive * (window_n - window_positive)) END::DOUBLE AS roc_auc FROM t""",
-    "q22_confusion_metrics": f"""WITH {_LS}, c AS (SELECT lang, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp, count(*) FILTER (WHERE score >= 0.5 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND label <> 1) AS tn FROM ls GROUP BY lang)
-SELECT *, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision, coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1, (coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0), 0)) / 2 AS balanced_accuracy FROM c""",
+c AS (SELECT *, sum(p) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY lang
+  ORDER BY score DESC) AS seen, sum(n) OVER (PARTITION BY lang ORDER BY score) - n AS below FROM g),
+t AS (SELECT lang, sum(n)::BIGINT AS window_n, sum(p)::BIGINT AS window_positive, sum(p * tp / seen::DOUBLE) AS ap, sum(p * (below + (n + 1) / 2.0)) AS rk
+  FROM c GROUP BY lang)
+SELECT lang, window_n, window_positive, CASE WHEN window_positive > 0 AND window_n > window_positive THEN ap / window_positive END AS average_precision,
+  CASE WHEN window_positive > 0 AND window_n > window_positive THEN (rk - window_positive * (window_positive + 1) / 2.0) / (window_positive * (window_n - window_positive)) END::DOUBLE AS roc_auc FROM t""",
+    "q22_confusion_metrics": f"""WITH {_LS}, c AS (SELECT lang, count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS tp,
+  count(*) FILTER (WHERE score >= 0.5 AND label <> 1) AS fp, count(*) FILTER (WHERE score < 0.5 AND label = 1) AS fn,
+  count(*) FILTER (WHERE score < 0.5 AND label <> 1) AS tn FROM ls GROUP BY lang)
+SELECT *, coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) AS recall, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS precision,
+  coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1, (coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0) + coalesce(tn::DOUBLE / nullif(tn + fp, 0),
+  0)) / 2 AS balanced_accuracy FROM c""",
 }
-ORACLE["q10_label_contingency"] = ORACLE["q09_timeline_labels"].replace("SELECT rec, t, CASE status", "SELECT rec, count(*) FILTER (WHERE status = 'annotation_uncertain') AS annotation_uncertain, count(*) FILTER (WHERE status = 'positive') AS positive, count(*) FILTER (WHERE status = 'ignore') AS ignore, count(*) FILTER (WHERE status = 'negative') AS negative, count(*) FILTER (WHERE status IN ('positive', 'negative')) AS usable FROM ls GROUP BY rec --").split("--")[0]
+ORACLE["q10_label_contingency"] = ORACLE["q09_timeline_labels"].replace(
+    "SELECT rec, t, CASE status",
+    "SELECT rec, count(*) FILTER (WHERE status = 'annotation_uncertain') AS annotation_uncertain, count(*) FILTER (WHERE status = 'positive') AS positive, count(*) FILTER (WHERE status = 'ignore') AS ignore, count(*) FILTER (WHERE status = 'negative') AS negative, count(*) FILTER (WHERE status IN ('positive', 'negative')) AS usable FROM ls GROUP BY rec --"
+).split("--")[0]
 QUERIES = {k: v for k, v in list(globals().items()) if k[0] == "q" and k[1:3].isdigit()}

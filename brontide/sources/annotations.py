@@ -16,8 +16,13 @@ def event_blocks(texts: DataFrame) -> DataFrame:
     part = F.posexplode(F.split("value", r"(?im)^(?=\s*Seizure\s+n)", -1)).alias("_n", "block")
     b = texts.select("source", part).where(F.rlike("block", F.lit(r"(?i)Seizure\s+n\s*\d+")))
     number = F.regexp_extract("block", r"(?i)Seizure\s+n\s*(\d+)", 1).cast("int")
-    fields = {"file_name": "File name", "registration_start": "Registration start time", "registration_end": "Registration end time", "onset_raw": "(?:Seizure )?Start time|Seizure start time", "offset_raw": "(?:Seizure )?End time|Seizure end time"}
-    return b.select("source", "_n", number.alias("number"), *[C.block_field(F.col("block"), f"(?:{p})" if "|" in p else p).alias(n) for n, p in fields.items()])
+    fields = {
+        "file_name": "File name", "registration_start": "Registration start time", "registration_end": "Registration end time",
+        "onset_raw": "(?:Seizure )?Start time|Seizure start time", "offset_raw": "(?:Seizure )?End time|Seizure end time"
+    }
+    return b.select(
+        "source", "_n", number.alias("number"), *[C.block_field(F.col("block"), f"(?:{p})" if "|" in p else p).alias(n) for n, p in fields.items()]
+    )
 
 
 def parse_events(blocks: DataFrame, headers: DataFrame) -> DataFrame:
@@ -25,14 +30,24 @@ def parse_events(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     A missing registration start is taken from the last block of the same file that has one."""
     order = W.partitionBy("source", "file_name").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
     b = blocks.withColumn("file_name", F.replace("file_name", F.lit("PNO6"), F.lit("PN06")))
-    b = b.withColumns({"registration_inherited": F.col("registration_start").isNull(), "registration_start": F.last("registration_start", ignorenulls=True).over(order)})
+    b = b.withColumns(
+        {
+            "registration_inherited": F.col("registration_start").isNull(),
+            "registration_start": F.last("registration_start", ignorenulls=True).over(order)
+        }
+    )
     j = b.join(headers, "file_name").withColumns({"onsets": C.candidates(F.col("onset_raw")), "offsets": C.candidates(F.col("offset_raw"))})
     rel = lambda c: C.relative_seconds(c, F.col("start_s"))
     onset = rel(C.primary_candidate(F.col("onsets"))["clock_s"])
     offset = F.array_min(F.transform("offsets", lambda x: rel(x["clock_s"])))
     spread = lambda c: F.transform(F.col(c), lambda x: rel(x["clock_s"]))
     span = lambda c: F.when(F.array_min(spread(c)) < F.array_max(spread(c)), F.array(F.array_min(spread(c)), F.array_max(spread(c))))
-    out = j.withColumns({"onset_s": onset, "offset_s": offset, "uncertain": F.array_compact(F.array(span("offsets"), span("onsets"))), "discrepancy_s": C.signed_difference(C.clock_seconds(F.col("registration_start")), F.col("start_s"))})
+    out = j.withColumns(
+        {
+            "onset_s": onset, "offset_s": offset, "uncertain": F.array_compact(F.array(span("offsets"), span("onsets"))),
+            "discrepancy_s": C.signed_difference(C.clock_seconds(F.col("registration_start")), F.col("start_s"))
+        }
+    )
     return out.where(C.check_interval(F.col("onset_s"), F.col("offset_s"), F.col("duration_s")))
 
 
@@ -40,7 +55,10 @@ def lenient_events(texts: DataFrame) -> DataFrame:
     """The older, forgiving reading of the same blocks: clocks that can't be read are null, nothing
     stops the job. Adds the clocks of registration and event, and the file name mended."""
     b = event_blocks(texts).withColumn("file_name", F.regexp_replace("file_name", "(?i)^PNO6", "PN06"))
-    clocks = {"registration_start_clock_s": "registration_start", "registration_end_clock_s": "registration_end", "start_clock_s": "onset_raw", "end_clock_s": "offset_raw"}
+    clocks = {
+        "registration_start_clock_s": "registration_start", "registration_end_clock_s": "registration_end", "start_clock_s": "onset_raw",
+        "end_clock_s": "offset_raw"
+    }
     return b.withColumns({n: C.lenient_clock(F.col(c)) for n, c in clocks.items()})
 
 
@@ -58,12 +76,21 @@ def check_registrations(blocks: DataFrame, adjudicated: dict[tuple[str, int], in
         "_times": F.count("*").over(W.partitionBy("source", "number")), "_known": F.last(known, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
         "_spellings": F.size(F.collect_set(F.when(F.col("registration_start").isNotNull(), lexical)).over(W.partitionBy("source", "file_name"))),
     })
-    b = b.withColumns({"effective_start": F.col("_known.registration_start"), "effective_end": F.col("_known.registration_end"), "inherited": F.col("registration_start").isNull()})
+    b = b.withColumns(
+        {
+            "effective_start": F.col("_known.registration_start"), "effective_end": F.col("_known.registration_end"),
+            "inherited": F.col("registration_start").isNull()
+        }
+    )
     b = b.withColumn("discrepancy_s", C.signed_difference(F.col("start_s"), C.lenient_clock(F.col("effective_start"))))
     allowed = F.lit(0)
     for (source, number), seconds in (adjudicated or {}).items():
         allowed = F.when((F.col("source") == source) & (F.col("number") == number), seconds).otherwise(allowed)
-    faults = [("the same event twice", F.col("_times") > 1), ("no registration to inherit", F.col("effective_start").isNull()), ("conflicting registrations", F.col("_spellings") > 1), ("registration differs from the header", ~F.coalesce(F.col("discrepancy_s") == allowed, F.lit(False)))]
+    faults = [
+        ("the same event twice", F.col("_times") > 1), ("no registration to inherit", F.col("effective_start").isNull()),
+        ("conflicting registrations", F.col("_spellings") > 1),
+        ("registration differs from the header", ~F.coalesce(F.col("discrepancy_s") == allowed, F.lit(False)))
+    ]
     fault = F.coalesce(*[F.when(test, name) for name, test in faults])
     where = F.concat_ws(" ", fault, F.lit("in"), "source", F.col("number").cast("string"))
     return b.where(F.when(fault.isNull(), F.lit(True)).otherwise(F.raise_error(where).cast("boolean"))).drop("_times", "_known", "_spellings")
@@ -79,10 +106,15 @@ def declared_channels(texts: DataFrame) -> DataFrame:
     and a source without any such line stop the job."""
     line = F.explode_outer(F.regexp_extract_all("value", F.lit(r"(?im)^[ \t]*(Channel\s+\d[^\r\n]*)"), 1)).alias("line")
     c = texts.select("source", line)
-    c = c.select("source", F.regexp_extract("line", r"(?i)^Channel\s+(\d+)\s*:", 1).try_cast("int").alias("number"), F.nullif(F.trim(F.regexp_extract("line", r":\s*(.*)$", 1)), F.lit("")).alias("name"))
+    c = c.select(
+        "source", F.regexp_extract("line", r"(?i)^Channel\s+(\d+)\s*:", 1).try_cast("int").alias("number"),
+        F.nullif(F.trim(F.regexp_extract("line", r":\s*(.*)$", 1)), F.lit("")).alias("name")
+    )
     c = c.withColumn("_n", F.count("*").over(W.partitionBy("source", "number")))
     fine = F.coalesce((F.col("_n") == 1) & F.col("number").isNotNull() & F.col("name").isNotNull(), F.lit(False))
-    ok = F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("channels declared twice, in part, or not at all in "), F.col("source"))).cast("boolean"))
+    ok = F.when(fine, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("channels declared twice, in part, or not at all in "), F.col("source"))).cast("boolean")
+    )
     return c.where(ok).drop("_n")
 
 
@@ -102,13 +134,22 @@ def official_channels(declared: DataFrame, signals: DataFrame) -> DataFrame:
     is_lead = name.isin("EKG 1", "EKG 2")
     alias = (F.col("number") == 5) & (F.trim("name") == "1")
     canonical = F.when(is_lead, F.replace(name, F.lit("EKG"), F.lit("ECG"))).when(alias, "O1").otherwise(C.channel_label(F.col("name")))
-    j = j.withColumns({"modality": F.when(is_lead, "ECG").otherwise("EEG"), "canonical_name": canonical, "alias_note": F.when(alias, "official channel 5 '1' reconciled to EDF 'EEG O1'").otherwise("")})
+    j = j.withColumns(
+        {
+            "modality": F.when(is_lead, "ECG").otherwise("EEG"), "canonical_name": canonical,
+            "alias_note": F.when(alias, "official channel 5 '1' reconciled to EDF 'EEG O1'").otherwise("")
+        }
+    )
     twice = F.count("*").over(W.partitionBy("file", "modality", "canonical_name")) > 1
     fault = F.coalesce(
         F.when(is_lead & (F.col("label") != F.substring(F.col("name"), -1, 1)), "ecg_label_mismatch"),
         F.when(~is_lead & ~F.col("canonical_name").isin(COMMON_EEG + FURTHER_EEG), "unknown_identity"),
         F.when(~is_lead & (C.channel_label(F.col("label")) != F.col("canonical_name")), "eeg_label_mismatch"), F.when(twice, "duplicate_identity"))
-    return j.select("file", "source", F.col("number").alias("channel_number_1based"), F.col("index").alias("edf_index_0based"), F.col("name").alias("official_name"), F.col("label").alias("edf_raw_label"), "modality", "canonical_name", "alias_note", "large", fault.alias("fault"))
+    return j.select(
+        "file", "source", F.col("number").alias("channel_number_1based"), F.col("index").alias("edf_index_0based"),
+        F.col("name").alias("official_name"), F.col("label").alias("edf_raw_label"), "modality", "canonical_name", "alias_note", "large",
+        fault.alias("fault")
+    )
 
 
 def channel_faults(declared: DataFrame, signals: DataFrame) -> DataFrame:
@@ -117,10 +158,17 @@ def channel_faults(declared: DataFrame, signals: DataFrame) -> DataFrame:
     rows = official_channels(declared, signals)
     files = signals.groupBy("file", "source").agg(F.count("*").alias("n"), F.bool_or("large").alias("large"))
     outside = files.join(declared, "source").where(~F.col("number").between(1, F.col("n"))).select("file", F.lit("outside_header").alias("fault"))
-    has = files.join(rows.groupBy("file").agg(F.collect_set("canonical_name").alias("names")), "file", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    has = files.join(
+        rows.groupBy("file").agg(F.collect_set("canonical_name").alias("names")), "file", "left"
+    ).withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     wanted = F.when(F.col("large"), F.array(*map(F.lit, COMMON_EEG + FURTHER_EEG))).otherwise(F.array(*map(F.lit, COMMON_EEG)))
     lacks = lambda want: F.size(F.array_except(want, "names")) > 0
-    missing = has.select("file", F.explode(F.array_compact(F.array(F.when(lacks(F.array(*map(F.lit, LEADS))), "missing_lead"), F.when(lacks(wanted), "missing_common_eeg")))).alias("fault"))
+    missing = has.select(
+        "file",
+        F.explode(
+            F.array_compact(F.array(F.when(lacks(F.array(*map(F.lit, LEADS))), "missing_lead"), F.when(lacks(wanted), "missing_common_eeg")))
+        ).alias("fault")
+    )
     return rows.where("fault IS NOT NULL").select("file", "fault").unionByName(outside).unionByName(missing)
 
 
@@ -128,7 +176,9 @@ def reconcile_channels(declared: DataFrame, signals: DataFrame) -> DataFrame:
     """:func:`official_channels`, without faults: any stops the job."""
     rows = official_channels(declared, signals)
     bad = channel_faults(declared, signals).groupBy("file").agg(F.array_join(F.array_sort(F.collect_set("fault")), ", ").alias("_faults"))
-    ok = F.when(F.col("_faults").isNull(), F.lit(True)).otherwise(F.raise_error(F.concat_ws(": ", F.lit("channels"), "file", "_faults")).cast("boolean"))
+    ok = F.when(F.col("_faults").isNull(), F.lit(True)).otherwise(
+        F.raise_error(F.concat_ws(": ", F.lit("channels"), "file", "_faults")).cast("boolean")
+    )
     return rows.join(bad, "file", "left").where(ok).drop("_faults", "fault", "large")
 
 
@@ -138,15 +188,27 @@ def agreed_channels(rows: DataFrame, group: str, modality: str) -> DataFrame:
     line = F.struct("channel_number_1based", "edf_index_0based", "official_name", "edf_raw_label", "modality", "canonical_name", "alias_note")
     per_file = rows.groupBy(group, "file").agg(F.sort_array(F.collect_list(line)).alias("map"))
     one = per_file.groupBy(group).agg(F.count_distinct("map").alias("n"), F.first("map").alias("map"))
-    ok = F.when(F.col("n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("files differ in their channels: "), F.col(group))).cast("boolean"))
+    ok = F.when(F.col("n") == 1, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit("files differ in their channels: "), F.col(group))).cast("boolean")
+    )
     return one.where(ok).select(group, F.inline("map")).where(F.col("modality") == modality)
 
 
 def channel_indices(rows: DataFrame, signals: DataFrame) -> DataFrame:
     """A row a file: indices and names by modality, and the signals called a lead that were not
     declared, which stay out."""
-    ranked = lambda m, c: F.transform(F.sort_array(F.collect_list(F.when(F.col("modality") == m, F.struct("edf_index_0based", F.col(c).alias("v"))))), lambda x: x["v"])
-    named = rows.groupBy("file").agg(*[ranked(m, c).alias(f"{m.lower()}_{n}") for m, c, n in (("EEG", "edf_index_0based", "indices"), ("EEG", "canonical_name", "names"), ("ECG", "edf_index_0based", "indices"), ("ECG", "edf_raw_label", "names"))])
+    ranked = lambda m, c: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("modality") == m, F.struct("edf_index_0based", F.col(c).alias("v"))))), lambda x: x["v"]
+    )
+    named = rows.groupBy("file").agg(
+        *[
+            ranked(m, c).alias(f"{m.lower()}_{n}") for m, c,
+            n in (
+                ("EEG", "edf_index_0based", "indices"), ("EEG", "canonical_name", "names"), ("ECG", "edf_index_0based", "indices"),
+                ("ECG", "edf_raw_label", "names")
+            )
+        ]
+    )
     lead = F.rlike(F.upper("label"), F.lit("ECG|EKG"))
     extra = signals.groupBy("file").agg(F.sort_array(F.collect_list(F.when(lead, F.col("index")))).alias("_leads"))
     return named.join(extra, "file").withColumn("extra_named_ecg_indices", F.array_except("_leads", "ecg_indices")).drop("_leads")

@@ -20,7 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-_SIGNAL = (("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefilter", 80), ("samples_per_record", 8), ("reserved", 32))
+_SIGNAL = (
+    ("label", 16), ("transducer", 80), ("unit", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8),
+    ("prefilter", 80), ("samples_per_record", 8), ("reserved", 32)
+)
 HEADER_SCHEMA = "path string, patient_id string, recording_id string, start_date string, start_time string, header_bytes bigint, n_records bigint, record_s double, duration_s double, n_signals int, signals array<struct<label:string,transducer:string,unit:string,physical_min:double,physical_max:double,digital_min:int,digital_max:int,prefilter:string,samples_per_record:int,sampling_rate:double,offset_samples:bigint>>"
 SEGMENT_SCHEMA = "path string, channel_index int, label string, start_s double, sampling_rate double, samples array<double>"
 
@@ -53,7 +56,11 @@ def read_header(path: str) -> dict:
         offset += s["samples_per_record"]
     if os.path.getsize(path) < size + records * offset * 2:
         raise ValueError(f"{path}: fewer samples than declared")
-    return {"path": path, "patient_id": text(8, 88), "recording_id": text(88, 168), "start_date": text(168, 176), "start_time": text(176, 184), "header_bytes": size, "n_records": records, "record_s": record_s, "duration_s": records * record_s, "n_signals": n, "signals": signals, "record_samples": offset}
+    return {
+        "path": path, "patient_id": text(8, 88), "recording_id": text(88, 168), "start_date": text(168, 176), "start_time": text(176, 184),
+        "header_bytes": size, "n_records": records, "record_s": record_s, "duration_s": records * record_s, "n_signals": n, "signals": signals,
+        "record_samples": offset
+    }
 
 
 def to_physical(signal: dict, digital: np.ndarray) -> np.ndarray:
@@ -122,7 +129,10 @@ class _HeaderReader(DataSourceReader):
     def read(self, partition):
         h = read_header(partition.path)
         keys = [x.split()[0] for x in HEADER_SCHEMA.split(", signals")[0].split(", ")]
-        fields = ["label", "transducer", "unit", "physical_min", "physical_max", "digital_min", "digital_max", "prefilter", "samples_per_record", "sampling_rate", "offset_samples"]
+        fields = [
+            "label", "transducer", "unit", "physical_min", "physical_max", "digital_min", "digital_max", "prefilter", "samples_per_record",
+            "sampling_rate", "offset_samples"
+        ]
         yield (*[h[k] for k in keys], [tuple(s[x] for x in fields) for s in h["signals"]])
 
 
@@ -167,7 +177,13 @@ class _SegmentReader(DataSourceReader):
             for c in channels:
                 x = read_segment(partition.path, [c], start, length)[c]
                 samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([c], pa.int32()), pa.array([signals[c]["label"]]), pa.array([start]), pa.array([signals[c]["sampling_rate"]]), samples], [f.split()[0] for f in SEGMENT_SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([partition.path]), pa.array([c], pa.int32()), pa.array([signals[c]["label"]]), pa.array([start]),
+                        pa.array([signals[c]["sampling_rate"]]), samples
+                    ],
+                    [f.split()[0] for f in SEGMENT_SCHEMA.split(", ")]
+                )
 
 
 class EdfSource(DataSource):

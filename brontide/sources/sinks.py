@@ -55,7 +55,9 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """file (below ``path``), bytes and sha256 of each data file, hashed where it is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.where(~F.startswith(name, F.lit("_"))).select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.where(~F.startswith(name, F.lit("_"))).select(
+        name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )
 
 
 def write_table(df: DataFrame, path: str, kind: str, config: dict, dependencies: dict[str, str]) -> dict:

@@ -52,7 +52,9 @@ def frame(spark, streams):
 def test_labels_of_overlapping_events(spark):
     """Against a look at every event and uncertain span for every anchor."""
     rng = random.Random(5)
-    spans = lambda n, p: [(r, i, a, a + rng.randrange(1, 30)) for r in range(20) for i in range(n) if rng.random() < p for a in [rng.randrange(0, 150)]]
+    spans = lambda n, p: [
+        (r, i, a, a + rng.randrange(1, 30)) for r in range(20) for i in range(n) if rng.random() < p for a in [rng.randrange(0, 150)]
+    ]
     ev, un = spans(5, 0.7), spans(3, 0.4)
     anchors = spark.createDataFrame([(r, t) for r in range(21) for t in range(0, 160, 3)], "rec int, t bigint")
     table = lambda s: spark.createDataFrame([(r, i, a, b) for r, i, a, b in s], "rec int, number bigint, start bigint, end bigint")
@@ -63,7 +65,9 @@ def test_labels_of_overlapping_events(spark):
         near, unsure = any(q == rec and a - 7 <= t < b + 7 for q, _, a, b in ev), any(q == rec and a <= t < b for q, _, a, b in un)
         status = "annotation_uncertain" if unsure else "positive" if inside else "ignore" if near else "negative"
         label = {"positive": 1, "negative": 0}.get(status, -1)
-        assert (r.status, r.label, r.event_numbers, r.evaluation_label, r.training_eligible) == (status, label, "|".join(inside) if status == "positive" else "", -1 if unsure else int(bool(inside)), label >= 0)
+        assert (r.status, r.label, r.event_numbers, r.evaluation_label, r.training_eligible) == (
+            status, label, "|".join(inside) if status == "positive" else "", -1 if unsure else int(bool(inside)), label >= 0
+        )
 
 
 def test_random_streams_equal_the_pattern(spark):
@@ -88,7 +92,10 @@ def test_barriers_between_decisions(spark):
     high = [(t, 0.9) for t in (10, 15, 20)]
     streams = [(high, [(17, 18)], 100), (high, [(22, 30)], 100), (high, [], 23), (high, [], 100), (high + [(40, 0.9)], [(31, 33)], 100)]
     got = sorted((r.rec, r.declaration, r.end, r.reason) for r in A.alarm_stream(frame(spark, streams), ["rec"], S).collect())
-    assert got == [(0, 10, 17, A.GAP), (0, 20, 25, A.MISSING), (1, 10, 22, A.GAP), (2, 10, 23, A.END), (3, 10, 25, A.MISSING), (4, 10, 25, A.MISSING), (4, 40, 45, A.MISSING)]
+    assert got == [
+        (0, 10, 17, A.GAP), (0, 20, 25, A.MISSING), (1, 10, 22, A.GAP), (2, 10, 23, A.END), (3, 10, 25, A.MISSING), (4, 10, 25, A.MISSING),
+        (4, 40, 45, A.MISSING)
+    ]
 
 
 def test_bad_decisions_stop_the_job(spark):
@@ -109,13 +116,18 @@ def test_matching_of_random_alarms(spark):
     a = spark.createDataFrame(alarms, "rec int, declaration bigint, end bigint")
     e = spark.createDataFrame(events, "rec int, event_id string, start bigint, end bigint")
     inside = {(r, i): sorted(d for q, d, _ in alarms if q == r and s <= d < t) for r, i, s, t in events}
-    want = {(r, d): "matched" for (r, _), ds in inside.items() for d in ds[:1]} | {(r, d): "duplicate" for (r, _), ds in inside.items() for d in ds[1:]}
+    want = {(r, d): "matched" for (r, _), ds in inside.items() for d in ds[:1]} | {
+        (r, d): "duplicate" for (r, _), ds in inside.items() for d in ds[1:]
+    }
     judged = M.match_alarms(a, e, ["rec"])[0].collect()
     assert {(r.rec, r.declaration): r.status for r in judged} == {(r, d): want.get((r, d), "false") for r, d, _ in alarms}
     slow = M.match_overlapping(a, e, ["rec"]).collect()
     assert {(r.rec, r.declaration, r.status, r.event_id) for r in slow} == {(r.rec, r.declaration, r.status, r.event_id) for r in judged}
     got = {(r.rec, r.event_id): (r.detected, r.delay, r.overlap_detected) for r in M.event_matches(a, e, ["rec"]).collect()}
-    assert got == {(r, i): (bool(inside[r, i]), inside[r, i][0] - s if inside[r, i] else None, any(q == r and d < t and x > s for q, d, x in alarms)) for r, i, s, t in events}
+    assert got == {
+        (r, i): (bool(inside[r, i]), inside[r, i][0] - s if inside[r, i] else None, any(q == r and d < t and x > s for q, d, x in alarms)) for r, i,
+        s, t in events
+    }
 
 
 def test_uncertainty_cuts_and_exposure(spark):

@@ -92,12 +92,18 @@ def test_windows_are_those_of_the_whole_recording(spark):
 def test_window_features(spark):
     rng = np.random.default_rng(3)
     w = rng.standard_normal((3, 256))
-    rows = [(0, c, w[c].tolist()) for c in range(3)] + [(1, 0, [1.0] * 256), (1, 1, [2.0] * 256), (2, 0, w[0].tolist()), (2, 1, [float("nan")] * 256), (3, 0, w[0].tolist()), (3, 1, [0.0] * 256)]
+    rows = [(0, c, w[c].tolist()) for c in range(3)] + [
+        (1, 0, [1.0] * 256), (1, 1, [2.0] * 256), (2, 0, w[0].tolist()), (2, 1, [float("nan")] * 256), (3, 0, w[0].tolist()), (3, 1, [0.0] * 256)
+    ]
     out = X.window_features(spark.createDataFrame(rows, "w int, c int, s array<double>"), ["w"], "c", "s", FS)
     assert len(out.columns) == 2 + 46
     got = {r.w: r for r in out.collect()}
     each = [dsp.channel_features(x, FS) for x in w]
-    assert all(abs(got[0][f"{k}_mean"] - np.mean([e[k] for e in each])) < 1e-9 and abs(got[0][f"{k}_std_across_channels"] - np.std([e[k] for e in each])) < 1e-9 for k in X.NAMES)
+    assert all(
+        abs(got[0][f"{k}_mean"] - np.mean([e[k] for e in each])) < 1e-9 and abs(
+            got[0][f"{k}_std_across_channels"] - np.std([e[k] for e in each])
+        ) < 1e-9 for k in X.NAMES
+    )
     assert abs(got[0].mean_abs_channel_corr - np.abs(np.corrcoef(w)[np.triu_indices(3, 1)]).mean()) < 1e-9
     assert got[1].unavailable_reason == got[2].unavailable_reason == "nonfinite_or_all_flat" and got[1].rms_mean is None and got[2].rms_mean is None
     assert got[3].unavailable_reason == "" and got[3].mean_abs_channel_corr is None and H.reduce_channels
@@ -120,7 +126,10 @@ def test_checks(spark):
     assert sorted(r.k for r in V.reconcile(one, two, ["k"], "v").collect()) == [3, 4]
     with pytest.raises(ValueError):
         V.disjoint([1, 2], [2])
-    r = V.group_audit(spark.createDataFrame([("p", 3600.0, "b"), ("p", 1800.0, "a"), ("q", 1.0, "")], "g string, duration_s double, m string"), spark.createDataFrame([("p",)], "g string"), "g", ["m"])
+    r = V.group_audit(
+        spark.createDataFrame([("p", 3600.0, "b"), ("p", 1800.0, "a"), ("q", 1.0, "")], "g string, duration_s double, m string"),
+        spark.createDataFrame([("p",)], "g string"), "g", ["m"]
+    )
     assert sorted(map(tuple, r.select("g", "recordings", "hours", "m", "events").collect())) == [("p", 2, 1.5, "a ; b", 1), ("q", 1, 0.0, "", 0)]
 
 

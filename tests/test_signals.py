@@ -20,7 +20,9 @@ def test_spectra():
     assert abs(dsp.channel_features(2 * np.sin(2 * np.pi * 10 * t), fs)["total_power_1_45"] / f["total_power_1_45"] - 4) < 1e-9
     freq = np.arange(1, 45.01, 0.25)
     psd = np.full(len(freq), 2.0)
-    assert abs(sum(dsp.band_power(freq, psd, *b) for b in dsp.BANDS.values()) - 88) < 1e-9 and abs(dsp.band_power(freq, psd, 4.1, 8.1) - 8) < 1e-9 and dsp.band_power(freq, psd, 0.5, 4) == 0
+    assert abs(
+        sum(dsp.band_power(freq, psd, *b) for b in dsp.BANDS.values()) - 88
+    ) < 1e-9 and abs(dsp.band_power(freq, psd, 4.1, 8.1) - 8) < 1e-9 and dsp.band_power(freq, psd, 0.5, 4) == 0
     flat = dsp.channel_features(np.full(5120, 3.0), fs)
     assert flat["rms"] == flat["hjorth_mobility"] == flat["hjorth_complexity"] == flat["total_power_1_45"] == 0 and flat["dominant_frequency"] is None
     shifted = dsp.channel_features(7 + np.sin(2 * np.pi * 10 * t), fs)
@@ -76,7 +78,9 @@ def test_filters_and_beats():
         assert low <= np.sqrt(2 * np.mean(y**2)) <= high, hz
     assert np.allclose(dsp.filter_causal(sos, x)[:2000], dsp.filter_causal(sos, np.concatenate([x[:2000], -x[2000:]]))[:2000])
     assert dsp.beat_agreement(np.array([1.0, 2.0, 3.0]), np.array([1.05, 2.5, 3.0]), 0.1) == 2 * 2 / 6
-    assert dsp.find_peaks(np.array([0, 2, 2, 0, 3, 0, 1, 0]), 1, 3).tolist() == [4] or dsp.find_peaks(np.array([0, 2, 2, 0, 3, 0, 1, 0]), 1, 3).tolist() == [1, 4]
+    assert dsp.find_peaks(
+        np.array([0, 2, 2, 0, 3, 0, 1, 0]), 1, 3
+    ).tolist() == [4] or dsp.find_peaks(np.array([0, 2, 2, 0, 3, 0, 1, 0]), 1, 3).tolist() == [1, 4]
 
 
 def test_rhythm(spark):
@@ -97,7 +101,9 @@ def test_rhythm(spark):
 
 def test_flat_and_opposite_channels(spark):
     wave = np.sin(np.arange(64)).tolist()
-    d = spark.createDataFrame([(0, 0, [1.0] * 64), (0, 1, wave), (0, 2, [-x for x in wave]), (1, 0, [1.0] * 64), (1, 1, wave)], "w int, c int, s array<double>")
+    d = spark.createDataFrame(
+        [(0, 0, [1.0] * 64), (0, 1, wave), (0, 2, [-x for x in wave]), (1, 0, [1.0] * 64), (1, 1, wave)], "w int, c int, s array<double>"
+    )
     got = {r.w: r.mean_abs_channel_corr for r in H.correlation_summary(d, ["w"], "c", "s").collect()}
     assert abs(got[0] - 1) < 1e-9 and got[1] is None
 
@@ -106,8 +112,16 @@ def write_edf(path, signals, record_s=1.0):
     """``signals``: (label, samples a record, int16 array)."""
     n, records = len(signals), len(signals[0][2]) // signals[0][1]
     pad = lambda x, w: str(x).ljust(w).encode("latin-1")[:w]
-    head = b"".join([pad("0", 8), pad("p", 80), pad("r", 80), pad("01.01.24", 8), pad("23.59.50", 8), pad(256 * (n + 1), 8), pad("", 44), pad(records, 8), pad(record_s, 8), pad(n, 4)])
-    cols = [(lambda s: s[0], 16), (lambda s: "", 80), (lambda s: "uV", 8), (lambda s: -100, 8), (lambda s: 100, 8), (lambda s: -1000, 8), (lambda s: 1000, 8), (lambda s: "", 80), (lambda s: s[1], 8), (lambda s: "", 32)]
+    head = b"".join(
+        [
+            pad("0", 8), pad("p", 80), pad("r", 80), pad("01.01.24", 8), pad("23.59.50", 8), pad(256 * (n + 1), 8), pad("", 44), pad(records, 8),
+            pad(record_s, 8), pad(n, 4)
+        ]
+    )
+    cols = [
+        (lambda s: s[0], 16), (lambda s: "", 80), (lambda s: "uV", 8), (lambda s: -100, 8), (lambda s: 100, 8), (lambda s: -1000, 8),
+        (lambda s: 1000, 8), (lambda s: "", 80), (lambda s: s[1], 8), (lambda s: "", 32)
+    ]
     head += b"".join(pad(f(s), w) for f, w in cols for s in signals)
     body = b"".join(s[2][r * s[1] : (r + 1) * s[1]].astype("<i2").tobytes() for r in range(records) for s in signals)
     path.write_bytes(head + body)
@@ -130,12 +144,20 @@ def test_edf_round_trip(spark, tmp_path):
 
 
 def test_clocks_and_annotations(spark):
-    c = spark.createDataFrame([("16:13.23",), ("24.00.00",), ("12.60.00",), ("12.00",), ("12.00.00 trailing",), ("1 6.49.25",), (" 7.8:9 ",)], "raw string")
+    c = spark.createDataFrame(
+        [("16:13.23",), ("24.00.00",), ("12.60.00",), ("12.00",), ("12.00.00 trailing",), ("1 6.49.25",), (" 7.8:9 ",)], "raw string"
+    )
     assert [r.s for r in c.select(C.clock_seconds(F.col("raw"), strict=False).alias("s")).collect()] == [58403, None, None, None, None, None, 25689]
     assert [r.s for r in c.select(C.lenient_clock(F.col("raw")).alias("s")).collect()] == [58403, None, None, None, 43200, 60565, 25689]
-    several = spark.createDataFrame([("12.0.10 (ELECTROGRAPHIC ONSET); 12.00.20 (clinical onset)",), ("1.2.3 opure 1.2.5 (Electric Onset)",)], "raw string").select(C.candidates(F.col("raw")).alias("c"))
-    assert [[(x.raw_clock, x.clock_s, x.kind) for x in r.c] for r in several.collect()] == [[("12.0.10", 43210, "electrographic"), ("12.00.20", 43220, "clinical")], [("1.2.3", 3723, "unspecified"), ("1.2.5", 3725, "electrographic")]]
-    for bad in ("12.00.00 opure", "12.00.00 (UNKNOWN ONSET)", "25.00.00", "12.00.00 (clinical)", "12.00.00 ()", "12.00.00 (clinical onset, late)", ""):
+    several = spark.createDataFrame(
+        [("12.0.10 (ELECTROGRAPHIC ONSET); 12.00.20 (clinical onset)",), ("1.2.3 opure 1.2.5 (Electric Onset)",)], "raw string"
+    ).select(C.candidates(F.col("raw")).alias("c"))
+    assert [[(x.raw_clock, x.clock_s, x.kind) for x in r.c] for r in several.collect()] == [
+        [("12.0.10", 43210, "electrographic"), ("12.00.20", 43220, "clinical")], [("1.2.3", 3723, "unspecified"), ("1.2.5", 3725, "electrographic")]
+    ]
+    for bad in (
+        "12.00.00 opure", "12.00.00 (UNKNOWN ONSET)", "25.00.00", "12.00.00 (clinical)", "12.00.00 ()", "12.00.00 (clinical onset, late)", ""
+    ):
         with pytest.raises(Exception):
             spark.createDataFrame([(bad,)], "raw string").select(C.candidates(F.col("raw"))).collect()
     text = "Seizure n 1\nFile name: f.edf\nRegistration start time: 23.59.50\nRegistration end time: 00.01.30\nSeizure start time: 00.00.05\nSeizure end time: 00.00.15\n"
@@ -164,24 +186,37 @@ def montage(swap=None, drop=None, number=None):
 def frames(spark, cases):
     d = [(f"l{i}", n, name) for i, (declared, _) in enumerate(cases) for n, name in declared]
     s = [(f"f{i}", f"l{i}", False, k, x) for i, (_, labels) in enumerate(cases) for k, x in enumerate(labels)]
-    return spark.createDataFrame(d, "source string, number int, name string"), spark.createDataFrame(s, "file string, source string, large boolean, index int, label string")
+    return spark.createDataFrame(d, "source string, number int, name string"), spark.createDataFrame(
+        s, "file string, source string, large boolean, index int, label string"
+    )
 
 
 def test_channels_fail_closed(spark):
-    cases = [montage(), montage(), montage((20, "EKG 2", "EKG")), montage((3, "XX9", "EEG XX9")), montage((3, "F4", "EEG Q7")), montage((3, "FP1", "EEG Fp1")), montage(drop=20), montage(drop=0), montage(number=(18, 99))]
+    cases = [
+        montage(), montage(), montage((20, "EKG 2", "EKG")), montage((3, "XX9", "EEG XX9")), montage((3, "F4", "EEG Q7")),
+        montage((3, "FP1", "EEG Fp1")), montage(drop=20), montage(drop=0), montage(number=(18, 99))
+    ]
     d, s = frames(spark, cases)
     got = {}
     for r in N.channel_faults(d, s).collect():
         got.setdefault(r.file, set()).add(r.fault)
     eeg = "missing_common_eeg"
-    assert got == {"f2": {"ecg_label_mismatch"}, "f3": {"unknown_identity", eeg}, "f4": {"eeg_label_mismatch"}, "f5": {"duplicate_identity", eeg}, "f6": {"missing_lead"}, "f7": {eeg}, "f8": {"outside_header", eeg}}
+    assert got == {
+        "f2": {"ecg_label_mismatch"}, "f3": {"unknown_identity", eeg}, "f4": {"eeg_label_mismatch"}, "f5": {"duplicate_identity", eeg},
+        "f6": {"missing_lead"}, "f7": {eeg}, "f8": {"outside_header", eeg}
+    }
     with pytest.raises(Exception):
         N.reconcile_channels(d, s).collect()
     d, s = frames(spark, cases[:2])
     rows = N.reconcile_channels(d, s).withColumn("group", F.lit("g"))
     assert [r.canonical_name for r in N.agreed_channels(rows, "group", "ECG").orderBy("channel_number_1based").collect()] == N.LEADS
     with pytest.raises(Exception):
-        N.agreed_channels(rows.withColumn("official_name", F.when((F.col("file") == "f1") & (F.col("canonical_name") == "O1"), "o1").otherwise(F.col("official_name"))), "group", "EEG").collect()
+        N.agreed_channels(
+            rows.withColumn(
+                "official_name", F.when((F.col("file") == "f1") & (F.col("canonical_name") == "O1"), "o1").otherwise(F.col("official_name"))
+            ),
+            "group", "EEG"
+        ).collect()
     x = N.channel_indices(rows, s).orderBy("file").first()
     assert (x.eeg_names, x.ecg_indices, x.ecg_names, x.extra_named_ecg_indices) == (N.COMMON_EEG, [19, 20], ["1", "2"], [21])
     odd = [[5 if n == 9 else 9 if n == 5 else n, "1" if name == "O1" else name] for n, name in montage()[0]]
@@ -197,9 +232,13 @@ def test_channels_fail_closed(spark):
 def test_registrations(spark):
     schema = "source string, file_name string, number int, registration_start string, registration_end string, start_s int, duration_s int"
     check = lambda rows, **k: N.check_registrations(spark.createDataFrame(rows, schema), **k).orderBy("number").collect()
-    a, b, c = ("p", "f", 1, "10.00.00", "11.00.00", 36000, 3600), ("p", "f", 2, None, None, 36000, 3600), ("p", "f", 3, "1 0.00.00", "11.00.00", 36000, 3600)
+    a, b, c = ("p", "f", 1, "10.00.00", "11.00.00", 36000, 3600), ("p", "f", 2, None, None, 36000, 3600), (
+        "p", "f", 3, "1 0.00.00", "11.00.00", 36000, 3600
+    )
     got = check([a, b, c])
-    assert [(r.effective_start, r.inherited, r.discrepancy_s) for r in got] == [("10.00.00", False, 0), ("10.00.00", True, 0), ("1 0.00.00", False, 0)]
+    assert [(r.effective_start, r.inherited, r.discrepancy_s) for r in got] == [
+        ("10.00.00", False, 0), ("10.00.00", True, 0), ("1 0.00.00", False, 0)
+    ]
     late = ("p", "f", 1, "07.00.00", "11.00.00", 36000, 3600)
     assert check([late], adjudicated={("p", 1): 10800})[0].discrepancy_s == 10800
     for bad in ([a, a], [b], [a, ("p", "f", 2, "10.00.01", "11.00.00", 36000, 3600)], [late], [("p", "f", 1, "later", "11.00.00", 36000, 3600)]):
@@ -220,7 +259,9 @@ def test_checksums_and_lenient_lists(spark, tmp_path):
     assert got == {"a": "OK", "b": "FAIL", "c": "MISSING"}
     text = "Seizure n 1\nFile name: PNO6-1.edf\nRegistration start time: 1 6.49.25\nSeizure start time: about 17 . 0 . 5 or so\nSeizure end time: never\n"
     r = N.lenient_events(spark.createDataFrame([("a", text)], "source string, value string")).first()
-    assert (r.file_name, r.registration_start_clock_s, r.start_clock_s, r.end_clock_s, r.registration_end_clock_s) == ("PN06-1.edf", 60565, 61205, None, None)
+    assert (
+        r.file_name, r.registration_start_clock_s, r.start_clock_s, r.end_clock_s, r.registration_end_clock_s
+    ) == ("PN06-1.edf", 60565, 61205, None, None)
 
 
 def test_staleness_is_inherited(tmp_path):
@@ -237,7 +278,9 @@ def test_staleness_is_inherited(tmp_path):
 def test_windows_take_in_the_whole_series(spark):
     from brontide.plans import features
 
-    d = spark.range(1, 1300, 37).select("id", F.sequence(F.lit(1), F.col("id").cast("int")).alias("samples")).select("id", features._pieces("samples", 512).alias("p"))
+    d = spark.range(1, 1300, 37).select(
+        "id", F.sequence(F.lit(1), F.col("id").cast("int")).alias("samples")
+    ).select("id", features._pieces("samples", 512).alias("p"))
     for r in d.collect():
         assert {x for p in r.p for x in p.samples} == set(range(1, r.id + 1))
         assert all(len(p.samples) == min(512, r.id) for p in r.p)
@@ -250,4 +293,6 @@ def test_windows_take_in_the_whole_series(spark):
             want.setdefault((k // 4, part), []).append(dsp.channel_features(np.array(piece), 128.0)["rms"])
     got = {(r.window, r.part): r.rms_mean for r in features.q50_window_features(spark, sf).collect()}
     assert got.keys() == want.keys() and any(len(x) > 512 for _, x in series)
-    assert all(abs(got[k] - np.mean(v)) < 1e-6 * np.mean(v) for k, v in want.items() if got[k] is not None) and any(v is not None for v in got.values())
+    assert all(
+        abs(got[k] - np.mean(v)) < 1e-6 * np.mean(v) for k, v in want.items() if got[k] is not None
+    ) and any(v is not None for v in got.values())

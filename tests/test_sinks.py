@@ -50,15 +50,24 @@ def test_inventory_is_checked_before_it_is_written(spark, tmp_path):
     event = "\nSeizure n {}\nFile name: {}\nRegistration start time: 10.00.00\nRegistration end time: 11.00.00\nSeizure start time: {}\nSeizure end time: 10.20.30; 10.20.40\n"
     listing = "".join(f"Channel {i + 1}: {n}\n" for i, n in enumerate(names))
     texts = lambda *ev: spark.createDataFrame([("p", listing + "".join(event.format(*e) for e in ev))], "source string, value string")
-    headers = spark.createDataFrame([("p", "a.edf", 36000, 3600), ("p", "b.edf", 36000, 3600)], "source string, file_name string, start_s int, duration_s int")
-    signals = spark.createDataFrame([(f, "p", False, i, n[-1] if "EKG" in n else f"EEG {n}") for f in ("a.edf", "b.edf") for i, n in enumerate(names)], "file string, source string, large boolean, index int, label string")
+    headers = spark.createDataFrame(
+        [("p", "a.edf", 36000, 3600), ("p", "b.edf", 36000, 3600)], "source string, file_name string, start_s int, duration_s int"
+    )
+    signals = spark.createDataFrame(
+        [(f, "p", False, i, n[-1] if "EKG" in n else f"EEG {n}") for f in ("a.edf", "b.edf") for i, n in enumerate(names)],
+        "file string, source string, large boolean, index int, label string"
+    )
     good = [(1, "a.edf", "10.20.00"), (2, "b.edf", "10.19.00 (clinical onset); 10.19.30 (electric onset)")]
     made = V.build(texts(*good), headers, signals)
     ev = {r.number: r for r in made["events"].collect()}
     assert (ev[1].onset_s, ev[1].offset_s, ev[2].onset_s, ev[1].uncertain_flag) == (1200, 1230, 1140, True)
-    assert [tuple(r) for r in made["recordings"].orderBy("file_name").select("file_name", "event_count", "n_eeg", "n_ecg").collect()] == [("a.edf", 1, 19, 2), ("b.edf", 1, 19, 2)]
+    assert [
+        tuple(r) for r in made["recordings"].orderBy("file_name").select("file_name", "event_count", "n_eeg", "n_ecg").collect()
+    ] == [("a.edf", 1, 19, 2), ("b.edf", 1, 19, 2)]
     who = V.write(made, str(tmp_path / "inv"), {"policy": "v1"})
-    assert K.metadata_identity(spark, str(tmp_path / "inv/inventory.json")) == who and V.replay(V.build(texts(*good), headers, signals), str(tmp_path / "inv")).isEmpty()
+    assert K.metadata_identity(spark, str(tmp_path / "inv/inventory.json")) == who and V.replay(
+        V.build(texts(*good), headers, signals), str(tmp_path / "inv")
+    ).isEmpty()
     changed = V.build(texts(good[0], (2, "b.edf", "10.18.00")), headers, signals)
     assert {r.table for r in V.replay(changed, str(tmp_path / "inv")).collect()} == {"events"}
     for bad in ([good[0]], [*good, (3, "c.edf", "10.20.00")], [good[0], (1, "b.edf", "10.20.00")], [good[0], (2, "b.edf", "10.21.00")]):

@@ -6,11 +6,15 @@ from brontide.streaming.scores import trailing_scores
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    src = spark.range(200).select((F.col("id") % 3).alias("rec"), F.timestamp_seconds(F.col("id") * 1800).alias("ts"), (F.col("id") % 7).cast("double").alias("v"))
+    src = spark.range(200).select(
+        (F.col("id") % 3).alias("rec"), F.timestamp_seconds(F.col("id") * 1800).alias("ts"), (F.col("id") % 7).cast("double").alias("v")
+    )
     src.repartition(1).write.parquet(str(tmp_path / "in"))
     how = dict(keys=["rec"], time="ts", value="v", context="8 hours", stride="4 hours", late="1 hour", full=50.0)
     want = {(r.rec, r.t, r.n, r.score) for r in trailing_scores(src, **how).collect()}
-    q = trailing_scores(spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), **how).writeStream.outputMode("append").format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = trailing_scores(
+        spark.readStream.schema(src.schema).parquet(str(tmp_path / "in")), **how
+    ).writeStream.outputMode("append").format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
     got = {(r.rec, r.t, r.n, r.score) for r in spark.table("scores").collect()}
