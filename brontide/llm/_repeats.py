@@ -198,7 +198,10 @@ def gram_question(keys: np.ndarray, dids: np.ndarray):
 
 
 def gram_ask_rows(part: int, keys: np.ndarray, many: np.ndarray, buckets: int) -> pa.Table:
-    rows = [(b, part, (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), np.packbits(many[i:j]).tobytes()) for b, i, j in slices(bucket_of(keys, buckets))]
+    rows = [
+        (b, part, (keys[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), np.packbits(many[i:j]).tobytes()) for b, i,
+        j in slices(bucket_of(keys, buckets))
+    ]
     return rows_table(rows, GRAM_ASK)
 
 
@@ -206,7 +209,9 @@ def answer_grams(table: pa.Table) -> pa.Table:
     """A trigger is shared if one part says so, or two parts ask for it. (Half the hash is
     compared: a chance match only costs work, as windows are compared in full later.)"""
     asks = [np.frombuffer(x, np.uint32) for x in table.column("keys").to_pylist()]
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(table.column("many").to_pylist(), asks, strict=True)])
+    many = np.concatenate(
+        [np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool) for m, k in zip(table.column("many").to_pylist(), asks, strict=True)]
+    )
     _, inverse, counts = np.unique(np.concatenate(asks), return_inverse=True, return_counts=True)
     shared = counts > 1
     shared[inverse[many]] = True
@@ -219,7 +224,10 @@ def answer_grams(table: pa.Table) -> pa.Table:
 
 
 def read_bits(table: pa.Table, round_: int) -> dict[int, np.ndarray]:
-    return {b: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for r, b, x in zip(table.column("round").to_pylist(), table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True) if r == round_}
+    return {
+        b: np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for r, b,
+        x in zip(table.column("round").to_pylist(), table.column("bucket").to_pylist(), table.column("bits").to_pylist(), strict=True) if r == round_
+    }
 
 
 def shared_triggers(keys: np.ndarray, buckets: int, bits: dict[int, np.ndarray]) -> np.ndarray:
@@ -243,7 +251,9 @@ class Phrases:
         raw, size = units.tobytes(), units.itemsize
         seen: dict[bytes, int] = {}
         number = seen.setdefault
-        which = np.fromiter([number(raw[i:j], len(seen)) for i, j in zip((lo * size).tolist(), ((hi + window) * size).tolist(), strict=True)], np.int64, len(lo))
+        which = np.fromiter(
+            [number(raw[i:j], len(seen)) for i, j in zip((lo * size).tolist(), ((hi + window) * size).tolist(), strict=True)], np.int64, len(lo)
+        )
         first = np.zeros(len(seen), np.int64)
         first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
         bucket = bucket_of(owners[first], buckets)
@@ -261,7 +271,16 @@ class Phrases:
         self.first = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
 
     def ask(self, part: int) -> pa.Table:
-        return rows_table([(b, part, self.lens[i:j].astype(np.uint32).tobytes(), self.least[i:j].tobytes(), self.owners[i:j].tobytes(), b"".join(self.units[i:j])) for b, i, j in slices(self.bucket)], PHRASE_ASK)
+        return rows_table(
+            [
+                (
+                    b, part, self.lens[i:j].astype(np.uint32).tobytes(), self.least[i:j].tobytes(), self.owners[i:j].tobytes(),
+                    b"".join(self.units[i:j])
+                ) for b,
+                i, j in slices(self.bucket)
+            ],
+            PHRASE_ASK
+        )
 
     def earlier(self, bits: dict[int, np.ndarray]) -> np.ndarray:
         """For each window of each phrase: whether a document before the phrase's least one holds it."""

@@ -32,7 +32,9 @@ def fold_ascii(c: Column) -> Column:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")).withColumn("version", F.xxhash64("text"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")
+    ).withColumn("version", F.xxhash64("text"))
 
 
 def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -41,10 +43,14 @@ def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     lines = _keyed(docs).select("did", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     key = F.btrim("line", F.lit(BLANKS))
     lines = lines.select("did", "version", "pos", key.alias("key")).where(F.char_length("key") >= min_chars)
-    lines = lines.withColumn("key", fold_ascii(F.col("key"))).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "did", "version", "pos")
+    lines = lines.withColumn("key", fold_ascii(F.col("key"))).select(
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "did", "version", "pos"
+    )
     dealt = lines.repartitionByRange("h1", "h2", "did", "version", "pos").sortWithinPartitions("h1", "h2", "did", "version", "pos")
     by_doc = dealt.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
-    found = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("did").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    found = by_doc.groupBy("h1", "h2").agg(
+        F.count("*").alias("n_docs"), F.max("did").alias("keeper")
+    ).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = dealt.withColumn("salt", F.pmod(F.xxhash64("did", "version"), F.lit(SALTS)).cast("int"))
     lost = salted.join(found, ["h1", "h2", "salt"]).where(F.col("did") != F.col("keeper"))
@@ -65,7 +71,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     out = d.join(line_keep_runs(docs, min_chars, min_docs), ["did", "version"], "left").withColumn("lines", F.split("text", "\n", -1))
     n = F.size("lines")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return out.select("doc_id", n.cast("bigint").alias("n_lines"), F.size(dropped).cast("bigint").alias("n_dropped"), keep_runs(n, dropped).alias("keep"), "lines", "text")
+    return out.select(
+        "doc_id", n.cast("bigint").alias("n_lines"), F.size(dropped).cast("bigint").alias("n_dropped"), keep_runs(n, dropped).alias("keep"), "lines",
+        "text"
+    )
 
 
 def kept_text() -> Column:

@@ -156,7 +156,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     shares = ask.groupBy("block").agg(F.ceil(F.count("*") / 1000).cast("int").alias("shares"))
     at = lambda share: F.struct("block", share.alias("share")).alias("at")
     members = ask.join(shares, "block").select("x", "ps", at(F.pmod(F.xxhash64("x"), F.col("shares")).cast("int")), F.lit(1).alias("role"))
-    heads = ask.select("block", F.explode("ps").alias("x")).distinct().join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    heads = ask.select("block", F.explode("ps").alias("x")).distinct().join(shares, "block").withColumn(
+        "share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))
+    )
     heads = heads.select("x", F.lit(None).cast("array<binary>").alias("ps"), at(F.col("share")), F.lit(0).alias("role"))
     dealt = members.unionByName(heads).join(texts.withColumnRenamed("set_id", "x"), "x").repartition("at").sortWithinPartitions("at", "role")
     return dealt.select("x", "ps", "at", "role", "text").mapInArrow(_compare(k, percent), "x binary, p binary").distinct()
@@ -212,7 +214,9 @@ def _blocks(k: int, percent: int, slots: int):
                         merged[int(comp[j])] = mine
                         comp[comp == comp[j]] = mine
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary()) * 2, strict=True)], names=["a_did", "a_set", "b_did", "b_set"])
+            yield pa.record_batch(
+                [pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary()) * 2, strict=True)], names=["a_did", "a_set", "b_did", "b_set"]
+            )
 
     return run
 
@@ -233,7 +237,9 @@ def components(edges: DataFrame) -> DataFrame:
         s = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = least(s, "u").where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("v")).where("a != v").distinct()
         small = least(large, "a")
-        small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        small = small.select(
+            F.col("v").alias("a"), F.col("m").alias("b")
+        ).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         e = store(small, "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
@@ -241,10 +247,20 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
     """did (doc_id, or the least long for null), version, n_shingles, set_id, component (least did
     reachable), component_set (its set); a row for each row of ``docs``. Linked: 100 * intersection >= percent * union."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     d = d.withColumn("version", F.xxhash64("text"))
-    sketched = store(d.mapInArrow(_sketch(k, slots, rows), "did bigint, version bigint, n bigint, set_id binary, bands array<bigint>, small array<bigint>"), "sketches")
-    classes = store(sketched.where("n > 0").groupBy("set_id").agg(F.min(F.struct("did", "version")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("small").alias("small")).select("set_id", F.col("rep.did").alias("did"), F.col("rep.version").alias("version"), "n", "bands", "small"), "classes")
+    sketched = store(
+        d.mapInArrow(_sketch(k, slots, rows), "did bigint, version bigint, n bigint, set_id binary, bands array<bigint>, small array<bigint>"),
+        "sketches"
+    )
+    classes = store(
+        sketched.where("n > 0").groupBy("set_id").agg(
+            F.min(F.struct("did", "version")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("small").alias("small")
+        ).select("set_id", F.col("rep.did").alias("did"), F.col("rep.version").alias("version"), "n", "bands", "small"),
+        "classes"
+    )
     node = F.struct("did", "set_id").alias("node")
     banded = classes.select(node, "n", "small", F.explode("bands").alias("h"))
     this = F.struct("node", "n", "small")
@@ -271,11 +287,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
     if not rest.isEmpty():
         to = F.explode(F.sequence(F.lit(0), F.col("block")))
         x = rest.withColumn("to", to).withColumn("role", F.lit(1)).unionByName(rest.withColumn("to", F.col("block")).withColumn("role", F.lit(0)))
-        x = x.select(F.struct("h", "to").alias("at"), "role", "turn", "node.did", "node.set_id", "n", "small", "root").join(texts, "set_id").select(*_BLOCK_IN)
+        x = x.select(
+            F.struct("h", "to").alias("at"), "role", "turn", "node.did", "node.set_id", "n", "small", "root"
+        ).join(texts, "set_id").select(*_BLOCK_IN)
         new = x.repartition("at").sortWithinPartitions("at", "role", "turn").mapInArrow(_blocks(k, percent, slots), _EDGE)
-        new = new.select(F.struct(F.col("a_did").alias("did"), F.col("a_set").alias("set_id")).alias("a"), F.struct(F.col("b_did").alias("did"), F.col("b_set").alias("set_id")).alias("b"))
+        new = new.select(
+            F.struct(F.col("a_did").alias("did"), F.col("a_set").alias("set_id")).alias("a"),
+            F.struct(F.col("b_did").alias("did"), F.col("b_set").alias("set_id")).alias("b")
+        )
         roots = components(links.unionByName(new))
-    labels = classes.select("set_id", node).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("_root")).select("set_id", F.col("_root.did").alias("component"), F.col("_root.set_id").alias("component_set"))
+    labels = classes.select("set_id", node).join(roots, "node", "left").select("set_id", F.coalesce("root", "node").alias("_root")).select(
+        "set_id", F.col("_root.did").alias("component"), F.col("_root.set_id").alias("component_set")
+    )
     out = sketched.select("did", "version", F.col("n").alias("n_shingles"), "set_id").join(labels, "set_id", "left")
     return out.withColumn("component", F.coalesce("component", "did"))
 
@@ -283,11 +306,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
     id_of = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(id_of("did").alias("doc_id"), "n_shingles", id_of("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept"))
+    return out.select(
+        id_of("did").alias("doc_id"), "n_shingles", id_of("component").alias("component_id"), (F.col("did") == F.col("component")).alias("kept")
+    )
 
 
 OP5_SQL = """
-WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles FROM d),
 n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM s),

@@ -112,12 +112,16 @@ def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default:
         has_share = source.isin(list(given)) if default is None else ~source.isin([s for s, w in weights.items() if w <= 0])
         source = F.when(has_share, source).otherwise(POOLED)
     did, version = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    d = docs.select(payload.alias("payload"), source.alias("source"), did.alias("did"), version.alias("version")).withColumn("key", F.xxhash64(F.lit(seed), "did", "version"))
+    d = docs.select(
+        payload.alias("payload"), source.alias("source"), did.alias("did"), version.alias("version")
+    ).withColumn("key", F.xxhash64(F.lit(seed), "did", "version"))
     order = ["source", "key", "did", "version"]
     # Numbers within a source, though one task never sees all of it: rows are numbered where
     # they lie, and the counts of each range, of which there are few, give where it begins.
     lying = d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    lying = store(lying.withColumns({"range": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(2**33 - 1)}).drop("key", "did", "version"), "ranges")
+    lying = store(
+        lying.withColumns({"range": F.shiftright("at", 33), "at": F.col("at").bitwiseAND(2**33 - 1)}).drop("key", "did", "version"), "ranges"
+    )
     spans = sorted(tuple(r) for r in lying.groupBy("source", "range").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect())
     counts: dict[str, int] = {}
     begins = []
@@ -129,20 +133,29 @@ def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default:
     shift = spark.createDataFrame(begins, "source string, range bigint, shift bigint")
     small = lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t
     n = F.col("at") + F.col("shift")
-    numbered = lying.join(small(shift, len(begins)), ["source", "range"]).select("payload", "source", F.floor(n / block_rows).alias("block"), (n % block_rows).alias("in_block"))
+    numbered = lying.join(small(shift, len(begins)), ["source", "range"]).select(
+        "payload", "source", F.floor(n / block_rows).alias("block"), (n % block_rows).alias("in_block")
+    )
     blocks = {s: -(-k // block_rows) for s, k in counts.items()}
     at = spark.range(1).coalesce(1).mapInArrow(_stream(shares, blocks), "source string, block bigint, slot bigint")
     return numbered.join(small(at, sum(blocks.values())), ["source", "block"]).select("payload", "source", "block", "in_block", "slot")
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
+def schedule(
+    docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17
+) -> DataFrame:
     """did, version (of the text), source, block, in_block, slot; a row for each row of ``docs``.
     Without weights, sources have their number of documents to ``power``."""
-    keys = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"))
+    keys = F.struct(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version")
+    )
     return _placed(docs, keys, weights, default, block_rows, power, seed).select("payload.*", "source", "block", "in_block", "slot")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, default: float | None = None, block_rows: int = 64, power: float = 0.7, seed: int = 17
+) -> DataFrame:
     """The rows of ``docs``, with the columns they have, in the order of the schedule: range
     partitions, and so written files, follow one another as the slots do."""
     if not docs.columns:

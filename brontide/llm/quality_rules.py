@@ -33,7 +33,10 @@ COMMON_WORDS = {
     "es": {"de": 0.064, "la": 0.039, "que": 0.031, "el": 0.029, "en": 0.027, "y": 0.024, "los": 0.017, "se": 0.013, "del": 0.012, "las": 0.012, "un": 0.011, "por": 0.01, "con": 0.01, "no": 0.009, "una": 0.008},
 }
 #: Shares of characters by class: letters and others, blanks, digits, symbols, other punctuation.
-CLASS_SHARES = {"en": [0.795, 0.17, 0.008, 0.001, 0.026], "de": [0.82, 0.145, 0.008, 0.001, 0.026], "fr": [0.8, 0.165, 0.006, 0.001, 0.028], "es": [0.805, 0.165, 0.006, 0.001, 0.023]}
+CLASS_SHARES = {
+    "en": [0.795, 0.17, 0.008, 0.001, 0.026], "de": [0.82, 0.145, 0.008, 0.001, 0.026], "fr": [0.8, 0.165, 0.006, 0.001, 0.028],
+    "es": [0.805, 0.165, 0.006, 0.001, 0.023]
+}
 Reference = dict[str, tuple[dict[str, float], list[float]]]
 REFERENCES: Reference = {k: (COMMON_WORDS[k], CLASS_SHARES[k]) for k in COMMON_WORDS}
 
@@ -72,7 +75,9 @@ FEW = 64
 def _covered(places: Column) -> Column:
     """How many words lie in the 3-word windows that start at these places, which rise."""
     start = F.struct(F.lit(-3).alias("prev"), F.lit(0).alias("n"))
-    return F.aggregate(places, start, lambda a, p: F.struct(p.alias("prev"), (a["n"] + F.least(F.lit(3), p - a["prev"])).alias("n")), lambda a: a["n"])
+    return F.aggregate(
+        places, start, lambda a, p: F.struct(p.alias("prev"), (a["n"] + F.least(F.lit(3), p - a["prev"])).alias("n")), lambda a: a["n"]
+    )
 
 
 def _repeat_words(grams: str, twice: str) -> Column:
@@ -82,8 +87,13 @@ def _repeat_words(grams: str, twice: str) -> Column:
     few = F.array_compact(F.transform(grams, lambda h, i: F.when(F.array_contains(twice, h), i)))
     s = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    forward = F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), none), lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), (a["h"] == b["h"]).alias("next")))
-    marked = F.zip_with(forward, F.concat(none, F.slice(s, 1, F.size(s) - 1)), lambda a, b: F.struct(a["i"].alias("i"), (F.coalesce(a["next"], F.lit(False)) | F.coalesce(a["h"] == b["h"], F.lit(False))).alias("dup")))
+    forward = F.zip_with(
+        s, F.concat(F.slice(s, 2, F.size(s)), none), lambda a, b: F.struct(a["h"].alias("h"), a["i"].alias("i"), (a["h"] == b["h"]).alias("next"))
+    )
+    marked = F.zip_with(
+        forward, F.concat(none, F.slice(s, 1, F.size(s) - 1)),
+        lambda a, b: F.struct(a["i"].alias("i"), (F.coalesce(a["next"], F.lit(False)) | F.coalesce(a["h"] == b["h"], F.lit(False))).alias("dup"))
+    )
     many = F.sort_array(F.transform(F.filter(marked, lambda x: x["dup"]), lambda x: x["i"]))
     n = F.size(twice)
     return F.when(n == 0, 0).when(n <= FEW, _covered(few)).otherwise(_covered(many))
@@ -94,12 +104,18 @@ def measure(docs: DataFrame, references: Reference = REFERENCES) -> DataFrame:
     n_text_chars, js_chars, js_words."""
     blank = F.lit(BLANKS)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    d = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        lang.alias("lang")
+    )
     d = d.withColumn("words", words_of(F.col("text")))
     marks = F.array_join(F.regexp_extract_all("text", F.lit("([!-@\\[-`{-~]+)"), 1), "")
     known = sorted({x for words, _ in references.values() for w in words for x in (w, w.capitalize())})
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, blank) != "")
-    grams = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(
+        F.size("words") >= 3,
+        F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    ).otherwise(F.array().cast("array<bigint>"))
     # Common words in a row, each between two blanks of its own, so that they are counted by what taking one out shortens it.
     common = F.concat(F.lit(" "), F.lower(F.array_join(F.filter("words", lambda w: w.isin(known)), "  ")), F.lit(" "))
     d = d.withColumns({"marks": marks, "grams": grams, "common": common, "lines": lines}).withColumn("sorted", F.sort_array("grams"))
@@ -114,13 +130,25 @@ def measure(docs: DataFrame, references: Reference = REFERENCES) -> DataFrame:
     })
     n, w = F.col("n_text_chars").cast("double"), F.col("n_words").cast("double")
     marked = F.char_length("marks")
-    classes = F.array(*[F.try_divide(c.cast("double"), n) for c in (F.col("word_chars") - marked, F.col("n_text_chars") - F.col("word_chars"), F.col("digits"), F.col("n_symbols"), marked - F.col("n_symbols") - F.col("digits"))])
+    classes = F.array(
+        *[
+            F.try_divide(c.cast("double"), n) for c in (
+                F.col("word_chars") - marked, F.col("n_text_chars") - F.col("word_chars"), F.col("digits"), F.col("n_symbols"),
+                marked - F.col("n_symbols") - F.col("digits")
+            )
+        ]
+    )
     rest = F.col("n_words") - F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
     shares = F.transform(F.concat("counts", F.array(rest)), lambda c: F.try_divide(c.cast("double"), w))
     fixed = lambda values: F.array(*map(F.lit, values))
     class_reference = _per_language(F.col("lang"), {k: fixed(c) for k, (_, c) in references.items()}, fixed(mean_classes(references)))
     word_reference = _per_language(F.col("lang"), {k: fixed(word_shares(words)) for k, (words, _) in references.items()})
-    d = d.withColumns({"js_chars": F.when(n > 0, js_distance(classes, class_reference)), "js_words": F.when((w > 0) & F.col("counts").isNotNull(), js_distance(shares, word_reference))})
+    d = d.withColumns(
+        {
+            "js_chars": F.when(n > 0, js_distance(classes, class_reference)),
+            "js_words": F.when((w > 0) & F.col("counts").isNotNull(), js_distance(shares, word_reference))
+        }
+    )
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_text_chars", "js_chars", "js_words"]
     return d.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
 
@@ -132,9 +160,13 @@ def fit_references(docs: DataFrame, sample_docs: int = 2000, top: int = 15, leas
     to the driver is ``top`` + 1 rows a language."""
     order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
     d = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample_docs).drop("at")
-    words = d.select("lang", F.explode(F.transform(words_of(F.col("text")), lambda w: F.lower(w))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    words = d.select(
+        "lang", F.explode(F.transform(words_of(F.col("text")), lambda w: F.lower(w))).alias("word")
+    ).groupBy("lang", "word").agg(F.count("*").alias("n"))
     whole = W.partitionBy("lang")
-    words = words.withColumns({"share": F.col("n") / F.sum("n").over(whole), "place": F.row_number().over(whole.orderBy(F.desc("n"), "word"))}).where(F.col("place") <= top)
+    words = words.withColumns(
+        {"share": F.col("n") / F.sum("n").over(whole), "place": F.row_number().over(whole.orderBy(F.desc("n"), "word"))}
+    ).where(F.col("place") <= top)
     count = lambda rx: F.sum(F.char_length("text") - F.char_length(F.regexp_replace("text", rx, "")))
     rx = {"blanks": "[ \\t-\\r]", "digits": "[0-9]", "symbols": "[#*$%&|<>]", "marks": "[!-@\\[-`{-~]"}
     chars = d.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n"), *[count(p).alias(k) for k, p in rx.items()])
@@ -147,7 +179,10 @@ def fit_references(docs: DataFrame, sample_docs: int = 2000, top: int = 15, leas
     return out
 
 
-def judge(docs: DataFrame, max_js_chars: float = 0.35, max_js_words: float = 0.28, min_chars: int = 200, min_words: int = 200, references: Reference = REFERENCES) -> DataFrame:
+def judge(
+    docs: DataFrame, max_js_chars: float = 0.35, max_js_words: float = 0.28, min_chars: int = 200, min_words: int = 200,
+    references: Reference = REFERENCES
+) -> DataFrame:
     """:func:`measure`, and base_failed and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     odd_chars = (F.col("n_text_chars") >= min_chars) & (F.col("js_chars") > max_js_chars)
@@ -181,10 +216,12 @@ r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram)
 p AS (SELECT doc_id, count(DISTINCT w) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS w FROM r) GROUP BY doc_id),
 m AS (SELECT doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(marks, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, length(regexp_replace(marks, '[^0-9]', '', 'g')) AS n_digits,
-    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars, length(marks) AS n_marks,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars,
+  length(marks) AS n_marks,
     list_transform(CASE lang {lists} END, lambda w: len(list_filter(words, lambda x: x IN {tuple(both)} AND lower(x) = w))) AS ranked
   FROM d LEFT JOIN p USING (doc_id)),
-a AS (SELECT *, list_transform([word_chars - n_marks, n_chars - word_chars, n_digits, n_symbols, n_marks - n_symbols - n_digits], lambda x: x / n_chars) AS classes, CASE lang {class_refs} ELSE {mean_classes(REFERENCES)}::DOUBLE[] END AS class_ref,
+a AS (SELECT *, list_transform([word_chars - n_marks, n_chars - word_chars, n_digits, n_symbols, n_marks - n_symbols - n_digits],
+  lambda x: x / n_chars) AS classes, CASE lang {class_refs} ELSE {mean_classes(REFERENCES)}::DOUBLE[] END AS class_ref,
     list_transform(list_append(ranked, n_words - list_sum(ranked)), lambda x: x / n_words) AS shares, CASE lang {word_refs} END AS word_ref FROM m),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN n_chars > 0 THEN {_js_sql('classes', 'class_ref')} END AS js_chars,

@@ -56,17 +56,36 @@ def _pieces(kind: str) -> Column:
         good = lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[a-z]")) & F.rlike(m, F.lit("[A-Z]"))
     else:
         good = lambda m: F.lit(True)
-    return F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.char_length(g).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("size"), good(m).alias("good")))
+    return F.zip_with(
+        F.slice(gaps, 1, F.size(found)), found,
+        lambda g, m: F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), F.char_length(g).cast("bigint").alias("gap"), F.char_length(m).cast("bigint").alias("size"),
+            good(m).alias("good")
+        )
+    )
 
 
 def secret_parts(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """did, version, kind (its number), start, end: every base span and every linked weak one."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    d = docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     d = d.withColumn("version", F.xxhash64("text")).withColumn("_low", F.lower("text"))
-    has = {"assign": _any(F.col("_low"), KEYWORDS), "access": F.contains("text", F.lit("AKIA")), "hex": F.rlike("text", F.lit("[0-9a-f]{32}")), "login": _any(F.col("_low"), LOGIN_WORDS), "endpoint": F.contains("text", F.lit("://"))}
+    has = {
+        "assign": _any(F.col("_low"), KEYWORDS), "access": F.contains("text", F.lit("AKIA")), "hex": F.rlike("text", F.lit("[0-9a-f]{32}")),
+        "login": _any(F.col("_low"), LOGIN_WORDS), "endpoint": F.contains("text", F.lit("://"))
+    }
     d = d.withColumns({f"_{k}": c for k, c in has.items()}).where(" OR ".join(f"_{k}" for k in has))
     has["blob"] = F.col("_access") | F.col("_login") | F.col("_endpoint")  # else nothing could complement it
-    parts = F.flatten(F.array(*[F.when(has["blob"] if k == "blob" else F.col(f"_{k}"), F.transform(_pieces(k), lambda x, i: x.withField("i", i))).otherwise(F.array().cast("array<struct<kind:int,gap:bigint,size:bigint,good:boolean,i:int>>")) for k in KINDS]))
+    parts = F.flatten(
+        F.array(
+            *[
+                F.when(
+                    has["blob"] if k == "blob" else F.col(f"_{k}"), F.transform(_pieces(k), lambda x, i: x.withField("i", i))
+                ).otherwise(F.array().cast("array<struct<kind:int,gap:bigint,size:bigint,good:boolean,i:int>>")) for k in KINDS
+            ]
+        )
+    )
     found = d.select("did", "version", parts.alias("parts")).where(F.size("parts") > 0).dropDuplicates(["did", "version"])
     rows = found.select("did", "version", F.inline("parts"))
     so_far = W.partitionBy("did", "version", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
@@ -83,38 +102,54 @@ def secret_parts(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.coalesce(back <= scope, F.lit(False)) | F.coalesce(ahead <= scope, F.lit(False))
 
     base = F.col("kind") < 3
-    inside = F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False))
+    inside = F.coalesce(
+        F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)
+    ) | F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False))
     rows = rows.withColumn("inside", inside).where("kind <> 4 OR NOT inside")  # a blob within a base span is no new part
     identifier, secret, endpoint = near("access", "login"), near("assign", "hex", "blob"), near("endpoint")
     rows = rows.withColumns({"_id": identifier, "_secret": secret, "_end": endpoint})
-    return rows.where("kind < 3 OR (kind = 3 AND _secret) OR (kind = 4 AND (_id OR _end)) OR (kind = 5 AND _id AND _secret)").select("did", "version", "kind", "start", "end")
+    return rows.where(
+        "kind < 3 OR (kind = 3 AND _secret) OR (kind = 4 AND (_id OR _end)) OR (kind = 5 AND _id AND _secret)"
+    ).select("did", "version", "kind", "start", "end")
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """doc_id and spans: array of (start, kind, end), in order; for each row of ``docs``."""
     spans = secret_parts(docs, scope).groupBy("did", "version").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version"))
+    d = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("version")
+    )
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     return d.join(spans, ["did", "version"], "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("bigint").alias(f"n_{KINDS[i]}")
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    return out.select("doc_id", count(0), count(1), count(2), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+    return out.select(
+        "doc_id", count(0), count(1), count(2), F.sha2(spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans")
+    )
 
 
 def op2_sql() -> str:
     def quote(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
-    good = {"assign": f"length(regexp_extract(m, {quote(PATTERNS['assign'])}, 2)) >= 8", "login": f"length(regexp_extract(m, {quote(PATTERNS['login'])}, 2)) >= 4", "blob": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"}
+    good = {
+        "assign": f"length(regexp_extract(m, {quote(PATTERNS['assign'])}, 2)) >= 8",
+        "login": f"length(regexp_extract(m, {quote(PATTERNS['login'])}, 2)) >= 4",
+        "blob": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')"
+    }
     each = "\nUNION ALL ".join(
         f"SELECT doc_id, {i} AS kind, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, {quote(k)} AS name FROM (SELECT doc_id, regexp_extract_all(t, {quote(PATTERNS[k])}) AS ms, string_split_regex(t, {quote(PATTERNS[k])}) AS gs FROM d) WHERE len(ms) > 0"
         for i, k in enumerate(KINDS)
@@ -127,9 +162,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({each}),
 q AS (SELECT *, CAST(sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop FROM p),
 r AS (SELECT doc_id, kind, name, stop - length(m) AS start, stop FROM q WHERE CASE kind {keep} ELSE true END),
-s AS (SELECT *, coalesce(max(CASE WHEN kind < 3 THEN stop END) OVER b > start, false) OR coalesce(min(CASE WHEN kind < 3 THEN start END) OVER a < stop, false) AS inside FROM r {frames}),
+s AS (SELECT *, coalesce(max(CASE WHEN kind < 3 THEN stop END) OVER b > start, false) OR coalesce(min(CASE WHEN kind < 3 THEN start END) OVER a < stop,
+  false) AS inside FROM r {frames}),
 w AS (SELECT *, {near('1, 3')} AS near_id, {near('0, 2, 4')} AS near_secret, {near('5')} AS near_end FROM s WHERE kind <> 4 OR NOT inside {frames}),
-x AS (SELECT *, name || ':' || start || ':' || stop AS said FROM w WHERE kind < 3 OR (kind = 3 AND near_secret) OR (kind = 4 AND (near_id OR near_end)) OR (kind = 5 AND near_id AND near_secret))
+x AS (SELECT *, name || ':' || start || ':' || stop AS said FROM w
+  WHERE kind < 3 OR (kind = 3 AND near_secret) OR (kind = 4 AND (near_id OR near_end)) OR (kind = 5 AND near_id AND near_secret))
 SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
   sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256,
   coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans

@@ -68,7 +68,9 @@ def append_run(docs: DataFrame, root: str, run_rows: int = 20_000, order: list[C
     path = f"{root}/runs/{uuid.uuid4().hex}"
     if order:
         names = free_names(docs.columns, *[f"_order_{i}" for i in range(len(order))])
-        docs = docs.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+        docs = docs.select(
+            "*", *[c.alias(n) for c, n in zip(order, names, strict=True)]
+        ).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
     docs.write.option("maxRecordsPerFile", run_rows).option("compression", "zstd").parquet(path)
     return path
 
@@ -77,7 +79,9 @@ def list_files(spark: SparkSession, path: str, schema: StructType) -> list[dict]
     """path (below the root) and bytes of the files of a folder that have rows, in the order of their writing."""
     rows = spark.read.schema(schema).parquet(path)
     meta = rows.metadataColumn("_metadata")
-    files = rows.select(F.regexp_extract(meta["file_path"], WITHIN, 1).alias("path"), meta["file_size"].alias("bytes")).groupBy("path").agg(F.max("bytes").alias("bytes")).collect()
+    files = rows.select(
+        F.regexp_extract(meta["file_path"], WITHIN, 1).alias("path"), meta["file_size"].alias("bytes")
+    ).groupBy("path").agg(F.max("bytes").alias("bytes")).collect()
     number = lambda f: [int(x) for x in re.search(r"/part-(\d+)-.*?(?:[.-]c(\d+))?\.[^/-]*$", f["path"]).groups("0")]
     return sorted(({"path": r.path, "bytes": r.bytes} for r in files), key=number)
 
@@ -121,7 +125,9 @@ def merge(spark: SparkSession, groups: list[list[dict]], root: str, schema: Stru
     rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for _, g in many for f in g])
     meta = rows.metadataColumn("_metadata")
     path_, shard_, run_, row_ = free_names(schema.names, "_path", SHARD, "_run", ROW)
-    plan = spark.createDataFrame([(f["path"], n, i) for n, (_, g) in enumerate(many) for i, f in enumerate(g)], f"`{path_}` string, `{shard_}` int, `{run_}` int")
+    plan = spark.createDataFrame(
+        [(f["path"], n, i) for n, (_, g) in enumerate(many) for i, f in enumerate(g)], f"`{path_}` string, `{shard_}` int, `{run_}` int"
+    )
     rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(F.broadcast(plan), path_)
     path = f"{root}/shards/{uuid.uuid4().hex}"
     dealt = rows.repartitionById(len(many), F.col(shard_)).sortWithinPartitions(shard_, run_, row_)  # a task a shard
@@ -157,7 +163,9 @@ def compact(spark: SparkSession, run_dir: str, root: str, schema: StructType, ta
         last = last_version(spark, root)
         known = both(StructType.fromJson(last["schema"]), schema) if "schema" in last else schema
         files = merge(spark, plan_merges(last.get("files", []) + runs, target_bytes, fan), root, known)
-        entry = commit(spark, root, {"files": files, "n_shards": len(files), "schema": known.jsonValue(), "target_bytes": target_bytes}, last["version"])
+        entry = commit(
+            spark, root, {"files": files, "n_shards": len(files), "schema": known.jsonValue(), "target_bytes": target_bytes}, last["version"]
+        )
         if entry:
             return entry
 
@@ -211,11 +219,15 @@ def read(spark: SparkSession, root: str, entry: dict) -> DataFrame:
     rows = spark.read.schema(schema).parquet(*[f"{root}/{f['path']}" for f in entry["files"]])
     meta = rows.metadataColumn("_metadata")
     numbers = spark.createDataFrame([(f["path"], n) for n, f in enumerate(entry["files"])], f"`{path_}` string, `{shard_}` bigint")
-    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(F.broadcast(numbers), path_)
+    rows = rows.select(
+        "*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)
+    ).join(F.broadcast(numbers), path_)
     return rows.select(*[F.col(f"`{c}`") for c in schema.names], shard_, row_)
 
 
-def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20, fan: int = 4, run_rows: int = 20_000, order: list[Column] | None = None) -> tuple[DataFrame, dict]:
+def shard(
+    docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 20, fan: int = 4, run_rows: int = 20_000, order: list[Column] | None = None
+) -> tuple[DataFrame, dict]:
     """``docs`` as an arrival at ``root``: all rows of the version committed, earlier arrivals
     included, as ``read`` gives them, and the manifest's entry."""
     spark = docs.sparkSession
@@ -226,4 +238,7 @@ def shard(docs: DataFrame, root: str | None = None, target_bytes: int = 128 << 2
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, entry = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", F.col(out.columns[-2]).alias("shard"), F.col(out.columns[-1]).alias("row_in_shard"), F.lit(entry["version"]).cast("bigint").alias("manifest_version"))
+    return out.select(
+        "doc_id", F.col(out.columns[-2]).alias("shard"), F.col(out.columns[-1]).alias("row_in_shard"),
+        F.lit(entry["version"]).cast("bigint").alias("manifest_version")
+    )

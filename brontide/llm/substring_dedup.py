@@ -60,7 +60,12 @@ def _edges(window: int, k: int):
                 new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (p[1:] != p[:-1])
                 at = np.flatnonzero(new)
                 last = np.append(at[1:] - 1, len(u) - 1)
-                yield pa.record_batch({"u": pa.array(u[at].view(np.int64)), "v": pa.array(v[at].view(np.int64)), "part": pa.array(p[at].astype(np.int32)), "least": pa.array(d[at]), "most": pa.array(d[last])})
+                yield pa.record_batch(
+                    {
+                        "u": pa.array(u[at].view(np.int64)), "v": pa.array(v[at].view(np.int64)), "part": pa.array(p[at].astype(np.int32)),
+                        "least": pa.array(d[at]), "most": pa.array(d[last])
+                    }
+                )
 
     return run
 
@@ -82,9 +87,17 @@ def compact_paths(nodes: DataFrame) -> DataFrame:
 
 def repeated_paths(edges: DataFrame) -> DataFrame:
     """(node, path) of all k-mers that more than one document holds."""
-    out = edges.groupBy("u").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.min("v").alias("v1"), F.max("v").alias("v2")).where("lo <> hi")
+    out = edges.groupBy("u").agg(
+        F.min("least").alias("lo"), F.max("most").alias("hi"), F.min("v").alias("v1"), F.max("v").alias("v2")
+    ).where("lo <> hi")
     into = edges.where("v <> 0").groupBy("v").agg(F.min("u").alias("u1"), F.max("u").alias("u2")).where("u1 = u2")
-    nodes = store(out.select(F.col("u").alias("node"), F.when((F.col("v1") == F.col("v2")) & (F.col("v1") != 0) & (F.col("v1") != F.col("u")), F.col("v1")).alias("next")), "nodes")
+    nodes = store(
+        out.select(
+            F.col("u").alias("node"),
+            F.when((F.col("v1") == F.col("v2")) & (F.col("v1") != 0) & (F.col("v1") != F.col("u")), F.col("v1")).alias("next")
+        ),
+        "nodes"
+    )
     single = nodes.where("next IS NOT NULL").join(into.select(F.col("v").alias("next"), F.col("u1").alias("node")), ["next", "node"])
     preds = single.select(F.col("next").alias("node"), F.col("node").alias("pred"))
     return compact_paths(nodes.select("node").join(preds, "node", "left").select("node", F.coalesce("pred", "node").alias("pred")))
@@ -138,12 +151,21 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, k: int = 26, part_b
             kept.append(b" ".join(stay + w[at:] if runs else w))
         R.release()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(bounds), pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(np.diff(bounds), pa.int64()), "spans": pa.array(spans, span),
+                "kept": pa.array(kept, pa.binary()).cast(pa.string())
+            }
+        )
 
     asked = d.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(ask, R.PHRASE_ASK)
     answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: R.answer_phrases(t, window, np.uint64), R.REPLY)
-    told = replies.select("part", F.lit(0).alias("round"), "node", "path", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
-    told = told.unionByName(answers.select("part", "round", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("path"), "bucket", "bits")).repartition(n, "part")
+    told = replies.select(
+        "part", F.lit(0).alias("round"), "node", "path", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("bits")
+    )
+    told = told.unionByName(
+        answers.select("part", "round", F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("bigint").alias("path"), "bucket", "bits")
+    ).repartition(n, "part")
     return d.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(resolve, OUT)
 
 

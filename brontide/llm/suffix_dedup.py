@@ -79,7 +79,12 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, par
                 kept.append(raw[i:j])
         R.release()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(bounds), pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.binary())})
+        return pa.table(
+            {
+                "doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(np.diff(bounds), pa.int64()), "spans": pa.array(spans, span),
+                "kept": pa.array(kept, pa.binary())
+            }
+        )
 
     a1 = d.groupBy("part").applyInArrow(ask_triggers, R.GRAM_ASK).repartition(b1, "bucket").groupBy("bucket").applyInArrow(R.answer_grams, R.REPLY)
     r2 = d.groupBy("part").cogroup(a1.repartition(n, "part").groupBy("part")).applyInArrow(ask_phrases, R.PHRASE_ASK)
@@ -91,4 +96,6 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 50, gram: int = 24, par
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -13,7 +13,10 @@ from brontide.llm._shared import store
 def _whole(docs: DataFrame) -> DataFrame:
     """Each row as one column, doc, beside its keys: columns of any name pass through."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(minhash_dedup.NO_ID)).alias("did"), F.xxhash64(text).alias("version"))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(minhash_dedup.NO_ID)).alias("did"), F.xxhash64(text).alias("version")
+    )
 
 
 def _columns(d: DataFrame, docs: DataFrame) -> DataFrame:
@@ -34,7 +37,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     belong to no group and stay."""
     marked = minhash_dedup.near_duplicates(docs, k=5, percent=80)
     first = marked.where("n_shingles > 0 AND did = component").groupBy("component", "component_set").agg(F.min("version").alias("version"))
-    stay = first.select(F.col("component").alias("did"), "version", F.lit(True).alias("one")).unionByName(marked.where("n_shingles = 0").select("did", "version", F.lit(False).alias("one")).distinct())
+    stay = first.select(F.col("component").alias("did"), "version", F.lit(True).alias("one")).unionByName(
+        marked.where("n_shingles = 0").select("did", "version", F.lit(False).alias("one")).distinct()
+    )
     kept = _whole(docs).join(stay, ["did", "version"])
     copy = F.row_number().over(W.partitionBy("did", "version").orderBy(F.lit(0)))
     return _columns(kept.withColumn("copy", copy).where("copy = 1 OR NOT one"), docs)

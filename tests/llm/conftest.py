@@ -11,7 +11,10 @@ def docs(spark):
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
     shared = [text(70) for _ in range(3)]
     base = text(300)
-    rows = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "ä" * 120), (5, "a" * 300), (6, "a" * 260 + "b"), (7, base), (7, base), (8, base), (None, base + " x")]
+    rows = [
+        (None, None), (1, None), (2, ""), (3, " \n\t "), (4, "ä" * 120), (5, "a" * 300), (6, "a" * 260 + "b"), (7, base), (7, base), (8, base),
+        (None, base + " x")
+    ]
     for i in range(9, 60):
         t = [text(rng.randrange(5, 160))]
         if i % 3 == 0:
@@ -22,4 +25,6 @@ def docs(spark):
             t = [" ".join(w)]
         rows.append((i, "\n".join(t)))
     rows = [(d, t, "en", "s" if i % 3 else None, 1, "p", 2, 3) for i, (d, t) in enumerate(rows)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, did bigint, version int").repartition(5)
+    return spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, part string, did bigint, version int"
+    ).repartition(5)

@@ -32,7 +32,10 @@ def plain(spark):
     long = " ".join(f"w{i * 7919 % 50021}" for i in range(60_000))  # 400 kB in one line
     notice = "Released under the MIT License"
     same = "\n".join(f"the same line of text number {i} stands here, in five documents" for i in range(3))
-    rows = [(None, None, None, None), (None, "", "en", "a"), (1, " \n\t\n", "en", None), (2, long, "en", "a"), (2, long, "en", "a"), (3, long + " and more", "xx", "b"), (4, notice + "\n" + PASSAGE, "de", "b"), (5, "password = hunter2hunter", "en", "a")]
+    rows = [
+        (None, None, None, None), (None, "", "en", "a"), (1, " \n\t\n", "en", None), (2, long, "en", "a"), (2, long, "en", "a"),
+        (3, long + " and more", "xx", "b"), (4, notice + "\n" + PASSAGE, "de", "b"), (5, "password = hunter2hunter", "en", "a")
+    ]
     rows += [(10 + i, same, "fr", "c") for i in range(6)] + [(10, same, "fr", "d"), (10, same + " tail", "fr", "d")]
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
 
@@ -56,9 +59,13 @@ def test_operators(plain, clashing, name):
 
 
 def test_decontamination(spark, plain, clashing):
-    bench = spark.createDataFrame([(0, PASSAGE), (0, PASSAGE), (1, None), (2, ""), (None, "asked1 asked2 asked3 asked4 asked5 asked6 asked7")], "item_id bigint, text string")
+    bench = spark.createDataFrame(
+        [(0, PASSAGE), (0, PASSAGE), (1, None), (2, ""), (None, "asked1 asked2 asked3 asked4 asked5 asked6 asked7")], "item_id bigint, text string"
+    )
     got = rows(decontaminate.find_passages(plain, bench).select("did", "item_id", "similarity"))
-    assert got == {(4, 0, 1.0): 1, (4, None, 1.0): 1} and rows(decontaminate.find_passages(clashing, bench.withColumn("did", F.lit(1))).select("did", "item_id", "similarity")) == got
+    assert got == {(4, 0, 1.0): 1, (4, None, 1.0): 1} and rows(
+        decontaminate.find_passages(clashing, bench.withColumn("did", F.lit(1))).select("did", "item_id", "similarity")
+    ) == got
     assert decontaminate.find_passages(plain.limit(0), bench).count() == decontaminate.find_passages(plain, bench.limit(0)).count() == 0
 
 

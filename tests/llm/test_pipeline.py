@@ -18,7 +18,9 @@ LOW = minhash_dedup.NO_ID
 def folder(spark, tmp_path_factory):
     rng = random.Random(12)
     vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(900)]
-    words = lambda n: [rng.choice(vocab) if rng.random() < 0.7 else rng.choice("the of and to a in is that it for was on with as be".split()) for _ in range(n)]
+    words = lambda n: [
+        rng.choice(vocab) if rng.random() < 0.7 else rng.choice("the of and to a in is that it for was on with as be".split()) for _ in range(n)
+    ]
     items = [words(rng.randrange(20, 60)) for _ in range(12)]
     rows = [(None, None, "en", None), (None, " ".join(words(90)), "en", "src0"), (1, "", "en", "src1"), (2, "$#% " * 200, "en", "src1")]
     for i in range(10, 170):
@@ -34,8 +36,12 @@ def folder(spark, tmp_path_factory):
             rows.append((i + 1000, " ".join(near), "en", "src2"))
             rows += [(i + 2000, " ".join(w), "en", "src3")] * 2
     path = tmp_path_factory.mktemp("pipeline")
-    spark.createDataFrame([(d, t, g, s, len(t or "")) for d, t, g, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(str(path / "documents.parquet"))
-    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string").write.parquet(str(path / "benchmark.parquet"))
+    spark.createDataFrame(
+        [(d, t, g, s, len(t or "")) for d, t, g, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    ).repartition(4).write.parquet(str(path / "documents.parquet"))
+    spark.createDataFrame(
+        [(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string"
+    ).write.parquet(str(path / "benchmark.parquet"))
     return path
 
 
@@ -91,7 +97,9 @@ def test_run_equals_a_plain_version(spark, folder):
         got.append(Counter(key(tuple(r)) for r in docs.select("doc_id", "text", "lang", "source").collect()))
     assert got == want and sum(want[0].values()) > sum(want[1].values()) > sum(want[2].values()) > 50
     out = corpus_pipeline.run(spark, str(folder)).orderBy("shard", "row_in_shard").collect()
-    assert Counter(LOW if r.doc_id is None else r.doc_id for r in out) == Counter({k[0]: 0 for k in want[2]}) + Counter(k[0] for k in want[2].elements())
+    assert Counter(
+        LOW if r.doc_id is None else r.doc_id for r in out
+    ) == Counter({k[0]: 0 for k in want[2]}) + Counter(k[0] for k in want[2].elements())
     # The shards follow the schedule of what was left.
     slots = mixing.schedule(docs, mixing.TARGETS, mixing.DEFAULT)
     order = [None if r.did == LOW else r.did for r in slots.orderBy("slot", "source", "in_block").collect()]
