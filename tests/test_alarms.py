@@ -144,3 +144,24 @@ def test_fates_take_the_closest_first(spark):
     b = spark.createDataFrame([(0, 10, 15), (0, 53, 60), (0, 120, 140), (0, 500, 510)], "rec int, declaration bigint, end bigint")
     got = {(r.declaration, r.other, r.fate) for r in M.alarm_fates(a, b, ["rec"], 5).collect()}
     assert got == {(10, 10, "preserved"), (50, 53, "shifted"), (100, 120, "replaced"), (300, None, "suppressed"), (None, 500, "added")}
+
+
+def test_fates_of_random_alarms(spark):
+    """Pairs are made one at a time: of all that still fit a stage the closest, then the earliest."""
+    rng = random.Random(17)
+    spans = lambda: [(r, a, a + rng.randrange(1, 25)) for r in range(40) for a in sorted(rng.sample(range(120), rng.randrange(0, 9)))]
+    one, two = spans(), spans()
+    fits = {"preserved": lambda x, y: x[0] == y[0], "shifted": lambda x, y: abs(x[0] - y[0]) <= 5, "replaced": lambda x, y: x[0] < y[1] and y[0] < x[1]}
+    want = set()
+    for rec in range(40):
+        a, b = ([s[1:] for s in side if s[0] == rec] for side in (one, two))
+        for fate, fit in fits.items():
+            while pairs := [(abs(x[0] - y[0]), x, y) for x in a for y in b if fit(x, y)]:
+                _, x, y = min(pairs)
+                want.add((rec, x[0], y[0], fate))
+                a.remove(x)
+                b.remove(y)
+        want |= {(rec, x[0], None, "suppressed") for x in a} | {(rec, None, y[0], "added") for y in b}
+    table = lambda s: spark.createDataFrame(s, "rec int, declaration bigint, end bigint")
+    got = [(r.rec, r.declaration, r.other, r.fate) for r in M.alarm_fates(table(one), table(two), ["rec"], 5).collect()]
+    assert set(got) == want and len(got) == len(want)
