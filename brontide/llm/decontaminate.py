@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ._shared import store
 from .line_dedup import NO_ID
 
 BLOCKS, BLOCK_BITS = 8, 16
@@ -49,7 +50,10 @@ def simhash(shingles: str) -> Column:
 
     def half(votes: Column) -> Column:
         bit = lambda b: F.aggregate(votes, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int") * 2 - 1) > 0
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))))
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"),
+            lambda a, b: a.bitwiseOR(F.when(bit(b), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))
+        )
 
     return F.struct(half(F.col(shingles)).alias("lo"), half(F.transform(shingles, lambda h: F.xxhash64(h))).alias("hi"))
 
@@ -82,21 +86,33 @@ def _common(a: str, b: str) -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")).withColumn("version", F.xxhash64("text"))
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("did"), text.alias("text")
+    ).withColumn("version", F.xxhash64("text"))
 
 
 def place_windows(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """did, version, n, start, ws: the windows that anchors place, with their shingles. ``items``: n (words), gs (shingles)."""
-    places = items.select("n", "gs", F.explode(anchors(F.size("gs"), k)).alias("j")).select("n", F.get("gs", F.col("j").cast("int")).alias("h"), F.col("j").cast("int").alias("j")).distinct()
+    places = items.select("n", "gs", F.explode(anchors(F.size("gs"), k)).alias("j")).select(
+        "n", F.get("gs", F.col("j").cast("int")).alias("h"), F.col("j").cast("int").alias("j")
+    ).distinct()
     if places.count() <= BROADCAST_ROWS:
         places = F.broadcast(places)
-    cut = docs.select("did", "version", _words("text").alias("w")).select("did", "version", F.size("w").alias("doc_n"), _shingles(F.col("w"), k).alias("gs"))
+    cut = docs.select("did", "version", _words("text").alias("w")).select(
+        "did", "version", F.size("w").alias("doc_n"), _shingles(F.col("w"), k).alias("gs")
+    )
     hits = cut.select("did", "version", "doc_n", F.posexplode("gs").alias("i", "h")).join(places, "h")
     last = F.greatest(F.lit(0), F.col("doc_n") - F.col("n"))
     spots = hits.select("did", "version", "n", F.least(last, F.greatest(F.lit(0), F.col("i") - F.col("j"))).alias("start"))
     spots = spots.groupBy("did", "version").agg(F.collect_set(F.struct("n", "start")).alias("windows"))
-    texts = docs.join(spots, ["did", "version"]).dropDuplicates(["did", "version"]).select("did", "version", "windows", _shingles(_words("text"), k).alias("gs"))
-    each = F.inline(F.transform("windows", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("gs", w["start"] + 1, w["n"] - k + 1).alias("ws"))))
+    texts = docs.join(spots, ["did", "version"]).dropDuplicates(["did", "version"]).select(
+        "did", "version", "windows", _shingles(_words("text"), k).alias("gs")
+    )
+    each = F.inline(
+        F.transform(
+            "windows", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), F.slice("gs", w["start"] + 1, w["n"] - k + 1).alias("ws"))
+        )
+    )
     return texts.select("did", "version", each)
 
 
@@ -105,9 +121,12 @@ def near_fingerprints(windows: DataFrame, items: DataFrame, radius: int) -> Data
     whose fingerprints are within ``radius`` bits; each pair once."""
     reach = radius // BLOCKS
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    probed = lambda d, flips, name: d.select("*", blocks).select("*", F.explode(F.array(*map(F.lit, flips))).alias(name)).withColumn("key", _block(F.col("fp"), F.col("block")).bitwiseXOR(F.col(name)))
+    probed = lambda d, flips, name: d.select("*", blocks).select("*", F.explode(F.array(*map(F.lit, flips))).alias(name)).withColumn(
+        "key", _block(F.col("fp"), F.col("block")).bitwiseXOR(F.col(name))
+    )
     index = probed(items.select("n", "fp", "item"), _flips(max(0, reach - 1)), "item_flip").withColumnRenamed("fp", "item_fp")
-    pairs = probed(windows, _flips(1 if reach else 0), "flip").join(index, ["n", "block", "key"])
+    # Without the hint a small table of items would be sent everywhere with all of its keys.
+    pairs = probed(windows, _flips(1 if reach else 0), "flip").join(index.hint("merge"), ["n", "block", "key"])
     # A difference is split in one way: the windows' side flips none, or the highest of ``reach`` bits.
     once = (F.col("flip") == 0) | ((F.bit_count("item_flip") == reach - 1) & (F.col("flip") > F.col("item_flip")))
     differs = F.struct(F.col("fp.lo").bitwiseXOR(F.col("item_fp.lo")).alias("lo"), F.col("fp.hi").bitwiseXOR(F.col("item_fp.hi")).alias("hi"))
@@ -121,14 +140,20 @@ def near_fingerprints(windows: DataFrame, items: DataFrame, radius: int) -> Data
 def find_passages(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 38) -> DataFrame:
     """did, version, item_id, similarity, start, n_words: the best window of each document and
     item (the first, if several are as good)."""
-    items = benchmark.select("item_id", _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")).withColumn("gs", _shingles(F.col("w"), k)).where(F.size("gs") > 0)
+    items = benchmark.select(
+        "item_id", _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("w")
+    ).withColumn("gs", _shingles(F.col("w"), k)).where(F.size("gs") > 0)
     items = items.select("item_id", F.xxhash64("item_id", "gs").alias("item"), F.size("w").alias("n"), "gs").dropDuplicates(["item_id", "item"])
-    windows = place_windows(keyed(docs), items, k).withColumn("fp", simhash("ws"))
-    near = near_fingerprints(windows, items.withColumn("fp", simhash("gs")), radius).join(items.select("item", "item_id", "gs"), "item")
+    windows = store(place_windows(keyed(docs), items, k).withColumn("fp", simhash("ws")), "windows")
+    place = ["did", "version", "n", "start"]
+    near = near_fingerprints(windows.select(*place, "fp"), items.withColumn("fp", simhash("gs")), radius)
+    near = near.drop("fp").join(windows.drop("fp"), place).join(items.select("item", "item_id", "gs"), "item")
     common = _common("ws", "gs")
     scored = near.withColumn("similarity", common / (F.size("ws") + F.size("gs") - common)).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", (-F.col("start")).alias("s")))
-    return scored.groupBy("did", "version", "item_id", "item").agg(best.alias("b")).select("did", "version", "item_id", "b.similarity", "b.start", F.col("b.n").alias("n_words"))
+    return scored.groupBy("did", "version", "item_id", "item").agg(best.alias("b")).select(
+        "did", "version", "item_id", "b.similarity", "b.start", F.col("b.n").alias("n_words")
+    )
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -138,7 +163,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "item_id", "similarity", F.col("start").cast("bigint").alias("start_word"), F.col("n_words").cast("bigint").alias("n_words"))
+    return found.select(
+        F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "item_id", "similarity", F.col("start").cast("bigint").alias("start_word"),
+        F.col("n_words").cast("bigint").alias("n_words")
+    )
 
 
 OP3_SQL = """
