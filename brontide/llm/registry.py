@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
+from . import (
+    decontaminate, license_scan, line_dedup, minhash_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +18,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLE: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
@@ -24,4 +29,6 @@ ORACLE: dict[str, str] = {
     "op8_substring_dedup": substring_dedup.OP8_SQL,
     "op9_license_scan": license_scan.op9_sql(),
     "op10_quality_rules": quality_rules.op10_sql(),
+    "op12_periodic_runs": periodic_runs.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
