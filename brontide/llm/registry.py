@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import (
     decontaminate, license_scan, line_dedup, minhash_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup,
-    vector_codes,
+    toxicity, vector_codes,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
