@@ -42,7 +42,7 @@ CODED = "vec_id bigint, label int, v array<int>, codes binary, error bigint"
 def whole_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     """vec_id, label, v (integers): the vectors that are kept, whatever their length."""
     sound = ~F.exists(column, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > LIMIT / SCALE))
-    v = F.transform(column, lambda x: F.floor(x.cast("double") * SCALE).cast("int"))
+    v = F.transform(column, lambda x: F.floor(x.cast("double") * SCALE).try_cast("int"))  # filters may run in any order
     return vectors.where(F.col(column).isNotNull() & sound).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("int").alias("label"), v.alias("v")
     )

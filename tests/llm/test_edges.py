@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brontide.llm import decontaminate, license_scan, line_dedup, minhash_dedup, mixing, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup
+from brontide.llm import (
+    decontaminate, license_scan, line_dedup, minhash_dedup, mixing, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, suffix_dedup,
+)
 
 CLASHES = """did version _did _version _copy copy one doc _doc payload slot block in_block part range at key n h h1 h2 pos line set_id bands small node root
 keep lines spans words windows start template license dice fp ws gs item kind bucket _row _shard_no _run_name _run_row _path _q _words _marks kept base_failed n_words""".split()
@@ -22,6 +24,7 @@ OPERATORS = {
     "op7": lambda d: line_dedup.dedup_lines(d).select("doc_id", "n_lines", "n_dropped"),
     "op8": lambda d: substring_dedup.remove_repeated_words(d).select("doc_id", "n_words", F.sha2(F.col("kept").cast("binary"), 256).alias("kept")),
     "op9": lambda d: license_scan.scan_licenses(d).select("doc_id", F.size("hits").alias("n")),
+    "op12": lambda d: periodic_runs.find_runs(d).select("doc_id", "n_words", F.size("runs").alias("n"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("kept")),
     "op10": lambda d: quality_rules.judge(d).select("doc_id", "n_words", "n_dup_lines", "base_failed", "kept"),
 }
 PASSAGE = " ".join(f"asked{i}" for i in range(60))
