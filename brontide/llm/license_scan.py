@@ -99,7 +99,7 @@ def find_notices(docs: DataFrame, threshold: float = 0.8, templates: dict[str, s
         "did", "version", "template", "start", "n_words", "common", ((2 * F.col("common")).cast("double") / (a + b).cast("double")).alias("dice")
     ).where(F.col("dice") >= threshold)
 
-    place = F.floor(F.col("start") * SCALE / F.col("n_words"))  # windows of a template overlap if closer than SCALE
+    place = F.floor(F.col("start").cast("bigint") * SCALE / F.col("n_words"))  # windows of a template overlap if closer than SCALE
     near = W.partitionBy("did", "version", "template").orderBy("place").rangeBetween(1 - SCALE, SCALE - 1)
     rank = F.struct("dice", (-F.col("start")).alias("s"))
     peaks = found.withColumn("place", place).withColumn("best", F.max(rank).over(near)).where(F.col("best") == rank)

@@ -5,15 +5,17 @@ block of a source with weight w (of a total of D) is released at slot floor((j -
 and due at slot ceil(j D / w); of the released blocks the one due first is served. As the
 weights add up to D, every deadline is met, so after any number of slots each source is less
 than one block from its share. Weights are taken as they are, as exact fractions, and each
-source has its own; the schedule does not repeat. A source that runs dry leaves its later
-slots empty; no document is dropped or repeated.
+source has its own; the schedule does not repeat. A source that runs dry no
+longer takes part, and the others keep their pace, so slots may stay empty; no document is
+dropped or repeated.
 
 Whole rows travel with their places: they are range-partitioned by source and key, numbered
 where they lie, and dealt to slots, so that no row is looked up again and equal rows can't be
 confused. The schedule is a stream of one small row a block, made by one task; the driver
 sees one number a source and a range.
 
-A null source is a source of its own. Sources for which the given weights have none (or none
+A null source is a source of its own (its weight is that of the key None), told apart from
+sources that happen to bear the names by which results call it and the rest. Sources for which the given weights have none (or none
 above zero) have no share, unless ``default`` gives them one: they are taken as one and
 follow after the last slot of the others. Rows with the same doc_id, repeated ones too, are
 placed separately; null texts count as empty ones, and texts of any length are one row each.
@@ -37,6 +39,7 @@ from .line_dedup import NO_ID
 
 POOLED = "(other)"
 NONE = "(none)"
+_NAMED, _NULL, _REST = "s:", "null", "rest"
 BROADCAST_ROWS = 500_000  # of up to 40 bytes: at most 20 MB; beyond, the join shuffles
 #: Target weights of the registered query: some sources are wanted more than others.
 TARGETS, DEFAULT = {"src0": 4.0, "src1": 3.0, "src2": 2.5, "src3": 2.0, "src4": 1.5}, 1.0
@@ -65,19 +68,33 @@ def pfair(weights: dict[str, float]) -> Iterator[tuple[str, int]]:
 
 
 def places(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int]]:
-    """source, block and slot of every block there is; ``blocks``: their number by source."""
-    left, end = sum(blocks.get(s, 0) for s in weights), 0
-    for slot, (s, j) in enumerate(pfair(weights) if left else ()):
-        if j < blocks.get(s, 0):
-            yield s, j, slot
-            left -= 1
-            if not left:
-                end = slot + 1
-                break
+    """source, block and slot of every block there is; ``blocks``: their number by source. As :func:`pfair`,
+    but sources that have run dry no longer take part: each block keeps its release and deadline, and
+    slots for which nothing is released are skipped, not walked over. The work is that of the blocks."""
+    exact = {s: Fraction(w) for s, w in sorted(weights.items())}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * scale) for s, w in exact.items()}
+    total, slot = sum(parts.values()), 0
+    future = [(0, -(-total // w), s, 0) for s, w in parts.items() if blocks.get(s, 0)]
+    heapq.heapify(future)
+    ready: list[tuple[int, str, int]] = []
+    while future or ready:
+        if not ready:
+            slot = max(slot, future[0][0])
+        while future and future[0][0] <= slot:
+            _, due, s, j = heapq.heappop(future)
+            heapq.heappush(ready, (due, s, j))
+        due, s, j = heapq.heappop(ready)
+        if due <= slot:
+            raise ValueError("a block misses its deadline")
+        yield s, j, slot
+        if j + 1 < blocks[s]:
+            heapq.heappush(future, ((j + 1) * total // parts[s], -(-(j + 2) * total // parts[s]), s, j + 1))
+        slot += 1
     for s in sorted(blocks.keys() - weights.keys()):  # without a weight
         for j in range(blocks[s]):
-            yield s, j, end + j
-        end += blocks[s]
+            yield s, j, slot + j
+        slot += blocks[s]
 
 
 def _stream(weights: dict[str, float], blocks: dict[str, int], batch_rows: int = 1 << 16):
@@ -106,11 +123,13 @@ def natural_weights(counts: dict[str, int], power: float) -> dict[str, float]:
 
 def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default: float | None, block_rows: int, power: float, seed: int) -> DataFrame:
     """payload, source, block, in_block, slot; a row for each row of ``docs``."""
+    # A source is known by a key that no name can clash with.
+    weights = weights if weights is None else {_NULL if s is None else f"{_NAMED}{s}": w for s, w in weights.items()}
     given = {s: w for s, w in (weights or {}).items() if w > 0}
-    source = F.coalesce(F.col("source").cast("string"), F.lit(NONE))
+    source = F.coalesce(F.concat(F.lit(_NAMED), F.col("source").cast("string")), F.lit(_NULL))
     if weights is not None:
         has_share = source.isin(list(given)) if default is None else ~source.isin([s for s, w in weights.items() if w <= 0])
-        source = F.when(has_share, source).otherwise(POOLED)
+        source = F.when(has_share, source).otherwise(_REST)
     did, version = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     d = docs.select(
         payload.alias("payload"), source.alias("source"), did.alias("did"), version.alias("version")
@@ -128,7 +147,7 @@ def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default:
     for s, part, first, n in spans:  # one a source and range: sources lie in successive ranges
         begins.append((s, part, counts.get(s, 0) - first))
         counts[s] = counts.get(s, 0) + n
-    shares = natural_weights(counts, power) if weights is None else given if default is None else dict.fromkeys(counts.keys() - {POOLED}, default) | given
+    shares = natural_weights(counts, power) if weights is None else given if default is None else dict.fromkeys(counts.keys() - {_REST}, default) | given
     spark = docs.sparkSession
     shift = spark.createDataFrame(begins, "source string, range bigint, shift bigint")
     small = lambda t, n: F.broadcast(t) if n <= BROADCAST_ROWS else t
@@ -138,7 +157,10 @@ def _placed(docs: DataFrame, payload, weights: dict[str, float] | None, default:
     )
     blocks = {s: -(-k // block_rows) for s, k in counts.items()}
     at = spark.range(1).coalesce(1).mapInArrow(_stream(shares, blocks), "source string, block bigint, slot bigint")
-    return numbered.join(small(at, sum(blocks.values())), ["source", "block"]).select("payload", "source", "block", "in_block", "slot")
+    name = F.when(F.col("source") == _REST, POOLED).when(F.col("source") == _NULL, NONE).otherwise(F.expr(f"substr(source, {len(_NAMED) + 1})"))
+    return numbered.join(small(at, sum(blocks.values())), ["source", "block"]).select(
+        "payload", name.alias("source"), "block", "in_block", "slot", F.col("source").alias("lane")
+    )
 
 
 def schedule(
@@ -162,7 +184,7 @@ def mix(
         return docs
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = _placed(docs, whole, weights, default, block_rows, power, seed)
-    at = ["slot", "source", "in_block"]
+    at = ["slot", "lane", "in_block"]
     return out.repartitionByRange(*at).sortWithinPartitions(*at).select(*[F.col(f"payload.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -81,6 +81,11 @@ def test_known_answers(plain):
     assert {r.doc_id: r.n_words for r in OPERATORS["op10"](plain).collect()}[2] == 60_000
 
 
+def test_licence_behind_many_words(spark):
+    d = spark.createDataFrame([(1, "word " * 600_000 + "Released under the MIT License")], "doc_id bigint, text string")
+    assert [(r.start, len(r.license) > 0) for r in license_scan.find_notices(d).collect()] == [(600_000, True)]
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
 def test_stages_keep_columns(spark, plain, clashing, tmp_path, name, stage):
     spark.createDataFrame([(0, PASSAGE)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

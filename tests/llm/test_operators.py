@@ -385,12 +385,13 @@ def simulated(rows, weights, default, block_rows):
     blocks = {s: [sorted(v)[i : i + block_rows] for i in range(0, len(v), block_rows)] for s, v in by_source.items()}
     put = lambda s, j, slot: out.extend((s, j, k, slot, *row) for k, row in enumerate(blocks[s][j]))
     while any(served[s] < len(blocks.get(s, [])) for s in share):
-        open_ = [(-(-(served[s] + 1) * total // w), s) for s, w in share.items() if served[s] * total // w <= slot]
-        _, s = min(open_)
-        if served[s] < len(blocks.get(s, [])):
+        left = {s: w for s, w in share.items() if served[s] < len(blocks.get(s, []))}
+        open_ = [(-(-(served[s] + 1) * total // w), s) for s, w in left.items() if served[s] * total // w <= slot]
+        if open_:
+            _, s = min(open_)
             put(s, served[s], slot)
             last = slot
-        served[s] += 1
+            served[s] += 1
         slot += 1
     for j in range(len(blocks.get(mixing.POOLED, []))):
         put(mixing.POOLED, j, (last + 1 if share and any(s in blocks for s in share) else 0) + j)
@@ -411,6 +412,25 @@ def test_mixing_equals_a_simulation(spark, weights, default):
     assert Counter((r.source, r.block, r.in_block, r.slot, r.k, r.did, r.version) for r in got.collect()) == simulated(rows, weights, default, 4)
 
 
+def test_mixing_skips_empty_slots():
+    got = list(mixing.places({"a": 1.0, "b": 1e-9}, {"a": 2, "b": 1000}))
+    assert len(got) == 1002 and all(abs(slot * 1e-9 / (1 + 1e-9) - j) <= 1 for s, j, slot in got if s == "b")
+    assert list(mixing.places({"a": 1.0}, {})) == [] and list(mixing.places({"a": 1.0}, {"z": 2})) == [("z", 0, 0), ("z", 1, 1)]
+
+
+def test_mixing_tells_names_apart(spark):
+    """Sources that bear the names of null and pooled ones keep their own shares."""
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.expr("elt(1 + id % 4, 'a', '(other)', '(none)', NULL)").alias("source"))
+    got = mixing.schedule(d, {"a": 1.0, "(other)": 1.0, "(none)": 1.0, None: 1.0}, block_rows=1)
+    by = {r.lane: r for r in mixing._placed(d, F.col("doc_id"), {"a": 1.0, "(other)": 1.0, "(none)": 1.0, None: 1.0}, None, 1, 0.7, 17).groupBy("lane").agg(
+        F.max("slot").alias("last"), F.count("*").alias("n")
+    ).collect()}
+    assert len(by) == 4 and all(r.n == 100 and r.last >= 396 for r in by.values()) and got.count() == 400
+    rest = mixing._placed(d, F.col("doc_id"), {"a": 1.0, "(other)": 1.0}, None, 1, 0.7, 17).groupBy("lane").agg(F.min("slot").alias("first"), F.max("slot").alias("last"))
+    rest = {r.lane: (r.first, r.last) for r in rest.collect()}
+    assert len(rest) == 3 and rest["rest"][0] == 200 and max(rest["s:a"][1], rest["s:(other)"][1]) == 199
+
+
 def test_mixing_keeps_rows_that_share_a_key(spark):
     """Equal doc_id and text under several sources, repeated rows, and columns named as the operator's own."""
     rows = [
