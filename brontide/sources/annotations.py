@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import clock as C
+from . import files
 
 EVENT_SCHEMA = "patient string, canonical_file_name string, event_id string, seizure_number int, onset_relative_s int, offset_relative_s_canonical int, uncertain_intervals_json string, primary_eligible boolean, edf_duration_s double"
 
@@ -26,7 +27,7 @@ def event_blocks(texts: DataFrame) -> DataFrame:
 
 
 def parse_events(blocks: DataFrame, headers: DataFrame) -> DataFrame:
-    """Relative intervals of the blocks. ``headers``: file_name, start_s (of the day), duration_s.
+    """Relative intervals of the blocks. ``headers``: source, file_name, start_s (of the day), duration_s.
     A missing registration start is taken from the last block of the same file that has one."""
     order = W.partitionBy("source", "file_name").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)
     b = blocks.withColumn("file_name", F.replace("file_name", F.lit("PNO6"), F.lit("PN06")))
@@ -36,7 +37,7 @@ def parse_events(blocks: DataFrame, headers: DataFrame) -> DataFrame:
             "registration_start": F.last("registration_start", ignorenulls=True).over(order)
         }
     )
-    j = b.join(headers, "file_name").withColumns({"onsets": C.candidates(F.col("onset_raw")), "offsets": C.candidates(F.col("offset_raw"))})
+    j = b.join(headers, ["source", "file_name"]).withColumns({"onsets": C.candidates(F.col("onset_raw")), "offsets": C.candidates(F.col("offset_raw"))})
     rel = lambda c: C.relative_seconds(c, F.col("start_s"))
     onset = rel(C.primary_candidate(F.col("onsets"))["clock_s"])
     offset = F.array_min(F.transform("offsets", lambda x: rel(x["clock_s"])))
@@ -228,9 +229,8 @@ def verify_checksums(listed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file_name and sha256 of the files below a folder, hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.sha2("content", 256).alias("sha256"))
+    """file_name (its path below the folder) and sha256 of the files below a folder, hashed in blocks where they lie."""
+    return files.below(spark, path).select(F.col("file").alias("file_name"), "sha256")
 
 
 def event_table(spark: SparkSession, path: str, include_quarantined: bool = False) -> DataFrame:

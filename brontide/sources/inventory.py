@@ -28,7 +28,7 @@ def build(texts: DataFrame, headers: DataFrame, signals: DataFrame, adjudicated:
     registered = N.check_registrations(
         blocks.join(headers, ["source", "file_name"]), adjudicated
     ).select("source", "number", "discrepancy_s", "inherited")
-    parsed = N.parse_events(blocks, headers.drop("source")).drop("discrepancy_s", "registration_inherited", "_n")
+    parsed = N.parse_events(blocks, headers).drop("discrepancy_s", "registration_inherited", "_n")
     events = stored(parsed.join(registered, ["source", "number"]).withColumn("uncertain_flag", F.size("uncertain") > 0), "events")
     channels = stored(N.reconcile_channels(N.declared_channels(texts), signals), "channels")
     counts = channels.groupBy("source", F.col("file").alias("file_name")).agg(

@@ -2,39 +2,26 @@
 
 Data is written by Spark; file systems are reached through Spark's own interface, so paths may
 be of any kind that it reads. What the driver writes is small: a manifest, a record.
+
+A table and its manifest become visible by one rename: both are made in a staging folder beside
+the target, which a later run of the same table takes over if an earlier one died. At no time is
+there a table without a manifest, or half a table.
 """
 
 from __future__ import annotations
 
 import json
 import traceback
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import below as file_hashes
+from .files import exists, hadoop, move, read_json, write_text
 from .provenance import identity
 
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
-
-
-def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, overwrite)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def read_json(spark: SparkSession, path: str) -> dict:
-    """A JSON document as it is: manifests, side files, configurations."""
-    return json.loads(spark.read.text(path, wholetext=True).first().value)
+MANIFEST = "_manifest.json"
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -51,35 +38,35 @@ def write_rows(spark: SparkSession, rows: list[dict], path: str) -> None:
     spark.createDataFrame(text, ", ".join(f"`{n}` string" for n in names)).coalesce(1).write.option("header", True).mode("errorifexists").csv(path)
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    """file (below ``path``), bytes and sha256 of each data file, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return files.where(~F.startswith(name, F.lit("_"))).select(
-        name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+def manifest_of(spark: SparkSession, path: str) -> dict:
+    return read_json(spark, f"{path}/{MANIFEST}")
 
 
-def write_table(df: DataFrame, path: str, kind: str, config: dict, dependencies: dict[str, str]) -> dict:
+def write_table(df: DataFrame, path: str, kind: str, config: dict, dependencies: dict[str, str], partition_by: tuple[str, ...] = ()) -> dict:
     """Parquet, losslessly, with a manifest of its identity and file hashes. A table that is there
-    under another identity is refused; under the same one it stays as it is."""
-    spark = df.sparkSession
-    who, manifest = identity(kind, config, dependencies), f"{path}.manifest.json"
-    if exists(spark, manifest):
-        known = read_json(spark, manifest)
+    under another identity is refused, as is a folder without a manifest; under the same identity
+    the table stays as it is."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    who = identity(kind, config, dependencies)
+    if exists(spark, path):
+        if not exists(spark, f"{path}/{MANIFEST}"):
+            raise ValueError(f"{path} is no table of this sink")
+        known = manifest_of(spark, path)
         if known["identity"] != who:
             raise ValueError(f"{path} was made under another configuration")
         return known
-    df.write.mode("errorifexists").parquet(path)
-    files = [r.asDict() for r in file_hashes(spark, path).orderBy("file").collect()]  # one a file
+    staged = f"{path}.staged-{who[:12]}"
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(staged)
+    files = [r.asDict() for r in file_hashes(spark, staged).orderBy("file").collect()]  # one a file
     spec = {"identity": who, "kind": kind, "config": config, "dependencies": dependencies, "files": files}
-    write_text(spark, manifest, json.dumps(spec, indent=1, sort_keys=True))
+    write_text(spark, f"{staged}/{MANIFEST}", json.dumps(spec, indent=1, sort_keys=True))
+    move(spark, staged, path)
     return spec
 
 
 def changed_files(spark: SparkSession, path: str) -> DataFrame:
     """Files that the manifest of ``path`` lists otherwise than they are, or that only one side has."""
-    listed = read_json(spark, f"{path}.manifest.json")["files"]
+    listed = manifest_of(spark, path)["files"]
     a = spark.createDataFrame([(f["file"], f["sha256"]) for f in listed], "file string, listed string")
     b = file_hashes(spark, path).select("file", F.col("sha256").alias("found"))
     return a.join(b, "file", "full_outer").where(~F.col("listed").eqNullSafe(F.col("found")))
@@ -87,13 +74,24 @@ def changed_files(spark: SparkSession, path: str) -> DataFrame:
 
 def resume_into(todo: DataFrame, path: str, keys: list[str], make) -> DataFrame:
     """Append ``make(rows)`` for the rows of ``todo`` whose keys the table at ``path`` lacks; back comes
-    the whole table. Spark commits an append in whole, so what is there is done."""
-    spark = todo.sparkSession
-    left = todo
-    if exists(spark, path):
-        left = todo.join(spark.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    make(left).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    the whole table. Each run's rows are a folder of their own below ``path``, made aside and moved
+    there by one rename: what is there is done, and what a run that died has left does not count.
+    ``make`` must not depend on the rows there are: it is called on none to learn the columns."""
+    spark, path = todo.sparkSession, path.rstrip("/")
+    made = make(todo.limit(0)).schema
+    fs, p = hadoop(spark, path)
+    fs.mkdirs(p)
+
+    def table() -> DataFrame:
+        runs = [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().startswith("run-")]
+        return spark.read.schema(made).parquet(*runs) if runs else spark.createDataFrame([], made)
+
+    left = todo.join(table().select(*keys).distinct(), keys, "left_anti")
+    if not left.isEmpty():
+        name = uuid.uuid4().hex
+        make(left).write.parquet(f"{path}/_making-{name}")
+        move(spark, f"{path}/_making-{name}", f"{path}/run-{name}")
+    return table()
 
 
 def recorded(spark: SparkSession, path: str, name: str, work):
@@ -112,7 +110,7 @@ def frozen(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     for p in paths:
         if not changed_files(spark, p).isEmpty():
             raise ValueError(f"{p} is not as its manifest says")
-        out |= {f"{p}/{f['file']}": f["sha256"] for f in read_json(spark, f"{p}.manifest.json")["files"]}
+        out |= {f"{p}/{f['file']}": f["sha256"] for f in manifest_of(spark, p)["files"]}
     return out
 
 
@@ -124,7 +122,7 @@ def metadata_identity(spark: SparkSession, manifest: str) -> str:
     if identity("metadata", body, {}) != spec["metadata_identity"]:
         raise ValueError("the manifest is not what its identity stands for")
     for path, who in body["tables"].items():
-        if read_json(spark, f"{path}.manifest.json")["identity"] != who or not changed_files(spark, path).isEmpty():
+        if manifest_of(spark, path)["identity"] != who or not changed_files(spark, path).isEmpty():
             raise ValueError(f"{path} has changed")
     return spec["metadata_identity"]
 

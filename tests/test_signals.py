@@ -1,5 +1,7 @@
 """Kernels with known physics; an EDF round trip; clocks and annotations."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -161,9 +163,11 @@ def test_clocks_and_annotations(spark):
         with pytest.raises(Exception):
             spark.createDataFrame([(bad,)], "raw string").select(C.candidates(F.col("raw"))).collect()
     text = "Seizure n 1\nFile name: f.edf\nRegistration start time: 23.59.50\nRegistration end time: 00.01.30\nSeizure start time: 00.00.05\nSeizure end time: 00.00.15\n"
-    heads = spark.createDataFrame([("f.edf", 23 * 3600 + 59 * 60 + 50, 100)], "file_name string, start_s int, duration_s int")
+    heads = spark.createDataFrame([("a", "f.edf", 23 * 3600 + 59 * 60 + 50, 100), ("b", "f.edf", 0, 100)], "source string, file_name string, start_s int, duration_s int")
     parse = lambda x: N.parse_events(N.event_blocks(spark.createDataFrame([("a", x)], "source string, value string")), heads)
-    r = parse(text).first()
+    r = parse(text).collect()
+    assert len(r) == 1  # another source has a file of the same name
+    r = r[0]
     assert (r.onset_s, r.offset_s, r.number) == (15, 25, 1)
     with pytest.raises(Exception):
         parse(text.replace("00.00.15", "00.02.00")).collect()
@@ -264,15 +268,30 @@ def test_checksums_and_lenient_lists(spark, tmp_path):
     ) == ("PN06-1.edf", 60565, 61205, None, None)
 
 
-def test_staleness_is_inherited(tmp_path):
-    a, b, c = (tmp_path / x for x in "abc")
-    for p in (a, b, c):
-        p.write_text(p.name)
-    P.stamp(b, "cache", {}, [a])
-    P.stamp(c, "result", {}, [b])
-    assert P.status(c) == "current"
-    a.write_text("changed")
-    assert P.status(b) == P.status(c) == "stale"
+def test_staleness_is_inherited(spark, tmp_path, monkeypatch):
+    names = "abcdef"
+    a, b, c, d, e, f = (str(tmp_path / x) for x in names)
+    for n in names:
+        (tmp_path / n).write_text(n)
+    P.stamp(spark, b, "cache", {}, [a])
+    P.stamp(spark, c, "cache", {}, [a])
+    P.stamp(spark, d, "result", {}, [b, c])
+    read = []
+    hash_all = P._hash_all
+    monkeypatch.setattr(P, "_hash_all", lambda s, paths: read.append(paths) or hash_all(s, paths))
+    assert P.status(spark, d) == "current" and len(read) == 1 and len(read[0]) == 4  # a diamond: each file once
+    assert P.statuses(spark, [a, d, e, f + "?"]) == {a: "unstamped", d: "current", e: "unstamped", f + "?": "missing"}
+    (tmp_path / "a").write_text("changed")
+    assert set(P.statuses(spark, [b, c, d]).values()) == {"stale"}
+    with pytest.raises(ValueError):
+        P.require_current(spark, d)
+    P.stamp(spark, e, "x", {}, [f])
+    P.stamp(spark, f, "x", {}, [e])
+    with pytest.raises(ValueError):
+        P.status(spark, e)
+    with pytest.raises(FileNotFoundError):
+        P.stamp(spark, e, "x", {}, [str(tmp_path / "none")])
+    assert P.sha256(spark, a, 3) == hashlib.sha256(b"cha").hexdigest()
 
 
 def test_windows_take_in_the_whole_series(spark):
