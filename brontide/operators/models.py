@@ -1,7 +1,10 @@
-"""Imputation, scaling and group-held-out models on pyspark.ml."""
+"""Imputation, scaling and group-held-out models. Logistic folds are fitted together (:mod:`.folds`), forests by
+pyspark.ml, several at a time."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fusion as U
+from .folds import FoldedLogistic
+
+PARALLEL = 4  # forests fitted at a time
 
 
 def fit_scaler(train: DataFrame, columns: list[str], label: str = "label") -> tuple[dict[str, tuple[float, float, float]], dict[int, int]]:
@@ -82,16 +88,35 @@ class HeldOutModels:
         out = model.transform(scaled(rows, scaler)).withColumn("score", vector_to_array("probability")[1])
         return out.withColumn("score", F.when(F.col(self.available), F.col("score"))).drop("features", "rawPrediction", "probability", "prediction")
 
-    def inner(self, items: list, held) -> DataFrame:
-        """Scores of each item but ``held`` from all items but it and ``held``: what thresholds are chosen on."""
-        rest = sorted(i for i in items if i != held)
-        if len(rest) < 2:
+    def folded(self, items: list) -> FoldedLogistic | None:
+        """All folds of these items at once, where the models allow it."""
+        key = ("folded", tuple(sorted(items)))
+        if self.kind == "logistic" and not self.params and key not in self.cache:
+            self.cache[key] = FoldedLogistic(self.frame, self.item, self.columns, items, self.available)
+        return self.cache.get(key)
+
+    def _each(self, fits: list[tuple[list, list, list, str, object]]) -> DataFrame:
+        """Scores of several fits (train, test, forbidden, name of a column, its value), fitted side by side."""
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            parts = list(pool.map(lambda f: self.score(*f[:3]).withColumn(f[3], F.lit(f[4])), fits))
+        return _stacked(parts)
+
+    def inner(self, items: list, held=None) -> DataFrame:
+        """Scores of each item but ``held`` from all items but it and ``held``: what thresholds are chosen
+        on; of all items in turn without ``held``."""
+        if len(items) < 3 and (held is None or held in items) or len(items) < 2:
             raise ValueError("Calibration-limited: fewer than two inner items")
-        return _stacked(self.score([i for i in rest if i != v], [v], [held]).withColumn("held", F.lit(held)) for v in rest)
+        if folded := self.folded(items if held is None else [*{*items, held}]):
+            return folded.inner(None if held is None else [held])
+        return self._each(
+            [([i for i in items if i not in (h, v)], [v], [h], "held", h) for h in (sorted(items) if held is None else [held]) for v in sorted(items) if v != h]
+        )
 
     def nested(self, items: list) -> DataFrame:
         """Outer scores of each item from all others; :meth:`inner` gives what was to be known before."""
-        return _stacked(self.score([i for i in items if i != held], [held]).withColumn("fold", F.lit(held)) for held in sorted(items))
+        if folded := self.folded(items):
+            return folded.outer()
+        return self._each([([i for i in items if i != held], [held], [], "fold", held) for held in sorted(items)])
 
 
 def _stacked(parts) -> DataFrame:
@@ -114,7 +139,8 @@ class FusionModels:
             "score_early": of([*first, *[f"early__{c}" for c in second]], "available")
         }
 
-    def inner(self, items: list, held) -> DataFrame:
+    def inner(self, items: list, held=None) -> DataFrame:
+        """Inner scores of the fold that leaves ``held`` out, or of all folds, each named by ``held``."""
         return self._joined({n: m.inner(items, held) for n, m in self.models.items()}, ["held"])
 
     def outer(self, items: list) -> DataFrame:

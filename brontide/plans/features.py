@@ -189,8 +189,8 @@ def _training(spark, sf):
 
 
 def q37_nested_models(spark, sf):
-    """Held-out logistic scores of five groups; the training rows are kept, as each fold reads them."""
-    frame = _training(spark, sf).select("rec", "grp", "t", "label", "available", "training_eligible", "eeg__one", "eeg__two").persist()
+    """Held-out logistic scores of five groups; the rows are stored, as each step reads them."""
+    frame = stored(_training(spark, sf).select("rec", "grp", "t", "label", "available", "training_eligible", "eeg__one", "eeg__two"), "frame")
     out = N.HeldOutModels(frame, "grp", ["eeg__one", "eeg__two"]).nested(list(range(5)))
     return out.select("rec", "t", "fold", "label", "score")
 
@@ -361,15 +361,15 @@ def _fusion_frame(spark, sf):
 
 
 def q63_inner_scores(spark, sf):
-    """Scores of three models for the choice of thresholds, before group 0 is scored."""
+    """Scores of three models for the choice of thresholds, for every group that is held out in turn."""
     frame = stored(_fusion_frame(spark, sf), "frame")
-    return N.FusionModels(frame, "grp", ["eeg__one"], ["ecg__two"], ["rec", "t"], kind="logistic").inner(list(range(5)), 0)
+    return N.FusionModels(frame, "grp", ["eeg__one"], ["ecg__two"], ["rec", "t"], kind="logistic").inner(list(range(5)))
 
 
 def q64_forest_scores(spark, sf):
-    """Scores of group 0 by a forest over the others."""
+    """Scores of each group by a forest over the others."""
     frame = stored(_fusion_frame(spark, sf), "frame")
-    return N.HeldOutModels(frame, "grp", ["eeg__one", "ecg__two"], "forest").score([1, 2, 3, 4], [0]).select("rec", "t", "label", "score")
+    return N.HeldOutModels(frame, "grp", ["eeg__one", "ecg__two"], "forest").nested(list(range(5))).select("rec", "t", "fold", "label", "score")
 
 
 def q65_anchor_rows(spark, sf):
