@@ -8,7 +8,7 @@ most two decisions apart form one alarm.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -66,3 +66,73 @@ def alarm_stream(decisions: DataFrame, keys: list[str], stride: int) -> DataFram
         *keys, "declaration", F.when(closed, F.col("z.low2")).otherwise(F.col("z.last_cut.at")).alias("end"),
         F.when(closed, TWO_BELOW).otherwise(F.col("z.last_cut.why")).alias("reason")
     )
+
+
+def reached(score: Column, thresholds: list[float]) -> Column:
+    """How many of the thresholds, which ascend, a score reaches: it reaches the first so many."""
+    return sum((F.when(score >= x, 1).otherwise(0) for x in thresholds), F.lit(0))
+
+
+def alarm_levels(
+    decisions: DataFrame, keys: list[str], stride: int, thresholds: list[float], name: str, families: dict[object, tuple[Column, Column]], at: str = "at"
+) -> DataFrame:
+    """The alarms of every threshold and several scores at once: what :func:`alarm_stream` gives for each
+    of them, from one sort of the decisions, a row each.
+
+    ``families``: for each value of the column ``name`` the score, and how many ``thresholds`` (ascending)
+    a decision is high at: always the first so many. A decision begins an alarm at those of its
+    thresholds that neither of the two before it reaches, and ends one at those that neither of the two
+    after it does, so both are ranges of thresholds, and only where an alarm begins or ends is there a
+    row a threshold. ``decisions`` as in :func:`alarm_stream`, without score and threshold. Back: keys,
+    ``name``, ``at`` (the threshold), declaration, end, reason."""
+    order = W.partitionBy(*keys).orderBy("t")
+    numbered = list(enumerate(families.items()))
+    d = decisions.select(
+        *keys, "t", "duration", "barrier_next", F.coalesce(F.col("barrier_until") > F.col("t"), F.lit(False)).alias("held"), F.col("available").alias("_available"),
+        *[c for i, (_, (score, level)) in numbered for c in (score.cast("double").alias(f"_score{i}"), F.coalesce(level, F.lit(0)).cast("int").alias(f"_high{i}"))],
+    )
+    usable = lambda s: F.col("_available") & s.isNotNull() & ~F.isnan(s) & (F.abs(s) < F.lit(float("inf")))
+    d = d.withColumns({f"_ok{i}": F.coalesce(usable(F.col(f"_score{i}")), F.lit(False)) for i, _ in numbered})
+    bad = (F.col("t") < 0) | (F.col("t") >= F.col("duration")) | F.coalesce(F.lag("t").over(order) == F.col("t"), F.lit(False))
+    for i, _ in numbered:
+        bad = bad | (F.col(f"_ok{i}") & ~F.col(f"_score{i}").between(0, 1))
+    t, nxt, stop = F.col("t"), F.col("_nt"), F.least(F.col("t") + stride, F.col("duration"))
+    d = d.withColumns({"_bad": bad, "_nt": F.lead("t").over(order)} | {f"_next{i}": F.lead(f"_ok{i}").over(order) for i, _ in numbered})
+    wrong = F.raise_error(F.lit("decisions must have times of their own in the recording and scores in [0, 1]")).cast("boolean")
+    d = d.withColumn("held", F.when(F.col("_bad"), wrong).otherwise(F.col("held")))
+    inside = F.when(F.col("barrier_next") < stop, F.col("barrier_next"))
+    met = F.when(nxt.isNotNull(), F.when(F.col("held"), t).when(F.col("barrier_next") <= nxt, F.col("barrier_next")))
+    d = d.withColumns({"_inside": inside, "_met": met, "_first": F.least(met, F.when(nxt > t + stride, t + stride))})
+
+    def cut(i: int) -> Column:
+        """Where and why whatever is going on at a decision stops before the next one, if it does."""
+        last_at = F.coalesce(F.col("_inside"), stop)
+        last_why = F.when(F.col("_inside").isNotNull(), GAP).when(stop == F.col("duration"), END).otherwise(MISSING)
+        by_next = ~F.col(f"_next{i}")
+        here = F.when(F.col("_first").isNotNull(), F.greatest(t, F.col("_first"))).when(by_next, nxt)
+        why = F.when(F.col("_met") == F.col("_first"), GAP).when(F.col("_first").isNotNull(), MISSING).when(by_next, UNAVAILABLE)
+        return F.struct(F.when(nxt.isNull(), last_at).otherwise(here).alias("at"), F.when(nxt.isNull(), last_why).otherwise(why).alias("why"))
+
+    d = d.withColumns({f"_cut{i}": cut(i) for i, _ in numbered} | {f"_live{i}": F.col(f"_ok{i}") & ~F.col("held") for i, _ in numbered})
+    breaks = lambda i: (F.col(f"_cut{i}.at").isNotNull() | ~F.col(f"_live{i}")).cast("int")
+    d = d.withColumns({f"_seg{i}": F.coalesce(F.sum(breaks(i)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for i, _ in numbered})
+    state = lambda i: F.struct(
+        F.col(f"_seg{i}").alias("seg"), F.col(f"_live{i}").alias("live"), F.when(F.col(f"_live{i}"), F.col(f"_high{i}")).otherwise(0).alias("high"), F.col(f"_cut{i}").alias("cut"), "t"
+    )
+    d = d.select(*keys, "t", *[state(i).alias(f"_{i}") for i, _ in numbered])
+    d = d.withColumns({f"_{i}_{k}": (F.lag(f"_{i}", -k) if k < 0 else F.lead(f"_{i}", k)).over(order) for i, _ in numbered for k in (-2, -1, 1, 2)})
+
+    def of(i: int, value: object) -> Column:
+        near = lambda k: F.col(f"_{i}_{k}.live") & (F.col(f"_{i}_{k}.seg") == F.col(f"_{i}.seg"))
+        high = lambda k: F.when(near(k), F.col(f"_{i}_{k}.high")).otherwise(0)
+        closed, final = near(2), F.when(near(1), F.col(f"_{i}_1.cut")).otherwise(F.col(f"_{i}.cut"))
+        return F.struct(
+            F.lit(value).alias("name"), F.col(f"_{i}.high").alias("high"), F.greatest(high(-1), high(-2)).alias("before"), F.greatest(high(1), high(2)).alias("after"),
+            F.struct(F.when(closed, F.col(f"_{i}_2.t")).otherwise(final["at"]).alias("end"), F.when(closed, TWO_BELOW).otherwise(final["why"]).alias("reason")).alias("stop")
+        )
+
+    d = d.select(*keys, "t", F.inline(F.array(*[of(i, value) for i, (value, _) in numbered]))).where("high > least(before, after)")
+    d = d.withColumn("_j", F.explode(F.sequence(F.least("before", "after") + 1, F.col("high"))))
+    one = W.partitionBy(*keys, "name", "_j").orderBy("t")
+    d = d.withColumn("stop", F.when(F.col("_j") > F.col("after"), F.col("stop")).otherwise(F.lead("stop").over(one))).where("_j > before")
+    return d.select(*keys, F.col("name").alias(name), F.array(*map(F.lit, thresholds))[F.col("_j") - 1].alias(at), F.col("t").alias("declaration"), "stop.*")

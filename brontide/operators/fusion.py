@@ -33,6 +33,16 @@ def check_alpha(alpha: Column, allowed: list[float]) -> Column:
     )
 
 
+def second_counts() -> Column:
+    return F.col("available2") & F.col("score2").isNotNull()
+
+
+def late_score(alpha: Column, q: Column | None = None) -> tuple[Column, Column]:
+    """The weighted score where the second modality counts, else the first one's; and whether it is weighted."""
+    active = (second_counts() if q is None else q) & (alpha != 0)
+    return F.when(active, (1 - alpha) * F.col("score1") + alpha * F.col("score2")).otherwise(F.col("score1")), active
+
+
 def late(
     df: DataFrame, alpha: Column, threshold: Column, first_threshold: Column, outage: bool = False, allowed: list[float] | None = None
 ) -> DataFrame:
@@ -40,9 +50,8 @@ def late(
     threshold; a missing score is never multiplied by zero. Adds score, threshold, q. A weight that
     is none of those ``allowed`` stops the job."""
     alpha = check_alpha(alpha, allowed) if allowed else alpha
-    q = F.lit(False) if outage else (F.col("available2") & F.col("score2").isNotNull())
-    active = q & (alpha != 0)
-    score = F.when(active, (1 - alpha) * F.col("score1") + alpha * F.col("score2")).otherwise(F.col("score1"))
+    q = F.lit(False) if outage else second_counts()
+    score, active = late_score(alpha, q)
     return df.withColumns({"q": q, "score": score, "threshold": F.when(active, threshold).otherwise(first_threshold)})
 
 

@@ -65,12 +65,12 @@ def many(df: DataFrame, grids: dict[str, list]) -> DataFrame:
 
 
 def sweep(
-    decisions: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], grids: dict[str, list], stride: int
+    alarms: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], grids: dict[str, list]
 ) -> tuple[DataFrame, DataFrame]:
     """Detection of every grid point at once: (measures by fold and point, the judged alarms and
-    events). ``decisions`` carry the grids' columns and the threshold that each row stands under."""
+    events). ``alarms`` carry the grids' columns."""
     unit = list(dict.fromkeys([*keys, *fold, *grids]))
-    judged = stored(M.judged(A.alarm_stream(decisions, unit, stride), many(events, grids), unit), "judged")
+    judged = stored(M.judged(alarms, many(events, grids), unit), "judged")
     time = budget.groupBy(*fold).agg(*[F.sum(c).alias(c) for c in Q.TIMES])
     return Q.summarize(judged, many(time, grids), [*fold, *grids]), judged
 
@@ -87,10 +87,13 @@ def select_fusion(
     ``aligned``: keys, fold, t, duration, barrier_until, barrier_next, available, available2, score1, score2,
     score_early; ``events``: keys, fold, event_id, start, end; ``budget``: fold and the times.
     Rows whose second score does not count stand under F0's threshold, and so there are two
-    sweeps, and the second begins with the choice of the first."""
+    sweeps, and the second begins with the choice of the first. A decision is one row in both, with
+    the number of thresholds that it reaches for each score (:func:`.alarms.alarm_levels`)."""
+    unit, least = list(dict.fromkeys([*keys, *fold])), sorted(THRESHOLDS)
     one = {"family": ["base", "early"], "at": THRESHOLDS}
-    score = F.when(F.col("family") == "base", F.col("score1")).otherwise(F.col("score_early"))
-    alone, judged = sweep(many(aligned, one).withColumns({"score": score, "threshold": F.col("at")}), events, budget, keys, fold, one, stride)
+    scores = {"base": F.col("score1"), "early": F.col("score_early")}
+    alarms = A.alarm_levels(aligned, unit, stride, least, "family", {n: (c, A.reached(c, least)) for n, c in scores.items()})
+    alone, judged = sweep(alarms, events, budget, keys, fold, one)
     alone = stored(alone.withColumnRenamed("at", "threshold"), "alone")
     base, early = (choose(alone.where(F.col("family") == f), fold, limit=limit) for f in ("base", "early"))
     base = stored(base, "base")
@@ -100,9 +103,12 @@ def select_fusion(
     )
 
     two = {"alpha": ALPHAS[1:], "at": THRESHOLDS}
-    fused, judged = sweep(
-        U.late(many(aligned, two).join(chosen, fold), F.col("alpha"), F.col("at"), F.col("base_threshold")), events, budget, keys, fold, two, stride
-    )
+    fused_by = {}
+    for alpha in ALPHAS[1:]:
+        score, active = U.late_score(F.lit(alpha))
+        alone_high = F.when(F.col("score1") >= F.col("base_threshold"), len(least)).otherwise(0)
+        fused_by[alpha] = (score, F.when(active, A.reached(score, least)).otherwise(alone_high))
+    fused, judged = sweep(A.alarm_levels(aligned.join(chosen, fold), unit, stride, least, "alpha", fused_by), events, budget, keys, fold, two)
     both = judged.where("kind = 'event' AND detected").join(delays, [*dict.fromkeys([*fold, *keys]), "event_id"])
     paired = both.groupBy(*fold, "alpha", F.col("at").alias("threshold")).agg(
         F.count("*").alias("common_events"), F.median(F.col("delay") - F.col("delay0")).alias("common_delay_delta")

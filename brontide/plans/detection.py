@@ -88,9 +88,9 @@ def _group(d):
 
 
 def _sweep(spark, sf, fold):
-    """Metrics of every threshold in one job: the grid joins the key of the windows."""
-    swept = S.grid(B.ready(spark, sf), "threshold", SWEEP)
-    alarms = A.alarm_stream(swept.withColumn("thr", F.col("threshold")), ["rec", "thr"], B.STRIDE)
+    """Metrics of every threshold in one job, from one sort of the decisions."""
+    score = F.col("score")
+    alarms = A.alarm_levels(B.ready(spark, sf), K, B.STRIDE, SWEEP, "family", {"one": (score, A.reached(score, SWEEP))}, at="thr").drop("family")
     judged = M.judged(alarms, S.grid(B.events(spark, sf), "thr", SWEEP), ["rec", "thr"])
     budget = _group(_budget(spark, sf)).groupBy(*fold).agg(*[F.sum(c).alias(c) for c in Q.TIMES])
     out = Q.summarize(_group(judged), S.grid(budget, "thr", SWEEP), [*fold, "thr"]).withColumnRenamed("thr", "threshold")
