@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import intervals as I
+from . import ranges as G
+from .staging import stored
 
 HOUR = 3_600_000_000
 TIMES = ["raw", "startup", "uncertain", "other_unavailable", "evaluable"]
@@ -29,24 +30,35 @@ def time_budget(recordings: DataFrame, decisions: DataFrame, uncertain: DataFram
     return out.withColumn("other_unavailable", F.col("raw") - F.col("startup") - F.col("uncertain") - F.col("evaluable"))
 
 
-def detection(judged: DataFrame, level: list[str]) -> DataFrame:
+DELAYS = {"delay_median": 0.5, "delay_q25": 0.25, "delay_q75": 0.75}
+
+
+def detection(judged: DataFrame, level: list[str], few: bool = True) -> DataFrame:
     """Counts, alarm time and delays of :func:`.matching.judged` rows at any level, in one aggregation.
-    Delays are those of the events, never averages of averages. Duplicates count as false."""
+    Delays are those of the events, never averages of averages. Duplicates count as false. ``few``:
+    the delays of a unit fit into one task, as those of a recording do; else their quantiles are
+    found without gathering them."""
     alarm, event = F.col("kind") == "alarm", F.col("kind") == "event"
     length = F.col("alarm.end") - F.col("declaration")
     delay = F.when(F.col("detected"), F.col("delay"))
-    return judged.groupBy(*level).agg(
+    counts = judged.groupBy(*level).agg(
         F.count_if(event).alias("events"), F.count_if(F.col("detected")).alias("detected"), F.count_if(F.col("overlap_detected")).alias("overlap_detected"),
         F.count_if(alarm & (F.col("status") != "matched")).alias("false_declarations"), F.count_if(alarm & (F.col("status") == "duplicate")).alias("duplicate_declarations"), F.count_if(alarm).alias("total_declarations"),
         F.coalesce(F.sum(F.when(alarm, length)), F.lit(0)).alias("active"), F.coalesce(F.max(F.when(alarm, length)), F.lit(0)).alias("longest"),
-        F.count(delay).alias("delay_n"), F.median(delay).alias("delay_median"), F.percentile(delay, 0.25).alias("delay_q25"), F.percentile(delay, 0.75).alias("delay_q75"), F.min(delay).alias("delay_min"), F.max(delay).alias("delay_max"))
+        F.count(delay).alias("delay_n"), *([F.percentile(delay, q).alias(n) for n, q in DELAYS.items()] if few else []), F.min(delay).alias("delay_min"), F.max(delay).alias("delay_max"))
+    if few:
+        return counts
+    spread = G.quantiles(judged.where("kind = 'event' AND detected"), level, "delay", DELAYS)
+    return (counts.join(spread, level, "left") if level else counts.join(F.broadcast(spread), F.lit(True), "left")).select(  # without a level: a row each
+        *[c for c in counts.columns if c not in ("delay_min", "delay_max")], *DELAYS, "delay_min", "delay_max"
+    )
 
 
-def summarize(judged: DataFrame, budget: DataFrame, level: list[str]) -> DataFrame:
-    """Detection measures and time at any level; ratios without a denominator are null. ``budget``:
+def summarize(judged: DataFrame, budget: DataFrame, level: list[str], few: bool = True) -> DataFrame:
+    """Detection measures and time at any level (see :func:`detection`); ratios without a denominator are null. ``budget``:
     the columns of :func:`time_budget`, with those of ``level``; units without alarms and events count."""
     time = budget.groupBy(*level).agg(*[F.sum(c).alias(c) for c in TIMES])
-    found = detection(judged, level)
+    found = detection(judged, level, few)
     out = time.join(found, level, "left") if level else time.crossJoin(found)  # a row each
     out = out.fillna(0, [c for c in found.columns if c not in level and not c.startswith("delay_")] + ["delay_n"])
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
@@ -58,15 +70,18 @@ def summarize(judged: DataFrame, budget: DataFrame, level: list[str]) -> DataFra
 
 def score_quality(scored: DataFrame, level: list[str]) -> DataFrame:
     """Average precision (steps, ties together) and area under the ROC curve (average ranks) of
-    scored rows with label 0 or 1; null unless both occur. Rows are first counted per score."""
-    by_score = scored.where("label >= 0 AND score IS NOT NULL").groupBy(*level, "score").agg(
-        F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n")
+    scored rows with label 0 or 1; null unless both occur. Rows are first counted per score; how
+    many lie below a score is a prefix sum over ranges of scores (:mod:`.ranges`), so a level of
+    any size is spread over tasks."""
+    by_score = stored(
+        scored.where("label >= 0 AND score IS NOT NULL AND NOT isnan(score)").groupBy(*level, "score").agg(
+            F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n")
+        ),
+        "scores"
     )
-    whole = W.partitionBy(*level)
-    down = whole.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    up = whole.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    s = by_score.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "below": F.coalesce(F.sum("n").over(up), F.lit(0))})
-    s = s.withColumns({"_ap": F.col("p") * F.col("tp") / F.col("seen"), "_rank": F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)})
+    s = G.running(by_score, level, "score", ["p", "n"])
+    tp, seen = F.col("p_total") - F.col("p_before"), F.col("n_total") - F.col("n_before")
+    s = s.withColumns({"_ap": F.col("p") * tp / seen, "_rank": F.col("p") * (F.col("n_before") + (F.col("n") + 1) / 2)})
     out = s.groupBy(*level).agg(
         F.sum("n").alias("window_n"), F.sum("p").alias("window_positive"), F.sum("_ap").alias("_ap"), F.sum("_rank").alias("_rank")
     )

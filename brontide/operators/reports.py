@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import fusion as U
 from . import intervals as I
 from . import proximity as P
+from . import ranges as G
 
 
 def response_windows(
@@ -77,9 +78,8 @@ def coverage(recordings: DataFrame, decisions: DataFrame, uncertain: DataFrame,
 
 
 def shift_quantiles(df: DataFrame, level: list[str], value: str, background: Column, at: list[float] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """Exact quantiles of the background rows."""
-    q = df.where(background & F.col(value).isNotNull()).groupBy(*level).agg(F.percentile(value, F.array(*map(F.lit, at))).alias("_q"))
-    return q.select(*level, *[F.get("_q", F.lit(i)).alias(f"q{round(x * 100):02d}") for i, x in enumerate(at)])
+    """Exact quantiles of the background rows; levels of any size are spread over tasks (:mod:`.ranges`)."""
+    return G.quantiles(df.where(background), level, value, {f"q{round(x * 100):02d}": x for x in at})
 
 
 def contribution(exposure: DataFrame, active_cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,9 @@ Every table follows from one judged series of alarms and events per recording an
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ LEVELS = {"parent": ["grp", "rec"], "patient": ["grp"], "pooled": []}
 def level_metrics(judged: DataFrame, budget: DataFrame, scored: DataFrame, level: list[str]) -> DataFrame:
     """Detection, time and score quality of each model at a level. ``scored``: level, model, score, label."""
     by = [*level, "model"]
-    return Q.summarize(judged, budget, by).join(Q.score_quality(scored, by), by, "left").fillna(0, ["window_n", "window_positive"])
+    return Q.summarize(judged, budget, by, few="rec" in level).join(Q.score_quality(scored, by), by, "left").fillna(0, ["window_n", "window_positive"])
 
 
 def paired_comparison(metrics: dict[str, DataFrame], base: str = "F0", fused: str = "F2") -> DataFrame:
@@ -71,42 +74,69 @@ def event_comparison(judged: DataFrame, stream: DataFrame, keys: list[str], stri
     ).drop("_q")
 
 
-def build_tables(streams: DataFrame, events: DataFrame, uncertain: DataFrame, startup: int, stride: int) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each made when it is first asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self.makers = {name: cache(make) for name, make in makers.items()}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.makers[name]()
+
+    def __iter__(self):
+        return iter(self.makers)
+
+    def __len__(self) -> int:
+        return len(self.makers)
+
+
+def build_tables(streams: DataFrame, events: DataFrame, uncertain: DataFrame, startup: int, stride: int) -> Tables:
     """``streams``: grp, rec, t, duration, model (of ``MODELS``), score, threshold, available, q, alpha, label;
-    ``events``: rec, event_id, start, end; ``uncertain``: rec, start, end."""
-    unit = ["grp", "rec", "model"]
-    streams = stored(streams, "streams")
-    recordings = streams.select(*unit, "duration").distinct()
-    spread = lambda d: recordings.drop("duration").join(d, "rec")
-    judged = stored(M.judged(A.alarm_stream(T.around(streams, {"barrier": uncertain}, ["rec"]), unit, stride), spread(events), unit), "judged")
-    unsure = spread(uncertain)
-    budget = stored(Q.time_budget(recordings, streams, unsure, unit, startup, stride), "budget")
-    exposure = I.exposure(streams, unsure, None, unit, stride, F.col("duration"))
-    scored = streams.where("available")
-    metrics = {name: stored(level_metrics(judged, budget, scored, level), name) for name, level in LEVELS.items()}
-    alarms = judged.where("kind = 'alarm'").select(*unit, "alarm.*", "status", F.coalesce("event_id", F.lit("")).alias("event_id"))
-    matches = judged.where("kind = 'event'").select(*unit, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected")
-
-    fused = streams.where("model = 'F2'")
-    q1 = R.contribution(
-        exposure.where("model = 'F2'").drop("model"), I.cells(fused.where("q"), ["grp", "rec"], stride, F.col("duration")), ["grp", "rec"]
-    )
-    alphas = fused.groupBy("grp", "rec").agg(F.first("alpha").alias("alpha"))
-    shares = q1.join(alphas, ["grp", "rec"]).withColumn("active", F.when(F.col("alpha") > 0, F.col("q1")).otherwise(0))
+    ``events``: rec, event_id, start, end; ``uncertain``: rec, start, end. A table runs what it needs,
+    and what several need is stored once."""
+    unit, keys = ["grp", "rec", "model"], ["grp", "rec"]
     sums = [F.sum(c).alias(c) for c in ("evaluable", "q1", "q0", "active")]
     part = F.try_divide(F.col("q1").cast("double"), F.col("evaluable").cast("double"))
-
-    wrong = alarms.where("status <> 'matched'")
-    first, second = (wrong.where(F.col("model") == m).drop("model") for m in ("F0", "F2"))
-    fates = stored(M.alarm_fates(first, second, ["grp", "rec"], stride), "fates")
-    at = fused.select("grp", "rec", F.col("t").alias("declaration"), "q", "alpha", "score", "threshold")
-    added = fates.where("fate = 'added'").select("grp", "rec", F.col("other").alias("declaration"))
-    return {
-        "fold_metrics": metrics["parent"], "patient_metrics": metrics["patient"], "pooled_metrics": metrics["pooled"], "alarms": alarms, "event_matches": matches, "evaluation_exposure": exposure,
-        "paired_comparison": paired_comparison(metrics), "event_comparison": event_comparison(judged, fused, ["grp", "rec"], stride).join(alphas, ["grp", "rec"]),
-        "false_alarm_fate": fates.where("fate <> 'added'").join(at, ["grp", "rec", "declaration"], "left"), "added_false_alarms": second.join(added, ["grp", "rec", "declaration"]),
-        "ecg_contribution_recordings": shares, "ecg_contribution_patients": shares.groupBy("grp").agg(*sums).withColumn("q1_fraction", part), "alpha_distribution": shares.groupBy("grp", "alpha").agg(F.count("*").alias("folds"), *sums),
-    }
+    kept = cache(lambda: stored(streams, "streams"))
+    recordings = cache(lambda: kept().select(*unit, "duration").distinct())
+    spread = lambda d: recordings().drop("duration").join(d, "rec")
+    fused = cache(lambda: kept().where("model = 'F2'"))
+    alphas = cache(lambda: fused().groupBy(*keys).agg(F.first("alpha").alias("alpha")))
+    exposure = cache(lambda: I.exposure(kept(), spread(uncertain), None, unit, stride, F.col("duration")))
+
+    @cache
+    def judged() -> DataFrame:
+        alarms = A.alarm_stream(T.around(kept(), {"barrier": uncertain}, ["rec"]), unit, stride)
+        return stored(M.judged(alarms, spread(events), unit), "judged")
+
+    budget = cache(lambda: stored(Q.time_budget(recordings(), kept(), spread(uncertain), unit, startup, stride), "budget"))
+    metrics = {
+        name: cache(lambda name=name, level=level: stored(level_metrics(judged(), budget(), kept().where("available"), level), name))
+        for name, level in LEVELS.items()
+    }
+    alarms = cache(lambda: judged().where("kind = 'alarm'").select(*unit, "alarm.*", "status", F.coalesce("event_id", F.lit("")).alias("event_id")))
+    wrong = lambda model: alarms().where((F.col("status") != "matched") & (F.col("model") == model)).drop("model")
+    fates = cache(lambda: stored(M.alarm_fates(wrong("F0"), wrong("F2"), keys, stride), "fates"))
+
+    @cache
+    def shares() -> DataFrame:
+        counted = I.cells(fused().where("q"), keys, stride, F.col("duration"))
+        q1 = R.contribution(exposure().where("model = 'F2'").drop("model"), counted, keys)
+        return q1.join(alphas(), keys).withColumn("active", F.when(F.col("alpha") > 0, F.col("q1")).otherwise(0))
+
+    def fate_rows() -> DataFrame:
+        at = fused().select(*keys, F.col("t").alias("declaration"), "q", "alpha", "score", "threshold")
+        return fates().where("fate <> 'added'").join(at, [*keys, "declaration"], "left")
+
+    return Tables({
+        "fold_metrics": metrics["parent"], "patient_metrics": metrics["patient"], "pooled_metrics": metrics["pooled"], "alarms": alarms,
+        "event_matches": lambda: judged().where("kind = 'event'").select(*unit, "event_id", "onset", "offset", "detected", "declaration", "delay", "overlap_detected"),
+        "evaluation_exposure": exposure, "paired_comparison": lambda: paired_comparison({name: m() for name, m in metrics.items()}),
+        "event_comparison": lambda: event_comparison(judged(), fused(), keys, stride).join(alphas(), keys), "false_alarm_fate": fate_rows,
+        "added_false_alarms": lambda: wrong("F2").join(fates().where("fate = 'added'").select(*keys, F.col("other").alias("declaration")), [*keys, "declaration"]),
+        "ecg_contribution_recordings": shares, "ecg_contribution_patients": lambda: shares().groupBy("grp").agg(*sums).withColumn("q1_fraction", part),
+        "alpha_distribution": lambda: shares().groupBy("grp", "alpha").agg(F.count("*").alias("folds"), *sums),
+    })
 
 
 def fate_counts(fates: DataFrame, level: list[str]) -> DataFrame:

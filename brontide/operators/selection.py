@@ -92,6 +92,7 @@ def select_fusion(
     unit, least = list(dict.fromkeys([*keys, *fold])), sorted(THRESHOLDS)
     one = {"family": ["base", "early"], "at": THRESHOLDS}
     scores = {"base": F.col("score1"), "early": F.col("score_early")}
+    aligned = stored(aligned, "aligned")
     alarms = A.alarm_levels(aligned, unit, stride, least, "family", {n: (c, A.reached(c, least)) for n, c in scores.items()})
     alone, judged = sweep(alarms, events, budget, keys, fold, one)
     alone = stored(alone.withColumnRenamed("at", "threshold"), "alone")
