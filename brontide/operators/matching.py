@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import overlap as O
+from .staging import stored
 
 _CLOSE, _OPEN, _ALARM = 0, 1, 2  # order of what happens at one time
 
@@ -77,34 +78,48 @@ def match_overlapping(alarms: DataFrame, events: DataFrame, keys: list[str]) ->
     return alarms.groupBy(*keys).cogroup(events.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def _closest(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b, dist) one to one, the closest first, then the earliest: in each round those that are
+    the first choice of both sides, which the greedy order would take whatever else it takes, until
+    no pair is left. A round settles the closest pair of every chain at least."""
+    first = lambda side, other: F.row_number().over(W.partitionBy(*keys, side).orderBy("dist", other)) == 1
+    left, taken = stored(pairs, "pairs"), None
+    while not left.isEmpty():
+        now = stored(left.withColumns({"_a": first("a", "b"), "_b": first("b", "a")}).where("_a AND _b").select(*keys, "a", "b"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        left = stored(left.join(now.select(*keys, "a"), [*keys, "a"], "left_anti").join(now.select(*keys, "b"), [*keys, "b"], "left_anti"), "pairs")
+    return left.select(*keys, "a", "b") if taken is None else taken
+
+
 def alarm_fates(before: DataFrame, after: DataFrame, keys: list[str], near: int) -> DataFrame:
     """What becomes of the alarms of one stream in another, one to one: the same declaration
     (preserved), one at most ``near`` away (shifted), an overlapping alarm (replaced), or none
     (suppressed); alarms of the other stream left over are added. Each stage takes the closest
-    pairs first. Sequential by nature; one recording is one group."""
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        key = (a if len(a) else b)[keys].iloc[0].to_dict()
-        a, b = (sorted(zip(x["declaration"].tolist(), x["end"].tolist(), strict=True)) for x in (a, b))
-        fate: dict[int, tuple[int, str]] = {}
-        used: set[int] = set()
-        for stage in ("preserved", "shifted", "replaced"):
-            fits = {
-                "preserved": lambda x, y: x[0] == y[0], "shifted": lambda x, y: abs(x[0] - y[0]) <= near,
-                "replaced": lambda x, y: max(x[0], y[0]) < min(x[1], y[1])
-            }[stage]
-            for _, i, j in sorted(
-                (abs(x[0] - y[0]), i, j) for i, x in enumerate(a) if i not in fate for j, y in enumerate(b) if j not in used and fits(x, y)
-            ):
-                if i not in fate and j not in used:
-                    fate[i] = (j, stage)
-                    used.add(j)
-        rows = [(x[0], b[fate[i][0]][0] if i in fate else None, fate[i][1] if i in fate else "suppressed") for i, x in enumerate(a)]
-        rows += [(None, y[0], "added") for j, y in enumerate(b) if j not in used]
-        out = pd.DataFrame(rows, columns=["declaration", "other", "fate"]).astype({"declaration": "Int64", "other": "Int64"})
-        return out.assign(**key)[[*keys, "declaration", "other", "fate"]]
-
-    types = {f.name: f.dataType.simpleString() for f in before.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", declaration bigint, other bigint, fate string"
-    cols = [*keys, "declaration", "end"]
-    return before.select(*cols).toDF(*cols).groupBy(*keys).cogroup(after.select(*cols).toDF(*cols).groupBy(*keys)).applyInPandas(run, schema)
+    pairs first. Candidates come from an index of cells (:mod:`.overlap`), so a recording of many
+    alarms makes pairs of neighbours only."""
+
+    def side(d: DataFrame, name: str) -> DataFrame:
+        same = F.row_number().over(W.partitionBy(*keys, "declaration").orderBy("end"))
+        d = d.select(*keys, F.col("declaration").cast("bigint"), F.col("end").cast("bigint")).withColumn("k", same)
+        return stored(d.select(*keys, F.struct("declaration", "end", "k").alias(name)), "alarms")
+
+    a, b = side(before, "a"), side(after, "b")
+    rows = None
+    for fate in ("preserved", "shifted", "replaced"):
+        if fate == "preserved":
+            same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [F.col("a.declaration") == F.col("b.declaration"), F.col("a.k") == F.col("b.k")]
+            found = a.alias("x").join(b.alias("y"), same).select("x.*", "b")
+        else:
+            x, y = (F.col("a.declaration"), F.col("a.end")), (F.col("b.declaration"), F.col("b.end"))
+            if fate == "shifted":
+                x, y = (x[0] - near, x[0] + near + 1), O.point(y[0])
+            met = O.overlaps(a, b, keys, x, y, ("p", "q")).select(*keys, "p.a", "q.b")
+            found = _closest(met.withColumn("dist", F.abs(F.col("a.declaration") - F.col("b.declaration"))), keys)
+        found = stored(found, "found")
+        a, b = (stored(d.join(found.select(*keys, c), [*keys, c], "left_anti"), "alarms") for d, c in ((a, "a"), (b, "b")))
+        found = found.select(*keys, F.col("a.declaration").alias("declaration"), F.col("b.declaration").alias("other"), F.lit(fate).alias("fate"))
+        rows = found if rows is None else rows.unionByName(found)
+    none = F.lit(None).cast("bigint")
+    return rows.unionByName(
+        a.select(*keys, F.col("a.declaration").alias("declaration"), none.alias("other"), F.lit("suppressed").alias("fate"))
+    ).unionByName(b.select(*keys, none.alias("declaration"), F.col("b.declaration").alias("other"), F.lit("added").alias("fate")))

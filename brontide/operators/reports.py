@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fusion as U
 from . import intervals as I
+from . import overlap as O
 from . import proximity as P
 from . import ranges as G
 
@@ -22,14 +23,14 @@ def response_windows(
         "postictal": (t >= off) & (t < off + post)
     }
     near = windows.where("usable").select(*keys, "t", value)
-    span = (t >= on - before[0]) & (t < off + post)
     e = events.select(*keys, "event_id", "start", "end")
-    j = e.alias("e").join(near.alias("w"), [F.col(f"e.{k}") == F.col(f"w.{k}") for k in keys] + [span], "left").select("e.*", "t", value)
+    j = O.overlaps(e, near, keys, (on - before[0], off + post), O.point(t), ("e", "w")).select(*keys, "e.*", F.col("w.t").alias("t"), f"w.{value}")
     med = lambda c: F.median(F.when(c, F.col(value)))
     out = j.groupBy(*keys, "event_id").agg(
         *[med(c).alias(f"{n}_median") for n, c in parts.items()], F.max(F.when(parts["ictal"], F.col(value))).alias("ictal_max"),
         F.count_if(parts["baseline"]).alias("n_baseline"), F.count_if(parts["ictal"]).alias("n_ictal")
     )
+    out = e.select(*keys, "event_id").distinct().join(out, [*keys, "event_id"], "left").fillna(0, ["n_baseline", "n_ictal"])
     ready = F.col("n_baseline") >= least
     out = out.withColumn("baseline_median", F.when(ready, F.col("baseline_median"))).withColumns(
         {"baseline_ready": ready, "analyzable": ready & (F.col("n_ictal") > 0)}

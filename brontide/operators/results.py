@@ -17,6 +17,7 @@ from . import checks as V
 from . import intervals as I
 from . import matching as M
 from . import metrics as Q
+from . import overlap as O
 from . import reports as R
 from . import timeline as T
 from .selection import grid
@@ -62,12 +63,9 @@ def event_comparison(judged: DataFrame, stream: DataFrame, keys: list[str], stri
     j = V.state_at(j, stream, keys, "onset", stride, "q").withColumn("ecg_available_at_onset", F.coalesce("q_at", F.lit(False))).drop("q_at")
     counted = I.cells(stream.where("q"), keys, stride, F.col("duration"))
     span = j.select(*keys, "event_id", F.col("onset").alias("start"), F.col("offset").alias("end"))
-    inside = I.measure(
-        I.intersect_intervals(
-            span.select(*keys, "event_id", "start", "end"), counted.join(span.select(*keys, "event_id"), keys), [*keys, "event_id"]
-        ),
-        [*keys, "event_id"], "_q"
-    )
+    both = O.overlaps(span, counted, keys, (F.col("start"), F.col("end")), (F.col("start"), F.col("end")), ("e", "c"))
+    length = F.least("e.end", "c.end") - F.greatest("e.start", "c.start")
+    inside = both.groupBy(*keys, F.col("e.event_id").alias("event_id")).agg(F.sum(length).alias("_q"))
     j = j.join(inside, [*keys, "event_id"], "left").fillna(0, ["_q"])
     return j.withColumn(
         "ecg_ictal_available_fraction", F.try_divide(F.col("_q").cast("double"), (F.col("offset") - F.col("onset")).cast("double"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import overlap as O
 
 def anchors(recordings: DataFrame, first: int, stride: int) -> DataFrame:
     """``recordings``: keys and duration. One row for each t = first, first + stride, ... < duration."""
@@ -64,7 +65,8 @@ def label(timeline: DataFrame, events: DataFrame, uncertain: DataFrame, keys: li
     out = out.withColumns(
         {"annotation_uncertain": unsure, "status": status, "evaluation_label": F.when(unsure, -1).otherwise(hit.cast("int"))}
     ).drop("_ev_until", "_ev_next", "_un_until", "_un_next")
-    inside = out.where("status = 'positive'").select(*keys, "t").join(events, keys).where((F.col("start") <= t) & (t < F.col("end")))
+    inside = O.overlaps(out.where("status = 'positive'").select(*keys, "t"), events, keys, O.point(t), (F.col("start"), F.col("end")), ("p", "e"))
+    inside = inside.select(*keys, "p.t", "e.start", "e.end", "e.number")
     numbers = inside.groupBy(*keys, "t").agg(
         F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "number"))), lambda e: e["number"].cast("string")), "|"
