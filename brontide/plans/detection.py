@@ -304,6 +304,17 @@ va AS (SELECT rec, t, available1 AS available, 'F0' AS model, score1 AS score FR
   SELECT rec, t, available1, 'F2', {_MIX(0.25)} FROM fu
   UNION ALL SELECT rec, t, available1, 'F3', CASE WHEN score1 IS NOT NULL THEN least(1.0, score1 * 0.5 + coalesce(score2, 0.0) * 0.5) END FROM fu)"""
 _VA = f"vm AS (SELECT * FROM {B.alarms_sql(f'''(SELECT *, {ALARM_AT} AS thr FROM va WHERE model IN ('F0', 'F2'))''', 'rec, model')}), vj AS (SELECT *, rec % 5 AS grp FROM {B.judged_sql('vm', 'rec, model')})"
+_FATES = f"""{_VA}, w0 AS (SELECT rec, decl, fin FROM vj WHERE model = 'F0' AND status <> 'matched'),
+w2 AS (SELECT rec, decl, fin FROM vj WHERE model = 'F2' AND status <> 'matched'),
+near AS (SELECT a.rec, a.decl AS a, b.decl AS b, abs(a.decl - b.decl) AS dist, greatest(a.decl, b.decl) < least(a.fin, b.fin) AS meet FROM w0 a JOIN w2 b USING (rec)),
+fits AS (SELECT *, 'preserved' AS fate, 1 AS st FROM near WHERE dist = 0 UNION ALL SELECT *, 'shifted', 2 FROM near WHERE dist <= {B.STRIDE}
+  UNION ALL SELECT *, 'replaced', 3 FROM near WHERE meet),
+lists AS (SELECT rec, list({{'a': a, 'b': b, 'fate': fate}} ORDER BY st, dist, a, b) AS p FROM fits GROUP BY rec),
+picked AS (SELECT rec, unnest(list_reduce(list_transform(p, lambda x: [x]),
+  lambda got, x: CASE WHEN len(list_filter(got, lambda q: q.a = x[1].a OR q.b = x[1].b)) = 0 THEN list_concat(got, x) ELSE got END)) AS z FROM lists),
+fates AS (SELECT rec, z.a AS declaration, z.b AS other, z.fate AS fate FROM picked
+  UNION ALL SELECT rec, decl, NULL, 'suppressed' FROM w0 WHERE NOT EXISTS (SELECT 1 FROM picked p WHERE p.rec = w0.rec AND p.z.a = w0.decl)
+  UNION ALL SELECT rec, NULL, decl, 'added' FROM w2 WHERE NOT EXISTS (SELECT 1 FROM picked p WHERE p.rec = w2.rec AND p.z.b = w2.decl))"""
 _LS = "ls AS (SELECT lang, least(1.0, floor(n_chars / 100) / 50) AS score, quality AS label FROM documents JOIN labels USING (doc_id))"
 _PAIR = """count(*) FILTER (WHERE model = 'F0' AND status = 'matched') AS f0_detected, count(*) FILTER (WHERE model = 'F2' AND status = 'matched') AS f2_detected,
   f2_detected - f0_detected AS delta_detected,
@@ -453,6 +464,8 @@ SELECT rec, t, CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 ELSE -1
     "q13_fusion_scores": f"{_P}, {_FU} SELECT rec, t, available2 AND score2 IS NOT NULL AS q, {_MIX(0.25)} AS score, CASE WHEN available2 AND score2 IS NOT NULL THEN 0.45 ELSE 0.5 END::DOUBLE AS threshold FROM fu",
     "q15_model_variants": f"{_P}, {_FU} SELECT rec, model, count(*) AS n, count(score) AS n_scored, sum(CASE WHEN score >= {ALARM_AT} THEN 1 WHEN score IS NOT NULL THEN 0 END)::BIGINT AS n_high FROM va GROUP BY rec, model",
     "q16_paired_levels": f"{_P}, {_FU}, {_VA} SELECT 'parent' AS level, grp, rec, {_PAIR} GROUP BY grp, rec UNION ALL SELECT 'patient', grp, NULL, {_PAIR} GROUP BY grp UNION ALL SELECT 'pooled', NULL, NULL, {_PAIR}",
+    "q18_false_alarm_fate": f"{_P}, {_FU}, {_FATES} SELECT rec, declaration, other, fate FROM fates",
+    "q57_fate_counts": f"{_P}, {_FU}, {_FATES} SELECT rec % 5 AS grp, fate, count(*) AS n FROM fates GROUP BY ALL",
     "q17_event_fates": f"""{_P}, {_FU}, {_VA}, f AS (SELECT rec, event_id, model, decl - onset AS delay FROM vj WHERE status = 'matched')
 SELECT r.rec, r.event_id, x.delay AS delay0, y.delay AS delay2,
   CASE WHEN x.delay IS NOT NULL AND y.delay IS NOT NULL THEN 'preserved' WHEN y.delay IS NOT NULL THEN 'rescued' WHEN x.delay IS NOT NULL THEN 'lost' ELSE 'still_missed' END AS classification, coalesce(x.delay <> y.delay, false) AS changed_delay_only
