@@ -135,7 +135,7 @@ def test_edf_round_trip(spark, tmp_path):
     E.register(spark)
     h = spark.read.format("edf_header").load(str(tmp_path)).first()
     assert (h.n_signals, h.duration_s, h.signals[1].sampling_rate, h.signals[1].offset_samples) == (2, 10.0, 4.0, 8)
-    got = spark.read.format("edf").option("chunk_s", "3").load(str(tmp_path)).where("channel_index = 1").orderBy("start_s").collect()
+    got = E.load(spark, str(tmp_path), chunk_s=3).where("channel_index = 1").orderBy("start_s").collect()
     assert [r.start_s for r in got] == [0.0, 3.0, 6.0, 9.0] and np.allclose(np.concatenate([r.samples for r in got]), b / 10)
     assert np.allclose(E.read_segment(str(tmp_path / "x.edf"), [0], 2.5, 1.0)[0], a[20:28] / 10)
     with pytest.raises(ValueError):

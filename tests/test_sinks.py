@@ -128,6 +128,60 @@ def test_parts_of_a_recording(spark, tmp_path):
     assert d.rdd.getNumPartitions() == 3 and [r.start_s for r in d.orderBy("start_s").collect()] == [0.0, 3.0, 6.0, 9.0]
 
 
+def test_only_wanted_records_are_read(spark, tmp_path, monkeypatch):
+    """Ten seconds of one channel of an hour: the bytes read are the header's and these records'."""
+    from pyspark.sql import datasource as D
+
+    n = 3600
+    write_edf(tmp_path / "x.edf", [(f"EEG {i}", 16, np.arange(16 * n) % 2000 - 1000) for i in range(12)])
+    read = []
+
+    class Counting:
+        def __init__(self, f):
+            self.f = f
+
+        def read(self, k):
+            read.append(k)
+            return self.f.read(k)
+
+        def __getattr__(self, name):
+            return getattr(self.f, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            self.f.close()
+
+    real = E.open_file
+    monkeypatch.setattr(E, "open_file", lambda path: Counting(real(path)))
+    reader = E._PrunedReader({"path": str(tmp_path), "chunk_s": "10"})
+    left = list(reader.pushFilters([D.EqualTo(("channel_index",), 3), D.GreaterThanOrEqual(("start_s",), 100.0), D.LessThan(("start_s",), 110.0), D.IsNotNull(("label",))]))
+    assert len(left) == 1
+    rows = [b for p in reader.partitions() for b in reader.read(p)]
+    assert len(rows) == 1 and sum(read) == 256 * 13 + 10 * 16 * 2
+    d = E.load(spark, str(tmp_path), chunk_s=10, split_bytes=400_000)
+    assert d.rdd.getNumPartitions() == 4  # 1.4 MB
+    for _ in range(2):  # what one scan prunes is there for the next
+        got = d.where("channel_index = 3 AND start_s >= 100 AND start_s < 110").collect()
+        assert [(r.start_s, len(r.samples)) for r in got] == [(100.0, 160)] and d.count() == 360 * 12
+    whole = E.read_segment(str(tmp_path / "x.edf"), list(range(12)), 7.0, 5.0)
+    assert all(np.array_equal(whole[c], E.read_segment(str(tmp_path / "x.edf"), [c], 7.0, 5.0)[c]) for c in whole)
+
+
+def test_recordings_by_path(spark, tmp_path):
+    (tmp_path / "p" / "q r").mkdir(parents=True)
+    for name in ("p/a.edf", "p/b.edf", "p/q r/c.edf"):
+        write_edf(tmp_path / name, [("EEG Fp1", 8, np.arange(80))])
+    E.register(spark)
+    names = lambda path, **o: sorted(r.path.rsplit("/", 1)[-1] for r in spark.read.format("edf_header").options(**o).load(path).collect())
+    assert names(f"{tmp_path}/p") == names(f"file://{tmp_path}/p") == ["a.edf", "b.edf"]
+    assert names(f"{tmp_path}/p", recursiveFileLookup="true") == ["a.edf", "b.edf", "c.edf"]
+    assert names(f"{tmp_path}/p/b*.edf") == ["b.edf"] and names(f"{tmp_path}/p/q r/c.edf") == ["c.edf"]
+    with pytest.raises(Exception):
+        names(f"{tmp_path}/none")
+
+
 def test_anchor_rows(spark):
     fs, t = 256.0, np.arange(2560) / 256.0
     beat = sum(np.exp(-0.5 * ((t - a) / 0.012) ** 2) for a in np.arange(0.5, 10, 0.8))
