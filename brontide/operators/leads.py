@@ -13,8 +13,7 @@ from . import channels as H
 from . import rhythm as Y
 
 _MEASURES = "finite_fraction double, raw_std double, filtered_std double, rail_fraction double, contrast double, beats array<bigint>"
-_OLDER = "n_beats double, valid_rr_count double, mean_hr double, mean_rr double, sdnn double, rmssd double, pnn50 double, rr_cv double, hr_trend_per_min double"
-_QRS = "n_peaks double, median_hr double, rr_cv double, snr_proxy double"
+_QRS = "peaks array<bigint>, snr_proxy double"
 NONE = "nonfinite"
 
 #: The measure, its limit (a least value, or for rail_fraction a most), the reason given.
@@ -100,15 +99,12 @@ def arbitrate(leads: DataFrame, keys: list[str], fs: float) -> DataFrame:
 def older_features(df: DataFrame, samples: str, fs: float) -> DataFrame:
     """The older nine features a lead, null for samples that are too few or not finite."""
 
-    @F.pandas_udf(_OLDER)
-    def run(arrays: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in arrays:
-            ok = x is not None and len(x) >= fs and np.isfinite(np.asarray(x, float)).all()
-            rows.append(dsp.interval_features(dsp.centred_beats(x, fs), fs) if ok else {})
-        return _table(rows, _OLDER).astype(float)
+    @F.pandas_udf("array<bigint>")
+    def beats(arrays: pd.Series) -> pd.Series:
+        usable = lambda x: x is not None and len(x) >= fs and np.isfinite(np.asarray(x, float)).all()
+        return pd.Series([dsp.centred_beats(x, fs) if usable(x) else None for x in arrays], dtype=object)
 
-    return df.withColumn("_f", run(F.col(samples))).select(*df.columns, "_f.*")
+    return Y.with_older_rhythm(df.withColumn("_beats", beats(F.col(samples))), "_beats", fs).drop("_beats")
 
 
 def reduce_leads(features: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
@@ -117,14 +113,24 @@ def reduce_leads(features: DataFrame, keys: list[str], names: list[str]) -> Data
 
 
 def qrs_quality(df: DataFrame, samples: str, fs: float) -> DataFrame:
-    """Quality of a lead by prominent beats: their number, rate, relative spread, strength over noise."""
+    """Quality of a lead by prominent beats: their number, median rate, relative spread of the valid
+    intervals (population) and strength over noise; null for samples that are too few."""
 
     @F.pandas_udf(_QRS)
     def run(arrays: pd.Series) -> pd.DataFrame:
-        rows = [dsp.qrs_quality(x, fs) if x is not None and len(x) >= fs else {} for x in arrays]
-        return _table(rows, _QRS).astype(float)
-
-    return df.withColumn("_q", run(F.col(samples))).select(*df.columns, "_q.*")
+        found = [dsp.prominent_beats(x, fs) if x is not None and len(x) >= fs else (None, None) for x in arrays]
+        return _table([{"peaks": p, "snr_proxy": z} for p, z in found], _QRS)
+
+    peaks = F.col("_q.peaks")
+    rr = F.when(F.size(peaks) > 1, Y.compressed_rr(peaks, fs)).when(peaks.isNotNull(), F.array().cast("array<double>"))
+    d = df.withColumn("_q", run(F.col(samples))).withColumn("_rr", rr).withColumn("_s", Y.walked(F.col("_rr")))
+    s, n = F.col("_s"), F.size("_rr").cast("double")
+    return d.withColumns(
+        {
+            "n_peaks": F.when(peaks.isNotNull(), F.size(peaks).cast("double")), "median_hr_bpm": Y.array_median(F.transform("_rr", lambda x: 60.0 / x)),
+            "rr_cv": F.when(n > 1, F.try_divide(Y.spread(s, n, 0), F.try_divide(s["t"], n))), "snr_proxy": F.col("_q.snr_proxy")
+        }
+    ).drop("_q", "_rr", "_s")
 
 
 def lead_correlation(df: DataFrame, keys: list[str], lead: str, samples: str, fs: float) -> DataFrame:

@@ -104,3 +104,44 @@ def compressed_rr(peaks: Column, rate: float, low: float = 0.30, high: float = 2
     those that remain close up."""
     rr = F.zip_with(F.slice(peaks, 2, F.size(peaks)), F.slice(peaks, 1, F.size(peaks) - 1), lambda b, a: (b - a) / rate)
     return F.filter(rr, lambda x: (x >= low) & (x <= high))
+
+
+#: Names of the older features.
+OLDER = ["n_r_peaks", "valid_rr_count", "mean_hr_bpm", "mean_rr_s", "sdnn_s", "rmssd_s", "pnn50", "rr_cv", "hr_trend_bpm_per_min"]
+_SUMS = ["t", "x", "y", "xx", "xy", "d", "dd", "steps", "large"]
+_NEAR = 0.8  # a usual interval; squares are taken about it, so that little cancels
+
+
+def walked(rr: Column) -> Column:
+    """Sums over an array of intervals, in one walk along it: t, time passed; x and xx, middles of the
+    intervals and their squares; y and xy, rates, and by middles; d and dd, intervals about a usual
+    one, and squares; steps, squared differences of neighbours, and large, how many of them exceed 50 ms."""
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in _SUMS], F.lit(None).cast("double").alias("last"))
+
+    def walk(s: Column, x: Column) -> Column:
+        at, rate, off, step = s["t"] + x / 2, 60.0 / x, x - _NEAR, F.coalesce(x - s["last"], F.lit(0.0))
+        now = [x, at, rate, at * at, at * rate, off, off * off, step * step, F.when(F.abs(step) > 0.050, 1.0).otherwise(0.0)]
+        return F.struct(*[(s[c] + v).alias(c) for c, v in zip(_SUMS, now, strict=True)], x.alias("last"))
+
+    return F.aggregate(rr, nothing, walk)
+
+
+def spread(s: Column, n: Column, free: int) -> Column:
+    """Standard deviation from the sums of :func:`walked`, with ``free`` degrees of freedom taken off."""
+    return F.sqrt(F.greatest(F.lit(0.0), F.try_divide(s["dd"] - s["d"] * s["d"] / n, n - free)))
+
+
+def with_older_rhythm(df: DataFrame, peaks: str, rate: float) -> DataFrame:
+    """Adds the older nine features of an array of peak positions, from intervals that close up where others
+    were removed; with fewer than two intervals all but the counts are null, as all are for null."""
+    rr = F.when(F.size(peaks) > 1, compressed_rr(F.col(peaks), rate)).when(F.col(peaks).isNotNull(), F.array().cast("array<double>"))
+    d = df.withColumn("_rr", rr).withColumn("_s", walked(F.col("_rr")))
+    s, n = F.col("_s"), F.size("_rr").cast("double")
+    mean = F.try_divide(s["t"], n)
+    slope = F.try_divide(n * s["xy"] - s["x"] * s["y"], n * s["xx"] - s["x"] * s["x"])
+    values = [
+        F.try_divide(s["y"], n), mean, spread(s, n, 1), F.sqrt(F.try_divide(s["steps"], n - 1)), F.try_divide(s["large"], n - 1),
+        F.try_divide(spread(s, n, 1), mean), 60 * slope,
+    ]
+    counts = {"n_r_peaks": F.when(F.col(peaks).isNotNull(), F.size(peaks).cast("double")), "valid_rr_count": F.when(F.col("_rr").isNotNull(), n)}
+    return d.withColumns(counts | {name: F.when(n >= 2, v) for name, v in zip(OLDER[2:], values, strict=True)}).drop("_rr", "_s")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dsp
 from . import channels as H
 from . import leads as L
+from . import rhythm as Y
 
 NAMES = dsp.CHANNEL_FEATURES
 
@@ -54,7 +55,6 @@ def columns_by_prefix(columns: list[str], *prefixes: str) -> list[list[str]]:
     return [[c for c in columns if c.startswith(p)] for p in prefixes]
 
 
-OLDER = ["n_beats", "valid_rr_count", "mean_hr", "mean_rr", "sdnn", "rmssd", "pnn50", "rr_cv", "hr_trend_per_min"]
 
 
 def anchor_rows(channels: DataFrame, leads: DataFrame, keys: list[str], channel: str, samples: str, fs: float, lead_fs: float) -> DataFrame:
@@ -65,7 +65,7 @@ def anchor_rows(channels: DataFrame, leads: DataFrame, keys: list[str], channel:
         raise ValueError(f"the modalities have different sampling rates: {fs} and {lead_fs}")
     eeg = window_features(channels, keys, channel, samples, fs).drop("unavailable_reason")
     beats = L.older_features(leads, samples, lead_fs)
-    ecg = L.reduce_leads(beats, keys, OLDER).join(L.lead_correlation(leads, keys, channel, samples, lead_fs), keys, "left")
+    ecg = L.reduce_leads(beats, keys, Y.OLDER).join(L.lead_correlation(leads, keys, channel, samples, lead_fs), keys, "left")
     counts = channels.groupBy(*keys).agg(F.count("*").cast("double").alias("n_eeg_channels")).join(
         leads.groupBy(*keys).agg(F.count("*").cast("double").alias("n_ecg_channels")), keys
     )

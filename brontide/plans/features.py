@@ -301,7 +301,7 @@ def q48_lead_arbitration(spark, sf):
 
 def q49_older_lead_features(spark, sf):
     return L.reduce_leads(
-        L.older_features(_prices(spark, sf), "samples", 64.0).withColumn("grp", F.col("l_suppkey") % 5), ["grp"], ["n_beats", "mean_rr", "rmssd"]
+        L.older_features(_prices(spark, sf), "samples", 64.0).withColumn("grp", F.col("l_suppkey") % 5), ["grp"], ["n_r_peaks", "mean_rr_s", "rmssd_s"]
     )
 
 

@@ -53,15 +53,23 @@ def test_no_later_sample_matters():
 
 
 def test_older_features_close_gaps(spark):
-    beats = np.array([0, 128, 256, 900, 1028])  # the gap of 644 samples goes
-    f = dsp.interval_features(beats, FS)
-    assert f["valid_rr_count"] == 3 and f["mean_hr"] == 60 and f["rmssd"] == 0 and f["pnn50"] == 0
-    assert dsp.interval_features(beats[:2], FS)["mean_hr"] is None
+    rng = np.random.default_rng(3)
+    lists = [[0, 128, 256, 900, 1028], [0, 128], [], None, np.cumsum(rng.integers(60, 300, 60)).tolist()]  # the gap of 644 samples goes
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, p array<bigint>")
+    f = {r.i: r for r in Y.with_older_rhythm(d, "p", FS).collect()}
+    assert f[0].valid_rr_count == 3 and f[0].mean_hr_bpm == 60 and f[0].rmssd_s == 0 and f[0].pnn50 == 0 and f[0].sdnn_s < 1e-9
+    assert (f[1].valid_rr_count, f[1].mean_hr_bpm, f[2].n_r_peaks, f[2].valid_rr_count, f[3].n_r_peaks, f[3].valid_rr_count) == (1, None, 0, 0, None, None)
+    rr = np.diff(lists[4]) / FS
+    rr = rr[(rr >= 0.3) & (rr <= 2)]
+    mid, r = np.cumsum(rr) - rr / 2, f[4]
+    want = [len(lists[4]), len(rr), (60 / rr).mean(), rr.mean(), rr.std(ddof=1), np.sqrt((np.diff(rr) ** 2).mean()), (np.abs(np.diff(rr)) > 0.05).mean()]
+    want += [rr.std(ddof=1) / rr.mean(), 60 * np.polyfit(mid, 60 / rr, 1)[0]]
+    assert np.allclose([r[n] for n in Y.OLDER], want, rtol=1e-10)
     x = pulses(np.arange(0.7, 59.5, 0.8))
     d = spark.createDataFrame([(0, x.tolist()), (1, [0.0] * 10), (2, None)], "w int, samples array<double>")
-    got = {r.w: (r.mean_hr, r.n_beats) for r in L.older_features(d, "samples", FS).collect()}
+    got = {r.w: (r.mean_hr_bpm, r.n_r_peaks) for r in L.older_features(d, "samples", FS).collect()}
     assert abs(got[0][0] - 75) < 0.5 and got[1] == got[2] == (None, None)
-    q = {r.w: (r.n_peaks, r.median_hr) for r in L.qrs_quality(d, "samples", FS).collect()}
+    q = {r.w: (r.n_peaks, r.median_hr_bpm) for r in L.qrs_quality(d, "samples", FS).collect()}
     assert q[0][0] >= 70 and q[2] == (None, None)
     r = L.reduce_leads(spark.createDataFrame([(0, 1.0), (0, 4.0), (0, None), (1, None)], "w int, a double"), ["w"], ["a"])
     assert sorted(map(tuple, r.collect())) == [(0, 2.5, 3.0), (1, None, None)]
@@ -136,6 +144,6 @@ def test_checks(spark):
 def test_kernels_travel_without_the_package(tmp_path):
     """Executors have no copy of the package: kernels load, and run, where it can't be imported."""
     dsp.detect_beats(pulses(np.arange(0.7, 9.5, 0.8), 10), FS)
-    (tmp_path / "k").write_bytes(cloudpickle.dumps((dsp.detect_beats, dsp.centred_beats, dsp.qrs_quality, dsp)))
+    (tmp_path / "k").write_bytes(cloudpickle.dumps((dsp.detect_beats, dsp.centred_beats, dsp.prominent_beats, dsp)))
     code = "import pickle, numpy as np\na, b, c, m = pickle.load(open('k', 'rb'))\nx = np.sin(np.arange(4000.0)) ** 9\na(x, 128.0), b(x, 128.0), c(x, 128.0), m.channel_features(x, 128.0)\nimport importlib.util\nassert importlib.util.find_spec('brontide') is None\nassert not m._RESPONSES or len(m._RESPONSES) < 4"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60, env={})

@@ -64,6 +64,15 @@ def test_strongest_apart_leaves_a_record_of_each_stretch():
     assert dsp.strongest_apart([], np.zeros(0), 5).tolist() == []
     assert dsp.strongest_apart([0, 3, 6, 20], np.array([1.0, 3.0, 2.0, 1.0]), 5).tolist() == [3, 20]
     assert dsp.strongest_apart([0, 3, 6], np.array([2.0, 1.0, 1.0]), 5).tolist() == [0, 6]  # 3 gives way, and 6 is apart from 0
+    rng, n = np.random.default_rng(2), 100_000  # in linear memory
+    places, strength = np.cumsum(rng.integers(1, 9, n)), rng.integers(0, 50, n).astype(float)
+    i, want = 0, []
+    while i < n:
+        j = next((k for k in range(i + 1, n) if places[k] - places[i] >= 12 or strength[k] > strength[i]), n)
+        if j == n or places[j] - places[i] >= 12:
+            want.append(places[i])
+        i = j
+    assert dsp.strongest_apart(places, strength, 12).tolist() == want
     assert dsp.strongest_apart([0, 4, 8, 12], np.array([1.0, 2.0, 3.0, 4.0]), 5).tolist() == [12]
 
 

@@ -190,7 +190,7 @@ def test_anchor_rows(spark):
     ecg = spark.createDataFrame([(0, 0, beat.tolist()), (0, 1, (-2 * beat).tolist())], "anchor int, channel int, samples array<double>")
     r = X.anchor_rows(eeg, ecg, ["anchor"], "channel", "samples", fs, fs).first()
     assert (r.n_eeg_channels, r.n_ecg_channels, r.sampling_rate_hz) == (3, 2, fs) and abs(r.ecg__ecg_channel_agreement - 1) < 1e-6
-    assert abs(r.ecg__mean_hr_median - 75) < 2 and r.ecg__n_beats_range == 0 and abs(r.eeg__rms_mean - np.sqrt(0.5)) < 1e-3
+    assert abs(r.ecg__mean_hr_bpm_median - 75) < 2 and r.ecg__n_r_peaks_range == 0 and abs(r.eeg__rms_mean - np.sqrt(0.5)) < 1e-3
     assert [len(c) for c in X.columns_by_prefix(list(r.asDict()), "eeg__", "ecg__")] == [46, 19]
     with pytest.raises(ValueError):
         X.anchor_rows(eeg, ecg, ["anchor"], "channel", "samples", fs, 128.0)
