@@ -33,6 +33,19 @@ def check_alpha(alpha: Column, allowed: list[float]) -> Column:
     )
 
 
+def specific(df: DataFrame, suffix: str, columns: list[str] = ("available", "score")) -> DataFrame:
+    """A modality's columns under names of its own: available becomes available<suffix>."""
+    return df.withColumnsRenamed({c: f"{c}{suffix}" for c in columns})
+
+
+def generic(df: DataFrame, suffix: str, columns: list[str] = ("available", "score")) -> DataFrame:
+    """A modality's columns under the names that alarms and metrics take; the columns that had these
+    names go. What the modality lacks stops the job."""
+    if lost := [f"{c}{suffix}" for c in columns if f"{c}{suffix}" not in df.columns]:
+        raise ValueError(f"no columns {lost}")
+    return df.drop(*columns).withColumnsRenamed({f"{c}{suffix}": c for c in columns})
+
+
 def second_counts() -> Column:
     return F.col("available2") & F.col("score2").isNotNull()
 

@@ -15,6 +15,7 @@ from ..operators import results as N
 from ..operators import selection as S
 from ..operators import timeline as T
 from ..operators.staging import stored
+from ..sources import replay as Y
 from . import binding as B
 
 SWEEP = S.THRESHOLDS
@@ -106,8 +107,7 @@ def q12_threshold_choice(spark, sf):
 
 
 def _aligned(spark, sf):
-    one = B.decisions(spark, sf).select("rec", "t", "duration", F.col("available").alias("available1"), F.col("score").alias("score1"))
-    two = B.decisions2(spark, sf).select("rec", "t", "duration", F.col("available").alias("available2"), F.col("score").alias("score2"))
+    one, two = (U.specific(d(spark, sf), n).select("rec", "t", "duration", f"available{n}", f"score{n}") for d, n in ((B.decisions, "1"), (B.decisions2, "2")))
     return U.align(one, two, ["rec", "t"], ["duration"])
 
 
@@ -128,7 +128,7 @@ def q15_model_variants(spark, sf):
 
 
 def _variant_alarms(spark, sf):
-    s = _stream(spark, sf).withColumn("available", F.col("available1")).where("model IN ('F0', 'F2')")
+    s = U.generic(_stream(spark, sf), "1", ["available"]).where("model IN ('F0', 'F2')")
     return A.alarm_stream(T.around(s, {"barrier": B.uncertain(spark, sf)}, K), ["rec", "model"], B.STRIDE)
 
 
@@ -163,6 +163,15 @@ def q18_false_alarm_fate(spark, sf):
     return M.alarm_fates(wrong.where("model = 'F0'"), wrong.where("model = 'F2'"), K, B.STRIDE)
 
 
+def q67_replay(spark, sf):
+    """Matches of events made anew against a copy in which some delays were altered and some events lost."""
+    made = q03_event_matches(spark, sf).select("rec", "event_id", "onset", "detected", "delay", "overlap_detected")
+    kept = made.where("rec % 11 <> 3").withColumn("delay", F.when(F.col("rec") % 7 == 2, F.col("delay") + 1).otherwise(F.col("delay")))
+    out = Y.differences(made, kept, ["rec", "event_id"])
+    k = F.from_json("key", "rec bigint, event_id string")
+    return out.select(k["rec"].alias("rec"), k["event_id"].alias("event_id"), F.col("column").alias("cell"), F.when(F.col("column") != Y.ROW, F.col("made")).alias("made"), "kept")
+
+
 def q19_asof_state(spark, sf):
     d2 = B.decisions2(spark, sf).where("available").select("rec", "t", F.col("score").alias("state"))
     out = P.asof_backward(_alarms(spark, sf).select("rec", "declaration"), d2, K, "declaration", "t", ["state"], 8 * B.HOUR)
@@ -464,6 +473,10 @@ SELECT rec, t, CASE status WHEN 'positive' THEN 1 WHEN 'negative' THEN 0 ELSE -1
     "q13_fusion_scores": f"{_P}, {_FU} SELECT rec, t, available2 AND score2 IS NOT NULL AS q, {_MIX(0.25)} AS score, CASE WHEN available2 AND score2 IS NOT NULL THEN 0.45 ELSE 0.5 END::DOUBLE AS threshold FROM fu",
     "q15_model_variants": f"{_P}, {_FU} SELECT rec, model, count(*) AS n, count(score) AS n_scored, sum(CASE WHEN score >= {ALARM_AT} THEN 1 WHEN score IS NOT NULL THEN 0 END)::BIGINT AS n_high FROM va GROUP BY rec, model",
     "q16_paired_levels": f"{_P}, {_FU}, {_VA} SELECT 'parent' AS level, grp, rec, {_PAIR} GROUP BY grp, rec UNION ALL SELECT 'patient', grp, NULL, {_PAIR} GROUP BY grp UNION ALL SELECT 'pooled', NULL, NULL, {_PAIR}",
+    "q67_replay": f"""{_P}, {_AL}, m AS (SELECT r.rec, r.event_id, x.decl - r.a AS delay FROM refs r
+  LEFT JOIN (SELECT * FROM {_J} WHERE status = 'matched') x ON x.rec = r.rec AND x.event_id = r.event_id)
+SELECT rec, event_id, 'delay' AS cell, delay::VARCHAR AS made, (delay + 1)::VARCHAR AS kept FROM m WHERE delay IS NOT NULL AND rec % 7 = 2 AND rec % 11 <> 3
+UNION ALL SELECT rec, event_id, '(row)', NULL, NULL FROM m WHERE rec % 11 = 3""",
     "q18_false_alarm_fate": f"{_P}, {_FU}, {_FATES} SELECT rec, declaration, other, fate FROM fates",
     "q57_fate_counts": f"{_P}, {_FU}, {_FATES} SELECT rec % 5 AS grp, fate, count(*) AS n FROM fates GROUP BY ALL",
     "q17_event_fates": f"""{_P}, {_FU}, {_VA}, f AS (SELECT rec, event_id, model, decl - onset AS delay FROM vj WHERE status = 'matched')
