@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="brontide-"))
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="brontide-")
+    return _LOCAL["dir"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
