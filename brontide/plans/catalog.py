@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, features
+from . import detection, features, records
 
-QUERIES: dict = dict(sorted((detection.QUERIES | features.QUERIES).items()))
-ORACLE: dict[str, str] = detection.ORACLE | features.ORACLE
+QUERIES: dict = dict(sorted((detection.QUERIES | features.QUERIES | records.QUERIES).items()))
+ORACLE: dict[str, str] = detection.ORACLE | features.ORACLE | records.ORACLE

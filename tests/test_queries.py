@@ -35,7 +35,9 @@ def con():
         "q60_false_alarm_state", "q61_patient_summary", "q62_sanity_sample", "q66_distinct_values", "q16_paired_levels", "q19_asof_state",
         "q21_average_precision_auc", "q24_rhythm_features", "q25_relative_reference", "q26_lead_choice", "q29_channel_correlation", "q32_coverage",
         "q36_folds_loro", "q39_anti_missing", "q43_negative_controls", "q44_onset_state", "q45_reconcile_scores", "q46_table_differences",
-        "q47_interval_reference", "q51_inventory", "q52_annotation_flags"
+        "q47_interval_reference", "q51_inventory", "q52_annotation_flags", "q68_annotation_blocks", "q69_lenient_blocks", "q70_event_table",
+        "q71_clipped_uncertain", "q72_channel_map", "q73_channel_indices", "q74_agreed_channels", "q75_checksums", "q76_resumed_table",
+        "q77_scaled_rows", "q78_group_audit", "q79_older_rhythm", "q80_chunk_windows"
     ]
 )
 def test_equal_to_sql(spark, con, name):
