@@ -93,6 +93,13 @@ class FoldedLogistic:
         fits = [e for e in dict.fromkeys(excluded) if e not in self.models]
         if not fits:
             return
+        kept, median, mean, spread, weight = self._scales(fits)
+        beta = self._newton(kept, median, mean, spread, weight)
+        for i, e in enumerate(fits):
+            self.models[e] = (median[i], mean[i], spread[i], beta[i])
+
+    def _scales(self, fits: list[frozenset]) -> tuple[np.ndarray, ...]:
+        """By fit: the items it keeps, and for each column the median, mean and spread; the weights of both classes."""
         n_items, d = len(self.items), len(self.columns)
         kept = np.array([[v not in e for v in self.items] for e in fits], np.float64)  # fit x item
         sums = self._first_sums()
@@ -111,10 +118,25 @@ class FoldedLogistic:
         mean = s1 / n[:, None]
         spread = np.sqrt(np.maximum(s2 / n[:, None] - mean**2, 0))
         spread[spread == 0] = 1.0
-        weight = n[:, None] / (2 * classes)
-        beta = self._newton(kept, median, mean + base, spread, weight)
-        for i, e in enumerate(fits):
-            self.models[e] = (median[i], mean[i] + base, spread[i], beta[i])
+        return kept, median, mean + base, spread, n[:, None] / (2 * classes)
+
+    def training_rows(self) -> DataFrame:
+        """What the outer fits are fitted on: for each item that is held out the others' training rows, with
+        ``held``, ``weight`` and ``z``, the columns imputed and standardised as that fit has them."""
+        kept, median, mean, spread, weight = self._scales([frozenset([v]) for v in self.items])
+        numbers = lambda a: F.array(*[F.lit(float(x)) for x in a])
+        each = [
+            F.struct(
+                F.lit(v).alias("held"), F.lit(i).alias("at"), numbers(weight[i]).alias("w"), numbers(median[i]).alias("m"), numbers(mean[i]).alias("a"),
+                numbers(spread[i]).alias("s")
+            )
+            for i, v in enumerate(self.items)
+        ]
+        usable = F.col("training_eligible") & F.col(self.available) & F.col("label").isin(0, 1) & (F.col("_item") >= 0)
+        d = self.frame.where(usable).withColumn("_f", F.explode(F.filter(F.array(*each), lambda f: f["at"] != F.col("_item"))))
+        one = lambda x, i: (F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.col("_f.m")[i]) - F.col("_f.a")[i]) / F.col("_f.s")[i]
+        z = F.transform("_x", one)
+        return d.select(*[c for c in self.frame.columns if c not in ("_item", "_x", "_f")], "_f.held", F.col("_f.w")[F.col("label").cast("int")].alias("weight"), z.alias("z"))
 
     def _first_sums(self) -> dict[str, np.ndarray]:
         n_items, d = len(self.items), len(self.columns)

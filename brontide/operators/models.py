@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from . import fusion as U
 from .folds import FoldedLogistic
+from .ranges import quantiles
 
 PARALLEL = 4  # forests fitted at a time
 
 
 def fit_scaler(train: DataFrame, columns: list[str], label: str = "label") -> tuple[dict[str, tuple[float, float, float]], dict[int, int]]:
     """(median (0 without any value), mean and population spread after imputation of each column; rows by
-    class), in two passes."""
-    first = train.agg(
-        *[F.coalesce(F.median(c), F.lit(0.0)).alias(c) for c in columns], F.count_if(F.col(label) == 0).alias("_n0"),
+    class). Medians are exact and no task holds a column; a row a column comes back."""
+    long = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
+    medians = {r.column: r.median for r in quantiles(long, ["column"], "value", {"median": 0.5}).collect()}
+    first = {c: medians.get(c, 0.0) for c in columns}
+    filled = [F.coalesce(F.col(c), F.lit(first[c])) for c in columns]
+    s = train.agg(
+        *[F.avg(x).alias(f"{c}__m") for c, x in zip(columns, filled, strict=True)],
+        *[F.stddev_pop(x).alias(f"{c}__s") for c, x in zip(columns, filled, strict=True)], F.count_if(F.col(label) == 0).alias("_n0"),
         F.count_if(F.col(label) == 1).alias("_n1")
     ).first()
-    filled = train.select(*[F.coalesce(F.col(c), F.lit(float(first[c]))).alias(c) for c in columns])
-    s = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
-    return {c: (float(first[c]), s[f"{c}__m"] or 0.0, s[f"{c}__s"] or 1.0) for c in columns}, {0: first["_n0"], 1: first["_n1"]}
+    return {c: (first[c], s[f"{c}__m"] or 0.0, s[f"{c}__s"] or 1.0) for c in columns}, {0: s["_n0"], 1: s["_n1"]}
 
 
 def scaled(df: DataFrame, scaler: dict[str, tuple[float, float, float]]) -> DataFrame:

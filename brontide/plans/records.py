@@ -9,16 +9,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import checks as V
 from ..operators import intervals as I
-from ..operators import models as N
 from ..operators import rhythm as Y
 from ..operators import timeline as T
+from ..operators.folds import FoldedLogistic
 from ..operators.staging import shared_dir, stored
 from ..sources import annotations as S
 from ..sources import sinks as K
@@ -193,20 +192,9 @@ def q76_resumed_table(spark, sf):
 
 def q77_scaled_rows(spark, sf):
     """Training rows of each held-out group, imputed and standardised by what the other groups hold, with class weights."""
-    wide = X._training(spark, sf).where("training_eligible AND available")
-    frame = stored(wide.select("rec", "grp", "t", "label", "eeg__one", "eeg__two"), "frame")
-    parts = []
-    for held in range(5):
-        train = frame.where(F.col("grp") != held)
-        scaler, n = N.fit_scaler(train, ["eeg__one", "eeg__two"])
-        z = vector_to_array("features")
-        parts.append(
-            N.scaled(N.balanced(train, n), scaler).select(
-                F.lit(held).alias("held"), "rec", "t", "label", F.round("weight", 8).alias("weight"), F.round(z[0], 6).alias("one"),
-                F.round(z[1], 6).alias("two")
-            )
-        )
-    return N._stacked(parts)
+    frame = stored(X._training(spark, sf).select("rec", "grp", "t", "label", "available", "training_eligible", "eeg__one", "eeg__two"), "frame")
+    out = FoldedLogistic(frame, "grp", ["eeg__one", "eeg__two"], list(range(5))).training_rows()
+    return out.select("held", "rec", "t", "label", F.round("weight", 8).alias("weight"), *[F.round(F.col("z")[i], 6).alias(n) for i, n in enumerate(("one", "two"))])
 
 
 def q78_group_audit(spark, sf):
