@@ -11,6 +11,7 @@ from ..operators import checks as V
 from ..operators import fusion as U
 from ..operators import intervals as I
 from ..operators import alarms as A
+from ..operators import benchmark as BM
 from ..operators import leads as L
 from ..operators import matching as M
 from ..operators import models as N
@@ -372,6 +373,14 @@ def q64_forest_scores(spark, sf):
     return N.HeldOutModels(frame, "grp", ["eeg__one", "ecg__two"], "forest").nested(list(range(5))).select("rec", "t", "fold", "label", "score")
 
 
+def q81_older_benchmark(spark, sf):
+    """The older benchmark's tables over all labelled decisions, every group held out in turn, with logistic models in
+    place of the forests."""
+    rows = _fusion_frame(spark, sf).where("training_eligible").select("rec", "grp", "t", "label", "eeg__one", "ecg__two")
+    scored = BM.predictions(stored(rows, "frame"), "grp", ["eeg__one"], ["ecg__two"], ["rec", "t"], list(range(5)), "logistic")
+    return BM.summary(stored(scored, "scores"), "grp")
+
+
 def q65_anchor_rows(spark, sf):
     """Suppliers in fours as the channels, and the first two of them as the leads, of an anchor; whole series cut to the shortest of each anchor."""
     d = _prices(spark, sf).withColumns({"anchor": F.floor(F.col("l_suppkey") / 4), "channel": (F.col("l_suppkey") % 4).cast("int")})
