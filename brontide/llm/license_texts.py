@@ -73,3 +73,39 @@ Permission is granted to anyone to use this software for any purpose, including
     "cc-by-sa-4.0#long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0-1.0#text": "CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP.",
 }
+
+#: Identifiers that files name after SPDX-License-Identifier.
+IDENTIFIERS = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0
+CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2
+GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later
+LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 PostgreSQL Unlicense UPL-1.0 WTFPL Zlib
+""".split()
+TEMPLATES |= {f"{i.lower()}#spdx": f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS}
+
+#: Short statements. With at most four word bigrams they match whole or not at all; longer ones differ
+#: from those of another version in two bigrams or have a twin for it.
+TEMPLATES |= {
+    "mit#bare": "Licensed under MIT",
+    "apache-2.0#bare": "Licensed under Apache 2.0",
+    "apache-2.0#number_first": "Licensed under the Apache 2.0 License",
+    "bsd#licensed": "Licensed under the BSD License",
+    "mpl-2.0#bare": "Licensed under the MPL 2.0",
+    "epl-2.0#licensed": "Licensed under the Eclipse Public License 2.0",
+    "unlicense#licensed": "Licensed under the Unlicense",
+    "cc0-1.0#released": "Released under CC0 1.0",
+    "eupl#licensed": "Licensed under the EUPL",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "lgpl-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
+    "gpl-2.0#bare": "Licensed under GPLv2",
+    "gpl-3.0#bare": "Licensed under GPLv3",
+    "gpl-2.0#the": "Licensed under the GPLv2",
+    "gpl-3.0#the": "Licensed under the GPLv3",
+    "lgpl-3.0#the": "Licensed under the LGPLv3",
+    "agpl-3.0#the": "Licensed under the AGPLv3",
+    "gpl-2.0#named": "the GNU GPL version 2",
+    "gpl-3.0#named": "the GNU GPL version 3",
+    "gpl-2.0#v": "the GNU GPL v2",
+    "gpl-3.0#v": "the GNU GPL v3",
+}
