@@ -1,11 +1,12 @@
 """Operator 7: lines that many documents share. DataFrame functions only.
 
 Line hashes are range-partitioned and sorted by document and position, so that the rows of
-even a line found everywhere spread over as many partitions as they need; a streaming
-aggregate passes over each range, and only one row per line, document and range goes on to
-the count of documents. The lines found meet the rows again by hash and one of ``SALTS``
-salts of the document, so that a line found everywhere has as many tasks. What comes back to
-a document is its keep bitmap, compressed to the runs of kept lines, not text.
+even a line found everywhere spread over as many partitions as they need. The rows are
+written with the number of their range; an aggregate passes over them, and only one row per
+line and document goes on to the count of documents. The rows of a line lie in successive
+ranges, from the first one to the last: the lines found meet the rows again by hash and
+range, so that a line has as many tasks as its rows take ranges, however many there are. What
+comes back to a document is its keep bitmap, compressed to the runs of kept lines, not text.
 
 A null or empty text is one empty line; texts and lines of any length are read whole. Rows
 with the same doc_id are one document when documents are counted; a null doc_id counts as
@@ -18,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import store
+
 #: The blank characters \x20 and \x09 to \x0D, and the letters that are folded.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = -(2**63)
-SALTS = 16
 
 
 def fold_ascii(c: Column) -> Column:
@@ -46,14 +48,16 @@ def line_keep_runs(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     lines = lines.withColumn("key", fold_ascii(F.col("key"))).select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "did", "version", "pos"
     )
-    dealt = lines.repartitionByRange("h1", "h2", "did", "version", "pos").sortWithinPartitions("h1", "h2", "did", "version", "pos")
-    by_doc = dealt.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
+    order = ["h1", "h2", "did", "version", "pos"]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Written, as where a range begins may differ from one evaluation to the next.
+    dealt = store(dealt.withColumn("range", F.spark_partition_id()), "lines")
+    by_doc = dealt.groupBy("h1", "h2", "did").agg(F.min("range").alias("first"), F.max("range").alias("last"))
     found = by_doc.groupBy("h1", "h2").agg(
-        F.count("*").alias("n_docs"), F.max("did").alias("keeper")
-    ).where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = dealt.withColumn("salt", F.pmod(F.xxhash64("did", "version"), F.lit(SALTS)).cast("int"))
-    lost = salted.join(found, ["h1", "h2", "salt"]).where(F.col("did") != F.col("keeper"))
+        F.count("*").alias("n_docs"), F.max("did").alias("keeper"), F.min("first").alias("first"), F.max("last").alias("last")
+    ).where(F.col("n_docs") >= min_docs)
+    found = found.select("h1", "h2", "keeper", F.explode(F.sequence("first", "last")).alias("range"))
+    lost = dealt.join(found, ["h1", "h2", "range"]).where(F.col("did") != F.col("keeper"))
     return lost.groupBy("did", "version").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
 
 
