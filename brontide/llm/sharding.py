@@ -35,6 +35,7 @@ from ._shared import shared_dir
 
 SHARD, ROW = "_shard_no", "_row"
 FULL = 0.75  # of the target: files from here on stay, as merged rows often take less room than their runs
+BROADCAST_FILES = 100_000  # entries of some 150 bytes: at most 15 MB; beyond, the join shuffles
 #: A file's path below the root.
 WITHIN = "((?:runs|shards)/[0-9a-f]{32}/.*)$"
 
@@ -63,6 +64,11 @@ def file_order(docs: DataFrame) -> list[Column]:
     return [F.length(F.regexp_extract(name, "^part-(\\d+)", 1)), name, meta["row_index"]]
 
 
+def _small(table: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` files, broadcast if it is within the bound."""
+    return F.broadcast(table) if n <= BROADCAST_FILES else table
+
+
 def append_run(docs: DataFrame, root: str, run_rows: int = 20_000, order: list[Column] | None = None) -> str:
     """Write arrivals as small runs, in ``order`` or else without a shuffle; the folder that holds them."""
     path = f"{root}/runs/{uuid.uuid4().hex}"
@@ -128,7 +134,9 @@ def merge(spark: SparkSession, groups: list[list[dict]], root: str, schema: Stru
     plan = spark.createDataFrame(
         [(f["path"], n, i) for n, (_, g) in enumerate(many) for i, f in enumerate(g)], f"`{path_}` string, `{shard_}` int, `{run_}` int"
     )
-    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(F.broadcast(plan), path_)
+    rows = rows.select("*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)).join(
+        _small(plan, sum(len(g) for _, g in many)), path_
+    )
     path = f"{root}/shards/{uuid.uuid4().hex}"
     dealt = rows.repartitionById(len(many), F.col(shard_)).sortWithinPartitions(shard_, run_, row_)  # a task a shard
     dealt.drop(path_, run_, row_).write.partitionBy(shard_).option("compression", "zstd").option("maxRecordsPerFile", 0).parquet(path)
@@ -221,7 +229,7 @@ def read(spark: SparkSession, root: str, entry: dict) -> DataFrame:
     numbers = spark.createDataFrame([(f["path"], n) for n, f in enumerate(entry["files"])], f"`{path_}` string, `{shard_}` bigint")
     rows = rows.select(
         "*", F.regexp_extract(meta["file_path"], WITHIN, 1).alias(path_), meta["row_index"].alias(row_)
-    ).join(F.broadcast(numbers), path_)
+    ).join(_small(numbers, len(entry["files"])), path_)
     return rows.select(*[F.col(f"`{c}`") for c in schema.names], shard_, row_)
 
 

@@ -66,3 +66,26 @@ def test_rows_lie_where_the_plain_version_puts_them(spark, tmp_path):
         assert {r.doc_id: (r[2], r[3]) for r in out.collect()} == want and out.count() == len(want)
         known = [(f["bytes"], pq.ParquetFile(f"{root}/{f['path']}").read(columns=["doc_id"]).column("doc_id").to_pylist()) for f in entry["files"]]
         assert 1 < len(known) < len(files)
+
+
+def test_more_files_than_are_broadcast(spark, tmp_path, monkeypatch):
+    """Where the plan is too long to be broadcast, the rows lie as they do otherwise."""
+    d = spark.range(500).select(F.col("id").alias("doc_id"), F.expr("repeat(sha2(string(id), 256), int(1 + id % 7))").alias("text")).repartition(4)
+    run = sharding.append_run(d, str(tmp_path / "a"), run_rows=20)
+    files = sharding.plan_merges(sharding.list_files(spark, run, d.schema), 40_000, 4)
+    assert any(len(g) > 1 for g in files)
+
+    def placed():
+        entry = sharding.commit(
+            spark, str(tmp_path / "a"),
+            {"files": sharding.merge(spark, files, str(tmp_path / "a"), d.schema), "schema": d.schema.jsonValue(), "n_shards": len(files), "target_bytes": 40_000}
+        )
+        out = sharding.read(spark, str(tmp_path / "a"), entry)
+        plan = out._jdf.queryExecution().toString()
+        return sorted((r.doc_id, r[2], r[3]) for r in out.collect()), plan
+
+    few, plan = placed()
+    assert "strategy=broadcast" in plan
+    monkeypatch.setattr(sharding, "BROADCAST_FILES", 1)
+    many, plan = placed()
+    assert "strategy=broadcast" not in plan and many == few and len(few) == 500
