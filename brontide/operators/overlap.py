@@ -42,7 +42,8 @@ def overlaps(a: DataFrame, b: DataFrame, keys: list[str], a_span: Span, b_span:
     levels = [sorted(r[0] for r in d.select("_level").distinct().collect()) for d in sides]  # at most 64
     x, y = _in_cells(sides[0], levels[1], "x"), _in_cells(sides[1], levels[0], "y")
     start = F.greatest("_s_x", "_s_y")
-    j = x.join(y, [*keys, "_l", "_cell"]).where(
+    # Merged, as the files' compressed size would let either side, exploded, pass for one to broadcast.
+    j = x.join(y.hint("merge"), [*keys, "_l", "_cell"]).where(
         (F.col("_l") == F.greatest("_level_x", "_level_y")) & (start < F.least("_e_x", "_e_y")) & (F.col("_cell") == F.call_function("shiftright", start, F.col("_l")))
     )
     return j.select(*keys, *names)

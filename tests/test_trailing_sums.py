@@ -1,9 +1,11 @@
-"""Trailing sums of an anchor grid against a plain version, which is joined with nothing."""
+"""Trailing sums of an anchor grid against a plain version, and interval joins: neither lets a side be broadcast."""
 
 import random
 
+from brontide.operators import overlap as O
 from brontide.operators import timeline as T
 from brontide.plans import binding as B
+from pyspark.sql import functions as F
 
 FIRST, STRIDE, DURATION = 24, 4, 120
 
@@ -31,3 +33,10 @@ def test_trailing_sums_against_a_plain_version(spark):
 def test_no_grid_is_joined_or_broadcast(spark):
     d = B.decisions(spark, "/root/testdata/sf0.001")
     assert "Join" not in _plan(d.where("available"))
+
+
+def test_interval_joins_are_merged(spark):
+    a = spark.range(50).select((F.col("id") % 5).alias("k"), F.col("id").alias("s"), (F.col("id") + 3).alias("e"))
+    found = O.overlaps(a, a, ["k"], (F.col("s"), F.col("e")), O.point(F.col("s")))
+    assert "SortMergeJoin" in _plan(found) and "BroadcastHashJoin" not in _plan(found)
+    assert found.count() == 50
