@@ -105,4 +105,4 @@ def state_at(points: DataFrame, decisions: DataFrame, keys: list[str], point: st
     the grid (t is a multiple of stride) are found by division, so it is an equi join."""
     cell = lambda c: F.floor(F.col(c) / stride)
     d = decisions.select(*keys, cell("t").alias("_cell"), F.col(column).alias(f"{column}_at"))
-    return points.withColumn("_cell", cell(point)).join(d, [*keys, "_cell"], "left").drop("_cell")
+    return points.withColumn("_cell", cell(point)).join(d.hint("merge"), [*keys, "_cell"], "left").drop("_cell")

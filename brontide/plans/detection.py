@@ -232,7 +232,7 @@ def _tables(spark, sf):
             "alpha": F.when(F.col("model") == "F0", 0.0).when(F.col("model") == "F1", 0.5).when(F.col("model") == "F2", 0.25)
         }
     )
-    d = d.join(_labelled(spark, sf).select("rec", "t", F.col("evaluation_label").alias("label")), ["rec", "t"])
+    d = d.join(_labelled(spark, sf).select("rec", "t", F.col("evaluation_label").alias("label")).hint("merge"), ["rec", "t"])
     d = d.select("grp", "rec", "t", "duration", "model", "score", "threshold", "available", "q", "alpha", "label")
     return N.build_tables(d, B.events(spark, sf), B.uncertain(spark, sf), B.SHORT, B.STRIDE)
 

@@ -5,6 +5,7 @@ import random
 from brontide.operators import overlap as O
 from brontide.operators import timeline as T
 from brontide.plans import binding as B
+from brontide.plans import features as P
 from pyspark.sql import functions as F
 
 FIRST, STRIDE, DURATION = 24, 4, 120
@@ -40,3 +41,9 @@ def test_interval_joins_are_merged(spark):
     found = O.overlaps(a, a, ["k"], (F.col("s"), F.col("e")), O.point(F.col("s")))
     assert "SortMergeJoin" in _plan(found) and "BroadcastHashJoin" not in _plan(found)
     assert found.count() == 50
+
+
+def test_the_rows_that_models_learn_from_are_merged(spark):
+    for rows in (P._training, P._fusion_frame):
+        plan = _plan(rows(spark, "/root/testdata/sf0.001").select("rec", "t", "label"))
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
