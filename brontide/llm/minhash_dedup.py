@@ -262,28 +262,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, slots: int =
         "classes"
     )
     node = F.struct("did", "set_id").alias("node")
-    banded = classes.select(node, "n", "small", F.explode("bands").alias("h"))
-    this = F.struct("node", "n", "small")
-    shared = banded.groupBy("h").agg(F.count("*").alias("members"), F.min(this).alias("pivot")).where("members > 1").select("h", "pivot")
-    buckets = store(banded.join(shared, "h"), "buckets")
+    # Signatures aren't dealt by band: of a band only who has it, and only of bands that classes share.
+    banded = classes.select(node, F.explode("bands").alias("h"))
+    common = banded.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
+    shared = store(banded.join(common, "h", "left_semi"), "shared")
+    buckets = store(shared.join(shared.groupBy("h").agg(F.min("node").alias("pivot")), "h"), "buckets")
+    signed = classes.select("set_id", F.struct(node, "n", "small").alias("_signed"))
+    sign = lambda d, c: d.join(signed, F.col(f"{c}.set_id") == F.col("set_id")).drop("set_id", c).withColumnRenamed("_signed", c)
     wanted = buckets.select(F.col("node.set_id").alias("set_id")).distinct()
     wanted = classes.join(wanted, "set_id").select("set_id", "did", "version")
     texts = store(d.join(wanted, ["did", "version"]).select("set_id", "text"), "texts")
 
     def verify(pairs):
         """pairs: x and p (node, n, small); back come linked nodes (a, b)."""
-        ids = store(pairs.select(F.col("x.node").alias("a"), F.col("p.node").alias("b")).distinct(), "pairs")
+        ids = store(pairs.select(F.col("x.node").alias("a"), F.col("p.node").alias("b")), "pairs")
         links = _linked(ids.select(F.col("a.set_id").alias("x"), F.col("b.set_id").alias("p")), texts, k, percent)
         return ids.join(links, (F.col("a.set_id") == F.col("x")) & (F.col("b.set_id") == F.col("p"))).select("a", "b")
 
     # Sizes and sketches rule most pairs out.
     close = (100 * F.least("x.n", "p.n") >= percent * F.greatest("x.n", "p.n")) & _alike("x.small", "p.small", slots, percent)
-    links = store(verify(buckets.where("node != pivot.node").select(this.alias("x"), F.col("pivot").alias("p")).where(close)), "links")
+    met = buckets.where("node != pivot").select(F.col("node").alias("x"), F.col("pivot").alias("p")).distinct()
+    links = store(verify(sign(sign(met, "x"), "p").where(close)), "links")
     roots = components(links)
-    rest = buckets.where("node != pivot.node").join(roots, "node", "left").select("h", "node", "n", "small", F.coalesce("root", "node").alias("root"))
+    rest = buckets.where("node != pivot").join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
     mixed = rest.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 != r2").select("h")
     rest = rest.join(mixed, "h").withColumn("turn", F.row_number().over(W.partitionBy("h").orderBy("root", "node")) - 1)
-    rest = store(rest.withColumn("block", F.floor(F.col("turn") / PIVOTS).cast("int")).withColumn("root", F.xxhash64("root")), "rest")
+    rest = rest.withColumn("block", F.floor(F.col("turn") / PIVOTS).cast("int")).withColumn("root", F.xxhash64("root"))
+    rest = store(sign(rest, "node").select("h", "node.*", "turn", "block", "root"), "rest")
     if not rest.isEmpty():
         to = F.explode(F.sequence(F.lit(0), F.col("block")))
         x = rest.withColumn("to", to).withColumn("role", F.lit(1)).unionByName(rest.withColumn("to", F.col("block")).withColumn("role", F.lit(0)))

@@ -93,6 +93,17 @@ def test_minhash_groups(docs, k, percent):
     assert got == groups(rows_of(docs), k, percent)
 
 
+def test_minhash_bands_are_dealt_without_signatures(docs, monkeypatch):
+    kept = {}
+    plain = minhash_dedup.store
+    monkeypatch.setattr(minhash_dedup, "store", lambda df, name: kept.setdefault(name, plain(df, name)))
+    minhash_dedup.near_duplicates(docs, k=3, percent=60)
+    assert "small" in kept["classes"].columns
+    for name in ("shared", "buckets"):
+        assert "small" not in kept[name].schema.simpleString()
+    assert kept["shared"].groupBy("h").count().where("count < 2").isEmpty()
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 1000, dtype=np.uint64)
