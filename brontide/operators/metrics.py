@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import intervals as I
 from . import ranges as G
@@ -68,18 +69,37 @@ def summarize(judged: DataFrame, budget: DataFrame, level: list[str], few: bool
     })
 
 
+def score_counts(scored: DataFrame, level: list[str]) -> DataFrame:
+    """How many rows with label 0 or 1 each score of a level has (n), and how many of them have 1 (p); stored."""
+    counts = scored.where("label >= 0 AND score IS NOT NULL AND NOT isnan(score)").groupBy(*level, "score").agg(
+        F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n")
+    )
+    return stored(counts, "scores")
+
+
+def rolled_up(counts: DataFrame, level: list[str]) -> DataFrame:
+    """:func:`score_counts` of a coarser level, from those of a finer one."""
+    return stored(counts.groupBy(*level, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), "scores")
+
+
 def score_quality(scored: DataFrame, level: list[str]) -> DataFrame:
     """Average precision (steps, ties together) and area under the ROC curve (average ranks) of
-    scored rows with label 0 or 1; null unless both occur. Rows are first counted per score; how
-    many lie below a score is a prefix sum over ranges of scores (:mod:`.ranges`), so a level of
-    any size is spread over tasks."""
-    by_score = stored(
-        scored.where("label >= 0 AND score IS NOT NULL AND NOT isnan(score)").groupBy(*level, "score").agg(
-            F.sum(F.col("label").cast("bigint")).alias("p"), F.count("*").alias("n")
-        ),
-        "scores"
-    )
-    s = G.running(by_score, level, "score", ["p", "n"])
+    scored rows with label 0 or 1; null unless both occur. Rows are first counted per score."""
+    return counted_quality(score_counts(scored, level), level)
+
+
+def counted_quality(by_score: DataFrame, level: list[str], few: bool = False) -> DataFrame:
+    """:func:`score_quality` from :func:`score_counts`. How many rows lie below a score is a prefix sum over
+    ranges of scores (:mod:`.ranges`), so a level of any size is spread over tasks. ``few``: the
+    scores of a unit fit into one task, as those of a recording do, and one window over it serves."""
+    if few:
+        unit, sums = W.partitionBy(*level), ("p", "n")
+        below = unit.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+        s = by_score.withColumns(
+            {f"{c}_before": F.coalesce(F.sum(c).over(below), F.lit(0)) for c in sums} | {f"{c}_total": F.sum(c).over(unit) for c in sums}
+        )
+    else:
+        s = G.running(by_score, level, "score", ["p", "n"])
     tp, seen = F.col("p_total") - F.col("p_before"), F.col("n_total") - F.col("n_before")
     s = s.withColumns({"_ap": F.col("p") * tp / seen, "_rank": F.col("p") * (F.col("n_before") + (F.col("n") + 1) / 2)})
     out = s.groupBy(*level).agg(
