@@ -74,7 +74,8 @@ def reached(score: Column, thresholds: list[float]) -> Column:
 
 
 def alarm_levels(
-    decisions: DataFrame, keys: list[str], stride: int, thresholds: list[float], name: str, families: dict[object, tuple[Column, Column]], at: str = "at"
+    decisions: DataFrame, keys: list[str], stride: int, thresholds: list[float], name: str, families: dict[object, tuple[Column, Column]], at: str = "at",
+    ends: bool = True
 ) -> DataFrame:
     """The alarms of every threshold and several scores at once: what :func:`alarm_stream` gives for each
     of them, from one sort of the decisions, a row each.
@@ -84,7 +85,8 @@ def alarm_levels(
     thresholds that neither of the two before it reaches, and ends one at those that neither of the two
     after it does, so both are ranges of thresholds, and only where an alarm begins or ends is there a
     row a threshold. ``decisions`` as in :func:`alarm_stream`, without score and threshold. Back: keys,
-    ``name``, ``at`` (the threshold), declaration, end, reason."""
+    ``name``, ``at`` (the threshold), declaration, end, reason; the last two only with ``ends``, without which nothing after a
+    decision is looked at."""
     order = W.partitionBy(*keys).orderBy("t")
     numbered = list(enumerate(families.items()))
     d = decisions.select(
@@ -116,23 +118,33 @@ def alarm_levels(
     d = d.withColumns({f"_cut{i}": cut(i) for i, _ in numbered} | {f"_live{i}": F.col(f"_ok{i}") & ~F.col("held") for i, _ in numbered})
     breaks = lambda i: (F.col(f"_cut{i}.at").isNotNull() | ~F.col(f"_live{i}")).cast("int")
     d = d.withColumns({f"_seg{i}": F.coalesce(F.sum(breaks(i)).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for i, _ in numbered})
-    state = lambda i: F.struct(
-        F.col(f"_seg{i}").alias("seg"), F.col(f"_live{i}").alias("live"), F.when(F.col(f"_live{i}"), F.col(f"_high{i}")).otherwise(0).alias("high"), F.col(f"_cut{i}").alias("cut"), "t"
+    seg = lambda i: F.when(F.col(f"_live{i}"), F.col(f"_seg{i}"))
+    lasting = {f"_in{i}": seg(i) for i, _ in numbered} | {f"_up{i}": F.when(F.col(f"_live{i}"), F.col(f"_high{i}")).otherwise(0) for i, _ in numbered}
+    d = d.select(*keys, "t", *[f"_cut{i}" for i, _ in numbered if ends], *[c.alias(n) for n, c in lasting.items()])
+    offsets = (-2, -1, 1, 2) if ends else (-2, -1)
+    moved = lambda c, k: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(order)
+    d = d.withColumns(
+        {f"{n}_{k}": moved(n, k) for n in lasting for k in offsets} | ({f"_cut{i}_1": moved(f"_cut{i}", 1) for i, _ in numbered} | {"_t_2": moved("t", 2)} if ends else {})
     )
-    d = d.select(*keys, "t", *[state(i).alias(f"_{i}") for i, _ in numbered])
-    d = d.withColumns({f"_{i}_{k}": (F.lag(f"_{i}", -k) if k < 0 else F.lead(f"_{i}", k)).over(order) for i, _ in numbered for k in (-2, -1, 1, 2)})
 
     def of(i: int, value: object) -> Column:
-        near = lambda k: F.col(f"_{i}_{k}.live") & (F.col(f"_{i}_{k}.seg") == F.col(f"_{i}.seg"))
-        high = lambda k: F.when(near(k), F.col(f"_{i}_{k}.high")).otherwise(0)
-        closed, final = near(2), F.when(near(1), F.col(f"_{i}_1.cut")).otherwise(F.col(f"_{i}.cut"))
+        near = lambda k: F.coalesce(F.col(f"_in{i}_{k}") == F.col(f"_in{i}"), F.lit(False))
+        high = lambda k: F.when(near(k), F.col(f"_up{i}_{k}")).otherwise(0)
+        mine = [F.lit(value).alias("name"), F.col(f"_up{i}").alias("high"), F.greatest(high(-1), high(-2)).alias("before")]
+        if not ends:
+            return F.struct(*mine)
+        closed, final = near(2), F.when(near(1), F.col(f"_cut{i}_1")).otherwise(F.col(f"_cut{i}"))
         return F.struct(
-            F.lit(value).alias("name"), F.col(f"_{i}.high").alias("high"), F.greatest(high(-1), high(-2)).alias("before"), F.greatest(high(1), high(2)).alias("after"),
-            F.struct(F.when(closed, F.col(f"_{i}_2.t")).otherwise(final["at"]).alias("end"), F.when(closed, TWO_BELOW).otherwise(final["why"]).alias("reason")).alias("stop")
+            *mine, F.greatest(high(1), high(2)).alias("after"),
+            F.struct(F.when(closed, F.col("_t_2")).otherwise(final["at"]).alias("end"), F.when(closed, TWO_BELOW).otherwise(final["why"]).alias("reason")).alias("stop")
         )
 
-    d = d.select(*keys, "t", F.inline(F.array(*[of(i, value) for i, (value, _) in numbered]))).where("high > least(before, after)")
-    d = d.withColumn("_j", F.explode(F.sequence(F.least("before", "after") + 1, F.col("high"))))
+    d = d.select(*keys, "t", F.inline(F.array(*[of(i, value) for i, (value, _) in numbered])))
+    threshold = F.array(*map(F.lit, thresholds))[F.col("_j") - 1].alias(at)
+    if not ends:
+        begun = d.where("high > before").withColumn("_j", F.explode(F.sequence(F.col("before") + 1, F.col("high"))))
+        return begun.select(*keys, F.col("name").alias(name), threshold, F.col("t").alias("declaration"))
+    d = d.where("high > least(before, after)").withColumn("_j", F.explode(F.sequence(F.least("before", "after") + 1, F.col("high"))))
     one = W.partitionBy(*keys, "name", "_j").orderBy("t")
     d = d.withColumn("stop", F.when(F.col("_j") > F.col("after"), F.col("stop")).otherwise(F.lead("stop").over(one))).where("_j > before")
-    return d.select(*keys, F.col("name").alias(name), F.array(*map(F.lit, thresholds))[F.col("_j") - 1].alias(at), F.col("t").alias("declaration"), "stop.*")
+    return d.select(*keys, F.col("name").alias(name), threshold, F.col("t").alias("declaration"), "stop.*")

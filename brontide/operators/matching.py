@@ -43,6 +43,22 @@ def judged(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
         of_event(F.col("_first").isNotNull()).alias("detected"), of_event(F.col("_first") - F.col("event.onset")).alias("delay"), of_event(F.coalesce(F.col("_reach") > F.col("event.onset"), F.lit(False))).alias("overlap_detected"))
 
 
+def declared_in(alarms: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to each alarm (keys, declaration and more) the event of its recording that it is declared in, as event_id and
+    onset; null outside. The alarms may be those of many thresholds: their recording's events, which do
+    not overlap, stand in the series once."""
+    rest = F.struct(*[F.col(c) for c in alarms.columns if c not in keys])
+    span = F.struct("event_id", F.col("start").alias("onset"), F.col("end").alias("offset"))
+    series = events.select(*keys, F.col("start").alias("_t"), span.alias("_event")).unionByName(
+        alarms.select(*keys, F.col("declaration").alias("_t"), rest.alias("_alarm")), allowMissingColumns=True
+    )
+    is_alarm = F.col("_alarm").isNotNull()
+    so_far = W.partitionBy(*keys).orderBy("_t", is_alarm).rowsBetween(W.unboundedPreceding, 0)
+    out = series.withColumn("_open", F.last("_event", ignorenulls=True).over(so_far)).where(is_alarm)
+    inside = F.col("_t") < F.col("_open.offset")
+    return out.select(*keys, "_alarm.*", *[F.when(inside, F.col(f"_open.{c}")).alias(c) for c in ("event_id", "onset")])
+
+
 def match_alarms(alarms: DataFrame, events: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Alarms with status (matched, duplicate, false) and event_id; events with detection: see :func:`judged`."""
     j = judged(alarms, events, keys)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -62,11 +62,16 @@ def summarize(judged: DataFrame, budget: DataFrame, level: list[str], few: bool
     found = detection(judged, level, few)
     out = time.join(found, level, "left") if level else time.crossJoin(found)  # a row each
     out = out.fillna(0, [c for c in found.columns if c not in level and not c.startswith("delay_")] + ["delay_n"])
-    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    return out.withColumns({
-        "sensitivity": ratio("detected", "events"), "overlap_sensitivity": ratio("overlap_detected", "events"), "missed": F.col("events") - F.col("detected"),
-        "false_per_hour": F.try_divide(F.col("false_declarations").cast("double") * HOUR, F.col("evaluable").cast("double")), "warning_fraction": ratio("active", "evaluable"),
-    })
+    return out.withColumn("missed", F.col("events") - F.col("detected")).withColumns(rates("sensitivity", "overlap_sensitivity", "false_per_hour", "warning_fraction"))
+
+
+def rates(*names: str) -> dict[str, Column]:
+    """Ratios of counts and times by name; null without a denominator."""
+    of = {
+        "sensitivity": ("detected", "events", 1), "overlap_sensitivity": ("overlap_detected", "events", 1),
+        "false_per_hour": ("false_declarations", "evaluable", HOUR), "warning_fraction": ("active", "evaluable", 1),
+    }
+    return {n: F.try_divide(F.col(a).cast("double") * k, F.col(b).cast("double")) for n, (a, b, k) in of.items() if n in names}
 
 
 def score_counts(scored: DataFrame, level: list[str]) -> DataFrame:

@@ -67,12 +67,22 @@ def many(df: DataFrame, grids: dict[str, list]) -> DataFrame:
 def sweep(
     alarms: DataFrame, events: DataFrame, budget: DataFrame, keys: list[str], fold: list[str], grids: dict[str, list]
 ) -> tuple[DataFrame, DataFrame]:
-    """Detection of every grid point at once: (measures by fold and point, the judged alarms and
-    events). ``alarms`` carry the grids' columns."""
-    unit = list(dict.fromkeys([*keys, *fold, *grids]))
-    judged = stored(M.judged(alarms, many(events, grids), unit), "judged")
-    time = budget.groupBy(*fold).agg(*[F.sum(c).alias(c) for c in Q.TIMES])
-    return Q.summarize(judged, many(time, grids), [*fold, *grids]), judged
+    """Detection of every grid point at once: (measures by fold and point; of each recording and point the alarms
+    and the delay of every event detected, and with a null event_id the alarms outside events). ``alarms``:
+    keys, fold, the grids' columns, declaration; ``events``: keys, fold, event_id, start, end. Events are
+    neither multiplied by the grid nor counted per point: only what alarms find depends on it."""
+    unit = list(dict.fromkeys([*keys, *fold]))
+    inside = M.declared_in(alarms.select(*unit, *grids, "declaration"), events.select(*unit, "event_id", "start", "end"), unit)
+    found = stored(inside.groupBy(*unit, *grids, "event_id").agg(F.count("*").alias("alarms"), F.min(F.col("declaration") - F.col("onset")).alias("delay")), "found")
+    matched = F.count("event_id")
+    counts = found.groupBy(*fold, *grids).agg(
+        matched.alias("detected"), (F.sum("alarms") - matched).alias("false_declarations"), F.percentile("delay", 0.5).alias("delay_median")
+    )
+    time = budget.groupBy(*fold).agg(F.sum("evaluable").alias("evaluable"))
+    n = events.groupBy(*fold).agg(F.count("*").alias("events"))
+    whole = time.join(n, fold, "left").fillna(0, ["events"]) if fold else time.crossJoin(n)  # without a fold: a row each
+    out = many(whole, grids).join(counts, [*fold, *grids], "left").fillna(0, ["detected", "false_declarations"])
+    return out.withColumns(Q.rates("sensitivity", "false_per_hour")), found
 
 
 def select_fusion(
@@ -93,13 +103,13 @@ def select_fusion(
     one = {"family": ["base", "early"], "at": THRESHOLDS}
     scores = {"base": F.col("score1"), "early": F.col("score_early")}
     aligned = stored(aligned, "aligned")
-    alarms = A.alarm_levels(aligned, unit, stride, least, "family", {n: (c, A.reached(c, least)) for n, c in scores.items()})
-    alone, judged = sweep(alarms, events, budget, keys, fold, one)
+    alarms = A.alarm_levels(aligned, unit, stride, least, "family", {n: (c, A.reached(c, least)) for n, c in scores.items()}, ends=False)
+    alone, found = sweep(alarms, events, budget, keys, fold, one)
     alone = stored(alone.withColumnRenamed("at", "threshold"), "alone")
     base, early = (choose(alone.where(F.col("family") == f), fold, limit=limit) for f in ("base", "early"))
     base = stored(base, "base")
     chosen = base.select(*fold, F.col("threshold").alias("base_threshold"))
-    delays = judged.where("kind = 'event' AND detected AND family = 'base'").join(chosen, fold).where("at = base_threshold").select(
+    delays = found.where("event_id IS NOT NULL AND family = 'base'").join(chosen, fold).where("at = base_threshold").select(
         *dict.fromkeys([*fold, *keys]), "event_id", F.col("delay").alias("delay0")
     )
 
@@ -109,8 +119,9 @@ def select_fusion(
         score, active = U.late_score(F.lit(alpha))
         alone_high = F.when(F.col("score1") >= F.col("base_threshold"), len(least)).otherwise(0)
         fused_by[alpha] = (score, F.when(active, A.reached(score, least)).otherwise(alone_high))
-    fused, judged = sweep(A.alarm_levels(aligned.join(chosen, fold), unit, stride, least, "alpha", fused_by), events, budget, keys, fold, two)
-    both = judged.where("kind = 'event' AND detected").join(delays, [*dict.fromkeys([*fold, *keys]), "event_id"])
+    alarms = A.alarm_levels(aligned.join(chosen, fold), unit, stride, least, "alpha", fused_by, ends=False)
+    fused, found = sweep(alarms, events, budget, keys, fold, two)
+    both = found.where("event_id IS NOT NULL").join(delays.hint("merge"), [*dict.fromkeys([*fold, *keys]), "event_id"])
     paired = both.groupBy(*fold, "alpha", F.col("at").alias("threshold")).agg(
         F.count("*").alias("common_events"), F.median(F.col("delay") - F.col("delay0")).alias("common_delay_delta")
     )

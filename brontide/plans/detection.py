@@ -90,11 +90,10 @@ def _group(d):
 
 def _sweep(spark, sf, fold):
     """Metrics of every threshold in one job, from one sort of the decisions."""
-    score = F.col("score")
-    alarms = A.alarm_levels(B.ready(spark, sf), K, B.STRIDE, SWEEP, "family", {"one": (score, A.reached(score, SWEEP))}, at="thr").drop("family")
-    judged = M.judged(alarms, S.grid(B.events(spark, sf), "thr", SWEEP), ["rec", "thr"])
-    budget = _group(_budget(spark, sf)).groupBy(*fold).agg(*[F.sum(c).alias(c) for c in Q.TIMES])
-    out = Q.summarize(_group(judged), S.grid(budget, "thr", SWEEP), [*fold, "thr"]).withColumnRenamed("thr", "threshold")
+    score, unit = F.col("score"), [*K, *fold]
+    ready, events, budget = (_group(d).select(*[c for c in d.columns if c not in unit], *unit) for d in (B.ready(spark, sf), B.events(spark, sf), _budget(spark, sf)))
+    alarms = A.alarm_levels(ready, unit, B.STRIDE, SWEEP, "family", {"one": (score, A.reached(score, SWEEP))}, at="thr", ends=False).drop("family")
+    out = S.sweep(alarms, events, budget, K, fold, {"thr": SWEEP})[0].withColumnRenamed("thr", "threshold")
     return out.select(*fold, "threshold", "events", "evaluable", "false_declarations", "detected", "delay_median", "sensitivity", "false_per_hour")
 
 
@@ -213,7 +212,7 @@ def _selection(spark, sf):
     d = _group(_aligned(spark, sf)).withColumns({"score_early": early, "available": F.col("available1")})
     d = T.around(d, {"barrier": B.uncertain(spark, sf)}, K)
     return S.select_fusion(
-        stored(d, "aligned"), stored(_group(B.events(spark, sf)), "events"), _group(_budget(spark, sf)), K, ["grp"], B.STRIDE, float(B.STRIDE),
+        d, stored(_group(B.events(spark, sf)), "events"), stored(_group(_budget(spark, sf)), "budget"), K, ["grp"], B.STRIDE, float(B.STRIDE),
         limit=0.02
     )
 
