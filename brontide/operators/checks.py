@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import alarms as A
 from . import fusion as U
+from .staging import stored
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -42,13 +43,19 @@ def negative_controls(
     (declaration, end, reason) only one of the two streams has. ``aligned``: keys, t, duration,
     barrier_until, barrier_next, available, available2, score1, score2."""
     cases = [("NC1_alpha_zero", 0.0, False), ("NC2_entire_outage", alpha, True), ("NC2_max_alpha_outage", largest, True)]
-    streams = aligned.withColumns({"control": F.lit("base"), "score": F.col("score1"), "threshold": F.lit(first_threshold)})
+    aligned = stored(aligned, "aligned")
+    scored = {"base": (F.col("score1"), F.lit(first_threshold))}
     for name, a, outage in cases:
-        fused = U.late(aligned, F.lit(a), F.lit(threshold), F.lit(first_threshold), outage)
-        streams = streams.unionByName(fused.withColumn("control", F.lit(name)).drop("q"))
-    off = ~F.col("score").eqNullSafe(F.col("score1")) | (F.col("threshold") != first_threshold)
-    rows = streams.where("control <> 'base'").groupBy("control").agg(F.count("*").alias("decisions"), F.count_if(off).alias("differing"))
-    same = A.alarm_stream(streams, [*keys, "control"], stride).groupBy(*keys, "declaration", "end", "reason").agg(F.collect_set("control").alias("in_"))
+        fused = U.late(aligned, F.lit(a), F.lit(threshold), F.lit(first_threshold), outage).drop("q")
+        aligned = fused.withColumnsRenamed({c: f"{c}_{name}" for c in ("score", "threshold")})
+        scored[name] = (F.col(f"score_{name}"), F.col(f"threshold_{name}"))
+    off = lambda score, at: ~score.eqNullSafe(F.col("score1")) | (at != first_threshold)
+    n = aligned.agg(F.count("*").alias("decisions"), *[F.count_if(off(*scored[name])).alias(name) for name, _, _ in cases]).where("decisions > 0")
+    rows = n.select("decisions", F.inline(F.array(*[F.struct(F.lit(name).alias("control"), F.col(name).alias("differing")) for name, _, _ in cases])))
+    # A decision is one row for all controls: each is high or not, at a single level.
+    high = {name: (score, F.when(score >= at, 1).otherwise(0)) for name, (score, at) in scored.items()}
+    alarms = A.alarm_levels(aligned, keys, stride, [first_threshold], "control", high)
+    same = alarms.groupBy(*keys, "declaration", "end", "reason").agg(F.collect_set("control").alias("in_"))
     in_base = F.array_contains("in_", "base")
     each = same.withColumn(
         "control", F.explode(F.array(*[F.lit(n) for n, _, _ in cases]))
