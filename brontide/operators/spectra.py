@@ -13,24 +13,30 @@ from . import leads as L
 from . import rhythm as Y
 
 NAMES = dsp.CHANNEL_FEATURES
+BLOCK = 1 << 18  # samples of a matrix: spectra of all windows of a batch at once would be many times the batch
+
+
+def feature_rows(arrays: pd.Series, fs: float, block: int = BLOCK) -> np.ndarray:
+    """Twenty-two features a channel. The channels that are of one length are matrices of at most ``block`` samples."""
+    out = np.full((len(arrays), len(NAMES)), np.nan)
+    lengths = np.array([0 if a is None else len(a) for a in arrays])
+    for n in np.unique(lengths[lengths >= fs]):
+        of_length, rows = np.flatnonzero(lengths == n), max(1, block // int(n))
+        for at in (of_length[i:i + rows] for i in range(0, len(of_length), rows)):
+            x = np.stack([np.asarray(arrays.iloc[i], float) for i in at])
+            whole = np.isfinite(x).all(axis=1)
+            if fs >= 90 and whole.any():
+                out[at[whole]] = dsp.feature_matrix(x[whole], fs)
+    return out
 
 
 def channel_features(df: DataFrame, samples: str, fs: float) -> DataFrame:
-    """Twenty-two features a channel; null for channels that are too short, not finite, or slow.
-    The channels of a batch that are of one length are one matrix."""
+    """Twenty-two features a channel; null for channels that are too short, not finite, or slow (see :func:`feature_rows`)."""
     schema = ", ".join(f"{n} double" for n in NAMES)
 
     @F.pandas_udf(schema)
     def run(arrays: pd.Series) -> pd.DataFrame:
-        out = np.full((len(arrays), len(NAMES)), np.nan)
-        lengths = np.array([0 if a is None else len(a) for a in arrays])
-        for n in np.unique(lengths[lengths >= fs]):
-            at = np.flatnonzero(lengths == n)
-            x = np.stack([np.asarray(arrays.iloc[i], float) for i in at])
-            whole = np.isfinite(x).all(axis=1)
-            if fs >= 90 and whole.any():
-                out[at[whole]] = dsp.feature_matrix(x[whole], fs)
-        return pd.DataFrame(out, columns=NAMES)
+        return pd.DataFrame(feature_rows(arrays, fs), columns=NAMES)
 
     features = df.withColumn("_f", run(F.col(samples)))
     return features.select(*df.columns, *[F.when(~F.isnan(f"_f.{n}"), F.col(f"_f.{n}")).alias(n) for n in NAMES])
