@@ -169,8 +169,9 @@ def q18_false_alarm_fate(spark, sf):
 
 
 def q67_replay(spark, sf):
-    """Matches of events made anew against a copy in which some delays were altered and some events lost."""
-    made = q03_event_matches(spark, sf).select("rec", "event_id", "onset", "detected", "delay", "overlap_detected")
+    """Matches of events made anew against a copy in which some delays were altered and some events lost; stored, as both sides
+    are read for fingerprints and again for rows."""
+    made = stored(q03_event_matches(spark, sf).select("rec", "event_id", "onset", "detected", "delay", "overlap_detected"), "matches")
     kept = made.where("rec % 11 <> 3").withColumn("delay", F.when(F.col("rec") % 7 == 2, F.col("delay") + 1).otherwise(F.col("delay")))
     out = Y.differences(made, kept, ["rec", "event_id"])
     k = F.from_json("key", "rec bigint, event_id string")
