@@ -1,8 +1,8 @@
-"""Logistic models of all folds of a nested cross-validation, fitted together.
+"""Models of all folds of a nested cross-validation, fitted together: what kinds of models share, and logistic ones.
 
 A fold leaves out one item (outer) or two (inner: the held item and the one that is scored). Fits
 differ in what they leave out, so sums by item serve them all: counts, medians, means and
-spreads of a fit are those of all items less those of the items left out. The models
+spreads of a fit are those of all items less those of the items left out. Logistic models
 themselves are found by Newton's method; a step is one job in which each task adds up
 gradient, Hessian and loss of every fit over its rows, so the number of jobs is that of the
 steps, however many folds there are. Medians are exact: eight jobs narrow the range of
@@ -28,8 +28,11 @@ from .staging import stored
 STEPS, TOLERANCE = 60, 1e-10
 
 
-def array_sums(df: DataFrame, partial: Callable[[pa.RecordBatch], dict[str, np.ndarray]], dtype: str) -> dict[str, np.ndarray]:
-    """The sums, by key, of the arrays that ``partial`` makes of each batch; each task adds up its own first."""
+def array_sums(
+    df: DataFrame, partial: Callable[[pa.RecordBatch], dict[str, np.ndarray]], dtype: str, finish: Callable[[str, np.ndarray], np.ndarray] | None = None
+) -> dict[str, np.ndarray]:
+    """The sums, by key, of the arrays that ``partial`` makes of each batch; each task adds up its own first.
+    With ``finish``, the numbers that it makes of a key and its sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -40,12 +43,13 @@ def array_sums(df: DataFrame, partial: Callable[[pa.RecordBatch], dict[str, np.n
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([np.ascontiguousarray(v, dtype).tobytes() for v in total.values()], pa.binary())], names=["key", "value"])
 
     def add(t: pa.Table) -> pa.Table:
-        value = sum(np.frombuffer(v, dtype) for v in t.column("value").to_pylist())
-        return pa.table({"key": pa.array([t.column("key")[0].as_py()]), "value": pa.array([value.tobytes()], pa.binary())})
+        value, key = sum(np.frombuffer(v, dtype) for v in t.column("value").to_pylist()), t.column("key")[0].as_py()
+        value = value if finish is None else np.ascontiguousarray(finish(key, value), "float64")
+        return pa.table({"key": pa.array([key]), "value": pa.array([value.tobytes()], pa.binary())})
 
     parts = df.mapInArrow(run, "key string, value binary")
     rows = parts.groupBy("key").applyInArrow(add, "key string, value binary").collect()  # one a key
-    return {r.key: np.frombuffer(bytes(r.value), dtype) for r in rows}
+    return {r.key: np.frombuffer(bytes(r.value), "float64" if finish else dtype) for r in rows}
 
 
 def _matrix(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
@@ -65,11 +69,11 @@ def unordered(key: np.ndarray) -> np.ndarray:
     return np.where(key & top, key & ~top, ~key).view(np.float64)
 
 
-class FoldedLogistic:
+class Folded:
     """``frame``: the item's column, label (0, 1), training_eligible, the column ``available``, and the
-    numeric ``columns``. Weights balance the classes of each fit, the penalty is half the squared
-    coefficients, missing values become the fit's medians, and columns are centred and scaled by the
-    fit's spread. A fit without both classes stops the job."""
+    numeric ``columns``. Weights balance the classes of each fit, and missing values become the fit's
+    medians. A fit without both classes stops the job. A kind of models has ``_fitted``, the models of several
+    fits, and ``scorer``, what gives one model's probabilities of class 1 for a matrix."""
 
     def __init__(self, frame: DataFrame, item: str, columns: list[str], items: list, available: str = "available"):
         self.item, self.columns, self.items, self.available = item, columns, sorted(items), available
@@ -93,13 +97,10 @@ class FoldedLogistic:
         fits = [e for e in dict.fromkeys(excluded) if e not in self.models]
         if not fits:
             return
-        kept, median, mean, spread, weight = self._scales(fits)
-        beta = self._newton(kept, median, mean, spread, weight)
-        for i, e in enumerate(fits):
-            self.models[e] = (median[i], mean[i], spread[i], beta[i])
+        self.models |= zip(fits, self._fitted(fits), strict=True)
 
-    def _scales(self, fits: list[frozenset]) -> tuple[np.ndarray, ...]:
-        """By fit: the items it keeps, and for each column the median, mean and spread; the weights of both classes."""
+    def _kept(self, fits: list[frozenset]) -> tuple[np.ndarray, ...]:
+        """By fit: the items it keeps, its rows by class, and for each column the values present and their median."""
         n_items, d = len(self.items), len(self.columns)
         kept = np.array([[v not in e for v in self.items] for e in fits], np.float64)  # fit x item
         sums = self._first_sums()
@@ -107,36 +108,8 @@ class FoldedLogistic:
         if (classes == 0).any():
             bad = fits[int(np.argwhere(classes == 0)[0, 0])]
             raise ValueError(f"Calibration-limited: one class only without {sorted(bad)}")
-        n = classes.sum(1)
         present = kept @ sums["present"].reshape(n_items, d)
-        median = self._medians(kept, present)
-        base = np.nanmedian(median, 0)
-        moments = self._moments(base)
-        absent, off = n[:, None] - present, median - base
-        s1 = kept @ moments[:, 0] + absent * off
-        s2 = kept @ moments[:, 1] + absent * off**2
-        mean = s1 / n[:, None]
-        spread = np.sqrt(np.maximum(s2 / n[:, None] - mean**2, 0))
-        spread[spread == 0] = 1.0
-        return kept, median, mean + base, spread, n[:, None] / (2 * classes)
-
-    def training_rows(self) -> DataFrame:
-        """What the outer fits are fitted on: for each item that is held out the others' training rows, with
-        ``held``, ``weight`` and ``z``, the columns imputed and standardised as that fit has them."""
-        kept, median, mean, spread, weight = self._scales([frozenset([v]) for v in self.items])
-        numbers = lambda a: F.array(*[F.lit(float(x)) for x in a])
-        each = [
-            F.struct(
-                F.lit(v).alias("held"), F.lit(i).alias("at"), numbers(weight[i]).alias("w"), numbers(median[i]).alias("m"), numbers(mean[i]).alias("a"),
-                numbers(spread[i]).alias("s")
-            )
-            for i, v in enumerate(self.items)
-        ]
-        usable = F.col("training_eligible") & F.col(self.available) & F.col("label").isin(0, 1) & (F.col("_item") >= 0)
-        d = self.frame.where(usable).withColumn("_f", F.explode(F.filter(F.array(*each), lambda f: f["at"] != F.col("_item"))))
-        one = lambda x, i: (F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.col("_f.m")[i]) - F.col("_f.a")[i]) / F.col("_f.s")[i]
-        z = F.transform("_x", one)
-        return d.select(*[c for c in self.frame.columns if c not in ("_item", "_x", "_f")], "_f.held", F.col("_f.w")[F.col("label").cast("int")].alias("weight"), z.alias("z"))
+        return kept, classes, present, self._medians(kept, present)
 
     def _first_sums(self) -> dict[str, np.ndarray]:
         n_items, d = len(self.items), len(self.columns)
@@ -183,6 +156,93 @@ class FoldedLogistic:
                         prefix[side, f, c] = np.uint64(p << 8 | b)
         return np.where(count > 0, unordered(prefix[0]) / 2 + unordered(prefix[1]) / 2, 0.0)
 
+    def _scored(self, fits_of: Callable[[int], list[frozenset | None]], name: str) -> DataFrame:
+        """Rows of the items, one for each fit that scores them, with ``name`` (what the fit holds out) and score."""
+        d, items, at, scorer = len(self.columns), self.items, self.available, self.scorer
+        plans = [fits_of(i) for i in range(len(items))]
+        models = {e: self.models[e] for p in plans for e in p if e is not None}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = {e: scorer(m) for e, m in models.items()}
+            for batch in batches:
+                x, item = _matrix(batch, "_x", d), batch.column("_item").to_numpy(zero_copy_only=False)
+                ok = np.array(batch.column(at).to_pylist(), object) == True  # noqa: E712
+                out = np.full((len(x), len(items)), np.nan)
+                for i, plan in enumerate(plans):
+                    mine = np.flatnonzero((item == i) & ok)
+                    for j, e in enumerate(plan):
+                        if e is not None and len(mine):
+                            out[mine, j] = score[e](x[mine])
+                rest = [n for n in batch.schema.names if n not in ("_x",)]
+                lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(items), dtype=np.int32), pa.array(out.reshape(-1), from_pandas=True))
+                yield pa.record_batch([*[batch.column(n) for n in rest], lists], names=[*rest, "_scores"])
+
+        rows = self.frame.where("_item >= 0")
+        schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_x"], T.StructField("_scores", T.ArrayType(T.DoubleType()))])
+        out = rows.mapInArrow(run, schema).withColumn("_holds", F.array(*[F.array(*[F.lit(e is not None) for e in p]) for p in plans])[F.col("_item")])
+        out = out.select(*[c for c in rows.columns if c not in ("_x", "_item")], F.posexplode(F.arrays_zip("_scores", "_holds")).alias("_j", "_s"))
+        held = F.array(*map(F.lit, items))[F.col("_j")].alias(name)
+        return out.where("_s._holds").select(*[c for c in out.columns if c not in ("_j", "_s")], F.col("_s._scores").alias("score"), held)
+
+    def outer(self) -> DataFrame:
+        """Each item's rows, scored by the model of all others; fold: the item."""
+        self.fit([frozenset([v]) for v in self.items])
+        return self._scored(lambda i: [frozenset([v]) if j == i else None for j, v in enumerate(self.items)], "fold")
+
+    def inner(self, held: list | None = None) -> DataFrame:
+        """Each item's rows, scored, for every other item that is held out (or those of ``held``), by the
+        model of all but the two: what thresholds are chosen on before the held item is scored."""
+        held = self.items if held is None else held
+        if len(self.items) < 3:
+            raise ValueError("Calibration-limited: fewer than two inner items")
+        self.fit([frozenset(p) for p in combinations(self.items, 2) if set(p) & set(held)])
+        return self._scored(lambda i: [frozenset([v, self.items[i]]) if j != i and v in held else None for j, v in enumerate(self.items)], "held")
+
+
+class FoldedLogistic(Folded):
+    """Logistic models: the penalty is half the squared coefficients, and columns are centred and scaled by the fit's spread."""
+
+    def _fitted(self, fits: list[frozenset]) -> list[tuple]:
+        kept, median, mean, spread, weight = self._scales(fits)
+        return list(zip(median, mean, spread, self._newton(kept, median, mean, spread, weight), strict=True))
+
+    @staticmethod
+    def scorer(model: tuple) -> Callable[[np.ndarray], np.ndarray]:
+        median, mean, spread, beta = model
+        return lambda x: 0.5 * (1 + np.tanh((((np.where(np.isnan(x), median, x) - mean) / spread) @ beta[1:] + beta[0]) / 2))
+
+    def _scales(self, fits: list[frozenset]) -> tuple[np.ndarray, ...]:
+        """By fit: the items it keeps, and for each column the median, mean and spread; the weights of both classes."""
+        kept, classes, present, median = self._kept(fits)
+        n = classes.sum(1)
+        base = np.nanmedian(median, 0)
+        moments = self._moments(base)
+        absent, off = n[:, None] - present, median - base
+        s1 = kept @ moments[:, 0] + absent * off
+        s2 = kept @ moments[:, 1] + absent * off**2
+        mean = s1 / n[:, None]
+        spread = np.sqrt(np.maximum(s2 / n[:, None] - mean**2, 0))
+        spread[spread == 0] = 1.0
+        return kept, median, mean + base, spread, n[:, None] / (2 * classes)
+
+    def training_rows(self) -> DataFrame:
+        """What the outer fits are fitted on: for each item that is held out the others' training rows, with
+        ``held``, ``weight`` and ``z``, the columns imputed and standardised as that fit has them."""
+        kept, median, mean, spread, weight = self._scales([frozenset([v]) for v in self.items])
+        numbers = lambda a: F.array(*[F.lit(float(x)) for x in a])
+        each = [
+            F.struct(
+                F.lit(v).alias("held"), F.lit(i).alias("at"), numbers(weight[i]).alias("w"), numbers(median[i]).alias("m"), numbers(mean[i]).alias("a"),
+                numbers(spread[i]).alias("s")
+            )
+            for i, v in enumerate(self.items)
+        ]
+        usable = F.col("training_eligible") & F.col(self.available) & F.col("label").isin(0, 1) & (F.col("_item") >= 0)
+        d = self.frame.where(usable).withColumn("_f", F.explode(F.filter(F.array(*each), lambda f: f["at"] != F.col("_item"))))
+        one = lambda x, i: (F.coalesce(F.nanvl(x, F.lit(None).cast("double")), F.col("_f.m")[i]) - F.col("_f.a")[i]) / F.col("_f.s")[i]
+        z = F.transform("_x", one)
+        return d.select(*[c for c in self.frame.columns if c not in ("_item", "_x", "_f")], "_f.held", F.col("_f.w")[F.col("label").cast("int")].alias("weight"), z.alias("z"))
+
     def _moments(self, base: np.ndarray) -> np.ndarray:
         """Sums and squared sums about ``base`` of the values present, by item: item x 2 x column."""
         n_items, d = len(self.items), len(self.columns)
@@ -240,45 +300,3 @@ class FoldedLogistic:
                 if np.abs(step[f]).max() <= TOLERANCE * (1 + np.abs(beta[f]).max()):
                     open_.discard(f)
         raise ValueError("the models don't converge")
-
-    def _scored(self, fits_of: Callable[[int], list[frozenset | None]], name: str) -> DataFrame:
-        """Rows of the items, one for each fit that scores them, with ``name`` (what the fit holds out) and score."""
-        d, models, items, at = len(self.columns), self.models, self.items, self.available
-        plans = [fits_of(i) for i in range(len(items))]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, item = _matrix(batch, "_x", d), batch.column("_item").to_numpy(zero_copy_only=False)
-                ok = np.array(batch.column(at).to_pylist(), object) == True  # noqa: E712
-                out = np.full((len(x), len(items)), np.nan)
-                for i, plan in enumerate(plans):
-                    mine = np.flatnonzero((item == i) & ok)
-                    for j, e in enumerate(plan):
-                        if e is not None and len(mine):
-                            median, mean, spread, beta = models[e]
-                            z = (np.where(np.isnan(x[mine]), median, x[mine]) - mean) / spread
-                            out[mine, j] = 0.5 * (1 + np.tanh((z @ beta[1:] + beta[0]) / 2))
-                rest = [n for n in batch.schema.names if n not in ("_x",)]
-                lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(items), dtype=np.int32), pa.array(out.reshape(-1), from_pandas=True))
-                yield pa.record_batch([*[batch.column(n) for n in rest], lists], names=[*rest, "_scores"])
-
-        rows = self.frame.where("_item >= 0")
-        schema = T.StructType([*[f for f in rows.schema.fields if f.name != "_x"], T.StructField("_scores", T.ArrayType(T.DoubleType()))])
-        out = rows.mapInArrow(run, schema).withColumn("_holds", F.array(*[F.array(*[F.lit(e is not None) for e in p]) for p in plans])[F.col("_item")])
-        out = out.select(*[c for c in rows.columns if c not in ("_x", "_item")], F.posexplode(F.arrays_zip("_scores", "_holds")).alias("_j", "_s"))
-        held = F.array(*map(F.lit, items))[F.col("_j")].alias(name)
-        return out.where("_s._holds").select(*[c for c in out.columns if c not in ("_j", "_s")], F.col("_s._scores").alias("score"), held)
-
-    def outer(self) -> DataFrame:
-        """Each item's rows, scored by the model of all others; fold: the item."""
-        self.fit([frozenset([v]) for v in self.items])
-        return self._scored(lambda i: [frozenset([v]) if j == i else None for j, v in enumerate(self.items)], "fold")
-
-    def inner(self, held: list | None = None) -> DataFrame:
-        """Each item's rows, scored, for every other item that is held out (or those of ``held``), by the
-        model of all but the two: what thresholds are chosen on before the held item is scored."""
-        held = self.items if held is None else held
-        if len(self.items) < 3:
-            raise ValueError("Calibration-limited: fewer than two inner items")
-        self.fit([frozenset(p) for p in combinations(self.items, 2) if set(p) & set(held)])
-        return self._scored(lambda i: [frozenset([v, self.items[i]]) if j != i and v in held else None for j, v in enumerate(self.items)], "held")

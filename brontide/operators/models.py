@@ -1,5 +1,5 @@
-"""Imputation, scaling and group-held-out models. Logistic folds are fitted together (:mod:`.folds`), forests by
-pyspark.ml, several at a time."""
+"""Imputation, scaling and group-held-out models. All folds are fitted together, logistic ones by :mod:`.folds` and
+forests by :mod:`.forests`; single fits, and models with other parameters than these take, by pyspark.ml."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fusion as U
-from .folds import FoldedLogistic
+from .folds import Folded, FoldedLogistic
+from .forests import FoldedForest
 from .ranges import quantiles
 
-PARALLEL = 4  # forests fitted at a time
+PARALLEL = 4  # single fits at a time
 
 
 def fit_scaler(train: DataFrame, columns: list[str], label: str = "label") -> tuple[dict[str, tuple[float, float, float]], dict[int, int]]:
@@ -92,11 +93,15 @@ class HeldOutModels:
         out = model.transform(scaled(rows, scaler)).withColumn("score", vector_to_array("probability")[1])
         return out.withColumn("score", F.when(F.col(self.available), F.col("score"))).drop("features", "rawPrediction", "probability", "prediction")
 
-    def folded(self, items: list) -> FoldedLogistic | None:
+    def folded(self, items: list) -> Folded | None:
         """All folds of these items at once, where the models allow it."""
         key = ("folded", tuple(sorted(items)))
-        if self.kind == "logistic" and not self.params and key not in self.cache:
-            self.cache[key] = FoldedLogistic(self.frame, self.item, self.columns, items, self.available)
+        if key not in self.cache:
+            common = (self.frame, self.item, self.columns, items, self.available)
+            if self.kind == "logistic" and not self.params:
+                self.cache[key] = FoldedLogistic(*common)
+            elif self.kind in FORESTS and self.params.keys() <= FORESTS[self.kind].keys():
+                self.cache[key] = FoldedForest(*common, self.seed, **FORESTS[self.kind] | self.params)
         return self.cache.get(key)
 
     def _each(self, fits: list[tuple[list, list, list, str, object]]) -> DataFrame:
